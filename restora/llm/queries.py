@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from restora.llm.bpe import op8_bpe
+from restora.llm.decontaminate import op2_decontaminate
 from restora.llm.langid import op9_langid
 from restora.llm.minhash import op6_minhash
+from restora.llm.secrets import op3_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_secrets": op3_secrets,
     "op6_minhash": op6_minhash,
+    "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
 }
 
