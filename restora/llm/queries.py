@@ -11,6 +11,7 @@ from restora.llm.decontaminate import op2_decontaminate
 from restora.llm.langid import op9_langid
 from restora.llm.minhash import op6_minhash
 from restora.llm.secrets import op3_secrets
+from restora.llm.token_files import op10_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
+    "op10_token_files": op10_token_files,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
