@@ -10,10 +10,12 @@ from restora.llm.bpe import op8_bpe
 from restora.llm.decontaminate import op2_decontaminate
 from restora.llm.langid import op9_langid
 from restora.llm.minhash import op6_minhash
+from restora.llm.repeats import op1_repeats
 from restora.llm.secrets import op3_secrets
 from restora.llm.token_files import op10_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_decontaminate": op2_decontaminate,
     "op3_secrets": op3_secrets,
     "op6_minhash": op6_minhash,
