@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from restora.llm.ann import op5_ann
 from restora.llm.bpe import op8_bpe
 from restora.llm.decontaminate import op2_decontaminate
 from restora.llm.langid import op9_langid
 from restora.llm.minhash import op6_minhash
+from restora.llm.quality import op4_quality
 from restora.llm.repeats import op1_repeats
 from restora.llm.secrets import op3_secrets
 from restora.llm.token_files import op10_token_files
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_decontaminate": op2_decontaminate,
     "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
+    "op5_ann": op5_ann,
     "op6_minhash": op6_minhash,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
