@@ -10,6 +10,7 @@ from restora.llm.ann import op5_ann
 from restora.llm.bpe import op8_bpe
 from restora.llm.decontaminate import op2_decontaminate
 from restora.llm.langid import op9_langid
+from restora.llm.lm import op7_lm
 from restora.llm.minhash import op6_minhash
 from restora.llm.quality import op4_quality
 from restora.llm.repeats import op1_repeats
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_ann": op5_ann,
     "op6_minhash": op6_minhash,
+    "op7_lm": op7_lm,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_token_files": op10_token_files,
