@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from restora.constants import BY_PP
 
-BY_PATIENT = Window.partitionBy("PATIENT_ID")
+def by_patient():
+    return Window.partitionBy("PATIENT_ID")
 
 
 def day_index(df: DataFrame) -> DataFrame:
-    return df.withColumn("DAY_INDEX", F.datediff("SESSION_DATE", F.min("SESSION_DATE").over(BY_PATIENT)))
+    return df.withColumn("DAY_INDEX", F.datediff("SESSION_DATE", F.min("SESSION_DATE").over(by_patient())))
 
 
 def study_range(df: DataFrame, days: int = 43) -> DataFrame:
@@ -24,7 +25,7 @@ def study_range(df: DataFrame, days: int = 43) -> DataFrame:
 def week_bins(df: DataFrame) -> DataFrame:
     """WEEK: 1-based bins of 7 days from the patient's first session; RELATIVE_WEEK: its dense rank."""
     rows = day_index(df).withColumn("WEEK", (F.floor(F.col("DAY_INDEX") / 7) + 1).cast("int"))
-    return rows.withColumn("RELATIVE_WEEK", F.dense_rank().over(BY_PATIENT.orderBy("WEEK")))
+    return rows.withColumn("RELATIVE_WEEK", F.dense_rank().over(by_patient().orderBy("WEEK")))
 
 
 def mean_and_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:

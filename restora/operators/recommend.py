@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from restora.constants import ALLOWED_PROTOCOLS, BY_PP, DAYS, PER_DAY, TOP_N
 from restora.operators.sessions import first_of
 
-BY_PATIENT = Window.partitionBy("PATIENT_ID")
+def by_patient():
+    return Window.partitionBy("PATIENT_ID")
 
 
 def allowed(df: DataFrame, columns: list[str], protocols: list[int] | None = None) -> DataFrame:
@@ -48,15 +49,15 @@ def schedule_days(rank: Column, n: Column, days: int = DAYS, per_day: int = PER_
 def new_schedule(scores: DataFrame, n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY) -> DataFrame:
     """The top n protocols of each patient, each with its DAYS."""
     best = top(scores, n, ["PATIENT_ID"], "SCORE", "PROTOCOL_ID", "__r")
-    rank, many = F.col("__r") - 1, F.count(F.lit(1)).over(BY_PATIENT).cast("int")
+    rank, many = F.col("__r") - 1, F.count(F.lit(1)).over(by_patient()).cast("int")
     rows = best.withColumn("__n", many).where(rank < days * per_day)
     return rows.withColumn("DAYS", schedule_days(rank, F.col("__n"), days, per_day)).drop("__r", "__n")
 
 
 def swaps(scores: DataFrame) -> DataFrame:
     """Prescriptions below the patient's mean score; the lowest one where none is below."""
-    own = prescriptions(scores).withColumn("__low", F.col("SCORE") < F.avg("SCORE").over(BY_PATIENT))
-    own = own.withColumn("__any", F.bool_or("__low").over(BY_PATIENT)).withColumn("__r", F.row_number().over(BY_PATIENT.orderBy("SCORE", "PROTOCOL_ID")))
+    own = prescriptions(scores).withColumn("__low", F.col("SCORE") < F.avg("SCORE").over(by_patient()))
+    own = own.withColumn("__any", F.bool_or("__low").over(by_patient())).withColumn("__r", F.row_number().over(by_patient().orderBy("SCORE", "PROTOCOL_ID")))
     return own.where(F.col("__low") | (~F.col("__any") & (F.col("__r") == 1))).drop("__low", "__any", "__r")
 
 
@@ -123,14 +124,14 @@ def patient_status(requested: DataFrame, scores: DataFrame) -> DataFrame:
 def shuffled_schedule(scores: DataFrame, seed: int, n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY) -> DataFrame:
     """As new_schedule, with the top n in an order that depends on the seed."""
     best = top(scores, n, ["PATIENT_ID"], "SCORE", "PROTOCOL_ID")
-    mixed = best.withColumn("__r", F.row_number().over(BY_PATIENT.orderBy(F.xxhash64("PATIENT_ID", "PROTOCOL_ID", F.lit(seed)))) - 1)
-    mixed = mixed.withColumn("__n", F.count(F.lit(1)).over(BY_PATIENT).cast("int")).where(F.col("__r") < days * per_day)
+    mixed = best.withColumn("__r", F.row_number().over(by_patient().orderBy(F.xxhash64("PATIENT_ID", "PROTOCOL_ID", F.lit(seed)))) - 1)
+    mixed = mixed.withColumn("__n", F.count(F.lit(1)).over(by_patient()).cast("int")).where(F.col("__r") < days * per_day)
     return mixed.withColumn("DAYS", schedule_days(F.col("__r"), F.col("__n"), days, per_day)).drop("__r", "__n")
 
 
 def upper_quantile(scores: DataFrame, q: float = 0.85) -> DataFrame:
     """Rows above the patient's quantile of SCORE."""
-    return scores.withColumn("__q", F.percentile("SCORE", F.lit(q)).over(BY_PATIENT)).where("SCORE > __q").drop("__q")
+    return scores.withColumn("__q", F.percentile("SCORE", F.lit(q)).over(by_patient())).where("SCORE > __q").drop("__q")
 
 
 def swapped_below_quantile(scores: DataFrame, similarity: DataFrame, q: float = 0.85, top_similar: int = 5) -> DataFrame:

@@ -111,7 +111,7 @@ def union_modes(spark, d):
 
 @query("a14_read_or_empty", f"WITH {sql.BASE} SELECT count(*) AS N FROM s25")
 def read_or_empty(spark, d):
-    schema = tables.T._parse_datatype_string("PATIENT_ID bigint, SESSION_ID bigint")
+    schema = tables.schema_of("PATIENT_ID bigint, SESSION_ID bigint")
     lost = tables.read_or_empty(spark, lambda: spark.read.parquet(f"{d}/no_such_table.parquet"), schema)
     return tables.read_or_empty(spark, lambda: s25(spark, d), schema).unionByName(lost).agg(F.count("*").alias("N"))
 

@@ -13,13 +13,21 @@ from pyspark.sql import types as T
 
 from restora.functions.clinical import last_evaluation
 
-SESSIONS = T._parse_datatype_string(
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "array<double>": T.ArrayType(T.DoubleType())}
+
+
+def schema_of(text: str) -> T.StructType:
+    """A schema from `name type` pairs; it needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in text.split(","))])
+
+
+SESSIONS = schema_of(
     "PATIENT_ID bigint, PRESCRIPTION_ID bigint, SESSION_ID bigint, PROTOCOL_ID bigint, PRESCRIPTION_STARTING_DATE date, PRESCRIPTION_ENDING_DATE date, "
     "SESSION_DATE date, WEEKDAY_INDEX int, STATUS string, REAL_SESSION_DURATION int, PRESCRIBED_SESSION_DURATION int, SESSION_DURATION int, ADHERENCE double, DM_VALUE double"
 )
-TIMESERIES = T._parse_datatype_string("PATIENT_ID bigint, SESSION_ID bigint, PROTOCOL_ID bigint, GAME_MODE string, SECONDS_FROM_START int, DM_KEY string, DM_VALUE double, PE_KEY string, PE_VALUE double")
-FITS = T._parse_datatype_string("PATIENT_ID bigint, PROTOCOL_ID bigint, PPF double, CONTRIB array<double>")
-SIMILARITY = T._parse_datatype_string("PROTOCOL_A bigint, PROTOCOL_B bigint, SIMILARITY double")
+TIMESERIES = schema_of("PATIENT_ID bigint, SESSION_ID bigint, PROTOCOL_ID bigint, GAME_MODE string, SECONDS_FROM_START int, DM_KEY string, DM_VALUE double, PE_KEY string, PE_VALUE double")
+FITS = schema_of("PATIENT_ID bigint, PROTOCOL_ID bigint, PPF double, CONTRIB array<double>")
+SIMILARITY = schema_of("PROTOCOL_A bigint, PROTOCOL_B bigint, SIMILARITY double")
 
 
 @dataclass(frozen=True)
@@ -75,7 +83,7 @@ class FileLoader:
         return of_patients(self._read("timeseries", TIMESERIES), patients)
 
     def patients(self, patients=None):
-        schema = T._parse_datatype_string("PATIENT_ID bigint, CLINICAL_TRIAL_START_DATE date, CLINICAL_TRIAL_END_DATE date, CLINICAL_SCORES string")
+        schema = schema_of("PATIENT_ID bigint, CLINICAL_TRIAL_START_DATE date, CLINICAL_TRIAL_END_DATE date, CLINICAL_SCORES string")
         return of_patients(self._read("patient", schema), patients)
 
     def subscales(self, patients=None):
