@@ -1,0 +1,392 @@
+import base64
+import hashlib
+import itertools
+import json
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from restora.llm import ann, bpe, decontaminate, langid, lm, minhash, quality, repeats, secrets, token_files
+from restora.llm.graph import components
+
+LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+
+
+def frame(spark, rows, extra=""):
+    return spark.createDataFrame(rows, "doc_id bigint, text string" + extra)
+
+
+def prose(seed, n=120):
+    draw = np.random.default_rng(seed)
+    return " ".join("".join(draw.choice(list("abcdefgh"), size=draw.integers(2, 7))) for _ in range(n))
+
+
+# --- repeated strings --------------------------------------------------------------------------------
+
+
+def removed_by_hand(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = [False] * len(b)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        out.append((len(b), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_against_brute_force(spark):
+    base = prose(1, 200)
+    shared = base[100:340]
+    texts = [base, base, "x" * 500, "", None, "é" * 300 + base[:220], "q" + shared + prose(2, 30), prose(3, 30) + shared + "tail", shared[:199], prose(4, 60) + base[40:260], "ab" * 150]
+    df = frame(spark, [(i, t, i) for i, t in enumerate(texts)], ", bands int")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == removed_by_hand(texts, 200)
+    assert repeats.without_repeats(df.where("false")).isEmpty()
+
+
+def test_prefix_hashes_equal_for_equal_bytes():
+    data = np.frombuffer(b"abcabcabd" * 30, dtype=np.uint8)
+    p = repeats.Prefixes(data)
+    start = np.array([0, 9, 3])
+    h = p.of(start, start + 9)
+    assert h[0] == h[1] != h[2]
+
+
+# --- near duplicates ---------------------------------------------------------------------------------
+
+
+def classes_by_hand(rows, k, percent):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(parent), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in parent}
+
+
+def edited(text, places):
+    words = text.split()
+    for p in places:
+        words[p % len(words)] = f"edit{p}"
+    return " ".join(words)
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rows, n = [], 0
+    for g in range(6):
+        base = prose(100 + g, 150)
+        for copy in range(8):
+            rows.append((n, edited(base, [copy * 17 + 3, copy * 31 + 40][: copy % 3])))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "One two"), (n + 3, "one TWO"), (n + 4, " \t\n"), (n + 5, prose(7, 150).upper()), (n + 6, prose(7, 150))]
+    df = frame(spark, [(i, t, "x", 5) for i, t in rows], ", want string, bands int")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, k=4).collect()}
+    assert got == classes_by_hand(rows, 4, 80)
+    assert minhash.near_duplicates(df.where("false")).isEmpty()
+
+
+def test_repeated_and_unnamed_rows(spark):
+    df = frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")])
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got[1:] == [(1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_sketch_fills_every_coordinate():
+    values = np.arange(3, dtype=np.int64) * 1_000_003
+    sketch = minhash.sketches(values, np.array([0, 1, 1, 3]), 160)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    assert (sketch[0] != top).all() and (sketch[1] == top).all() and (sketch[2] != top).all()
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert {got[i] for i in range(41)} == {0} and got[101] == 100
+
+
+# --- decontamination ---------------------------------------------------------------------------------
+
+
+def test_decontamination_cases(spark):
+    item = prose(11, 40)
+    words = item.split()
+    swapped = " ".join(words[20:] + words[:20])
+    rows = [(1, f"{prose(12)} {item.upper()} {prose(13)}"), (2, f"{prose(14)} {swapped}. {prose(15)}"), (3, " ".join(words[:8]) + " " + prose(16)), (4, None), (5, ""), (6, prose(17)), (7, "tiny ITEM!")]
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "tiny item"), (4, None), (5, "...")], "item_id bigint, text string")
+    df = frame(spark, [(*x, 0.5) for x in rows], ", coverage double")
+    got = {r.doc_id: (r.contaminated, round(r.coverage, 3), r.item_id) for r in decontaminate.covered(df, bench).collect()}
+    assert got == {1: (True, 1.0, 1), 2: (True, 1.0, 1), 3: (False, 0.2, 1), 4: (False, 0.0, None), 5: (False, 0.0, None), 6: (False, 0.0, None), 7: (True, 1.0, 3)}
+    small = {r.doc_id: r.contaminated for r in decontaminate.covered(df, bench, block_bytes=64).collect()}
+    assert small == {k: v[0] for k, v in got.items()}
+    assert not decontaminate.covered(df, bench.where("false")).where("contaminated").count()
+
+
+def tiles_by_hand(a, b, least):
+    used_a, used_b, out = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return out
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+        out += n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=14), st.lists(st.integers(1, 3), max_size=14))
+def test_tiles_do_not_overlap_and_reach_least(a, b):
+    found = decontaminate.tiles(a, b, 3)
+    in_a = [p + k for p, _, n in found for k in range(n)]
+    in_b = [t + k for _, t, n in found for k in range(n)]
+    assert len(set(in_a)) == len(in_a) and len(set(in_b)) == len(in_b)
+    assert all(n >= 3 and a[p : p + n] == b[t : t + n] for p, t, n in found)
+    assert bool(found) == bool(tiles_by_hand(a, b, 3))
+
+
+# --- secrets -----------------------------------------------------------------------------------------
+
+
+def test_secret_spans(spark):
+    key = "AKIA" + "Z" * 16
+    rows = [(1, f'x PassWord = "hunter2secret" {key} {"a1" * 12} ok'), (2, None), (3, ""), (4, "password=short token: abc"), (5, "md5 " + "0f" * 16), (6, "id 3f2b8c1e-0000-4111-8222-123456789abc plain_name_with_parts_1234 é"), (7, "é k9Xv2QpL7mZr4TnB8wYc1HdF")]
+    df = frame(spark, [(*x, "old") for x in rows], ", spans string")
+    got = {r.doc_id: r for r in secrets.scanned(df, redact=True).collect()}
+    text = rows[0][1]
+    spans = [("assign", m.start(), m.end()) for m in re.finditer(r'PassWord = "hunter2secret', text)] + [("access", text.index(key), text.index(key) + 20), ("hex", text.index("a1a1"), text.index("a1a1") + 24)]
+    base = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    assert (got[1].n_assign, got[1].n_access, got[1].n_hex, got[1].spans) == (1, 1, 1, base)
+    assert got[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert "hunter2" not in got[1].text and key not in got[1].text
+    assert (got[2].n_hex, got[2].spans, got[2].text) == (0, "", None)
+    assert got[4].n_assign == 0 and got[5].n_hex == 1 and got[5].text == rows[4][1] and got[6].spans == "" and got[7].spans == "random:2:26"
+    assert secrets.scanned(df.where("false")).isEmpty()
+
+
+# --- BPE ---------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tiktoken_encoding():
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=80))
+def test_bpe_as_tiktoken(tiktoken_encoding, text):
+    ids = bpe.coder().encode(text)
+    assert ids == tiktoken_encoding.encode_ordinary(text)
+    assert bpe.coder().decode(ids) == text.encode()
+
+
+def test_bpe_long_pre_tokens_and_special_rows(spark, tiktoken_encoding):
+    texts = ["a" * 20_000, "abcab" * 3000, " " * 3000 + "x", None, "", "<|endoftext|> don't", "日本語" * 700]
+    got = {r.doc_id: r for r in bpe.encoded(frame(spark, [(i, t, 1) for i, t in enumerate(texts)], ", n_tokens int"), with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = tiktoken_encoding.encode_ordinary(t or "")
+        assert got[i].ids == ids and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+# --- token files -------------------------------------------------------------------------------------
+
+
+def test_token_files_round_trip(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [prose(21, 400), None, "", "ÉCOLE Σίσυφος İ <|endoftext|> x y\x1cz", "á ́b", prose(22, 30) * 40]
+    df = frame(spark, [(10 - i, t, i) for i, t in enumerate(texts)], ", part int")
+    token_files.write(df, str(tmp_path / "f"))
+    got = {r.doc_id: r for r in token_files.read(spark, str(tmp_path / "f"), with_ids=True).collect()}
+    start = 0
+    for d in sorted(got):
+        ids = library.encode(texts[10 - d] or "", add_special_tokens=False).ids + [2]
+        assert got[d].ids == ids and got[d].start == start
+        assert got[d].ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        start += len(ids)
+    token_files.write(df.where("false"), str(tmp_path / "g"))
+    assert token_files.read(spark, str(tmp_path / "g")).isEmpty()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 1_000_000), min_size=1, max_size=60))
+def test_code_lengths_make_a_prefix_code(counts):
+    lengths = token_files.code_lengths(np.array(counts), 8)
+    used = lengths[np.array(counts) > 0]
+    assert (lengths[np.array(counts) == 0] == 0).all()
+    if len(used):
+        assert used.min() >= 1 and used.max() <= 8 and sum(2.0 ** -int(x) for x in used) <= 1
+
+
+def test_code_lengths_are_optimal_without_a_limit():
+    import heapq
+
+    counts = np.array([50, 30, 10, 5, 3, 2])
+    heap, cost = list(counts), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        x = heapq.heappop(heap) + heapq.heappop(heap)
+        cost += x
+        heapq.heappush(heap, x)
+    assert int((token_files.code_lengths(counts) * counts).sum()) == cost
+
+
+# --- nearest neighbours ------------------------------------------------------------------------------
+
+
+def test_neighbours_find_most(spark):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(1500, 16))
+    x[5] = x[0]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, df.where("vec_id % 100 = 0"), k=10, tables=24, functions=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hit = 0
+    for q in range(0, 1500, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        own = sorted(got[q])
+        assert [k for k, _, _ in own] == list(range(1, len(own) + 1))
+        assert all(s == pytest.approx(d[v], abs=1e-12) for _, v, s in own)
+        hit += len({v for _, v, _ in own} & set(np.lexsort((np.arange(1500), d))[:10].tolist()))
+    assert hit >= 0.9 * 150 and got[0][0][1] == 5 and 2000 not in got
+    assert ann.neighbours(df.where("vec_id > 1999"), df.where("vec_id > 2002")).isEmpty()
+
+
+# --- quality -----------------------------------------------------------------------------------------
+
+
+def test_quality_separates_and_keeps_rows(spark):
+    rows = [(i, prose(i, 80)) for i in range(120)] + [(i, " ".join(["| x9$$"] * 80)) for i in range(120, 240)] + [(500, None), (501, "")]
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(240)] + [(3, 0), (None, 1), (7, None)], "doc_id bigint, label int")
+    df = frame(spark, [(*x, 9) for x in rows], ", predicted int")
+    model = quality.learn(df, labels, epochs=15)
+    got = {r.doc_id: r for r in quality.scored(df, model).collect()}
+    assert len(got) == 242 and all(0 <= r.score <= 1 for r in got.values())
+    assert sum(got[i].predicted == int(i < 120) for i in range(240)) >= 235
+    assert quality.learn(df, labels.where("false")).constant == 0.5
+
+
+def test_attention_gradient():
+    draw = np.random.default_rng(1)
+    bags, y = [draw.normal(size=(n, quality.WIDTH)) for n in (1, 3, 5)], np.array([1.0, 0.0, 1.0])
+    model = quality.AttentionModel().fit(bags, y, epochs=60)
+    x, row = np.concatenate(bags), np.repeat(np.arange(3), [1, 3, 5])
+    assert np.abs(model.score(x, row) - y).max() < 0.2
+
+
+# --- language model ----------------------------------------------------------------------------------
+
+
+def test_lm_base_and_normalisation(spark):
+    rows = [(i, prose(i % 7, 30)) for i in range(40)] + [(100, None), (101, ""), (102, "ZZZ new words Here")]
+    df = frame(spark, rows).withColumn("train", F.col("doc_id") < 30)
+    got = {r.doc_id: r for r in lm.scored(df).collect()}
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + ["\n"] for i, t in rows}
+    c = Counter(w for i, t in tokens.items() if i < 30 for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in tokens.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
+        assert r.score < 0 and math.isfinite(r.score)
+    assert got[31].score / got[31].n_tokens > got[102].score / got[102].n_tokens
+    assert lm.scored(df.where("false")).isEmpty()
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    grams = spark.createDataFrame([((65 << 8) | x, n) for x, n in ((66, 5), (67, 1), (68, 0))] + [((66 << 8) | x, 0) for x in range(256)], "g bigint, n bigint")
+    p = {r.g: r.p for r in lm.probabilities(grams, order=2).collect()}
+    assert sum(v for g, v in p.items() if g >> 8 == 66) == pytest.approx(1.0)
+    assert p[(65 << 8) | 66] > p[(65 << 8) | 67] > p[(65 << 8) | 68] > 0
+
+
+# --- language identification -------------------------------------------------------------------------
+
+
+def test_forward_sums_all_segmentations():
+    net = langid.lattice(None)
+    p = langid.start_probabilities(None, 1)
+    s = langid.Stretches(pa.array(["the cat"]))
+    names = langid.vocabulary()
+    spelled = {(bytes([int(x[3:5], 16)]) if re.fullmatch(r"<0x..>", x) else x.encode()): i for i, x in enumerate(names) if not re.fullmatch(r"<(?!0x..>).*>", x)}
+    for i, x in enumerate(names):
+        if not re.fullmatch(r"<.*>", x):
+            spelled[x.encode()] = i
+
+    def total(word):
+        a = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            a[j] = sum(a[i] * p[spelled[word[i:j]], 0] for i in range(j) if word[i:j] in spelled)
+        return math.log(a[-1])
+
+    expected = sorted(total(("▁" + w).encode()) for w in ("the", "cat"))
+    assert sorted(s.scores(net, p)[:, 0].tolist()) == pytest.approx(expected)
+
+
+def test_language_prediction(spark):
+    words = {"aa": ["shhe", "thon", "ingly"], "bb": ["zwuk", "ßer", "kqat"]}
+    draw = np.random.default_rng(2)
+    rows = [(i, " ".join(draw.choice(words[x], size=30)), x) for i, x in enumerate(["aa", "bb"] * 40)] + [(200, None, "aa"), (201, "123 !", "bb"), (202, "", None), (203, "THON ingly " * 2000 + "q" * 5000, None)]
+    df = frame(spark, rows, ", lang string")
+    languages, p = langid.learn(df.where("doc_id < 60"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df.withColumn("score", F.lit("old")), languages, p).collect()}
+    assert all(got[i][0] == rows[i][2] and got[i][1] > 0.9 for i in range(60, 80))
+    assert got[200] == got[201] == got[202] == ("und", 0.0) and got[203][0] == "aa"
+    none = langid.predict(df, *langid.learn(df.where("false"))).collect()
+    assert {r.lang_pred for r in none} == {"und"}
+
+
+# --- pipeline ----------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    leak = prose(900, 40)
+    rows = [(i, prose(i, 60), "en", "s", 0) for i in range(30)] + [(30, prose(3, 60), "en", "s", 0), (31, f"{prose(31)} {leak} {prose(32)}", "en", "s", 0), (32, "12 34", "en", "s", 0), (33, prose(33) + " password=hunter22222", None, "s", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(30)) | {33}
+    clean = prose(33) + " [SECRET]"
+    assert got[33].decoded_sha256 == hashlib.sha256(clean.encode()).hexdigest()
+    assert got[5].decoded_sha256 == hashlib.sha256(rows[5][1].encode()).hexdigest()
+    assert len(pipeline.STAGES) == 5 and json.dumps([n for n, _ in pipeline.STAGES])
