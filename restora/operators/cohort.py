@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from restora.constants import BY_PP
+from restora.functions.series import ewma, first_difference
+from restora.operators.sessions import first_of
 
 def by_patient():
     return Window.partitionBy("PATIENT_ID")
@@ -279,3 +281,25 @@ def weighted_profile(before: DataFrame, after: DataFrame, key: str) -> DataFrame
 def completed_share(done: Column, prescribed: Column) -> Column:
     """Adherence as completed over prescribed duration, 1 at most; null where nothing is prescribed."""
     return F.least(F.try_divide(done, prescribed), F.lit(1.0))
+
+
+def composite(ppf: Column, delta: Column, adherence: Column, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Column:
+    """a * fit + b * progress + c * adherence of a timepoint."""
+    return F.lit(weights[0]) * ppf + F.lit(weights[1]) * delta + F.lit(weights[2]) * adherence
+
+
+def early_scores(fits: DataFrame, sessions: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """SCORE of every pair from its last known values; pairs never played count as fully adherent without progress."""
+    order = F.struct("SESSION_DATE", "event_id")
+    last = sessions.groupBy(*BY_PP).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("ADHERENCE", "DM_VALUE")])
+    rows = fits.join(last, BY_PP, "left").fillna({"ADHERENCE": 1.0, "DM_VALUE": 0.0})
+    return rows.withColumn("SCORE", composite(F.col("PPF"), F.col("DM_VALUE"), F.col("ADHERENCE"), weights))
+
+
+def session_metrics(sessions: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """The last row of each session, with the weighted mean, the difference and the difference of weighted means of its pair's series."""
+    rows = sessions.where("SESSION_ID is not null and DM_VALUE is not null")
+    order = ["SESSION_DATE", "SESSION_ID", "event_id"]
+    rows = first_difference(ewma(rows, "DM_VALUE", BY_PP, order, "DM_EWMA", alpha), "DM_VALUE", BY_PP, order, "DM_DELTA")
+    rows = first_difference(rows, "DM_EWMA", BY_PP, order, "EWMA_DELTA")
+    return first_of(rows, [*BY_PP, "SESSION_ID"], ["event_id"], last=True)

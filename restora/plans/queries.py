@@ -668,3 +668,99 @@ def not_unique(spark, d):
 @query("m05_schedule_days", f"""WITH {sql.VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY PPF DESC, PROTOCOL_ID) - 1 AS r FROM fits), x AS (SELECT DISTINCT PATIENT_ID, PROTOCOL_ID, CAST(unnest(range(r, 35, 12)) % 7 AS INT) AS "DAY" FROM t WHERE r < 12) SELECT PATIENT_ID, "DAY", count(*) AS N FROM x GROUP BY 1, 2""")
 def schedule_days(spark, d):
     return recommend.day_counts(recommend.new_schedule(fits(spark, d).withColumnRenamed("PPF", "SCORE")))
+
+
+# --- further compositions ----------------------------------------------------------------------------
+
+
+@query("b03_half_open_week", f"WITH {sql.BASE}, {sql.weeks('s25')} SELECT PATIENT_ID, count(*) AS N FROM s25 JOIN lw USING (PATIENT_ID) WHERE SESSION_DATE >= WEEK_START AND SESSION_DATE < WEEK_END GROUP BY 1")
+def half_open_week(spark, d):
+    rows = s25(spark, d).join(sessions.last_week(study_views.patients(spark, d), day()), "PATIENT_ID")
+    return rows.where("SESSION_DATE >= WEEK_START and SESSION_DATE < WEEK_END").groupBy("PATIENT_ID").agg(F.count("*").alias("N"))
+
+
+@query("b09_score_lookup", f"WITH {sql.VECTORS} SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF FROM fits WHERE PROTOCOL_ID = 200 + PATIENT_ID % 25")
+def score_lookup(spark, d):
+    wanted = study_views.patients(spark, d).select("PATIENT_ID").unionByName(study_views.vectors(spark, d)[0].select("PATIENT_ID")).distinct().select("PATIENT_ID", (200 + F.col("PATIENT_ID") % 25).alias("PROTOCOL_ID"))
+    return rounded(fits(spark, d).join(wanted, BY_PP).select(*BY_PP, "PPF"), "PPF")
+
+
+@query("d04_last_dates", f"WITH {sql.BASE} SELECT PATIENT_ID, max(SESSION_DATE) AS LAST_DATE FROM s25 GROUP BY 1")
+def last_dates(spark, d):
+    return s25(spark, d).groupBy("PATIENT_ID").agg(F.max("SESSION_DATE").alias("LAST_DATE"))
+
+
+@query("e02_total_prescribed", f"WITH {sql.BASE} SELECT PATIENT_ID, PROTOCOL_ID, max(k) AS TOTAL_PRESCRIBED, count(*) AS N FROM (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY event_id) AS k FROM s25) GROUP BY 1, 2")
+def total_prescribed(spark, d):
+    rows = sessions.total_prescribed(s25(spark, d))
+    return rows.groupBy(*BY_PP).agg(F.max("TOTAL_PRESCRIBED").cast("bigint").alias("TOTAL_PRESCRIBED"), F.count("*").alias("N"))
+
+
+@query("e14_composite", f"WITH {sql.BASE}, {sql.VECTORS} SELECT event_id, round(0.5 * PPF + 2.0 * coalesce(DM_VALUE, 0) + ADHERENCE, 6) AS SCORE FROM s25 JOIN fits USING (PATIENT_ID, PROTOCOL_ID)")
+def composite(spark, d):
+    rows = s25(spark, d).join(fits(spark, d).select(*BY_PP, "PPF"), BY_PP)
+    score = cohort.composite(F.col("PPF"), F.coalesce("DM_VALUE", F.lit(0.0)), F.col("ADHERENCE"), (0.5, 2.0, 1.0))
+    return rounded(rows.select("event_id", score.alias("SCORE")), "SCORE")
+
+
+@query("e19_weekly_slices", f"WITH {sql.BASE}, {_BINS} SELECT PATIENT_ID, WEEK, count(*) AS N, round(avg(ADHERENCE), 6) AS MEAN FROM wb2 GROUP BY 1, 2")
+def weekly_slices(spark, d):
+    return rounded(cohort.week_bins(s25(spark, d)).groupBy("PATIENT_ID", "WEEK").agg(F.count("*").alias("N"), F.avg("ADHERENCE").alias("MEAN")), "MEAN")
+
+
+@query("f04_lowest_prescription", f"WITH {sql.SCORES} SELECT PATIENT_ID, arg_min(PROTOCOL_ID, (SCORE, PROTOCOL_ID)) AS PROTOCOL_ID FROM sc WHERE len(DAYS) > 0 GROUP BY 1")
+def lowest_prescription(spark, d):
+    return recommend.top(recommend.prescriptions(scores(spark, d)), 1, ["PATIENT_ID"], "SCORE", "PROTOCOL_ID", ascending=True).select(*BY_PP)
+
+
+@query("f06_unused_protocols", f"WITH {sql.SCORES} SELECT PATIENT_ID, PROTOCOL_ID FROM sc WHERE USAGE = 0")
+def unused_protocols(spark, d):
+    return scores(spark, d).where("USAGE = 0").select(*BY_PP)
+
+
+@query("g02_difference", f"WITH {sql.BASE}, {sql.VECTORS} SELECT DISTINCT PATIENT_ID FROM fits WHERE PATIENT_ID NOT IN (SELECT PATIENT_ID FROM pat)")
+def difference(spark, d):
+    return fits(spark, d).select("PATIENT_ID").distinct().join(study_views.patients(spark, d), "PATIENT_ID", "left_anti")
+
+
+@query("g05_long_contributions", f"WITH {sql.VECTORS} SELECT CAST(p.vec_id - 24 AS BIGINT) AS PATIENT_ID, CAST(q.vec_id + 200 AS BIGINT) AS PROTOCOL_ID, CAST(unnest(range(0, 3)) AS INT) AS PLACE, round(unnest(list_transform(range(1, 4), lambda i: p.u[i] * q.u[i])), 6) AS C FROM units p, units q WHERE p.vec_id >= 25 AND q.vec_id < 25")
+def long_contributions(spark, d):
+    rows = fits(spark, d).select(*BY_PP, F.posexplode(F.slice("CONTRIB", 1, 3)).alias("PLACE", "C"))
+    return rounded(rows.na.drop(), "C")
+
+
+@query("i10_repeats", f"WITH {sql.SCORES}, st AS (SELECT PATIENT_ID, coalesce(bool_and(USAGE_WEEK = 0) FILTER (len(DAYS) > 0), false) AS skipped FROM sc GROUP BY 1) SELECT PATIENT_ID, PROTOCOL_ID FROM sc JOIN st USING (PATIENT_ID) WHERE skipped AND len(DAYS) > 0")
+def repeats(spark, d):
+    table = scores(spark, d)
+    skipped = recommend.week_states(table).where("WEEK_SKIPPED").select("PATIENT_ID")
+    return recommend.prescriptions(table.join(skipped, "PATIENT_ID", "left_semi")).select(*BY_PP)
+
+
+@query("i12_study_statuses", f"WITH {sql.BASE}, {sql.VECTORS} SELECT PATIENT_ID, CASE WHEN PATIENT_ID IN (SELECT PATIENT_ID FROM fits) THEN 'ok' ELSE 'failed' END AS STATUS FROM pat WHERE PATIENT_ID % 4 IN (1, 2)")
+def study_statuses(spark, d):
+    studies = study_views.patients(spark, d).select("PATIENT_ID", (F.col("PATIENT_ID") % 4).alias("STUDY_ID"))
+
+    class Views:
+        def sessions(self, patients=None):
+            return tables.of_patients(s25(spark, d).drop("event_id"), patients)
+
+        def patients(self, patients=None):
+            return tables.of_patients(study_views.patients(spark, d), patients)
+
+        def fits(self, patients=None):
+            return fits(spark, d)
+
+        def similarity(self):
+            return similarities(spark, d)
+
+    return study.study_run(Views(), studies, [1, 2], day())[2]
+
+
+@query("i17_early_scores", f"WITH {sql.BASE}, {sql.VECTORS}, l AS (SELECT PATIENT_ID, PROTOCOL_ID, arg_max(ADHERENCE, event_id) AS a, arg_max(DM_VALUE, event_id) FILTER (DM_VALUE IS NOT NULL) AS m FROM (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY SESSION_DATE, event_id) AS seq FROM s25) GROUP BY 1, 2) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF + coalesce(m, 0) + coalesce(a, 1), 6) AS SCORE FROM fits LEFT JOIN l USING (PATIENT_ID, PROTOCOL_ID)".replace("arg_max(ADHERENCE, event_id)", "arg_max(ADHERENCE, seq)").replace("arg_max(DM_VALUE, event_id)", "arg_max(DM_VALUE, seq)"))
+def early_scores(spark, d):
+    return rounded(cohort.early_scores(fits(spark, d), s25(spark, d)).select(*BY_PP, "SCORE"), "SCORE")
+
+
+@query("i19_session_metrics", f"WITH {sql.BASE}, q AS (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY SESSION_DATE, SESSION_ID) AS i FROM s5 WHERE DM_VALUE IS NOT NULL), w AS (SELECT t.PATIENT_ID, t.PROTOCOL_ID, t.SESSION_ID, t.i, any_value(t.DM_VALUE) AS x, sum(pow(0.5, t.i - u.i) * u.DM_VALUE) / sum(pow(0.5, t.i - u.i)) AS m FROM q t JOIN q u ON t.PATIENT_ID = u.PATIENT_ID AND t.PROTOCOL_ID = u.PROTOCOL_ID AND u.i <= t.i GROUP BY 1, 2, 3, 4) SELECT SESSION_ID, round(m, 6) AS DM_EWMA, round(coalesce(x - lag(x) OVER p, 0), 6) AS DM_DELTA, round(coalesce(m - lag(m) OVER p, 0), 6) AS EWMA_DELTA FROM w WINDOW p AS (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY i)")
+def session_metrics(spark, d):
+    return rounded(cohort.session_metrics(s5(spark, d)).select("SESSION_ID", "DM_EWMA", "DM_DELTA", "EWMA_DELTA"), "DM_EWMA", "DM_DELTA", "EWMA_DELTA")
