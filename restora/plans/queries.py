@@ -599,7 +599,7 @@ def first_substitutions(spark, d):
 
 @query("i11_recommend")
 def recommend_all(spark, d):
-    rows = recommend.recommended(scores(spark, d), similarities(spark, d))
+    rows = recommend.recommended(scores(spark, d).persist(), similarities(spark, d))  # read by every branch
     return rounded(rows.select(*BY_PP, "BRANCH", "SCORE", text("DAYS")), "SCORE")
 
 

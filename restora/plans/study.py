@@ -28,7 +28,7 @@ def study_run(loader: Loader, studies: DataFrame, study_ids: list[int], scoring_
     """(recommendations, scores, statuses) of the studies' patients; patients without scores have status failed."""
     wanted = cohort(studies, study_ids)
     fits, sessions, similarity = prepared(completed_fits(loader.fits(), wanted), loader.sessions(wanted), loader.similarity())
-    scores = score_table(fits, sessions, loader.patients(wanted), scoring_date)
+    scores = score_table(fits, sessions, loader.patients(wanted), scoring_date).persist()  # read by every branch and by the sinks
     return recommended(scores, similarity, n, days, per_day), scores, patient_status(wanted, scores)
 
 
