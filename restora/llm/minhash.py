@@ -8,13 +8,13 @@ coordinates are hashed into buckets; documents that share a bucket are candidate
 confirmed on the full sets.
 
 Documents with equal sets form one class and go on as its smallest id, so groups of exact copies cost
-one row.  In a bucket, members are first compared with the smallest one; members still in different
-components afterwards are all compared with each other, so hot buckets make no pairs within what is
-linked already and no link between components is lost.
+one row.  In a bucket, members are first compared with the smallest one.  Members still in different
+components afterwards are compared by an exact prefix-filtered join over their shingles, so hot buckets
+make no pairs within what is linked already and no link between components is lost.
 
 Results for special cases: null text or text without words is the empty set and linked with nothing;
 with fewer than k words the whole sequence is one shingle; rows repeated with the same id count once
-for each row; an empty table gives an empty result.
+for each row; a row without doc_id stays by itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from restora.llm.graph import components, cut, keyed_join
@@ -137,8 +137,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.col("same") * 100 >= (F.col("total") - F.col("same")) * percent).select("a", "b")
 
 
+def prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of docs (doc_id, n, component) in different components that may be linked.
+
+    With a document's shingles in order of frequency, rarest first, linked documents share one of their
+    first (100 - percent) % (prefix filter), early enough in both that what follows can reach the
+    overlap that a link needs (position filter).  Shingles found in the same documents count once.
+    """
+    own = keyed_join(docs, sets.select(F.col("doc_id").alias("of"), "shingles"), "doc_id", "of")
+    rows = own.select("doc_id", "n", "component", F.explode("shingles").alias("s"))
+    found = rows.groupBy("s").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id")).alias("sig")).where("df > 1").select(F.col("s").alias("t"), "df", "sig")
+    shared = keyed_join(rows, found, "s", "t").select("doc_id", "n", "component", "s", "df", "sig")
+    of_doc = Window.partitionBy("doc_id")  # a document's own shingles
+    place = F.col("n") - F.count("*").over(of_doc) + F.row_number().over(of_doc.orderBy("df", "sig", "s")) - 1
+    first = shared.withColumn("place", place).where(f"100 * (n - place) >= {percent} * n")
+    first = cut(first.groupBy("doc_id", "n", "component", "sig", "df").agg(F.min("place").alias("place")))
+    mixed = first.groupBy("sig", "df").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("sig").alias("g"), F.col("df").alias("h"))
+    left = keyed_join(first, mixed, "sig", "g", "left_semi")
+    right = left.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), F.col("sig").alias("g"), F.col("df").alias("h"), F.col("place").alias("pb"))
+    fits = f"doc_id < b and component <> cb and 100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - place, m - pb) >= {percent} * (n + m)"
+    return left.join(right, (F.col("sig") == F.col("g")) & (F.col("df") == F.col("h")) & F.expr(fits)).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text; other columns are ignored)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = cut(sketched(docs, k, bands, rows))
     classes = sketch.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = cut(classes.select("rep", "n_shingles", F.xxhash64("set_a", "set_b", "n_shingles").alias("set_key"), "set_a", "set_b"))
@@ -161,16 +184,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         apart = cut(named.join(mixed, named.band == F.col("of"), "left_semi"))
         if apart.isEmpty():
             break
-        left = apart.select("band", F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.col("component").alias("cx"), "pivot")
-        right = apart.select(F.col("band").alias("of"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("m"), F.col("component").alias("cy"))
-        if exhaustive:  # at least one of the two is outside the bucket's largest component
-            counts = right.groupBy("of", "cy").agg(F.count("*").alias("n"))
-            largest = counts.groupBy(F.col("of").alias("band_")).agg(F.max_by("cy", F.struct("n", "cy")).alias("main"))
-            right = right.join(largest, F.col("of") == F.col("band_")).where("cy <> main").select("of", "y", "m", "cy")
-            pairs = left.join(right, F.col("band") == F.col("of"))
+        if exhaustive:
+            pairs = prefix_pairs(apart.select("doc_id", F.col("n_shingles").alias("n"), "component").distinct(), sets, percent)
         else:
-            pairs = left.where("x <> pivot").join(right, (F.col("band") == F.col("of")) & (F.col("pivot") == F.col("y")))
-        pairs = pairs.where("cx <> cy").where(sizes_fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            left = apart.where("doc_id <> pivot").select("band", F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.col("component").alias("cx"), "pivot")
+            right = apart.select(F.col("band").alias("of"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("m"), F.col("component").alias("cy"))
+            pairs = left.join(right, (F.col("band") == F.col("of")) & (F.col("pivot") == F.col("y"))).where("cx <> cy").where(sizes_fit)
+            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
@@ -185,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     named = named.where("n_shingles > 0").select(F.col("set_key").alias("key"), "component")
     out = keyed_join(of, named, "set_key", "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
