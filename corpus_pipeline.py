@@ -1,7 +1,9 @@
 """A training-corpus pipeline: each stage works on what its predecessor kept.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of docs.  A stage's result is
-written as Parquet and read again before the next one.
+Stages take (spark, docs, sf_dir); all but the last return the columns of docs, whatever they are called.
+A stage's result is written as Parquet and read again before the next one.  Rows that share a doc_id stay or
+go together; rows without a doc_id are dropped by the near-duplicate stage; null texts have no language and
+are dropped by the first.
 """
 
 from __future__ import annotations
@@ -18,33 +20,38 @@ from restora.llm.graph import keyed_join
 from restora.llm.token_files import shared_folder
 
 
+def _shielded(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the used ones under names that no operator has, and what gives the names back."""
+    names = {c: c if c in used else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    column = lambda c: F.col(f"`{c}`")
+    return docs.select(*[column(c).alias(own) for c, own in names.items()]), lambda df: df.select(*[column(own).alias(c) for c, own in names.items()])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Documents whose language is recognised with a posterior of at least `least`."""
     languages, p = langid.learn(docs.select("doc_id", "text", "lang"))
-    names = docs.columns
-    own = docs.select(*names)
-    return langid.predict(own, languages, p).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    own, back = _shielded(docs, ("doc_id", "text"))
+    return back(langid.predict(own, languages, p).where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates (five words, similarity 0.8)."""
     kept = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return keyed_join(docs, kept, "doc_id", "kept_id", "left_semi")
+    own, back = _shielded(docs, ("doc_id", "text"))
+    return back(keyed_join(own, kept, "doc_id", "kept_id", "left_semi"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    names = docs.columns
-    return decontaminate.covered(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(*names)
+    own, back = _shielded(docs, ("doc_id", "text"))
+    return back(decontaminate.covered(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with marks in place of secrets; n_chars follows the text."""
-    names = docs.columns
-    out = secret_scan.scanned(docs, redact=True)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*names)
+    own, back = _shielded(docs, ("doc_id", "text"))
+    out = back(secret_scan.scanned(own, redact=True))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
