@@ -389,4 +389,9 @@ def test_pipeline_stages(spark, tmp_path):
     clean = prose(33) + " [SECRET]"
     assert got[33].decoded_sha256 == hashlib.sha256(clean.encode()).hexdigest()
     assert got[5].decoded_sha256 == hashlib.sha256(rows[5][1].encode()).hexdigest()
+    docs = frame(spark, [(1, rows[1][1], "en", "own", "mine", 7), (2, None, None, None, None, None)], ", lang string, coverage string, score string, kept_id int")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    kept = docs.first()
+    assert docs.columns == ["doc_id", "text", "lang", "coverage", "score", "kept_id"] and (kept.coverage, kept.score, kept.kept_id) == ("own", "mine", 7)
     assert len(pipeline.STAGES) == 5 and json.dumps([n for n, _ in pipeline.STAGES])
