@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the cluster's shared checkpoint folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")  # unset only in local tests
+    return f"{top}/{name}_{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, in compressed columns: for tables of many rows.  The files stay until the shared folder is cleared."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are cut; it acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
     """An equi-join that shuffles both sides anew, so that adaptive execution can split a hot key's partition."""
     on = (F.xxhash64(left[left_key]) == F.xxhash64(right[right_key])) & (left[left_key] == right[right_key])

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from restora.llm.graph import cut
+from restora.llm.graph import cut, release, stored
 from restora.llm.textkit import _LOWER, Words, field, mix, pieces, signed, string_bytes
 
-ORDER, BLOCK_BYTES, MERGE_AT = 6, 12 << 20, 1_500_000
+ORDER, BLOCK_BYTES = 6, 40 << 20
 END, BLANK = 0x0A, 0x20
 WORD_BIT = np.uint64(1 << 63)
 
@@ -79,35 +79,29 @@ def _merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarra
     return k, np.bincount(which, weights=np.concatenate(values), minlength=len(k)).astype(np.int64)
 
 
-def counted(docs: DataFrame, order: int) -> DataFrame:
-    """key (byte string, or word with the top bit set) and n, its uses in rows with `train`; other rows' keys have n 0."""
+def block_keys(dealt: DataFrame, order: int) -> DataFrame:
+    """block, key (byte string, or word with the top bit set) and n: each key of a block once, with its uses in rows with `train`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        values: list[np.ndarray] = []
-
-        def rows(k, v):
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in pieces(batches, most=1 << 20):
+            block = np.asarray(field(batch, "block"))
+            for b in np.unique(block).tolist():
+                part = batch.filter(pa.array(block == b))
+                s = Stream(field(part, "text"), order)
+                train = np.asarray(field(part, "train").to_pylist(), dtype=float)
+                uses = np.repeat(train, np.diff(np.r_[s.edge, len(s.grams)]))
+                own = held.setdefault(b, [])
+                own.append(_merged([s.grams, s.words], [uses, train[s.word_doc]]))
+                if len(own) > 8:
+                    held[b] = [_merged(*map(list, zip(*own, strict=True)))]
+        for b, own in held.items():
+            k, v = _merged(*map(list, zip(*own, strict=True)))
             for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([signed(k[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["key", "n"])
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), b, np.int32)), signed(k[part]), pa.array(v[part])], names=["block", "key", "n"])
 
-        for batch in pieces(batches, most=1 << 20):
-            s = Stream(field(batch, "text"), order)
-            train = np.asarray(field(batch, "train").to_pylist(), dtype=float)
-            sizes = np.diff(np.r_[s.edge, len(s.grams)])
-            keys += [s.grams, s.words]
-            values += [np.repeat(train, sizes), train[s.word_doc]]
-            k, v = _merged(keys[-2:], values[-2:])
-            keys[-2:], values[-2:] = [k], [v]
-            if sum(map(len, keys)) > MERGE_AT:
-                k, v = _merged(keys, values)
-                keys, values = [k], [v]
-                if len(k) > MERGE_AT // 2:
-                    yield from rows(k, v)
-                    keys, values = [], []
-        if keys:
-            yield from rows(*_merged(keys, values))
-
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return dealt.mapInArrow(run, "block int, key long, n long")
 
 
 def seated(rows: DataFrame, level: int, sweep: int, discount: float, strength: float) -> DataFrame:
@@ -181,36 +175,22 @@ def probabilities(counts: DataFrame, order: int = ORDER, sweeps: int = 3, streng
 def scored(docs: DataFrame, order: int = ORDER, sweeps: int = 3) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of rows (doc_id, text, train)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "train")
-    counts = cut(counted(docs, order))
+    size, many = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-int(size) // BLOCK_BYTES), -(-int(many) // 100_000))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    keys = stored(block_keys(dealt.select("block", "text", "train"), order))
+    release(docs.sparkSession)
+    counts = stored(keys.groupBy("key").agg(F.sum("n").alias("n")))
     words, grams = counts.where("key < 0"), counts.where("key >= 0").select(F.col("key").alias("g"), "n")
-    ends, size, many = docs.agg(F.count_if("train"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    ends = docs.agg(F.count_if("train")).first()[0]
     r = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, kinds = r[0] + ends, r[1] + (1 if ends else 0)
     whole = tokens + 0.5 * (kinds + 1)
     base = F.log10((F.col("n") + 0.5) / F.lit(whole))
     values = probabilities(grams, order, sweeps).select(F.col("g").alias("key"), F.log10("p").alias("value"), F.lit(False).alias("known"))
-    values = cut(values.unionByName(words.select("key", base.alias("value"), (F.col("n") > 0).alias("known"))))
-
-    blocks = max(1, -(-int(size) // BLOCK_BYTES), -(-int(many) // 100_000))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in pieces(batches, most=1 << 20):
-            block = np.asarray(field(batch, "block"))
-            for b in np.unique(block):
-                part = batch.filter(pa.array(block == b))
-                s = Stream(field(part, "text"), order)
-                held.setdefault(int(b), []).append(np.unique(np.concatenate([s.grams, s.words])))
-                if len(held[int(b)]) > 8:
-                    held[int(b)] = [np.unique(np.concatenate(held[int(b)]))]
-        for b, keys in held.items():
-            k = np.unique(np.concatenate(keys))
-            for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[i : i + 100_000]), b, np.int32)), signed(k[i : i + 100_000])], names=["block", "key"])
-
-    wanted = dealt.select("block", "text").mapInArrow(asked, "block int, key long")
-    answers = wanted.join(values, "key").select("block", "key", "value", "known")
+    values = values.unionByName(words.select("key", base.alias("value"), (F.col("n") > 0).alias("known")))
+    release(docs.sparkSession)
+    answers = keys.select("block", "key").join(values, "key").select("block", "key", "value", "known")
     end_base = float(np.log10((ends + 0.5) / whole))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
