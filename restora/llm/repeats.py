@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restora.llm.graph import cut, keyed_join
+from restora.llm.graph import cut, keyed_join, release, stored
 from restora.llm.textkit import field, mix, pieces, randoms, signed, string_bytes
 
 LENGTH, BRANCH = 200, 5
@@ -180,7 +180,7 @@ def repeated_ranges(found: DataFrame, length: int) -> DataFrame:
         parts = ranges.select("cid", "weight", F.explode(F.transform(lows, lambda x: F.struct(x.alias("low"), F.least(x + step - 1, F.col("high")).alias("high")))).alias("r"))
         lists = parts.groupBy("cid").agg(F.collect_list("r.low").alias("lows"), F.collect_list("r.high").alias("highs"), F.collect_list("weight").alias("weights"))
         items = keyed_join(found.select(F.col("cid").alias("id"), "around", "left"), lists, "id", "cid").select("cid", "weights", "around", "left", "lows", "highs")
-        hashed = cut(ranges_hashed(items, length))
+        hashed = stored(ranges_hashed(items, length))
         size = -(-size // BRANCH)
         same = hashed.groupBy("outer").agg(F.sum("weight").alias("outer_n"), F.min("cid").alias("rep"))
         same = cut(same.select(F.col("outer").alias("o"), "outer_n", "rep"))
@@ -191,6 +191,7 @@ def repeated_ranges(found: DataFrame, length: int) -> DataFrame:
         reps = keyed_join(hashed, same, "outer", "o").where("cid = rep").select("cid", "low", "high", "inner", F.least("outer_n", F.lit(2)).alias("weight"), "outer_n")
         shared = cut(reps.groupBy("inner").agg(F.sum("weight").alias("inner_n"), F.count("*").alias("kinds")).where("kinds > 1").select(F.col("inner").alias("i")))
         ranges = cut(keyed_join(reps, shared, "inner", "i", "left_semi").select("cid", "weight", "low", "high"))
+        release(found.sparkSession)
     return out.groupBy("cid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
@@ -201,15 +202,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     all_anchors = anchored(docs, length)
     uses = F.octet_length("places") / 4
     seen = all_anchors.groupBy("inner").agg(F.sum(uses.cast("long")).alias("n")).where("n > 1").select(F.col("inner").alias("i"))
-    alive = cut(keyed_join(all_anchors, seen, "inner", "i", "left_semi").select("doc_id", "inner", "outer", F.xxhash64("inner", "outer").alias("cid"), "place", "places"))
+    alive = stored(keyed_join(all_anchors, seen, "inner", "i", "left_semi").select("doc_id", "inner", "outer", F.xxhash64("inner", "outer").alias("cid"), "place", "places"))
+    del all_anchors, seen
+    release(docs.sparkSession)
     kinds = alive.groupBy("cid", "inner").agg(F.sum(uses.cast("long")).alias("weight"), F.min(F.struct("doc_id", "place")).alias("ref"))
     kinds = cut(kinds.select("cid", "inner", "weight", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.place").alias("ref_place")))
     open_ = kinds.groupBy("inner").agg(F.min("weight").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select(F.col("inner").alias("i"))
     wanted = keyed_join(kinds, open_, "inner", "i", "left_semi").select("cid", "weight", "ref_doc", "ref_place")
-    found = cut(contexts(wanted, docs, length))
+    found = stored(contexts(wanted, docs, length))
+    release(docs.sparkSession)
     partly = repeated_ranges(found, length)
     whole = kinds.where("weight > 1").select("cid", F.lit(0).alias("first"), F.lit(half).alias("last"))
-    settled = whole.unionByName(partly).groupBy("cid").agg(F.min("first").alias("first"), F.max("last").alias("last")).select(F.col("cid").alias("c"), "first", "last")
+    settled = whole.unionByName(partly).groupBy("cid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    settled = cut(settled.select(F.col("cid").alias("c"), "first", "last"))
+    del found, partly, whole, kinds, open_, wanted
+    release(docs.sparkSession)
     spans = keyed_join(alive, settled, "cid", "c").groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("places", "first", "last")).alias("spans"))  # a document's own
     both = keyed_join(docs, spans, "doc_id", "d", "left").select("doc_id", "text", "spans")
 
