@@ -34,7 +34,9 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SIEVE = (r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}", r"[A-Za-z0-9+/_=-]{20}")
 _DIGEST = re.compile(r"([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_IDENTIFIER = re.compile(r"[/_=+-]*(([A-Z]?[a-z]+)+\d{0,4}|[A-Z]+\d{0,4}|\d+)([/_=+-]+(([A-Z]?[a-z]+)+\d{0,4}|[A-Z]+\d{0,4}|\d+))*[/_=+-]*")
+#: Every part is matched in one way only and never given back, so that the time is linear in the run's length.
+_PART = r"(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+\d{0,4}+|[A-Z]++\d{0,4}+|\d++)"
+_IDENTIFIER = re.compile(rf"[/_=+-]*+{_PART}(?:[/_=+-]++{_PART})*+[/_=+-]*+")
 
 _ENCODERS: dict[str | None, object] = {}
 

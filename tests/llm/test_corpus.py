@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -193,6 +194,18 @@ def test_secret_spans(spark):
     assert secrets.scanned(df.where("false")).isEmpty()
 
 
+def test_long_letter_runs_are_scanned_in_linear_time():
+    for letters in (24, 100_000):  # exponential in the letters, 24 took seconds
+        text, start = "a" * letters + "12345", time.process_time()
+        assert secrets._IDENTIFIER.fullmatch(text) is None and secrets._IDENTIFIER.fullmatch(text[:-1])
+        secrets.random_spans(f"see {text}.", [], 2.5)
+        assert time.process_time() - start < 2
+    words = "ab Ab aB abC ABc AB1 a12345 Ab1234 12345 a-b +Ab_AB/1= a1b A1b -- a--1 AbCd12 ABC12345 AbC ab1-12345 1a".split()
+    old = re.compile(r"[/_=+-]*(([A-Z]?[a-z]+)+\d{0,4}|[A-Z]+\d{0,4}|\d+)([/_=+-]+(([A-Z]?[a-z]+)+\d{0,4}|[A-Z]+\d{0,4}|\d+))*[/_=+-]*")
+    short = [*words, *("".join(c) for n in range(8) for c in itertools.product("aA1-", repeat=n))]
+    assert [w for w in short if bool(old.fullmatch(w)) != bool(secrets._IDENTIFIER.fullmatch(w))] == []
+
+
 # --- BPE ---------------------------------------------------------------------------------------------
 
 
