@@ -2,13 +2,14 @@
 
 Each table has `functions` hashes floor((a.x + b) / width) with Gaussian a; equal hashes share a bucket.
 A query visits its own bucket and then perturbed ones in order of their estimated success: the sum of
-squared distances from the query's projections to the bucket walls that the perturbation crosses, taken
-from a heap of perturbation sets.  Candidates of all tables are merged and ranked by exact distance in
-double precision.
+squared distances from the query's projections to the bucket walls that the perturbation crosses.
+Candidates of all tables are merged and ranked by exact distance in double precision.
 
 The width follows the data: `spread` times the median distance to the nearest of a bounded sample.
-Every vector is indexed; queries go in blocks of `block` (broadcast, at most block x dimension numbers),
-and every task keeps the best of its own vectors, so candidates are never shuffled.
+Every vector is indexed.  Queries are packed in blocks of `block` on the executors, and tasks take every
+pair of a group of blocks and a partition of vectors, find the probes themselves, and keep the best of their
+own vectors: neither queries nor probes reach the driver, and candidates are never shuffled.  Work therefore
+grows with vectors x queries; where few vectors are hit, only their distances are computed.
 
 Results for special cases: vectors that are null, zero, not of the commonest dimension, or that hold
 null or non-finite components take no part; ties go to the smaller vec_id; with fewer candidates than
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from restora.llm.textkit import field, mix, randoms
 
 SAMPLE = 1000
+#: Up to so many functions all steps to neighbouring buckets are ranked at once.
+ENUMERATED = 8
+#: Vectors packed in one row, query blocks in one group, and the share of hits under which distances are computed one by one.
+CHUNK, GROUP, SPARSE = 4096, 16, 0.05
 
 
 class Tables:
@@ -50,37 +55,54 @@ class Tables:
         return mix(total)
 
     def probes(self, q: np.ndarray, t: int, probes: int) -> np.ndarray:
-        """Keys (queries x probes + 1) of the buckets that each query visits."""
+        """Keys (queries x probes + 1) of the buckets that each query visits; all buckets around if there are fewer."""
         p = self.projected(q, t)
         home = np.floor(p)
         inside = p - home
-        cells = np.repeat(home[:, None, :], probes + 1, axis=1)
         m = p.shape[1]
-        for i in range(len(q)):
-            walls = sorted([(inside[i, j] ** 2, j, -1) for j in range(m)] + [((1 - inside[i, j]) ** 2, j, 1) for j in range(m)])
-            heap, n = [(walls[0][0], (0,))], 0
-            while heap and n < probes:
-                cost, chosen = heappop(heap)
-                last = chosen[-1]
-                if last + 1 < 2 * m:
-                    heappush(heap, (cost - walls[last][0] + walls[last + 1][0], (*chosen[:-1], last + 1)))
-                    heappush(heap, (cost + walls[last + 1][0], (*chosen, last + 1)))
-                if len({walls[k][1] for k in chosen}) == len(chosen):
-                    n += 1
-                    for k in chosen:
-                        cells[i, n, walls[k][1]] += walls[k][2]
-        return self.keys(cells.reshape(-1, m)).reshape(len(q), probes + 1)
+        if m > ENUMERATED:
+            return self.keys((home[:, None, :] + np.array([_cheapest(x, probes) for x in inside])).reshape(-1, m)).reshape(len(q), -1)
+        steps = np.indices((3,) * m).reshape(m, -1).T - 1  # every step of -1, 0 or 1 along each function
+        down, up, n = (steps < 0).T.astype(float), (steps > 0).T.astype(float), min(probes + 1, len(steps))
+        out = np.empty((len(q), n), dtype=np.uint64)
+        for start in range(0, len(q), 256):
+            part = slice(start, start + 256)
+            cost = inside[part] ** 2 @ down + (1 - inside[part]) ** 2 @ up
+            best = np.argpartition(cost, n - 1, axis=1)[:, :n]
+            out[part] = self.keys((home[part, None, :] + steps[best]).reshape(-1, m)).reshape(-1, n)
+        return out
+
+
+def _cheapest(inside: np.ndarray, probes: int) -> np.ndarray:
+    """The step to the query's own bucket and the `probes` cheapest others, from a heap of perturbation sets."""
+    m = len(inside)
+    out = np.zeros((probes + 1, m), dtype=np.int64)
+    walls = sorted([(inside[j] ** 2, j, -1) for j in range(m)] + [((1 - inside[j]) ** 2, j, 1) for j in range(m)])
+    heap, n = [(walls[0][0], (0,))], 0
+    while heap and n < probes:
+        cost, chosen = heappop(heap)
+        last = chosen[-1]
+        if last + 1 < 2 * m:
+            heappush(heap, (cost - walls[last][0] + walls[last + 1][0], (*chosen[:-1], last + 1)))
+            heappush(heap, (cost + walls[last + 1][0], (*chosen, last + 1)))
+        if len({walls[k][1] for k in chosen}) == len(chosen):
+            n += 1
+            for k in chosen:
+                out[n, walls[k][1]] += walls[k][2]
+    return out
 
 
 def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, hit: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, ids, distances) of the k nearest hits."""
-    square = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
-    slack = 1e-9 * (1 + float(np.abs(square).max(initial=0)))
+    square = None
+    if hit.mean() >= SPARSE:
+        square = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
+        slack = 1e-9 * (1 + float(np.abs(square).max(initial=0)))
     for i in range(len(q)):
         at = np.flatnonzero(hit[i])
         if not len(at):
             continue
-        if len(at) > k:
+        if len(at) > k and square is not None:
             rough = square[i, at]
             at = at[rough <= np.partition(rough, k - 1)[k - 1] + slack]
         d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
@@ -88,6 +110,25 @@ def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, hit: np.ndarray, k: i
         yield i, ids[at][order], d[order]
 
 
+class Best:
+    """The k nearest so far of each query of a block."""
+
+    def __init__(self, names: np.ndarray, k: int):
+        self.names, self.k, self.of = names, k, {}
+
+    def add(self, i: int, ids: np.ndarray, d: np.ndarray) -> None:
+        if i in self.of:
+            ids, d = np.r_[self.of[i][0], ids], np.r_[self.of[i][1], d]
+            order = np.lexsort((ids, d))[: self.k]
+            ids, d = ids[order], d[order]
+        self.of[i] = ids, d
+
+    def rows(self) -> pa.RecordBatch:
+        found = list(self.of.values())
+        owners = np.repeat(self.names[list(self.of)], [len(x[0]) for x in found])
+        return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["query_id", "vec_id", "score"])
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (double) of the vectors that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -95,6 +136,56 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda c: c != 0))
 
 
+def packed(df: DataFrame, most: int, prefix: str) -> DataFrame:
+    """Ids and embeddings (bytes of longs and doubles) of up to `most` vectors a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, most):
+                batch = whole.slice(start, most)
+                columns = [field(batch, "vec_id"), field(batch, "embedding").flatten()]
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in columns], names=[f"{prefix}_ids", f"{prefix}_at"])
+
+    return df.select("vec_id", "embedding").mapInArrow(run, f"{prefix}_ids binary, {prefix}_at binary")
+
+
+def searched(v: DataFrame, q: DataFrame, many: int, dimension: int, hashes: Tables, probes: int, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: of each query (many in number) the k nearest hits of every partition of v."""
+    tables = len(hashes.a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, at, probe = None, None, None, []
+        for batch in batches:
+            for q_ids, q_at, v_ids, v_at in zip(*(field(batch, n).to_pylist() for n in ("q_ids", "q_at", "v_ids", "v_at")), strict=True):
+                if q_ids != now:  # the pairs of a block come one after the other
+                    if best is not None and best.of:
+                        yield best.rows()
+                    now, best, at = q_ids, Best(np.frombuffer(q_ids, dtype=np.int64), k), np.frombuffer(q_at).reshape(-1, dimension)
+                    probe = []
+                    for t in range(tables):
+                        keys = hashes.probes(at, t, probes)
+                        flat = keys.reshape(-1)
+                        order = np.argsort(flat, kind="stable")
+                        probe.append((flat[order], (order // keys.shape[1]).astype(np.int32)))
+                ids, x = np.frombuffer(v_ids, dtype=np.int64), np.frombuffer(v_at).reshape(-1, dimension)
+                hit = np.zeros((len(at), len(ids)), dtype=bool)
+                for t, (keys, owner) in enumerate(probe):
+                    own = hashes.keys(np.floor(hashes.projected(x, t)))
+                    low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+                    n = high - low
+                    which = np.repeat(np.arange(len(ids)), n)
+                    place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                    hit[owner[place], which] = True
+                hit &= best.names[:, None] != ids[None, :]
+                for i, near_ids, d in nearest(at, x, ids, hit, k):
+                    best.add(i, near_ids, d)
+        if best is not None and best.of:
+            yield best.rows()
+
+    blocks = packed(q.repartition(max(1, -(-many // (block * GROUP)))), block, "q")
+    return blocks.hint("shuffle_replicate_nl").crossJoin(packed(v, CHUNK, "v")).mapInArrow(run, "query_id long, vec_id long, score double")
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 32, functions: int = 8, probes: int = 120, spread: float = 1.35, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query; a query's own vec_id is no candidate."""
     spark = vectors.sparkSession
@@ -112,52 +203,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
     near = near[np.isfinite(near) & (near > 1e-9)]
     hashes = Tables(dimension, tables, functions, spread * float(np.median(near)) if len(near) else 1.0)
     many = q.count()
-    found = None
-    for number in range(-(-many // block)):
-        part = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(-(-many // block))) == number) if many > block else q
-        rows = part.orderBy("vec_id").collect()  # about a block
-        if not rows:
-            continue
-        at = np.array([r.embedding for r in rows])
-        names = np.array([r.vec_id for r in rows], dtype=np.int64)
-        probe = []
-        for t in range(tables):
-            keys = hashes.probes(at, t, probes)
-            flat = keys.reshape(-1)
-            order = np.argsort(flat, kind="stable")
-            probe.append((flat[order], (order // keys.shape[1]).astype(np.int32)))
-        shared = spark.sparkContext.broadcast((hashes, at, names, probe))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes, at, names, probe = shared.value
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for whole in batches:
-                for start in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(start, 4096)
-                    ids = field(batch, "vec_id").to_numpy()
-                    x = field(batch, "embedding").flatten().to_numpy().reshape(len(ids), at.shape[1])
-                    hit = np.zeros((len(at), len(ids)), dtype=bool)
-                    for t, (keys, owner) in enumerate(probe):
-                        own = hashes.keys(np.floor(hashes.projected(x, t)))
-                        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                        n = high - low
-                        which = np.repeat(np.arange(len(ids)), n)
-                        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                        hit[owner[place], which] = True
-                    hit &= names[:, None] != ids[None, :]
-                    for i, near_ids, d in nearest(at, x, ids, hit, k):
-                        if i in best:
-                            near_ids, d = np.r_[best[i][0], near_ids], np.r_[best[i][1], d]
-                            order = np.lexsort((near_ids, d))[:k]
-                            near_ids, d = near_ids[order], d[order]
-                        best[i] = near_ids, d
-            if best:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[list(best)], [len(x[0]) for x in best.values()])), pa.array(np.concatenate([x[0] for x in best.values()])), pa.array(np.concatenate([x[1] for x in best.values()]))], names=["query_id", "vec_id", "score"])
-
-        one = v.mapInArrow(run, "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    if not many:
         return empty
+    found = searched(v, q, many, dimension, hashes, probes, k, block)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -304,6 +304,26 @@ def test_neighbours_find_most(spark):
     assert ann.neighbours(df.where("vec_id > 1999"), df.where("vec_id > 2002")).isEmpty()
 
 
+def test_queries_and_probes_stay_off_the_driver(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(900, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(900)], "vec_id bigint, embedding array<double>").repartition(3)
+    one = sorted(map(tuple, ann.neighbours(df, df.where("vec_id < 300"), k=5).collect()))
+    seen, collect, send = [], type(df).collect, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(len(rows := collect(self))) or rows)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: seen.append(10**9) or send(self, value))
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    plan = ann.neighbours(df, df.where("vec_id < 300"), k=5, block=64)
+    assert max(seen) <= 50  # the sample, but no queries
+    monkeypatch.undo()
+    assert "CartesianProduct" in plan._jdf.queryExecution().toString()
+    many = sorted(map(tuple, ann.neighbours(df, df.where("vec_id < 300"), k=5, block=64).collect()))
+    assert many == one
+    hashes, q = ann.Tables(8, 2, 8, 1.5), x[:5]
+    p = hashes.projected(q, 1)
+    by_heap = [{*hashes.keys(np.floor(y) + ann._cheapest(y - np.floor(y), 120)).tolist()} for y in p]
+    assert [{*r} for r in hashes.probes(q, 1, 120).tolist()] == by_heap
+
+
 # --- quality -----------------------------------------------------------------------------------------
 
 
