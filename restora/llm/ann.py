@@ -5,15 +5,18 @@ A query visits its own bucket and then perturbed ones in order of their estimate
 squared distances from the query's projections to the bucket walls that the perturbation crosses.
 Candidates of all tables are merged and ranked by exact distance in double precision.
 
-The width follows the data: `spread` times the median distance to the nearest of a bounded sample.
+Widths follow the data: there is one for each level of the distances to the k-th nearest in a bounded sample,
+`spread` times the level, and a query takes the level next above its own such distance.  That distance also bounds
+the true one from above, so a query with fewer than k hits, or with the k-th beyond it, has missed some; all
+such queries are compared with every vector.
 Every vector is indexed.  Queries are packed in blocks of `block` on the executors, and tasks take every
 pair of a group of blocks and a partition of vectors, find the probes themselves, and keep the best of their
 own vectors: neither queries nor probes reach the driver, and candidates are never shuffled.  Work therefore
 grows with vectors x queries; where few vectors are hit, only their distances are computed.
 
 Results for special cases: vectors that are null, zero, not of the commonest dimension, or that hold
-null or non-finite components take no part; ties go to the smaller vec_id; with fewer candidates than
-asked for, all found are returned; no vectors give no rows.
+null or non-finite components take no part; ties go to the smaller vec_id; only if fewer than k other
+vectors take part, there are fewer rows; no vectors give no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from restora.llm.graph import cut
 from restora.llm.textkit import field, mix, randoms
 
 SAMPLE = 1000
@@ -33,6 +37,8 @@ SAMPLE = 1000
 ENUMERATED = 8
 #: Vectors packed in one row, query blocks in one group, and the share of hits under which distances are computed one by one.
 CHUNK, GROUP, SPARSE = 4096, 16, 0.05
+#: Levels differ by this factor at least.
+STEP = 1.25
 
 
 class Tables:
@@ -136,41 +142,75 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda c: c != 0))
 
 
-def packed(df: DataFrame, most: int, prefix: str) -> DataFrame:
-    """Ids and embeddings (bytes of longs and doubles) of up to `most` vectors a row."""
+def levels_of(distances: np.ndarray) -> np.ndarray:
+    """Distances from the smallest to the largest of a sample, each over STEP times the one before."""
+    out: list[float] = []
+    for d in np.quantile(distances, np.linspace(0.98, 0.02, 25)) if len(distances) else []:
+        if not out or STEP * d < out[-1]:
+            out.append(float(d))
+    return np.array(out[::-1] or [1.0])
+
+
+def kth(q: np.ndarray, names: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Upper bounds of the distances from each query to its k-th nearest among the x with another id; infinite if there are fewer."""
+    square = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
+    slack = 1e-9 * (1 + np.abs(square).max(initial=0))
+    square[names[:, None] == ids[None, :]] = np.inf
+    return np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0) + slack) if len(x) >= k else np.full(len(q), np.inf)
+
+
+def bounded(q: DataFrame, x: np.ndarray, ids: np.ndarray, levels: np.ndarray, k: int) -> DataFrame:
+    """q with the bound of its k-th distance, from a sample, and the number of its level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                names = field(batch, "vec_id").to_numpy()
+                bound = kth(field(batch, "embedding").flatten().to_numpy().reshape(len(names), x.shape[1]), names, x, ids, k)
+                level = np.minimum(np.searchsorted(levels, bound), len(levels) - 1)
+                yield pa.RecordBatch.from_arrays([field(batch, "vec_id"), field(batch, "embedding"), pa.array(bound), pa.array(level.astype(np.int64))], names=["vec_id", "embedding", "bound", "level"])
+
+    return q.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, bound double, level long")
+
+
+def packed(df: DataFrame, most: int, prefix: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Ids, embeddings and extra columns (bytes of longs and doubles) of up to `most` vectors a row."""
+    names = [f"{prefix}_ids", f"{prefix}_at", *(f"{prefix}_{e}" for e in extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, most):
                 batch = whole.slice(start, most)
-                columns = [field(batch, "vec_id"), field(batch, "embedding").flatten()]
-                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in columns], names=[f"{prefix}_ids", f"{prefix}_at"])
+                columns = [field(batch, "vec_id"), field(batch, "embedding").flatten(), *(field(batch, e) for e in extra)]
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in columns], names=names)
 
-    return df.select("vec_id", "embedding").mapInArrow(run, f"{prefix}_ids binary, {prefix}_at binary")
+    return df.select("vec_id", "embedding", *extra).mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
-def searched(v: DataFrame, q: DataFrame, many: int, dimension: int, hashes: Tables, probes: int, k: int, block: int) -> DataFrame:
-    """query_id, vec_id, score: of each query (many in number) the k nearest hits of every partition of v."""
-    tables = len(hashes.a)
+def searched(v: DataFrame, q: DataFrame, many: int, dimension: int, hashes: list[Tables] | None, probes: int, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: of each query (many in number) the k nearest hits of every partition of v; without hashes (one a level) all are hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best, at, probe = None, None, None, []
         for batch in batches:
-            for q_ids, q_at, v_ids, v_at in zip(*(field(batch, n).to_pylist() for n in ("q_ids", "q_at", "v_ids", "v_at")), strict=True):
+            for q_ids, q_at, q_level, v_ids, v_at in zip(*(field(batch, n).to_pylist() for n in ("q_ids", "q_at", "q_level", "v_ids", "v_at")), strict=True):
                 if q_ids != now:  # the pairs of a block come one after the other
                     if best is not None and best.of:
                         yield best.rows()
                     now, best, at = q_ids, Best(np.frombuffer(q_ids, dtype=np.int64), k), np.frombuffer(q_at).reshape(-1, dimension)
-                    probe = []
-                    for t in range(tables):
-                        keys = hashes.probes(at, t, probes)
-                        flat = keys.reshape(-1)
-                        order = np.argsort(flat, kind="stable")
-                        probe.append((flat[order], (order // keys.shape[1]).astype(np.int32)))
+                    probe, level = [], np.frombuffer(q_level, dtype=np.int64)
+                    for one in np.unique(level) if hashes else []:
+                        members = np.flatnonzero(level == one)
+                        for t in range(len(hashes[one].a)):
+                            keys = hashes[one].probes(at[members], t, probes)
+                            flat = keys.reshape(-1)
+                            order = np.argsort(flat, kind="stable")
+                            probe.append((hashes[one], t, flat[order], members[order // keys.shape[1]].astype(np.int32)))
                 ids, x = np.frombuffer(v_ids, dtype=np.int64), np.frombuffer(v_at).reshape(-1, dimension)
-                hit = np.zeros((len(at), len(ids)), dtype=bool)
-                for t, (keys, owner) in enumerate(probe):
-                    own = hashes.keys(np.floor(hashes.projected(x, t)))
+                hit = np.full((len(at), len(ids)), hashes is None)
+                for table, t, keys, owner in probe:
+                    own = table.keys(np.floor(table.projected(x, t)))
                     low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
                     n = high - low
                     which = np.repeat(np.arange(len(ids)), n)
@@ -182,10 +222,15 @@ def searched(v: DataFrame, q: DataFrame, many: int, dimension: int, hashes: Tabl
         if best is not None and best.of:
             yield best.rows()
 
-    blocks = packed(q.repartition(max(1, -(-many // (block * GROUP)))), block, "q")
+    blocks = packed(q.repartition(max(1, -(-many // (block * GROUP)))), block, "q", ("level",))
     return blocks.hint("shuffle_replicate_nl").crossJoin(packed(v, CHUNK, "v")).mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 32, functions: int = 8, probes: int = 120, spread: float = 1.35, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query; a query's own vec_id is no candidate."""
     spark = vectors.sparkSession
@@ -196,18 +241,22 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
         return empty
     dimension = common.n
     v, q = v.where(F.size("embedding") == dimension), q.where(F.size("embedding") == dimension)
-    sample = np.array([r.embedding for r in v.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").collect()])
-    between = np.sqrt(np.maximum((sample**2).sum(1)[:, None] + (sample**2).sum(1)[None] - 2 * sample @ sample.T, 0))
-    np.fill_diagonal(between, np.inf)
-    near = between.min(axis=1)
-    near = near[np.isfinite(near) & (near > 1e-9)]
-    hashes = Tables(dimension, tables, functions, spread * float(np.median(near)) if len(near) else 1.0)
+    sample = v.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in sample], dtype=np.int64), np.array([r.embedding for r in sample])
+    apart = kth(x, ids, x, ids, k)
+    levels = levels_of(apart[np.isfinite(apart)])
+    q = cut(bounded(q, x, ids, levels, k))
     many = q.count()
     if not many:
         return empty
-    found = searched(v, q, many, dimension, hashes, probes, k, block)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = cut(ranked(searched(v, q, many, dimension, [Tables(dimension, tables, functions, spread * w) for w in levels], probes, k, block), k))
+    bounds = q.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("bound").alias("bound"))
+    whole = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("far")).join(bounds, "query_id").where((F.col("n") >= k) & (F.col("far") <= F.col("bound"))).select("query_id")
+    short = cut(q.join(whole, F.col("vec_id") == F.col("query_id"), "left_anti"))
+    few = short.count()
+    if not few:
+        return found
+    return found.join(whole, "query_id", "left_semi").unionByName(ranked(searched(v, short, few, dimension, None, probes, k, block), k))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

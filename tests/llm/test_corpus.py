@@ -312,10 +312,12 @@ def test_queries_and_probes_stay_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(df), "collect", lambda self: seen.append(len(rows := collect(self))) or rows)
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: seen.append(10**9) or send(self, value))
     monkeypatch.setattr(ann, "SAMPLE", 50)
-    plan = ann.neighbours(df, df.where("vec_id < 300"), k=5, block=64)
+    plans = []
+    monkeypatch.setattr(ann, "searched", lambda *a, f=ann.searched: plans.append(f(*a)) or plans[-1])
+    ann.neighbours(df, df.where("vec_id < 300"), k=5, block=64)
     assert max(seen) <= 50  # the sample, but no queries
     monkeypatch.undo()
-    assert "CartesianProduct" in plan._jdf.queryExecution().toString()
+    assert plans and all("CartesianProduct" in p._jdf.queryExecution().toString() for p in plans)
     many = sorted(map(tuple, ann.neighbours(df, df.where("vec_id < 300"), k=5, block=64).collect()))
     assert many == one
     hashes, q = ann.Tables(8, 2, 8, 1.5), x[:5]
@@ -324,6 +326,42 @@ def test_queries_and_probes_stay_off_the_driver(spark, monkeypatch):
     assert [{*r} for r in hashes.probes(q, 1, 120).tolist()] == by_heap
 
 
+@pytest.mark.parametrize("noise", [0.01, 0.03])
+def test_neighbours_of_clustered_vectors_are_whole(spark, noise):
+    draw, n = np.random.default_rng(6), 6000
+    x = draw.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = np.flatnonzero(draw.random(n) < 0.6)
+    x[near] = x[draw.integers(0, 3, size=len(near))] + noise * draw.normal(size=(len(near), 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "vec_id bigint, embedding array<double>")
+    queries, got = range(0, n, 50), {}
+    for r in ann.neighbours(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(got.get(q, ())) for q in queries} == dict.fromkeys(queries, 10)
+    share = {}
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        share[q] = len({*got[q]} & {*np.argsort(d)[:10].tolist()}) / 10
+    inside = {*near.tolist()}
+    recalls = [np.mean([s for q, s in share.items() if (q in inside) == kind]) for kind in (True, False)]
+    assert min(recalls) >= 0.9
+
+
+def test_queries_without_enough_hits_are_compared_with_all(spark):
+    x = np.random.default_rng(8).normal(size=(300, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "vec_id bigint, embedding array<double>")
+    got = sorted(map(tuple, ann.neighbours(df, df.where("vec_id < 20"), k=4, spread=0.01).select("query_id", "rank", "vec_id").collect()))
+    want = []
+    for q in range(20):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        want += [(q, k + 1, int(i)) for k, i in enumerate(np.argsort(d)[:4])]
+    assert got == want
+    assert ann.neighbours(df.where("vec_id < 4"), df.where("vec_id < 2"), k=10).count() == 6
+
+
 # --- quality -----------------------------------------------------------------------------------------
 
 
