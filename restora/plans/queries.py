@@ -343,7 +343,7 @@ def mediation(spark, d):
 @query("d23_mediation_interval")
 def mediation_interval(spark, d):
     rows = s25(spark, d).withColumn("W", F.col("WEEKDAY_INDEX").cast("double"))
-    return cohort.mediation_interval(rows, "W", "ADHERENCE", "DM_VALUE", "event_id", 50)
+    return cohort.mediation_interval(rows, "W", "ADHERENCE", "DM_VALUE", "event_id", 5000)
 
 
 @query("d24_partial_residuals", f"WITH {sql.BASE}, x AS (SELECT event_id, DM_VALUE AS y, ADHERENCE AS x, CAST(WEEKDAY_INDEX AS DOUBLE) AS z FROM s25 WHERE DM_VALUE IS NOT NULL), c AS (SELECT regr_slope(y, z) AS b1, regr_intercept(y, z) AS a1, regr_slope(x, z) AS b2, regr_intercept(x, z) AS a2 FROM x) SELECT event_id, round(y - a1 - b1 * z, 6) AS Y_RESIDUAL, round(x - a2 - b2 * z, 6) AS X_RESIDUAL FROM x, c")

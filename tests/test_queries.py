@@ -40,6 +40,11 @@ def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_mediation_interval_has_all_draws(spark):
+    row = queries.QUERIES["d23_mediation_interval"](spark, SF).first()
+    assert row.DRAWS == 5000 and row.LOW < row.HIGH
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
