@@ -1,41 +1,72 @@
-"""Joins that stay splittable under skew, lineage cuts, and connected components."""
+"""Joins that stay splittable under skew, lineage cuts, scratch tables, and connected components."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark deletes a query's shuffle files when the query has ended, if this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder."""
-    spark: SparkSession = df.sparkSession
+
+def shared_top(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one on a local master only."""
     context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not top:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))  # unset only in local tests
-    return df.checkpoint()
+        context.setCheckpointDir(top)
+    return top
 
 
 def shared_folder(spark: SparkSession, name: str = "table") -> str:
     """A new path in the cluster's shared checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")  # unset only in local tests
-    return f"{top}/{name}_{uuid.uuid4().hex}"
+    return f"{shared_top(spark)}/{name}_{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut, in compressed columns: for tables of many rows.  The files stay until the shared folder is cleared."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose results are cut; it acts when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder."""
+    spark: SparkSession = df.sparkSession
+    shared_top(spark)
+    with tidy(spark):
+        return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, in compressed columns: for tables of many rows.  The files stay until forget() or until the shared folder is cleared."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    with tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def keyed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:

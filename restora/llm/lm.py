@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from restora.llm.graph import cut, release, stored
+from restora.llm.graph import cut, stored
 from restora.llm.textkit import _LOWER, Words, field, mix, pieces, signed, string_bytes
 
 ORDER, BLOCK_BYTES = 6, 40 << 20
@@ -179,7 +179,6 @@ def scored(docs: DataFrame, order: int = ORDER, sweeps: int = 3) -> DataFrame:
     blocks = max(1, -(-int(size) // BLOCK_BYTES), -(-int(many) // 100_000))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     keys = stored(block_keys(dealt.select("block", "text", "train"), order))
-    release(docs.sparkSession)
     counts = stored(keys.groupBy("key").agg(F.sum("n").alias("n")))
     words, grams = counts.where("key < 0"), counts.where("key >= 0").select(F.col("key").alias("g"), "n")
     ends = docs.agg(F.count_if("train")).first()[0]
@@ -189,7 +188,6 @@ def scored(docs: DataFrame, order: int = ORDER, sweeps: int = 3) -> DataFrame:
     base = F.log10((F.col("n") + 0.5) / F.lit(whole))
     values = probabilities(grams, order, sweeps).select(F.col("g").alias("key"), F.log10("p").alias("value"), F.lit(False).alias("known"))
     values = values.unionByName(words.select("key", base.alias("value"), (F.col("n") > 0).alias("known")))
-    release(docs.sparkSession)
     answers = keys.select("block", "key").join(values, "key").select("block", "key", "value", "known")
     end_base = float(np.log10((ends + 0.5) / whole))
 

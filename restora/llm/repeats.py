@@ -1,16 +1,27 @@
-"""Exact removal of long repeated byte strings (op1), by hashed suffix comparison.
+"""Exact removal of long repeated byte strings (op1), by hash-compared suffix sorts.
 
 Every string of `length` bytes holds one anchor: the leftmost of its `length // 2`-byte substrings with
-the smallest polynomial hash.  Equal strings have their anchor at the same place, so two documents need
-comparing only where anchors are equal, and about one place in fifty is an anchor.  Around equal
-anchors, common extensions are found by binary search over prefix polynomial hashes: the strings that
-hold an anchor are those at offsets 0..half before it; a range of offsets is settled as repeated when the
-bytes that all its strings reach over (the outer hash) occur twice, as unrepeated when the bytes that
-they share (the inner hash) occur once, and is split otherwise.  Counting is pre-aggregated, and equal
-outer hashes go on as one representative, so hot anchors neither meet in one task nor make pairs.
+the smallest polynomial hash.  Equal strings have their anchor at the same place, so strings need
+comparing only around equal anchors, and about one place in fifty is an anchor.  Anchors that occur once
+are dropped.  What surrounds an anchor (half of `length` before it, `length` from it on) is its context;
+equal contexts are counted by fingerprint and go on as one.
+
+Contexts of one anchor form a group.  In a task, the suffixes that begin at the anchors, and the reversed
+prefixes that end there, are sorted by merge sorts whose comparisons find common extensions by binary
+search over prefix hashes; extensions are verified on the bytes (`suffixes.py`).  The string that begins d
+bytes before an anchor is repeated if another context shares d bytes before and `length` - d from the
+anchor on, which is read off the two sorted orders for every d.
+
+A group of more than `most` contexts is never collected: its offsets d are halved, and the half's
+contexts are grouped anew by the bytes that all its strings share; contexts alone in their group drop out.
+With one offset left, the shared bytes are the whole string, and counting settles it.
+
+Anchors and fingerprints of contexts (61 bits modulo a prime and 64 bits of another hash) are compared as
+numbers across tasks; all that is sorted is verified byte by byte.
 
 Results for special cases: null text is empty; texts shorter than `length` keep all bytes; repeats inside
-one document count, overlapping ones too; rows with equal doc_id are each handled.
+one document count, overlapping ones too; rows are told apart by doc_id and text, null ids included, so
+rows that share an id are each judged on their own text, and equal rows repeat each other.
 """
 
 from __future__ import annotations
@@ -23,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restora.llm.graph import cut, keyed_join, release, stored
+from restora.llm.graph import forget, keyed_join, stored
+from restora.llm.suffixes import BASES, PRIME, Sorted, fold, times
 from restora.llm.textkit import field, mix, pieces, randoms, signed, string_bytes
 
-LENGTH, BRANCH = 200, 5
+LENGTH = 200
+#: Contexts of a group that are sorted in one task; contexts that a task sorts at once.
+MOST, TOGETHER = 4096, 16_384
 _VALUE = randoms(256, 21)
 _BASE = int(randoms(1, 22)[0]) | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PRIME_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,8 +56,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As powers, modulo 2**61 - 1."""
+    p = int(PRIME)
+    for k, b in enumerate((BASES[0], pow(BASES[0], -1, p))):
+        while len(_PRIME_POWERS[k]) <= n:
+            step = np.uint64(pow(b, len(_PRIME_POWERS[k]), p))
+            _PRIME_POWERS[k] = np.concatenate([_PRIME_POWERS[k], times(_PRIME_POWERS[k], step)])
+    return _PRIME_POWERS[0], _PRIME_POWERS[1]
+
+
 class Prefixes:
-    """Prefix hashes of a byte array; hash(start, end) of many substrings at once."""
+    """Prefix hashes of a byte array modulo 2**64; hash(start, end) of many substrings at once."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data))
@@ -59,10 +84,25 @@ class Prefixes:
         return mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, prefixes: Prefixes, length: int) -> tuple[np.ndarray, np.ndarray]:
+class PrimePrefixes:
+    """The same modulo 2**61 - 1."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = prime_powers(len(data))
+        terms = times(up[: len(data)], data.astype(np.uint64) + np.uint64(1))
+        low, high = np.cumsum(terms & np.uint64(0xFFFFFFFF)), np.cumsum(terms >> np.uint64(32))
+        high = fold(high)
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        self.sums[1:] = fold(fold(low) + ((high << np.uint64(32)) & PRIME) + (high >> np.uint64(29)))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return times(fold(self.sums[end] + PRIME - self.sums[start]), self.down[start])
+
+
+def anchors(offsets: np.ndarray, prefixes: Prefixes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of every anchor."""
     half = length // 2
-    if len(data) < length:
+    if len(prefixes.sums) - 1 < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = prefixes.all(half) >> np.uint64(32) << np.uint64(32)
     low |= np.arange(len(low), dtype=np.uint64)  # the leftmost of equal hashes wins
@@ -72,7 +112,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, prefixes: Prefixes, length: i
         low = np.minimum(low[:-step], low[step:])
         span += step
     place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)  # for each string's start
-    row = np.searchsorted(offsets, np.arange(len(place)), side="right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(place)]
     ok = np.arange(len(place)) + length <= offsets[row + 1]
     place, row = place[ok], row[ok]
     new = np.ones(len(place), dtype=bool)
@@ -80,167 +120,250 @@ def anchors(data: np.ndarray, offsets: np.ndarray, prefixes: Prefixes, length: i
     return row[new], place[new]
 
 
-def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, inner (hash of an anchor), outer (hash of it and half of length on both sides, as far as the text goes), places (packed)."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key (kid, kth) that no two different rows share, and no null text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.select(F.coalesce("doc_id", F.lit(0)).alias("kid"), F.xxhash64("text", F.col("doc_id").isNull()).alias("kth"), "doc_id", "text")
+
+
+def anchor_uses(rows: DataFrame, length: int) -> DataFrame:
+    """inner (hash of an anchor) and uses, the number of its places in a part of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            data, offsets = string_bytes(field(batch, "text"))
+            prefixes = Prefixes(data)
+            _, place = anchors(offsets, prefixes, length)
+            inner, uses = np.unique(prefixes.of(place, place + length // 2), return_counts=True)
+            yield pa.RecordBatch.from_arrays([signed(inner), pa.array(uses)], names=["inner", "uses"])
+
+    return rows.select("text").mapInArrow(run, "inner long, uses long")
+
+
+def anchored(rows: DataFrame, length: int) -> DataFrame:
+    """kid, kth, inner (hash of an anchor), o1, o2 (fingerprint of its context), place (the first), places (packed), uses."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, offsets = string_bytes(field(batch, "text"))
             prefixes = Prefixes(data)
-            row, place = anchors(data, offsets, prefixes, length)
+            row, place = anchors(offsets, prefixes, length)
+            if not len(row):
+                continue
+            prime = PrimePrefixes(data)
             left = np.minimum(place - offsets[row], half)
-            right = np.minimum(offsets[row + 1] - place - half, half)
-            inner = prefixes.of(place, place + half)
-            outer = mix(prefixes.of(place - left, place + half + right) + left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            order = np.lexsort((place, outer, inner, row))
-            row, place, inner, outer = row[order], place[order], inner[order], outer[order]
+            begin, end = place - left, np.minimum(place + length, offsets[row + 1])
+            shape = (left * (length + 1) + end - place).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            inner = prefixes.of(place, place + half)  # only brings together: equal by accident does no harm
+            o1, o2 = mix(prime.of(begin, end) + shape), mix(prefixes.of(begin, end) + shape)
+            order = np.lexsort((place, o2, o1, row))
+            row, place, inner, o1, o2 = row[order], place[order], inner[order], o1[order], o2[order]
             new = np.ones(len(row), dtype=bool)
-            new[1:] = (row[1:] != row[:-1]) | (inner[1:] != inner[:-1]) | (outer[1:] != outer[:-1])
+            new[1:] = (row[1:] != row[:-1]) | (o1[1:] != o1[:-1]) | (o2[1:] != o2[:-1])
             first = np.flatnonzero(new)
             packed = (place - offsets[row]).astype("<u4")
-            ends = np.r_[first, len(row)].astype(np.int32) * 4
-            places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])
-            ids = field(batch, "doc_id").take(pa.array(row[first]))
-            yield pa.RecordBatch.from_arrays([ids, signed(inner[first]), signed(outer[first]), pa.array(packed[first].astype(np.int32)), places], names=["doc_id", "inner", "outer", "place", "places"])
+            ends = np.r_[first, len(row)]
+            places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+            owner = pa.array(row[first])
+            columns = [field(batch, "kid").take(owner), field(batch, "kth").take(owner), signed(inner[first]), signed(o1[first]), signed(o2[first]), pa.array(packed[first].astype(np.int32)), places, pa.array(np.diff(ends))]
+            yield pa.RecordBatch.from_arrays(columns, names=["kid", "kth", "inner", "o1", "o2", "place", "places", "uses"])
 
-    return docs.mapInArrow(run, "doc_id long, inner long, outer long, place int, places binary")
+    return rows.select("kid", "kth", "text").mapInArrow(run, "kid long, kth long, inner long, o1 long, o2 long, place int, places binary, uses long")
 
 
-def contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """cid, weight, around (the bytes), left (how many of them precede the anchor) of wanted (cid, weight, ref_doc, ref_place)."""
+def contexts(wanted: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """inner, n, o1, o2, weight of wanted (kid, kth, place too), with around (the context's bytes) and left (how many precede the anchor)."""
     half = length // 2
-    lists = wanted.groupBy("ref_doc").agg(F.collect_list(F.struct("cid", "weight", "ref_place")).alias("wants"))  # as many as anchors of a document at most
-    both = keyed_join(docs, lists, "doc_id", "ref_doc").select("text", "wants")
+    fields = ["inner", "n", "o1", "o2", "weight"]
+    lists = wanted.groupBy(F.col("kid").alias("k1"), F.col("kth").alias("k2")).agg(F.collect_list(F.struct("place", *fields)).alias("wants"))  # anchors of one text
+    both = rows.join(lists, (F.col("kid") == F.col("k1")) & (F.col("kth") == F.col("k2"))).select("text", "wants")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            rows = []
-            for text, wants in zip(field(batch, "text").to_pylist(), field(batch, "wants").to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8")
-                for w in wants:
-                    p = w["ref_place"]
-                    begin = max(0, p - half)
-                    rows.append((w["cid"], w["weight"], raw[begin : p + length], p - begin))
-            for k in range(0, len(rows), 20_000):
-                cid, weight, around, left = zip(*rows[k : k + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(weight, pa.int64()), pa.array(around, pa.binary()), pa.array(left, pa.int32())], names=["cid", "weight", "around", "left"])
-
-    return both.mapInArrow(run, "cid long, weight long, around binary, left int")
-
-
-def ranges_hashed(items: DataFrame, length: int) -> DataFrame:
-    """cid, low, high, weight, inner, outer of items (cid, weights, around, left, lows, highs): hashes of every range of offsets."""
-    half = length // 2
+            data, offsets = string_bytes(field(batch, "text"))
+            wants = field(batch, "wants")
+            flat = wants.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(wants.offsets.to_numpy()))
+            place = flat.field("place").to_numpy() + offsets[row]
+            begin, end = np.maximum(place - half, offsets[row]), np.minimum(place + length, offsets[row + 1])
+            for k in range(0, len(row), 20_000):
+                b, size = begin[k : k + 20_000], (end - begin)[k : k + 20_000]
+                ends = np.r_[0, np.cumsum(size)]
+                at = np.arange(ends[-1]) + np.repeat(b - ends[:-1], size)
+                around = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data[at].tobytes())])
+                left = pa.array((place - begin)[k : k + 20_000].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(flat.field(f)[k : k + 20_000] for f in fields), around, left], names=[*fields, "around", "left"])
+
+    return both.mapInArrow(run, "inner long, n long, o1 long, o2 long, weight long, around binary, left int")
+
+
+def _around(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all contexts, the place of each anchor in them, and the number of bytes from the anchor on."""
+    column = field(batch, "around")
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    left = field(batch, "left").to_numpy().astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), ends[:-1] + left, ends[1:] - ends[:-1] - left
+
+
+def halved(items: DataFrame, length: int) -> DataFrame:
+    """items (low, high, o1, o2, weight, around, left) with both halves of their offsets, and key, the hash of the bytes that the strings of a half share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "around", 1 << 20):
-            column = field(batch, "around")
-            sizes = np.array([len(x) for x in column.to_pylist()], dtype=np.int64)
-            data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
-            prefixes = Prefixes(data)
-            begin = np.cumsum(sizes) - sizes
-            lows, highs = field(batch, "lows"), field(batch, "highs")
-            many = np.diff(lows.offsets.to_numpy())
-            which = np.repeat(np.arange(batch.num_rows), many)
-            low, high = lows.flatten().to_numpy().astype(np.int64), highs.flatten().to_numpy().astype(np.int64)
-            left = field(batch, "left").to_numpy().astype(np.int64)[which]
-            right = sizes[which] - left - half
-            ok = np.maximum(low, half - right) <= np.minimum(high, left)  # some of the strings exist
-            weight = field(batch, "weights").flatten().to_numpy()[ok]
-            which, low, high, left, right = which[ok], low[ok], high[ok], left[ok], right[ok]
-            anchor = begin[which] + left
-            inner = prefixes.of(anchor - low, anchor + length - high)
-            reach_l, reach_r = np.minimum(high, left), np.minimum(half - low, right)
-            outer = prefixes.of(anchor - reach_l, anchor + half + reach_r)
-            # equal bytes at other offsets of an anchor are another matter
-            tag = low.astype(np.uint64) * np.uint64(0x100) + high.astype(np.uint64)
-            inner = mix(inner + tag * np.uint64(0xA24BAED4963EE407))
-            outer = mix(mix(outer + tag * np.uint64(0x9FB21C651E98DF25)) + reach_l.astype(np.uint64))
-            cid = field(batch, "cid").to_numpy()[which]
-            clip_low, clip_high = np.maximum(low, half - right), np.minimum(high, left)
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(weight), *(pa.array(x.astype(np.int32)) for x in (low, high, clip_low, clip_high)), signed(inner), signed(outer)], names=["cid", "weight", "low", "high", "clip_low", "clip_high", "inner", "outer"])
-
-    return items.mapInArrow(run, "cid long, weight long, low int, high int, clip_low int, clip_high int, inner long, outer long")
-
-
-def repeated_ranges(found: DataFrame, length: int) -> DataFrame:
-    """cid, first, last: smallest and largest repeated offset of the contexts (cid, weight, around, left) that have one."""
+        for batch in pieces(batches, "around"):
+            data, anchor, right = _around(batch)
+            left = field(batch, "left").to_numpy().astype(np.int64)
+            low, high = field(batch, "low").to_numpy().astype(np.int64), field(batch, "high").to_numpy().astype(np.int64)
+            middle = (low + high) // 2
+            prefixes = PrimePrefixes(data)
+            for a, b in ((low, middle), (middle + 1, high)):
+                use = (a <= b) & (np.maximum(a, length - right) <= np.minimum(b, left))  # some of the strings exist
+                which = np.flatnonzero(use)
+                a, b = a[which], b[which]
+                at = anchor[which]
+                key = mix(prefixes.of(at - a, at + length - b) + (a * (length + 1) + b).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+                part = batch.take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([signed(key), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(field(part, f) for f in ("o1", "o2", "weight", "around", "left"))], names=["key", "low", "high", "o1", "o2", "weight", "around", "left"])
+
+    return items.mapInArrow(run, "key long, low int, high int, o1 long, o2 long, weight long, around binary, left int")
+
+
+def repeated_offsets(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest repeated offset of each context (key, low, high, o1, o2, weight, around, left); smallest > largest if none is."""
     half = length // 2
+    data, anchor, right = _around(batch)
+    left = field(batch, "left").to_numpy().astype(np.int64)
+    n = len(left)
+    low, high = field(batch, "low").to_numpy().astype(np.int64), field(batch, "high").to_numpy().astype(np.int64)
+    group = np.unique(field(batch, "key").to_numpy(), return_inverse=True)[1]
+    data = np.r_[data, np.zeros(1, np.uint8)]
+    span = np.arange(length)
+    after = np.where(span < right[:, None], data[np.minimum(anchor[:, None] + span, len(data) - 1)], 0).astype(np.uint8)
+    before = np.where(span[:half] < left[:, None], data[np.maximum(anchor[:, None] - 1 - span[:half], 0)], 0).astype(np.uint8)
+    forward, backward = Sorted(after, right, group), Sorted(before, left, group)
+    near_f, near_b = forward.nearest(), backward.nearest()
+    first, last = np.full(n, half + 1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+    # offsets beyond these have no partner on one side
+    least, most = np.maximum(low, length - near_f), np.minimum(high, near_b)
+    some = least <= most
+    for d in range(int(least[some].min(initial=half)), int(most[some].max(initial=-1)) + 1):
+        pick = np.flatnonzero((least <= d) & (d <= most))
+        if len(pick) < 2:
+            continue
+        both = forward.classes(length - d)[pick] * (n + 1) + backward.classes(d)[pick]
+        order = np.argsort(both, kind="stable")
+        same = both[order][1:] == both[order][:-1]
+        hit = pick[order[np.r_[same, False] | np.r_[False, same]]]
+        first[hit], last[hit] = np.minimum(first[hit], d), d
+    return first, last
+
+
+def sorted_out(items: DataFrame, length: int) -> DataFrame:
+    """o1, o2, first, last of the contexts with a repeated offset; a key's contexts are at most MOST and meet in one task."""
+
+    def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids = np.stack([field(batch, "key").to_numpy(), field(batch, "o1").to_numpy(), field(batch, "o2").to_numpy()])
+        order = np.lexsort(ids)
+        new = np.r_[True, (ids[:, order[1:]] != ids[:, order[:-1]]).any(axis=0)]
+        batch = batch.take(pa.array(order[new]))  # equal rows of a document bring the same context again
+        first, last = repeated_offsets(batch, length)
+        use = np.flatnonzero(first <= last)
+        return pa.RecordBatch.from_arrays([field(batch, "o1").take(pa.array(use)), field(batch, "o2").take(pa.array(use)), pa.array(first[use].astype(np.int32)), pa.array(last[use].astype(np.int32))], names=["o1", "o2", "first", "last"])
 
-    def split(low, high):
-        step = F.ceil((high - low + 1) / F.lit(BRANCH)).cast("int")
-        return F.sequence(low, high, step), step
-
-    out = None
-    ranges = found.select("cid", F.least("weight", F.lit(2)).alias("weight"), F.lit(0).alias("low"), F.lit(half).alias("high"))
-    size = half + 1
-    while size > 1:
-        lows, step = split(F.col("low"), F.col("high"))
-        parts = ranges.select("cid", "weight", F.explode(F.transform(lows, lambda x: F.struct(x.alias("low"), F.least(x + step - 1, F.col("high")).alias("high")))).alias("r"))
-        lists = parts.groupBy("cid").agg(F.collect_list("r.low").alias("lows"), F.collect_list("r.high").alias("highs"), F.collect_list("weight").alias("weights"))
-        items = keyed_join(found.select(F.col("cid").alias("id"), "around", "left"), lists, "id", "cid").select("cid", "weights", "around", "left", "lows", "highs")
-        hashed = stored(ranges_hashed(items, length))
-        size = -(-size // BRANCH)
-        same = hashed.groupBy("outer").agg(F.sum("weight").alias("outer_n"), F.min("cid").alias("rep"))
-        same = cut(same.select(F.col("outer").alias("o"), "outer_n", "rep"))
-        twice = keyed_join(hashed, same.where("outer_n > 1"), "outer", "o").groupBy("cid").agg(F.min("clip_low").alias("first"), F.max("clip_high").alias("last"))
-        out = twice if out is None else out.unionByName(twice)
-        if size == 1:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = field(batch, "key").to_numpy()
+            if many >= TOGETHER:  # up to the last change of key all groups are whole
+                edge = int(np.argmax(keys != keys[0])) if (keys != keys[0]).any() else -1
+                previous = field(held[-1], "key")[-1].as_py()
+                edge = 0 if previous != keys[0] else edge
+                if edge >= 0:
+                    if edge:
+                        held.append(batch.slice(0, edge))
+                    yield settled(held)
+                    held, many, batch = [], 0, batch.slice(edge)
+            held.append(batch)
+            many += batch.num_rows
+        if held:
+            yield settled(held)
+
+    dealt = items.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "o1 long, o2 long, first int, last int")
+
+
+def repeated_ranges(found: DataFrame, length: int, most: int) -> DataFrame:
+    """o1, o2, first, last: smallest and largest repeated offset of the contexts that have one."""
+    columns = ["key", "low", "high", "o1", "o2", "weight", "around", "left"]
+    items = found.select(F.col("inner").alias("key"), "n", F.lit(0).alias("low"), F.lit(length // 2).alias("high"), *columns[3:])
+    out, scratch = [], []
+    while True:
+        out.append(stored(sorted_out(items.where(F.col("n") <= most).select(columns), length)))
+        large = items.where(F.col("n") > most)
+        # equal texts under one id bring a context twice, which is no repetition of its own
+        whole = large.where("low = high").select("o1", "o2", F.col("low").alias("first"), F.col("high").alias("last"))
+        out.append(stored(whole.distinct()))
+        parts = stored(halved(large.where("low < high").dropDuplicates(["key", "o1", "o2"]).select(columns[1:]), length))
+        forget(*scratch)
+        scratch = [parts]
+        counts = parts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+        if counts.isEmpty():
+            forget(parts)
             break
-        reps = keyed_join(hashed, same, "outer", "o").where("cid = rep").select("cid", "low", "high", "inner", F.least("outer_n", F.lit(2)).alias("weight"), "outer_n")
-        shared = cut(reps.groupBy("inner").agg(F.sum("weight").alias("inner_n"), F.count("*").alias("kinds")).where("kinds > 1").select(F.col("inner").alias("i")))
-        ranges = cut(keyed_join(reps, shared, "inner", "i", "left_semi").select("cid", "weight", "low", "high"))
-        release(found.sparkSession)
-    return out.groupBy("cid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        items = stored(keyed_join(parts, counts, "key", "k").select(*columns, "n"))
+        scratch.append(items)
+    every = out[0]
+    for t in out[1:]:
+        every = every.unionByName(t)
+    return every
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text), and the kept bytes if asked for."""
     half = length // 2
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    all_anchors = anchored(docs, length)
-    uses = F.octet_length("places") / 4
-    seen = all_anchors.groupBy("inner").agg(F.sum(uses.cast("long")).alias("n")).where("n > 1").select(F.col("inner").alias("i"))
-    alive = stored(keyed_join(all_anchors, seen, "inner", "i", "left_semi").select("doc_id", "inner", "outer", F.xxhash64("inner", "outer").alias("cid"), "place", "places"))
-    del all_anchors, seen
-    release(docs.sparkSession)
-    kinds = alive.groupBy("cid", "inner").agg(F.sum(uses.cast("long")).alias("weight"), F.min(F.struct("doc_id", "place")).alias("ref"))
-    kinds = cut(kinds.select("cid", "inner", "weight", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.place").alias("ref_place")))
-    open_ = kinds.groupBy("inner").agg(F.min("weight").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select(F.col("inner").alias("i"))
-    wanted = keyed_join(kinds, open_, "inner", "i", "left_semi").select("cid", "weight", "ref_doc", "ref_place")
-    found = stored(contexts(wanted, docs, length))
-    release(docs.sparkSession)
-    partly = repeated_ranges(found, length)
-    whole = kinds.where("weight > 1").select("cid", F.lit(0).alias("first"), F.lit(half).alias("last"))
-    settled = whole.unionByName(partly).groupBy("cid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    settled = cut(settled.select(F.col("cid").alias("c"), "first", "last"))
-    del found, partly, whole, kinds, open_, wanted
-    release(docs.sparkSession)
-    spans = keyed_join(alive, settled, "cid", "c").groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("places", "first", "last")).alias("spans"))  # a document's own
-    both = keyed_join(docs, spans, "doc_id", "d", "left").select("doc_id", "text", "spans")
+    rows = keyed(docs)
+    seen = anchor_uses(rows, length).groupBy(F.col("inner").alias("i")).agg(F.sum("uses").alias("n")).where("n > 1").select("i")
+    seen = stored(seen)
+    alive = stored(keyed_join(anchored(rows, length), seen, "inner", "i", "left_semi"))
+    forget(seen)
+    kinds = alive.groupBy("inner", "o1", "o2").agg(F.sum("uses").alias("weight"), *(F.first(c).alias(c) for c in ("kid", "kth", "place")))
+    kinds = stored(kinds)
+    open_ = kinds.groupBy(F.col("inner").alias("i")).agg(F.min("weight").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select("i", "n")
+    found = stored(contexts(keyed_join(kinds, open_, "inner", "i").select("kid", "kth", "place", "inner", "n", "o1", "o2", "weight"), rows, length))
+    partly = repeated_ranges(found, length, most)
+    whole = kinds.where("weight > 1").select("o1", "o2", F.lit(0).alias("first"), F.lit(half).alias("last"))
+    settled = whole.unionByName(partly).groupBy(F.col("o1").alias("c1"), F.col("o2").alias("c2")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    settled = stored(settled)
+    forget(found, kinds)
+    spans = alive.join(settled, (F.col("o1") == F.col("c1")) & (F.col("o2") == F.col("c2")))
+    spans = spans.groupBy(F.col("kid").alias("k1"), F.col("kth").alias("k2")).agg(F.collect_list(F.struct("places", "first", "last")).alias("spans"))  # of one text
+    both = rows.join(spans, (F.col("kid") == F.col("k1")) & (F.col("kth") == F.col("k2")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            rows = []
-            for text, found_ in zip(field(batch, "text").to_pylist(), field(batch, "spans").to_pylist(), strict=True):
+            out = []
+            for text, found_ in zip(field(batch, "text").to_pylist(), field(batch, "spans"), strict=True):
                 raw = text.encode("utf-8")
-                if not found_:
-                    rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw))
+                if not found_.is_valid:
+                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw))
                     continue
-                begins, ends = [], []
-                for x in found_:
-                    p = np.frombuffer(x["places"], dtype="<u4").astype(np.int64)
-                    begins.append(np.maximum(p - x["last"], 0))
-                    ends.append(np.minimum(p - x["first"] + length, len(raw)))
-                delta = np.zeros(len(raw) + 1, dtype=np.int32)
-                np.add.at(delta, np.concatenate(begins), 1)
-                np.add.at(delta, np.concatenate(ends), -1)
+                inside = found_.values
+                packed = inside.field("places")
+                p = np.frombuffer(b"".join(packed.to_pylist()), dtype="<u4").astype(np.int64)
+                many = np.diff(np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1]) // 4
+                begins = np.maximum(p - np.repeat(inside.field("last").to_numpy(), many), 0)
+                ends = np.minimum(p - np.repeat(inside.field("first").to_numpy(), many) + length, len(raw))
+                delta = np.bincount(begins, minlength=len(raw) + 1) - np.bincount(ends, minlength=len(raw) + 1)
                 gone = np.cumsum(delta[:-1]) > 0
                 kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
-            n, removed, runs, digest, kept = zip(*rows, strict=True)
+                out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
+            n, removed, runs, digest, kept = zip(*out, strict=True)
             columns = [field(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:

@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import re
 import time
 import zlib
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from restora.llm import ann, bpe, decontaminate, langid, lm, minhash, quality, repeats, secrets, token_files
+from restora.llm import ann, bpe, decontaminate, langid, lm, minhash, quality, repeats, secrets, suffixes, token_files
 from restora.llm.graph import components
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -48,6 +49,10 @@ def removed_by_hand(texts, length):
     return out
 
 
+def repeats_rows(df, **given):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df, **given).collect()), key=str)
+
+
 def test_repeats_against_brute_force(spark):
     base = prose(1, 200)
     shared = base[100:340]
@@ -58,6 +63,51 @@ def test_repeats_against_brute_force(spark):
     assert repeats.without_repeats(df.where("false")).isEmpty()
 
 
+def test_repeats_of_rows_that_share_an_id_or_have_none(spark):
+    twice = prose(21, 90)
+    rows = [(1, twice), (1, prose(22, 90)), (None, prose(23, 10) + twice), (None, prose(24, 90)), (5, twice[:250] + prose(25, 5)), (5, twice[:250] + prose(25, 5)), (None, None)]
+    want = removed_by_hand([t for _, t in rows], 200)
+    assert repeats_rows(frame(spark, rows)) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("most", [2, 5, 4096])
+def test_repeats_in_groups_too_large_for_a_task(spark, most):
+    draw = np.random.default_rng(8)
+    passage = prose(31, 12)
+    texts = []
+    for i in range(60):  # one passage with others' beginnings and ends around it
+        head, tail = prose(40 + i % 7, 4), prose(60 + i % 5, 4)
+        texts.append(head[int(draw.integers(0, 12)) :] + passage + tail[: int(draw.integers(0, 20))])
+    texts += ["ab" * 40, "ab" * 40 + "c", "aab" * 30]
+    for length in (20, 41):
+        want = removed_by_hand(texts, length)
+        assert repeats_rows(frame(spark, list(enumerate(texts))), length=length, most=most) == sorted(((i, *w) for i, w in enumerate(want)), key=str)
+
+
+def test_repeats_in_a_very_long_text(spark):
+    piece = "".join(np.random.default_rng(9).choice(list("abcdefghij "), size=5_000_000))
+    rows = repeats_rows(frame(spark, [(1, piece), (2, "x" + piece[1_000_000:1_000_300] + "y")]))
+    assert [r[1:4] for r in rows] == [(5_000_000, 300, 1), (302, 300, 1)]
+
+
+def test_suffix_sort_against_sorting_bytes():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 300):
+        lengths = draw.integers(0, 13, n)
+        rows = draw.integers(97, 99, (n, 12)).astype(np.uint8)
+        rows[np.arange(12)[None] >= lengths[:, None]] = 0
+        group = draw.integers(0, 4, n)
+        own = [(group[i], bytes(rows[i, : lengths[i]])) for i in range(n)]
+        for bases in (suffixes.BASES, [0, suffixes.BASES[1]]):  # with base 0 only last bytes count: collisions are found
+            s = suffixes.Sorted(rows, lengths, group, bases)
+            assert [own[i] for i in s.order] == sorted(own)
+            for k in range(1, n):
+                (ga, a), (gb, b) = own[s.order[k - 1]], own[s.order[k]]
+                assert s.extension[k] == (len(os.path.commonprefix([a, b])) if ga == gb else -1)
+    with pytest.raises(ArithmeticError):
+        suffixes.Sorted(rows, lengths, group, [0])
+
+
 def test_prefix_hashes_equal_for_equal_bytes():
     data = np.frombuffer(b"abcabcabd" * 30, dtype=np.uint8)
     p = repeats.Prefixes(data)
