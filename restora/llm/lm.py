@@ -3,19 +3,22 @@
 The text is its lower-cased words, each followed by a blank, then an end mark.  A restaurant for every
 context of up to `order - 1` bytes seats the bytes that follow it; a context's parent is the context
 without its earliest byte, so contexts share parents down to the empty one, whose parent is uniform.
-Customers of a restaurant are counts of the corpus at full context, and its children's tables below.
-Seatings are sampled by Gibbs sweeps of the Chinese restaurant process; the probabilities of the sweeps
-after the first are averaged.
+Seatings are sampled by Gibbs sweeps (`restaurants.py`), and the predictive probabilities after the
+sweeps that follow the first are averaged.
 
-Everything stays in Spark tables keyed by byte strings (as numbers): counts come from all training
-documents, byte strings that only other documents hold ride along with count 0, and scores reach the
-documents by a join.  For that join documents are dealt into blocks of about `BLOCK_BYTES`, and each
-block asks once for each different byte string and word that it holds.
+Documents are dealt into blocks of about `BLOCK_BYTES`; each block lists every byte string and word that
+it holds once, with its uses in training documents.  Lists are dealt by the last `ROOT` context bytes
+(words by their hash) into parts of about `PART_BYTES` of text: a part holds whole subtrees of contexts,
+and the restaurants of its levels need nothing from other parts but the probabilities of the level above
+them.  A first round seats every part as a tree of its own; the tables that this gives to the short
+contexts, summed over parts, seat the levels below `ROOT` (at most 256 ** ROOT dishes, so they fit the
+driver and a broadcast); a second round seats the parts again under those, and sends each block the
+probabilities of what it listed.  Scores are sums over a document's bytes.
 
 The base score is a unigram model of words with half-counts.
 
 Results for special cases: null or empty text is the end mark alone; without training documents the
-model is uniform and N is 0; rows with equal doc_id are scored each.
+model is uniform and N is 0; rows with equal doc_id are scored each; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -24,15 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restora.llm.graph import cut, stored
-from restora.llm.textkit import _LOWER, Words, field, mix, pieces, signed, string_bytes
+from restora.llm.graph import stored
+from restora.llm.restaurants import Level, Tree, discount_of
+from restora.llm.textkit import _LOWER, Words, field, mix, pieces, string_bytes
 
-ORDER, BLOCK_BYTES = 6, 40 << 20
+ORDER, ROOT, STRENGTH, BLOCK_BYTES, PART_BYTES = 7, 3, 1.0, 32 << 20, 12 << 20
+#: Sweeps of the first round; of the second, whose first is left out of the average.
+SWEEPS = 1, 3
 END, BLANK = 0x0A, 0x20
 WORD_BIT = np.uint64(1 << 63)
+#: Keys under which the first round reports training tokens, distinct words, and dishes of one and two customers by level.
+TOKENS, KINDS, ONES, TWOS = -1, -2, -100, -200
 
 
 class Stream:
@@ -62,10 +70,9 @@ class Stream:
             blank = inner == size[which] - 1
             source = np.minimum(words.start[which] + inner, len(data) - 1)
             symbols[at[which] + inner] = np.where(blank, BLANK, _LOWER[data[source]])
-        grams = np.zeros(total, dtype=np.uint64)
+        wide, grams = symbols.astype(np.uint64), np.zeros(total, dtype=np.uint64)
         for k in range(order):
-            shifted = symbols[: total - k] if k else symbols
-            grams[k:] |= shifted.astype(np.uint64) << np.uint64(8 * k)
+            grams[k:] |= wide[: total - k] << np.uint64(8 * k)
         use = np.ones(total, dtype=bool)
         for k in range(head):
             use[begin + k] = False
@@ -74,150 +81,268 @@ class Stream:
         self.n_words = count
 
 
-def _merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, which = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(which, weights=np.concatenate(values), minlength=len(k)).astype(np.int64)
+def listed(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, ascending, and the sums of their values (of their occurrences without any)."""
+    if values is None:
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.diff(np.r_[first, len(keys)])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(values[order], first) if len(keys) else values
 
 
-def block_keys(dealt: DataFrame, order: int) -> DataFrame:
-    """block, key (byte string, or word with the top bit set) and n: each key of a block once, with its uses in rows with `train`."""
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts 0..parts-1 of byte strings, by the nearest context bytes; parts..2*parts-1 of words."""
+    word = keys >= WORD_BIT
+    root = np.where(word, keys, (keys >> np.uint64(8)) & np.uint64((1 << 8 * ROOT) - 1))
+    return (mix(root) % np.uint64(parts)).astype(np.int64) + parts * word
+
+
+def lists(dealt: DataFrame, order: int, parts: int) -> DataFrame:
+    """part, block, keys and uses (packed): each byte string and word of a block once, with its uses in rows with `train`; a partition is a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        block = None
         for batch in pieces(batches, most=1 << 20):
-            block = np.asarray(field(batch, "block"))
-            for b in np.unique(block).tolist():
-                part = batch.filter(pa.array(block == b))
-                s = Stream(field(part, "text"), order)
-                train = np.asarray(field(part, "train").to_pylist(), dtype=float)
-                uses = np.repeat(train, np.diff(np.r_[s.edge, len(s.grams)]))
-                own = held.setdefault(b, [])
-                own.append(_merged([s.grams, s.words], [uses, train[s.word_doc]]))
-                if len(own) > 8:
-                    held[b] = [_merged(*map(list, zip(*own, strict=True)))]
-        for b, own in held.items():
-            k, v = _merged(*map(list, zip(*own, strict=True)))
-            for i in range(0, len(k), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), b, np.int32)), signed(k[part]), pa.array(v[part])], names=["block", "key", "n"])
-
-    return dealt.mapInArrow(run, "block int, key long, n long")
-
-
-def seated(rows: DataFrame, level: int, sweep: int, discount: float, strength: float) -> DataFrame:
-    """Samples t (tables) of rows (g, c, t_old, t_all, pp): customers sit down one after another, in steps that grow with the number seated."""
+            block = field(batch, "block")[0].as_py()
+            s = Stream(field(batch, "text"), order)
+            train = field(batch, "train").to_numpy(zero_copy_only=False)
+            uses = np.repeat(train, np.diff(np.r_[s.edge, len(s.grams)]))
+            for keys, use in ((s.grams, uses), (s.words, train[s.word_doc])):
+                held.append(listed(keys[use]))
+                rest = listed(keys[~use])[0]
+                held.append((rest, np.zeros(len(rest), np.int64)))
+            if len(held) > 40:
+                held = [listed(*map(np.concatenate, zip(*held, strict=True)))]
+        if block is None:
+            return
+        keys, uses = listed(*map(np.concatenate, zip(*held, strict=True)))
+        part = part_of(keys, parts)
+        order_ = np.argsort(part, kind="stable")
+        keys, uses, part = keys[order_], uses[order_], part[order_]
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            row = [int(part[a])], [block], [keys[a:b].tobytes()], [uses[a:b].astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "keys", "uses"])
+
+    return dealt.select("block", "text", "train").mapInArrow(run, "part int, block int, keys binary, uses binary")
+
+
+class Part:
+    """What all blocks list of one part."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        rows = [r for batch in batches for r in zip(*(field(batch, n).to_pylist() for n in ("part", "block", "keys", "uses")), strict=True)]
+        rows.sort(key=lambda r: r[1])  # the same however rows arrive
+        self.number = rows[0][0] if rows else -1
+        self.blocks, self.asked = [r[1] for r in rows], [r[2] for r in rows]
+        keys = np.frombuffer(b"".join(self.asked), dtype=np.uint64)
+        uses = np.frombuffer(b"".join(r[3] for r in rows), dtype="<i8")
+        self.keys, self.uses = listed(keys, uses) if len(keys) else (keys, uses)
+
+    def answers(self, values: np.ndarray, kind: type) -> Iterator[pa.RecordBatch]:
+        """part, block, keys and values (packed) for each block that asked."""
+        for block, asked in zip(self.blocks, self.asked, strict=True):
+            own = values[np.searchsorted(self.keys, np.frombuffer(asked, dtype=np.uint64))].astype(kind)
+            row = [self.number], [block], [asked], [own.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "keys", "values"])
+
+
+def first_round(asked: DataFrame, order: int, parts: int, sweeps: int) -> DataFrame:
+    """key, n: customers of each dish below ROOT, and the counts that all parts share; a partition is a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g = field(batch, "g").to_numpy()
-            c = field(batch, "c").to_numpy().astype(float)
-            weight = (strength + discount * field(batch, "t_all").to_numpy()) * field(batch, "pp").to_numpy()
-            t = np.minimum(c, 1.0)
-            at, step = np.flatnonzero(c > 1), 0
-            seated_, here, w = t[at].copy(), t[at].copy(), weight[at]
-            goal, seed = c[at], mix(g[at].view(np.uint64) + np.uint64(1000 * sweep + level))
-            while len(at):
-                jump = np.minimum(np.maximum(np.floor(seated_ / 8), 1), goal - seated_)
-                chance = w / (w + seated_ - discount * here)
-                draw = (mix(seed + np.uint64(step)) >> np.uint64(11)).astype(float) / (1 << 53)
-                here = np.minimum(here + np.floor(jump * chance + draw), goal)
-                seated_, step = seated_ + jump, step + 1
-                done = seated_ >= goal
-                if done.any():
-                    t[at[done]] = here[done]
-                    keep = ~done
-                    at, seated_, here, w, goal, seed = at[keep], seated_[keep], here[keep], w[keep], goal[keep], seed[keep]
-            yield pa.RecordBatch.from_arrays([*(field(batch, x) for x in ("g", "c", "c_all", "pp")), pa.array(t.astype(np.int64))], names=["g", "c", "c_all", "pp", "t"])
-
-    return rows.mapInArrow(run, "g long, c long, c_all long, pp double, t long")
-
-
-def probabilities(counts: DataFrame, order: int = ORDER, sweeps: int = 3, strength: float = 0.5) -> DataFrame:
-    """g and p, the averaged predictive probability of each byte string's last byte after its others, from counts (g, n)."""
+        part = Part(batches)
+        if part.number < 0:
+            return
+        out = {}
+        if part.number >= parts:
+            out = {TOKENS: int(part.uses.sum()), KINDS: int((part.uses > 0).sum())}
+            grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        else:
+            used = part.uses > 0
+            tree = Tree(part.keys[used], part.uses[used], order - 1, 0, np.random.default_rng([part.number, 1]), STRENGTH)
+            uniform = np.full(len(tree.levels[0].grams), 1 / 256)
+            for _ in range(sweeps):
+                tree.sweep(uniform)
+            for k in range(ROOT, order):
+                out[ONES - k], out[TWOS - k] = tree.levels[k].counted()
+            level = tree.levels[ROOT]
+            grams, n = listed(level.grams & np.uint64((1 << 8 * ROOT) - 1), level.tables().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[grams.astype(np.int64), list(out)].astype(np.int64)), pa.array(np.r_[n, list(out.values())].astype(np.int64))], names=["key", "n"])
+
+    return asked.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def second_round(asked: DataFrame, order: int, parts: int, discounts: dict[int, float], short: np.ndarray, p: np.ndarray, sweeps: int) -> DataFrame:
+    """part, block, keys, values: log10 probabilities of byte strings (32 bits each) and counts of words (64 bits); short and p are the grams below ROOT."""
+    shared = asked.sparkSession.sparkContext.broadcast((short, p))  # at most 256 ** ROOT numbers
     top = order - 1
-    levels = {top: counts.select("g", F.col("n").alias("c"), F.least("n", F.lit(1)).alias("t"))}
-    discounts, total = {}, None
-    for sweep in range(sweeps):
-        for k in range(top - 1, -1, -1):  # tables of a level are customers of the one below
-            above = levels[k + 1].select(F.col("g").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("g"), "t")
-            c = above.groupBy("g").agg(F.sum("t").alias("c"))
-            if k in levels:
-                c = c.join(levels[k].select("g", "t"), "g")
-                levels[k] = cut(c.select("g", "c", F.least("t", "c").alias("t")))
-            else:
-                levels[k] = cut(c.select("g", "c", F.least("c", F.lit(1)).alias("t")))
-        if not sweep:
-            for k in range(order):
-                r = levels[k].agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-                discounts[k] = min(0.95, max(0.05, r[0] / max(1, r[0] + 2 * r[1])))
-        below = None
-        for k in range(order):
-            own = levels[k]
-            if k:
-                parent = F.col("g").bitwiseAND((1 << 8 * k) - 1)
-                own = own.join(below, parent == F.col("pg"))
-            else:
-                own = own.withColumn("pp", F.lit(1 / 256))
-            context = Window.partitionBy(F.shiftright("g", 8))  # 256 rows at most
-            rows = own.select("g", "c", "pp", F.sum("t").over(context).alias("t_all"), F.sum("c").over(context).alias("c_all"))
-            rows = seated(rows, k, sweep, discounts[k], strength)
-            t_all = F.sum("t").over(context)
-            p = (F.col("c") - discounts[k] * F.col("t") + (strength + discounts[k] * t_all) * F.col("pp")) / (strength + F.col("c_all"))
-            rows = cut(rows.select("g", "c", "t", p.alias("p")))
-            levels[k] = rows.select("g", "c", "t")
-            below = rows.select(F.col("g").alias("pg"), F.col("p").alias("pp"))
-        if sweep or sweeps == 1:
-            last = rows.select("g", "p")
-            total = last if total is None else total.unionByName(last)
-    return total.groupBy("g").agg(F.avg("p").alias("p"))
-
-
-def scored(docs: DataFrame, order: int = ORDER, sweeps: int = 3) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = Part(batches)
+        if part.number < 0:
+            return
+        if part.number >= parts:
+            yield from part.answers(part.uses, "<i8")
+            return
+        tree = Tree(part.keys, part.uses, top, ROOT, np.random.default_rng([part.number, 2]), STRENGTH)
+        for k, d in discounts.items():
+            tree.levels[k].discount = d
+        base = below(*shared.value, tree.root_grams())
+        total = np.zeros(len(part.keys))
+        for k in range(sweeps):
+            tree.sweep(base)
+            if k or sweeps == 1:
+                total += tree.predictive(base)
+        yield from part.answers(np.log10(total / max(1, sweeps - 1)), "<f4")
+
+    return asked.mapInArrow(run, "part int, block int, keys binary, values binary")
+
+
+def short_levels(grams: np.ndarray, customers: np.ndarray, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and probabilities of the levels below ROOT; those without customers follow from their parents (`below`)."""
+    tree = Tree(grams, customers, ROOT - 1, 0, np.random.default_rng([0, 3]), STRENGTH)
+    uniform = np.full(len(tree.levels[0].grams), 1 / 256)
+    total = 0.0
+    for k in range(sweeps):
+        tree.sweep(uniform)
+        tree.descend(uniform)
+        if k or sweeps == 1:
+            total = total + np.concatenate([_with_rest(tree, k_) for k_ in range(ROOT)])
+    names = np.concatenate([_names(tree.levels[k], k) for k in range(ROOT)])
+    order = np.argsort(names)
+    return names[order], (total / max(1, sweeps - 1))[order]
+
+
+def _marked(grams: np.ndarray, level: int, rest: bool) -> np.ndarray:
+    return grams | np.uint64(level << 32) | np.uint64(rest << 40)
+
+
+def _names(level: Level, k: int) -> np.ndarray:
+    """Names of a level's dishes, and of what its restaurants leave to their parents."""
+    begin = np.flatnonzero(np.r_[True, level.house[1:] != level.house[:-1]]) if len(level.house) else np.zeros(0, np.int64)
+    return np.r_[_marked(level.grams, k, False), _marked(level.grams[begin] >> np.uint64(8), k, True)]
+
+
+def _with_rest(tree: Tree, k: int) -> np.ndarray:
+    """Probabilities of a level's dishes, and the share that its restaurants leave to their parents."""
+    level = tree.levels[k]
+    t = np.bincount(level.house, weights=level.tables(), minlength=level.houses)
+    c = np.bincount(level.house, weights=level.c, minlength=level.houses)
+    return np.r_[level.predictive(tree.p[k], tree.strength), (tree.strength + level.discount * t) / (tree.strength + c)]
+
+
+def below(names: np.ndarray, values: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The probability at level ROOT - 1 of each gram, known or not."""
+
+    def known(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(names, wanted), max(len(names) - 1, 0))
+        hit = names[at] == wanted if len(names) else np.zeros(len(wanted), bool)
+        return hit, values[at] if len(names) else np.zeros(len(wanted))
+
+    p = np.full(len(grams), 1 / 256)
+    for k in range(ROOT):
+        own = grams & np.uint64((1 << 8 * (k + 1)) - 1)
+        hit, value = known(_marked(own, k, False))
+        house, rest = known(_marked(own >> np.uint64(8), k, True))
+        p = np.where(hit, value, np.where(house, rest * p, p))
+    return p
+
+
+class Lookup:
+    """Places of keys in an array of different keys, by an open hash table; all keys asked for are in it."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        self.last = np.uint64((1 << (64 - int(self.bits))) - 1)
+        self.slot = np.full(int(self.last) + 1, -1, dtype=np.int32)
+        place, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = self.slot[place] < 0
+            self.slot[place[free]] = left[free]
+            away = self.slot[place] != left
+            place, left = (place[away] + np.uint64(1)) & self.last, left[away]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> self.bits
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        place = self._home(keys)
+        out = self.slot[place]
+        left = np.flatnonzero(self.keys[out] != keys)
+        place = place[left]
+        while len(left):
+            place = (place + np.uint64(1)) & self.last
+            found = self.slot[place]
+            out[left] = found
+            away = self.keys[found] != keys[left]
+            place, left = place[away], left[away]
+        return out
+
+
+def scored(docs: DataFrame, order: int = ORDER, sweeps: tuple[int, int] = SWEEPS, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of rows (doc_id, text, train)."""
+    if not ROOT < order <= 7:
+        raise ValueError("byte strings of 4 to 7 bytes fit the keys")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "train")
-    size, many = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-int(size) // BLOCK_BYTES), -(-int(many) // 100_000))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    keys = stored(block_keys(dealt.select("block", "text", "train"), order))
-    counts = stored(keys.groupBy("key").agg(F.sum("n").alias("n")))
-    words, grams = counts.where("key < 0"), counts.where("key >= 0").select(F.col("key").alias("g"), "n")
-    ends = docs.agg(F.count_if("train")).first()[0]
-    r = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    tokens, kinds = r[0] + ends, r[1] + (1 if ends else 0)
+    size, many, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_if("train")).first()
+    blocks = max(1, -(-int(size) // block_bytes), -(-int(many) // 100_000))
+    parts = max(1, -(-int(size) // part_bytes))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
+    asked = stored(lists(dealt, order, parts)).repartitionById(2 * parts, F.col("part"))
+    r = first_round(asked, order, parts, sweeps[0]).toArrow()  # at most 256 ** ROOT rows and some
+    key, n = r.column("key").to_numpy(), r.column("n").to_numpy()
+    told = dict(zip(key[key < 0].tolist(), n[key < 0].tolist(), strict=True))
+    by = np.argsort(key)
+    by = by[key[by] >= 0]
+    short, p = short_levels(key[by].astype(np.uint64), n[by], 2 + sweeps[1])
+    discounts = {k: discount_of(told.get(ONES - k, 0), told.get(TWOS - k, 0)) for k in range(ROOT, order)}
+    tokens, kinds = told.get(TOKENS, 0) + ends, told.get(KINDS, 0) + (1 if ends else 0)
     whole = tokens + 0.5 * (kinds + 1)
-    base = F.log10((F.col("n") + 0.5) / F.lit(whole))
-    values = probabilities(grams, order, sweeps).select(F.col("g").alias("key"), F.log10("p").alias("value"), F.lit(False).alias("known"))
-    values = values.unionByName(words.select("key", base.alias("value"), (F.col("n") > 0).alias("known")))
-    answers = keys.select("block", "key").join(values, "key").select("block", "key", "value", "known")
+    answers = second_round(asked, order, parts, discounts, short, p, sweeps[1])
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("train", "boolean"))]
+    both = answers.select("block", "part", "keys", "values", *empty).unionByName(dealt.select("block", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), "doc_id", "text", "train"))
+    both = both.repartitionById(blocks, F.col("block")).sortWithinPartitions(F.col("part").isNull())
     end_base = float(np.log10((ends + 0.5) / whole))
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("key").to_numpy().view(np.uint64)
-        order_ = np.argsort(keys)
-        keys, value, known = keys[order_], right.column("value").to_numpy()[order_], right.column("known").to_numpy()[order_]
-        out = []
-        for batch in pieces(iter(left.to_batches()), most=1 << 20):
-            s = Stream(field(batch, "text"), order)
-            n = batch.num_rows
-            unique, which = np.unique(s.grams, return_inverse=True)
-            total = np.add.reduceat(value[np.searchsorted(keys, unique)][which], s.edge)
-            base_, seen = np.full(n, end_base), np.full(n, int(ends > 0))
-            if len(s.words):
-                at = np.searchsorted(keys, s.words)
-                base_ += np.bincount(s.word_doc, weights=value[at], minlength=n)
-                seen += np.bincount(s.word_doc, weights=known[at], minlength=n).astype(np.int64)
-            out.append(pa.RecordBatch.from_arrays([field(batch, "doc_id"), field(batch, "train"), pa.array(s.n_words + 1), pa.array(seen), pa.array(np.full(n, tokens)), pa.array(base_), pa.array(total)], names=names))
-        return pa.Table.from_batches(out, schema=schema)
-
-    names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)))
-    both = dealt.select("block", "doc_id", "text", "train").groupBy("block").cogroup(answers.groupBy("block"))
-    return both.applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told_, tables = [], None
+        for batch in batches:
+            answer = field(batch, "part").is_valid().to_numpy(zero_copy_only=False)
+            if answer.any():
+                rows = batch.filter(pa.array(answer))
+                told_ += zip(field(rows, "part").to_pylist(), field(rows, "keys").to_pylist(), field(rows, "values").to_pylist(), strict=True)
+            if answer.all():
+                continue
+            if tables is None:  # all answers come before the first document
+                tables = []
+                for words, kind in ((False, "<f4"), (True, "<i8")):
+                    own = [(k, v) for x, k, v in told_ if (x >= parts) == words]
+                    tables.append((Lookup(np.frombuffer(b"".join(k for k, _ in own), dtype=np.uint64)), np.frombuffer(b"".join(v for _, v in own), dtype=kind)))
+                told_ = []
+            for piece in pieces(iter([batch.filter(pa.array(~answer))]), most=1 << 20):
+                s = Stream(field(piece, "text"), order)
+                n = piece.num_rows
+                (grams, value), (words_, count) = tables
+                total = np.add.reduceat(value[grams.of(s.grams)].astype(float), s.edge)
+                base, known = np.full(n, end_base), np.full(n, int(ends > 0))
+                if len(s.words):
+                    used = count[words_.of(s.words)]
+                    base += np.bincount(s.word_doc, weights=np.log10((used + 0.5) / whole), minlength=n)
+                    known += np.bincount(s.word_doc, weights=used > 0, minlength=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([field(piece, "doc_id"), field(piece, "train"), pa.array(s.n_words + 1), pa.array(known), pa.array(np.full(n, tokens)), pa.array(base), pa.array(total)], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return both.mapInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of every document; the model learns from those not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    out = scored(docs.withColumn("train", F.coalesce(~held_out, F.lit(True))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    out = scored(docs.withColumn("train", ~held_out))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

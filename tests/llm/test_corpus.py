@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from restora.llm import ann, bpe, decontaminate, langid, lm, minhash, quality, repeats, secrets, suffixes, token_files
+from restora.llm import ann, bpe, decontaminate, langid, lm, minhash, quality, repeats, restaurants, secrets, suffixes, token_files
 from restora.llm.graph import components
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -453,11 +453,62 @@ def test_lm_base_and_normalisation(spark):
     assert lm.scored(df.where("false")).isEmpty()
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    grams = spark.createDataFrame([((65 << 8) | x, n) for x, n in ((66, 5), (67, 1), (68, 0))] + [((66 << 8) | x, 0) for x in range(256)], "g bigint, n bigint")
-    p = {r.g: r.p for r in lm.probabilities(grams, order=2).collect()}
-    assert sum(v for g, v in p.items() if g >> 8 == 66) == pytest.approx(1.0)
-    assert p[(65 << 8) | 66] > p[(65 << 8) | 67] > p[(65 << 8) | 68] > 0
+def test_lm_over_many_blocks_and_parts_and_special_rows(spark):
+    shared = prose(3, 40)
+    rows = [(i % 5 if i % 7 else None, prose(i % 7, 30), i, True) for i in range(40)] + [(1, shared * 400, 0, False), (1, shared * 400, 0, False), (None, None, 0, False)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, score int, train boolean")
+    one = lm.scored(df).collect()
+    many = lm.scored(df, block_bytes=1500, part_bytes=900).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score)
+    for x, y in zip(sorted(one, key=key), sorted(many, key=key), strict=True):
+        assert (x.doc_id, x.train, x.n_tokens, x.n_known, x.train_tokens) == (y.doc_id, y.train, y.n_tokens, y.n_known, y.train_tokens)
+        assert x.base_score == pytest.approx(y.base_score)
+        assert x.score == pytest.approx(y.score, rel=0.15)  # other random draws, and other first rounds
+    assert [r.n_tokens for r in one if r.n_tokens > 5000] == [40 * 400 - 399 + 1] * 2 or len([r for r in one if r.n_tokens > 5000]) == 2
+
+
+def table_counts(c, d, strength, p):
+    """The exact distribution of the number of tables of one dish with c customers."""
+    ways = np.zeros((c + 1, c + 2))
+    ways[1, 1] = 1
+    for n in range(1, c):
+        for t in range(1, n + 1):
+            ways[n + 1, t] += (n - d * t) * ways[n, t]
+            ways[n + 1, t + 1] += ways[n, t]
+    w = np.array([ways[c, t] * np.prod([(strength + d * j) * p for j in range(t)]) for t in range(1, c + 1)])
+    return w / w.sum()
+
+
+@pytest.mark.parametrize(("c", "d", "strength", "p"), [(12, 0.6, 1.0, 0.3), (5, 0.8, 0.5, 0.9), (30, 0.3, 2.0, 0.05)])
+def test_gibbs_seating_has_the_exact_distribution(c, d, strength, p):
+    n, rng = 20_000, np.random.default_rng(0)
+    level = restaurants.Level((np.arange(n, dtype=np.uint64) << np.uint64(8)) + np.uint64(97))
+    level.discount, level.c = d, np.full(n, c)
+    for _ in range(12):
+        level.reseat(np.full(n, p), rng, strength)
+    got = np.bincount(level.tables() - 1, minlength=c) / n
+    assert np.abs(got - table_counts(c, d, strength, p)).max() < 0.015
+    before = level.tables()
+    level.admit(np.full(n, c), np.full(n, p), rng, strength)
+    assert (level.tables() == before).all()
+    level.admit(np.full(n, c - 2), np.full(n, p), rng, strength)
+    assert (level.tables() <= before).all() and (level.place < c - 2).all()
+
+
+def test_gibbs_predictions_sum_to_one():
+    draw = np.random.default_rng(2)
+    grams = np.unique(draw.integers(0, 1 << 24, 4000).astype(np.uint64) & np.uint64(0x030303))
+    tree = restaurants.Tree(grams, draw.integers(0, 9, len(grams)), 2, 0, draw, 1.0)
+    for _ in range(3):
+        tree.sweep(np.full(len(tree.levels[0].grams), 0.25))  # four symbols
+        level = tree.levels[2]
+        p = tree.predictive(np.full(len(tree.levels[0].grams), 0.25))
+        whole = np.bincount(level.house, minlength=level.houses) == 4
+        assert np.bincount(level.house, weights=p)[whole] == pytest.approx(1.0)
+    names, values = lm.short_levels(grams, np.ones(len(grams), np.int64), 2)
+    every = np.arange(256, dtype=np.uint64)
+    assert lm.below(names, values, np.uint64(0x010200) | every).sum() == pytest.approx(1.0)
+    assert lm.below(names, values, np.uint64(0x4142 << 8) | every).sum() == pytest.approx(1.0)
 
 
 # --- language identification -------------------------------------------------------------------------
