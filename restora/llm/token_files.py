@@ -9,17 +9,19 @@ Reading: a table of 65,536 entries turns the next 16 bits into an id and a lengt
 block decode side by side.
 
 A block holds whole documents, of `BLOCK_IDS` ids together or one longer document.  Encoding goes by
-words between ASCII white space: the tokenizer's normaliser and pattern never look across it, so ids of
-a text are those of its words in turn, and each different word is encoded once by the library.
+words between ASCII white space, and parts of words where the tokenizer's pattern always parts them, in
+lower case: its normaliser and pattern never look across these places, so ids of a text are those of
+its words in turn, and a task encodes each different word once by the library.
 
 Results for special cases: null or empty text has the end id alone; documents with equal doc_id follow
-one another in any order; an empty table gives no files' rows and no result rows.
+one another in order of their texts' hashes (null ids come first); an empty table gives no files' rows
+and no result rows.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,12 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restora.llm.graph import cut
+from restora.llm.graph import cut, shared_folder
 from restora.llm.textkit import field, pieces
 
 LIMIT, BLOCK_IDS, CHECKPOINT, PARTITION_BYTES, REMEMBERED = 16, 65_536, 64, 24 << 20, 400_000
 
 
+#: Where the tokenizer's pattern always parts a text: between a letter or digit that normalising keeps, and a mark; around digits.
+_PART = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[!-&(-;=?-@\[-`{}~])|(?<=[!-&(-;=?-@\[-`{}~])(?=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])|(?<=[0-9])(?=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])|(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[0-9])")
+_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class WordEncoder:
     """ids of whole texts as little-endian 16-bit bytes."""
 
@@ -45,31 +52,57 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of over 16 bits")
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.end = np.uint16(end_id).tobytes()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes words by a few calls: one call for many words is much cheaper than a call for each."""
+        names = [w.decode("utf-8") for w in words]
+        plain = [bool(_PLAIN.fullmatch(x)) for x in names]
+        for kind in (True, False):
+            of_kind = [i for i, p in enumerate(plain) if p is kind]
+            for k in range(0, len(of_kind), 8192):
+                pick = of_kind[k : k + 8192]
+                part = [names[i] for i in pick]
+                joined = "\n".join(part)
+                if kind:  # each is one match of the pattern, so its last id ends a word and no other does
+                    ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u2")
+                    edge = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+                else:
+                    found = self.library.encode(joined, add_special_tokens=False)
+                    ids = np.array(found.ids, dtype="<u2")
+                    place = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(ids))
+                    edge = np.searchsorted(place, np.cumsum([0, *(len(x) + 1 for x in part)]))
+                if len(edge) != len(part) + 1 or edge[-1] != len(ids):
+                    raise ValueError("ids do not fall into words")
+                raw = ids.tobytes()
+                for i, x, y in zip(pick, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    self.young[words[i]] = raw[2 * x : 2 * y]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
+        split = []
+        for t in texts:
+            if t and "<|" in t:  # the names of special ids count as they are written
+                split.append(t.encode("utf-8").split())
+            else:
+                split.append(_PART.sub(" ", t or "").encode("utf-8").lower().split())
         young, old = self.young, self.old
-        missing = []
-        for w in set().union(*split).difference(young):
+        found = [list(map(young.get, words)) for words in split]
+        missing: set[bytes] = set()
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                missing.update(w for w, x in zip(words, ids, strict=True) if x is None)
+        new = []
+        for w in missing:
             if w in old:
                 young[w] = old[w]
             else:
-                missing.append(w)
-        for k in range(0, len(missing), 8192):  # one call for many words is much cheaper than a call for each
-            part = missing[k : k + 8192]
-            names = [w.decode("utf-8") for w in part]
-            found = self.library.encode("\n".join(names), add_special_tokens=False)
-            begin = np.cumsum([0, *(len(x) + 1 for x in names)])
-            place = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found.ids))
-            edge = np.searchsorted(place, begin)
-            ids = np.array(found.ids, dtype="<u2")
-            raw = ids.tobytes()
-            for w, x, y in zip(part, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                young[w] = raw[2 * x : 2 * y]
-        out = [b"".join([*map(young.__getitem__, words), self.end]) for words in split]
+                new.append(w)
+        self._learn(new)
+        out = [b"".join([*(map(young.__getitem__, words) if None in ids else ids), self.end]) for words, ids in zip(split, found, strict=True)]
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
         return out
@@ -79,16 +112,17 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 def token_ids(docs: DataFrame, end_id: int = 2, vocabulary_path: str | None = None) -> DataFrame:
-    """doc_id and ids (16 bits each) of every row."""
+    """doc_id, text_hash and ids (16 bits each) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (vocabulary_path, end_id)
         if key not in _ENCODERS:
             _ENCODERS[key] = WordEncoder(vocabulary_path, end_id)
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([field(batch, "doc_id"), pa.array(_ENCODERS[key].encode(field(batch, "text").to_pylist()), pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([field(batch, "doc_id"), field(batch, "text_hash"), pa.array(_ENCODERS[key].encode(field(batch, "text").to_pylist()), pa.binary())], names=["doc_id", "text_hash", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, ids binary")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -133,7 +167,7 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def write_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
-    """(bit stream, 32-bit bit offsets of every CHECKPOINT-th id)."""
+    """(bit stream, 64-bit bit offsets of every CHECKPOINT-th id)."""
     size = lengths[ids].astype(np.int64)
     end = np.cumsum(size)
     begin = end - size
@@ -142,7 +176,7 @@ def write_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple
     out = np.zeros(total)
     for k in range(3):
         out += np.bincount(at + k, weights=(shifted >> (16 - 8 * k)) & 255, minlength=total)[:total]
-    return out.astype(np.uint8).tobytes(), begin[::CHECKPOINT].astype("<u4").tobytes()
+    return out.astype(np.uint8).tobytes(), begin[::CHECKPOINT].astype("<i8").tobytes()
 
 
 class Decoder:
@@ -159,7 +193,7 @@ class Decoder:
 
     def read(self, bits: bytes, offsets: bytes, n: int) -> np.ndarray:
         data = np.frombuffer(bits + b"\0\0\0", dtype=np.uint8).astype(np.int64)
-        place = np.frombuffer(offsets, dtype="<u4").astype(np.int64)
+        place = np.frombuffer(offsets, dtype="<i8").copy()
         out = np.zeros((CHECKPOINT, len(place)), dtype=np.uint16)
         last = len(data) - 3
         for k in range(min(CHECKPOINT, n)):
@@ -170,17 +204,17 @@ class Decoder:
         return out.T.reshape(-1)[:n]
 
 
-def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary_path: str | None = None) -> None:
+def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary_path: str | None = None, partition_bytes: int = PARTITION_BYTES, block_ids: int = BLOCK_IDS) -> None:
     """Writes docs (doc_id, text) to path/blocks and path/code."""
     spark = docs.sparkSession
     whole = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    parts = max(1, -(-whole // PARTITION_BYTES))
+    parts = max(1, -(-whole // partition_bytes))
     bounds = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = sorted({int(b) for b in bounds})  # one for each partition
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
     ids = token_ids(docs, end_id, vocabulary_path)
     dealt = ids.withColumn("part", F.coalesce(F.size(F.filter(limits, lambda b: b <= F.col("doc_id"))), F.lit(0)))
-    dealt = cut(dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id"))
+    dealt = cut(dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "text_hash"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -215,7 +249,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary_path: str | No
         for batch in pieces(batches, "ids"):
             for part, doc, raw in zip(field(batch, "part").to_pylist(), field(batch, "doc_id").to_pylist(), field(batch, "ids").to_pylist(), strict=True):
                 stream = np.frombuffer(raw, dtype="<u2")
-                if streams and (part != part_now or held + len(stream) > BLOCK_IDS):
+                if streams and (part != part_now or held + len(stream) > block_ids):
                     yield block(part_now, start, docs_, streams)
                     start, held, docs_, streams = start + held, 0, [], []
                 if part != part_now:
@@ -253,16 +287,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     return blocks.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the cluster's shared checkpoint folder."""
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")  # unset only in local tests
-    return f"{top}/token_files_{uuid.uuid4().hex}"
-
-
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of every document to files and reads them back."""
-    path = shared_folder(spark)
+    path = shared_folder(spark, "token_files")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
     return read(spark, path)

@@ -307,6 +307,35 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.read(spark, str(tmp_path / "g")).isEmpty()
 
 
+def test_token_files_of_many_partitions_long_documents_and_shared_ids(spark, tmp_path):
+    texts = [(i % 40 if i % 9 else None, prose(i, 20 + i % 30)) for i in range(120)] + [(7, prose(5, 4000)), (7, prose(5, 4000)), (41, "ab " * 50_000)]
+    results = []
+    for k, (most, ids, parts) in enumerate([(4 << 20, 65_536, 1), (3000, 500, 7), (3000, 500, 3)]):
+        df = frame(spark, texts).repartition(parts)
+        token_files.write(df, str(tmp_path / f"h{k}"), partition_bytes=most, block_ids=ids)
+        rows = token_files.read(spark, str(tmp_path / f"h{k}"), with_ids=True).collect()
+        results.append(sorted((r.start, r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32, tuple(r.ids)) for r in rows))
+        if k:
+            assert spark.read.parquet(str(tmp_path / f"h{k}" / "blocks")).count() > 20
+    assert results[0] == results[1] == results[2]  # the same files whatever the partitions, equal ids too
+    assert [r[0] for r in results[0]] == list(itertools.accumulate([0] + [r[3] for r in results[0]][:-1]))
+    assert [r[1:3] for r in results[0]] == sorted(r[1:3] for r in results[0])
+
+
+@pytest.fixture(scope="module")
+def word_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), token_files.WordEncoder(None, 2)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="aÀÉzZ9.,'s<|>!\u0301\u0338\u0130 -=ßñ_\u212a\u00b2\u2160d't", max_size=40)))
+def test_word_parts_give_the_ids_of_whole_texts(word_library, text):
+    library, encoder = word_library
+    assert np.frombuffer(encoder.encode([text])[0], dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 1_000_000), min_size=1, max_size=60))
 def test_code_lengths_make_a_prefix_code(counts):
