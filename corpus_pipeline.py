@@ -8,7 +8,6 @@ are dropped by the first.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,7 @@ from pyspark.sql import functions as F
 
 from restora.llm import bpe, decontaminate, langid, minhash
 from restora.llm import secrets as secret_scan
-from restora.llm.graph import keyed_join
-from restora.llm.token_files import shared_folder
+from restora.llm.graph import keyed_join, shared_folder
 
 
 def _shielded(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -73,7 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_folder(spark)}_{uuid.uuid4().hex}"
+    top = shared_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
