@@ -8,17 +8,20 @@ share of the item's words that is marked is its coverage; order does not matter,
 are caught.  A document is contaminated if an item's coverage reaches the threshold.
 
 The benchmark is read in blocks of at most `block_bytes` of text; each block is broadcast and all
-documents are compared with it, so a benchmark of any size is compared whole.
+documents are compared with it, so a benchmark of any size is compared whole.  With several blocks, what
+one has found is written before the next is loaded.
 
 Results for special cases: null or empty text has coverage 0; an item without words never matches; an
 item of fewer than `seed` words matches as a whole only; an empty benchmark leaves all clean; ties
-between items go to the smaller item_id.  Words are runs of letters, digits and non-ASCII characters,
+between items go to the smaller item_id, null last; each text of a repeated item_id is an item.  Words are runs of letters, digits and non-ASCII characters,
 lower-cased.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from restora.llm.graph import forget, stored
 from restora.llm.textkit import Words, field, pieces, string_bytes
 
 _PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E687 % ((1 << 61) - 1)
@@ -70,15 +74,18 @@ def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int,
                     n += 1
                 if n >= size:
                     found.append((-n, p, t))
-        again = False
-        for n, p, t in sorted(found):
-            if any(in_item[p : p - n]) or any(in_text[t : t - n]):
-                again = True  # what is left of it may still be long enough
+        heapify(found)
+        while found:  # longest first; what is left of a match goes back by its own length
+            n, p, t = heappop(found)
+            free = [k for k in range(-n) if not in_item[p + k] and not in_text[t + k]]
+            if len(free) == -n:
+                in_item[p : p - n] = in_text[t : t - n] = [True] * -n
+                out.append((p, t, -n))
                 continue
-            in_item[p : p - n] = in_text[t : t - n] = [True] * -n
-            out.append((p, t, -n))
-        if again:
-            continue
+            for _, run in groupby(enumerate(free), lambda x: x[1] - x[0]):
+                left = [k for _, k in run]
+                if len(left) >= size:
+                    heappush(found, (-len(left), p + left[0], t + left[0]))
         if size <= least:
             return out
         size = max(least, size // 2)
@@ -111,8 +118,8 @@ class Items:
             bits[keys & np.uint64((1 << 20) - 1)] = True
             self.sieve[size] = (bits, keys)
 
-    def coverages(self, column: pa.Array) -> dict[int, dict[int, float]]:
-        """row -> item id -> coverage, of rows that share a seed with an item."""
+    def coverages(self, column: pa.Array) -> dict[int, list[tuple[float, int | None]]]:
+        """row -> (coverage, item id) of each item that a row shares a seed with."""
         data, offsets = string_bytes(pc.utf8_lower(column))
         words = Words(data, offsets, lower=False, separators=_SEPARATOR)
         shared: dict[tuple[int, int], list[int]] = {}
@@ -124,7 +131,7 @@ class Items:
             for w, h in zip(first[hit].tolist(), value[hit].tolist(), strict=True):
                 for k in self.seeds[size][h]:
                     shared.setdefault((int(words.doc[w]), k), []).append(w)
-        out: dict[int, dict[int, float]] = {}
+        out: dict[int, list[tuple[float, int | None]]] = {}
         for (row, k), starts in shared.items():
             text, end = [], -1  # only stretches that seeds cover can hold tiles
             for w in sorted(starts):
@@ -134,18 +141,18 @@ class Items:
                     text.append(int(words.hash[x]) % _PRIME)
                 end = w + self.least[k]
             covered = sum(n for _, _, n in tiles(self.words[k], text, self.least[k]))
-            out.setdefault(row, {})[self.ids[k]] = covered / len(self.words[k])
+            out.setdefault(row, []).append((covered / len(self.words[k]), self.ids[k]))
         return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows in hashed blocks of about block_bytes of text at most."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[int | None, str]]]]:
+    """The benchmark's rows in hashed blocks of about block_bytes of text at most, and whether there is one block only."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes))
     for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        yield [(r.item_id, r.text) for r in part.orderBy("item_id").collect()]  # one block
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield blocks == 1, [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]  # one block
 
 
 def covered(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
@@ -153,7 +160,8 @@ def covered(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: flo
     docs = docs.drop("coverage", "item_id", "contaminated")
     names = docs.columns
     out = docs.withColumns({"coverage": F.lit(0.0), "item_id": F.lit(None).cast("long")})
-    for rows in _blocks(benchmark, block_bytes):
+    before = None
+    for only, rows in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most a block
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -161,14 +169,20 @@ def covered(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: flo
             for batch in pieces(batches):
                 best, item = field(batch, "coverage").to_pylist(), field(batch, "item_id").to_pylist()
                 for row, found in items.coverages(field(batch, "text")).items():
-                    for i, c in sorted(found.items()):
-                        if c > best[row]:
+                    for c, i in found:
+                        if (-c, i is None, i or 0) < (-best[row], item[row] is None, item[row] or 0):
                             best[row], item[row] = c, i
                 columns = [field(batch, n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.float64()), pa.array(item, pa.int64())], names=[*names, "coverage", "item_id"])
 
         schema = T.StructType([*docs.schema.fields, T.StructField("coverage", T.DoubleType()), T.StructField("item_id", T.LongType())])
         out = out.mapInArrow(run, schema)
+        if not only:  # one block at a time is in memory
+            out = stored(out)
+            shared.unpersist()
+            if before is not None:
+                forget(before)
+            before = out
     return out.withColumn("contaminated", F.col("coverage") >= threshold)
 
 

@@ -8,8 +8,9 @@ per language; Spark adds them up.  Only tables of (language, piece), bounded by
 the driver.
 
 Results for special cases: null text, or text without a letter: ``und`` with score 0.  If there are no
-labelled training rows every text is ``und``.  Ties go to the alphabetically first language.  Words of
-over 40 bytes are scored in consecutive stretches of 40 bytes.
+labelled training rows every text is ``und``.  Ties go to the alphabetically first language.  Words of any
+length are scored whole: those over `LONG` bytes by a forward pass that keeps as many places as the longest
+piece has bytes.  A null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from restora.llm.textkit import Words, field, pieces, string_bytes
 
-#: Longest stretch of a word in bytes; what probabilities are multiplied by for each byte; words and bytes of text at once.
-STRETCH, SCALE, BLOCK, BATCH_BYTES = 40, 32.0, 32_768, 4 << 20
+#: Longest word, in bytes, whose forward values are all kept; what probabilities are multiplied by for each byte; words and bytes of text at once; places of a long word at once.
+LONG, SCALE, BLOCK, BATCH_BYTES, PLACES = 40, 32.0, 32_768, 4 << 20, 4096
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -69,27 +70,28 @@ class Lattice:
             if s:
                 self.next[number[s[:-1]] * 256 + s[-1]] = k
             self.piece[k] = spelled.get(s, -1)
-
-    def edges(self, rows: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        self.longest = max(map(len, spelled))
+
+    def _from(self, columns: np.ndarray, i: int, word: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(to, words, pieces) of what fits in byte columns from place i on."""
+        node = np.zeros(len(word), dtype=np.int32)
+        for j in range(i, len(columns)):
+            if not len(word):
+                return
+            node = self.next[node * 256 + columns[j][word]]
+            piece = self.piece[node]
+            hit = (node >= 0) & (piece >= 0)
+            yield j + 1, word[hit], piece[hit]
+            go = (node >= 0) & (node < self.inner)
+            word, node = word[go], node[go]
+
+    def edges(self, rows: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, words, pieces) of everything that fits in zero-padded byte rows; each word once in an entry."""
-        out, width = [], rows.shape[1]
         columns = np.ascontiguousarray(rows.T)
-        for i in range(width):
-            word = np.flatnonzero(columns[i])
-            node = np.zeros(len(word), dtype=np.int32)
-            for j in range(i, width):
-                if not len(word):
-                    break
-                node = self.next[node * 256 + columns[j][word]]
-                piece = self.piece[node]
-                hit = (node >= 0) & (piece >= 0)
-                out.append((i, j + 1, word[hit], piece[hit]))
-                go = (node >= 0) & (node < self.inner)
-                word, node = word[go], node[go]
-        return out
+        return [(i, *x) for i in range(len(columns)) for x in self._from(columns, i, np.flatnonzero(lengths > i))]
 
     def _forward(self, rows: np.ndarray, lengths: np.ndarray, p: np.ndarray):
-        edges = self.edges(rows)
+        edges = self.edges(rows, lengths)
         alpha = np.zeros((rows.shape[1] + 1, len(rows), p.shape[1]))
         alpha[0] = 1
         scaled = [p * SCALE**k for k in range(rows.shape[1] + 1)]
@@ -102,6 +104,66 @@ class Lattice:
         total = self._forward(rows, lengths, p)[3]
         return np.log(total) - lengths[:, None] * np.log(SCALE)
 
+    def _fits(self, word: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bytes, places, pieces) of all pieces that fit at places begin..end-1 of one word."""
+        at = np.arange(begin, end)
+        node = np.zeros(len(at), dtype=np.int32)
+        for k in range(1, self.longest + 1):
+            inside = at + k <= len(word)
+            at, node = at[inside], node[inside]
+            node = self.next[node * 256 + word[at + k - 1]]
+            piece = self.piece[node]
+            hit = (node >= 0) & (piece >= 0)
+            yield k, at[hit], piece[hit]
+            go = (node >= 0) & (node < self.inner)
+            at, node = at[go], node[go]
+
+    def _chain(self, word: np.ndarray, p: np.ndarray, back: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(values, logs of what they are scaled by) of a forward pass over one word of any length, from its last byte if `back`; some places at a time."""
+        n, kinds, most = len(word), p.shape[1], self.longest
+        ring, log = np.zeros((most, kinds)), np.zeros(kinds)
+        ring[-1] = 1
+        yield ring[-1:].copy(), log[None, :].copy()
+        for done in range(0, n, PLACES):
+            size = min(PLACES, n - done)
+            ways = np.zeros((size, most, kinds))
+            low, high = (n - done - size, n - done) if back else (max(0, done + 1 - most), done + size)
+            for k, at, piece in self._fits(word, low, high):
+                to = (n - at if back else at + k) - done - 1
+                own = (to >= 0) & (to < size)
+                ways[to[own], most - k] = p[piece[own]] * SCALE**k
+            values, logs = np.zeros((most + size, kinds)), np.empty((size, kinds))
+            values[:most] = ring
+            shown = np.empty((size, kinds))
+            for r in range(size):
+                values[most + r] = shown[r] = np.einsum("kl,kl->l", values[r : r + most], ways[r])
+                logs[r] = log
+                if r % 16 == 15 or r == size - 1:
+                    scale = np.maximum(values[r + 1 : r + 1 + most].max(axis=0), 1e-250)
+                    values[r + 1 : r + 1 + most] /= scale
+                    log = log + np.log(scale)
+            ring = values[size:].copy()
+            yield shown, logs
+
+    def forward_long(self, rows: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """As forward, for words of any length, one after another."""
+        out = np.zeros((len(rows), p.shape[1]))
+        for k, n in enumerate(lengths.tolist()):
+            for value, log in self._chain(rows[k, :n], p):
+                out[k] = np.log(np.maximum(value[-1], 1e-300)) + log[-1]
+        return out - lengths[:, None] * np.log(SCALE)
+
+    def expected_long(self, rows: np.ndarray, lengths: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """As expected, for words of any length, one after another."""
+        out = np.zeros((self.size, p.shape[1]))
+        for k, n in enumerate(lengths.tolist()):
+            alpha, beta = (np.concatenate([np.log(np.maximum(v, 1e-300)) + g for v, g in self._chain(rows[k, :n], p, back)]) for back in (False, True))
+            for size, at, piece in self._fits(rows[k, :n], 0, n):
+                flow = np.exp(np.minimum(alpha[at] + beta[n - at - size] + np.log(p[piece] * SCALE**size) - alpha[n], 0)) * counts[k]
+                for j in range(p.shape[1]):
+                    out[:, j] += np.bincount(piece, weights=flow[:, j], minlength=self.size)
+        return out
+
     def expected(self, rows: np.ndarray, lengths: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, by language, in `counts` (words x languages) uses of the words."""
         edges, scaled, alpha, total = self._forward(rows, lengths, p)
@@ -120,46 +182,45 @@ class Lattice:
 _MARK = np.frombuffer("▁".encode(), dtype=np.uint8)
 
 
-class Stretches:
-    """The words of a batch, cut into stretches of at most STRETCH bytes, each different one once."""
+class Spelled:
+    """The different words of a batch, each with the mark of a word's begin."""
 
     def __init__(self, column: pa.Array):
-        data, offsets = string_bytes(pc.utf8_lower(column))
-        words = Words(data, offsets, lower=False)
-        length = words.end - words.start
+        self.data, offsets = string_bytes(pc.utf8_lower(column))
+        words = Words(self.data, offsets, lower=False)
         self.doc = words.doc
         _, first, self.which = np.unique(words.hash, return_index=True, return_inverse=True)
-        start, length = words.start[first], length[first]
-        parts = -(-length // STRETCH)
-        self.word = np.repeat(np.arange(len(first)), parts)
-        nth = np.arange(len(self.word)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = start[self.word] + nth * STRETCH
-        size = np.minimum(length[self.word] - nth * STRETCH, STRETCH)
-        mark = np.where(nth == 0, len(_MARK), 0)
-        self.n, self.lengths = len(first), size + mark
-        self.data, self.begin, self.mark = data, begin, mark
-
-    def rows(self, part: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Zero-padded bytes and lengths of some stretches."""
-        lengths, mark, begin = self.lengths[part], self.mark[part], self.begin[part]
+        self.begin, self.n = words.start[first], len(first)
+        self.lengths = words.end[first] - self.begin + len(_MARK)
+
+    def rows(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Zero-padded bytes and lengths of some words."""
+        lengths, begin = self.lengths[part], self.begin[part]
         place = np.arange(int(lengths.max(initial=0)))[None, :]
-        at = np.clip(begin[:, None] + place - mark[:, None], 0, max(len(self.data) - 1, 0))
+        at = np.clip(begin[:, None] + place - len(_MARK), 0, max(len(self.data) - 1, 0))
         rows = np.where(place < lengths[:, None], self.data[at], 0).astype(np.uint8)
-        head = mark > 0
-        rows[head, : len(_MARK)] = _MARK
+        rows[:, : len(_MARK)] = _MARK
         return rows, lengths
 
-    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    def blocks(self, long: int = LONG) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """(word numbers, bytes, lengths, whether they are long); padding at most doubles the bytes of long words."""
         order = np.argsort(self.lengths, kind="stable")
-        for k in range(0, len(order), BLOCK):
-            part = order[k : k + BLOCK]
-            yield part, *self.rows(part)
-
-    def scores(self, net: Lattice, p: np.ndarray) -> np.ndarray:
+        edge = int(np.searchsorted(self.lengths[order], long, side="right"))
+        for k in range(0, edge, BLOCK):
+            part = order[k : min(k + BLOCK, edge)]
+            yield part, *self.rows(part), False
+        while edge < len(order):
+            most = 2 * self.lengths[order[edge]]
+            end = min(int(np.searchsorted(self.lengths[order], most, side="right")), edge + max(1, (1 << 18) // int(most)))
+            part = order[edge:end]
+            yield part, *self.rows(part), True
+            edge = end
+
+    def scores(self, net: Lattice, p: np.ndarray, long: int = LONG) -> np.ndarray:
         """log probabilities (words x languages) of the different words."""
         out = np.zeros((self.n, p.shape[1]))
-        for part, rows, lengths in self.blocks():
-            np.add.at(out, self.word[part], net.forward(rows, lengths, p))
+        for part, rows, lengths, is_long in self.blocks(long):
+            out[part] = (net.forward_long if is_long else net.forward)(rows, lengths, p)
         return out
 
 
@@ -184,12 +245,12 @@ def expected_counts(batches: Iterator[pa.RecordBatch], languages: list[str], p:
     net, number = lattice(path), {x: k for k, x in enumerate(languages)}
     total = np.zeros((net.size, len(languages)))
     for batch in pieces(batches, most=BATCH_BYTES):
-        s = Stretches(field(batch, "text"))
+        s = Spelled(field(batch, "text"))
         lang = np.array([number[x] for x in field(batch, "lang").to_pylist()], dtype=np.int64)
         uses = np.zeros((s.n, len(languages)))
         np.add.at(uses, (s.which, lang[s.doc]), 1.0)
-        for part, rows, lengths in s.blocks():
-            total += net.expected(rows, lengths, uses[s.word[part]], p)
+        for part, rows, lengths, is_long in s.blocks():
+            total += (net.expected_long if is_long else net.expected)(rows, lengths, uses[part], p)
     piece, lang = np.nonzero(total > 1e-9)
     yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, lang])], names=["lang_no", "piece", "n"])
 
@@ -238,7 +299,7 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary_pat
             n = batch.num_rows
             total = np.zeros((n, max(len(languages), 1)))
             if languages:
-                s = Stretches(field(batch, "text"))
+                s = Spelled(field(batch, "text"))
                 if len(s.which):
                     begin = np.flatnonzero(np.r_[True, np.diff(s.doc) != 0])
                     total[s.doc[begin]] = np.add.reduceat(s.scores(net, p)[s.which], begin, axis=0)
@@ -255,7 +316,7 @@ def predict(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary_pat
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from the rows not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     languages, p = learn(docs.where(~held_out))
     out = predict(docs.select("doc_id", held_out.alias("held_out"), "text"), languages, p)
     return out.select("doc_id", "held_out", "lang_pred", "score")

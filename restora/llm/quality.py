@@ -8,7 +8,7 @@ together from document labels by Adam, on a bounded sample of labelled rows.
 
 Results for special cases: null or empty text is one passage without words; without labelled rows, or
 with labels of one kind only, the score is the label rate (0.5 without labels); rows of labels with the
-same doc_id count as one with the largest label.
+same doc_id count as one with the largest label; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -113,6 +113,19 @@ class AttentionModel:
             return np.full(int(row.max(initial=-1)) + 1, self.constant)
         return self.forward(x, row)[0]
 
+    def gradient(self, x: np.ndarray, row: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Derivatives of the mean log loss of bags with labels y."""
+        s, (h, v, u, a, z) = self.forward(x, row)
+        p = self.p
+        ds = (s - y) / len(y)
+        dz = ds[:, None] * p["c"]
+        da = (h * dz[row]).sum(axis=1)
+        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        dl = a * (da - np.add.reduceat(a * da, at)[row])
+        dv, du = dl[:, None] * p["w"] * u * (1 - v * v), dl[:, None] * p["w"] * v * u * (1 - u)
+        dh = (a[:, None] * dz[row] + dv @ p["V"].T + du @ p["U"].T) * (h > 0)
+        return {"E": ((x - self.mean) / self.scale).T @ dh, "e": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ dl, "c": z.T @ ds, "b": ds.sum(keepdims=True)}
+
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.005, decay: float = 1e-4, seed: int = 6) -> AttentionModel:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
@@ -126,16 +139,8 @@ class AttentionModel:
                 pick = order[k : k + batch]
                 x = np.concatenate([bags[i] for i in pick])
                 row = np.repeat(np.arange(len(pick)), [len(bags[i]) for i in pick])
-                s, (h, v, u, a, z) = self.forward(x, row)
                 p, step = self.p, step + 1
-                ds = (s - y[pick]) / len(pick)
-                dz = ds[:, None] * p["c"]
-                da = (h * dz[row]).sum(axis=1)
-                at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                dl = a * (da - np.add.reduceat(a * da, at)[row])
-                dv, du = dl[:, None] * p["w"] * u * (1 - v * v), dl[:, None] * p["w"] * v * u * (1 - u)
-                dh = (a[:, None] * dz[row] + dv @ p["V"].T + du @ p["U"].T) * (h > 0)
-                grad = {"E": ((x - self.mean) / self.scale).T @ dh, "e": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ dl, "c": z.T @ ds, "b": ds.sum(keepdims=True)}
+                grad = self.gradient(x, row, y[pick])
                 for n, g in grad.items():
                     g = g + decay * p[n]
                     m1[n] = 0.9 * m1.get(n, 0) + 0.1 * g
@@ -144,11 +149,10 @@ class AttentionModel:
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, passages_each: int = 64, epochs: int = 25) -> AttentionModel:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, epochs: int = 25) -> AttentionModel:
     """A model of labels (doc_id, label).
 
-    `sample` bounds the labelled rows used (those with the smallest hashes of doc_id); of a document with
-    more than `passages_each` passages, that many, evenly spread, are used in learning.
+    `sample` bounds the labelled rows used: those with the smallest hashes of doc_id, with all their passages.
     """
     marked = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("marked_id"), F.col("label").cast("double").alias("label"))
@@ -160,11 +164,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 3000, passages_each:
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
             for i, y in enumerate(field(batch, "label").to_pylist()):
                 bag = x[edge[i] : edge[i + 1]]
-                if len(bag) > passages_each:
-                    bag = bag[np.linspace(0, len(bag) - 1, passages_each).astype(int)]
                 yield pa.RecordBatch.from_arrays([pa.array([y]), pa.array([bag.astype("<f4").tobytes()], pa.binary())], names=["label", "bag"])
 
-    rows = own.mapInArrow(run, "label double, bag binary").collect()  # at most sample x passages_each passages
+    rows = own.mapInArrow(run, "label double, bag binary").collect()  # passages of at most `sample` documents
     rows.sort(key=lambda r: (r.label, bytes(r.bag)))  # the same model however rows arrive
     bags = [np.frombuffer(bytes(r.bag), dtype="<f4").reshape(-1, WIDTH).astype(float) for r in rows]
     return AttentionModel().fit(bags, np.array([r.label for r in rows]), epochs)
@@ -187,7 +189,7 @@ def scored(docs: DataFrame, model: AttentionModel, threshold: float = 0.3) -> Da
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; learned from labels of documents that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where(~held_out)
     model = learn(docs, labels)
     return scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")

@@ -214,15 +214,29 @@ def tiles_by_hand(a, b, least):
         out += n
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 3), max_size=14), st.lists(st.integers(1, 3), max_size=14))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 1), max_size=22), st.lists(st.integers(0, 1), max_size=22))
 def test_tiles_do_not_overlap_and_reach_least(a, b):
     found = decontaminate.tiles(a, b, 3)
     in_a = [p + k for p, _, n in found for k in range(n)]
     in_b = [t + k for _, t, n in found for k in range(n)]
     assert len(set(in_a)) == len(in_a) and len(set(in_b)) == len(in_b)
     assert all(n >= 3 and a[p : p + n] == b[t : t + n] for p, t, n in found)
-    assert bool(found) == bool(tiles_by_hand(a, b, 3))
+    assert sum(n for _, _, n in found) == tiles_by_hand(a, b, 3)
+
+
+def test_what_is_left_of_a_match_counts_by_its_own_length():
+    item, text = [1, 1, 1, 0, 1, 1, 1, 0, 1, 0, 1, 0, 0, 1, 0, 1, 1, 1, 1, 1], [0, 1, 0, 1, 0, 0, 1, 1, 0, 1, 1, 1, 1, 1, 0, 1, 0]
+    assert sum(n for _, _, n in decontaminate.tiles(item, text, 3)) == tiles_by_hand(item, text, 3) == 13
+
+
+def test_contamination_in_long_and_repeated_rows_and_with_repeated_items(spark):
+    leak, other = prose(801, 40), prose(802, 40)
+    bench = spark.createDataFrame([(7, leak), (7, prose(803, 40)), (3, leak), (None, other), (9, None), (10, "")], "item_id bigint, text string")
+    docs = frame(spark, [(1, prose(1, 30_000) + " " + leak), (1, prose(1, 30_000) + " " + leak), (None, "x " + other), (4, prose(4, 50)), (5, None)])
+    for block in (4 << 20, 300):
+        got = sorted(((r.doc_id, r.contaminated, r.item_id) for r in decontaminate.covered(docs, bench, block_bytes=block).collect()), key=str)
+        assert got == sorted([(1, True, 3), (1, True, 3), (None, True, None), (4, False, None), (5, False, None)], key=str)
 
 
 # --- secrets -----------------------------------------------------------------------------------------
@@ -455,7 +469,40 @@ def test_quality_separates_and_keeps_rows(spark):
     assert quality.learn(df, labels.where("false")).constant == 0.5
 
 
-def test_attention_gradient():
+def test_gradient_against_differences():
+    draw = np.random.default_rng(1)
+    bags, y = [draw.normal(size=(n, quality.WIDTH)) for n in (1, 3, 5)], np.array([1.0, 0.0, 1.0])
+    model = quality.AttentionModel()
+    x, row = np.concatenate(bags), np.repeat(np.arange(3), [1, 3, 5])
+
+    def loss():
+        s = model.forward(x, row)[0]
+        return -float((y * np.log(s) + (1 - y) * np.log(1 - s)).mean())
+
+    grad = model.gradient(x, row, y)
+    for name, value in model.p.items():
+        for at in list(np.ndindex(value.shape))[:: max(1, value.size // 7)]:
+            old = value[at]
+            value[at] = old + 1e-5
+            up = loss()
+            value[at] = old - 1e-5
+            down = loss()
+            value[at] = old
+            assert grad[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_quality_of_rows_not_learned_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    apart = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality.learn(docs, labels.where(~apart))
+    rows = quality.scored(docs.join(labels.where(apart), "doc_id"), model).select("label", "score").collect()
+    good, bad = ([r.score for r in rows if r.label == k] for k in (1, 0))
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    assert len(bad) > 50 and auc > 0.9
+
+
+def test_learning_to_fit():
     draw = np.random.default_rng(1)
     bags, y = [draw.normal(size=(n, quality.WIDTH)) for n in (1, 3, 5)], np.array([1.0, 0.0, 1.0])
     model = quality.AttentionModel().fit(bags, y, epochs=60)
@@ -546,7 +593,7 @@ def test_gibbs_predictions_sum_to_one():
 def test_forward_sums_all_segmentations():
     net = langid.lattice(None)
     p = langid.start_probabilities(None, 1)
-    s = langid.Stretches(pa.array(["the cat"]))
+    s = langid.Spelled(pa.array(["the cat"]))
     names = langid.vocabulary()
     spelled = {(bytes([int(x[3:5], 16)]) if re.fullmatch(r"<0x..>", x) else x.encode()): i for i, x in enumerate(names) if not re.fullmatch(r"<(?!0x..>).*>", x)}
     for i, x in enumerate(names):
@@ -563,6 +610,50 @@ def test_forward_sums_all_segmentations():
     assert sorted(s.scores(net, p)[:, 0].tolist()) == pytest.approx(expected)
 
 
+def all_segmentations(word, spelled):
+    if not word:
+        return [[]]
+    return [[spelled[word[:k]], *rest] for k in range(1, len(word) + 1) if word[:k] in spelled for rest in all_segmentations(word[k:], spelled)]
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    net = langid.lattice(None)
+    p = langid.start_probabilities(None, 2)
+    p[:, 1] = np.random.default_rng(0).dirichlet(np.full(len(p), 0.3)) + 1e-9
+    names = langid.vocabulary()
+    spelled = {bytes([int(x[3:5], 16)]): i for i, x in enumerate(names) if re.fullmatch(r"<0x..>", x)} | {x.encode(): i for i, x in enumerate(names) if not re.fullmatch(r"<.*>", x)}
+    s = langid.Spelled(pa.array(["thes ba"]))
+    order = np.arange(s.n)
+    rows, lengths = s.rows(order)
+    uses = np.array([[2.0, 0.5], [1.0, 3.0]])
+    want = np.zeros((len(names), 2))
+    for k in range(s.n):
+        ways = all_segmentations(bytes(rows[k, : lengths[k]]), spelled)
+        for lang in range(2):
+            odds = np.array([np.prod(p[w, lang]) for w in ways])
+            for w, o in zip(ways, odds / odds.sum(), strict=True):
+                for piece in w:
+                    want[piece, lang] += o * uses[k, lang]
+    assert net.expected(rows, lengths, uses, p) == pytest.approx(want)
+    assert net.expected_long(rows, lengths, uses, p) == pytest.approx(want)
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    net = langid.lattice(None)
+    p = np.repeat(langid.start_probabilities(None, 1), 2, axis=1)
+    p[:, 1] = p[::-1, 1]
+    word = "".join(np.random.default_rng(1).choice(list("therinagé"), size=300))
+    texts = pa.array([f"{word[:90]} {word} abc {word[:41]} {word[:38]}"])
+    one = langid.Spelled(texts).scores(net, p, long=40)
+    assert one == pytest.approx(langid.Spelled(texts).scores(net, p, long=0))
+    assert one == pytest.approx(langid.Spelled(texts).scores(net, p, long=200))  # up to 200 bytes by the other pass
+    monkeypatch.setattr(langid, "PLACES", 37)
+    assert one == pytest.approx(langid.Spelled(texts).scores(net, p, long=0))
+    halves = langid.Spelled(pa.array([word[:150]])).scores(net, p) + langid.Spelled(pa.array([word[150:]])).scores(net, p)
+    whole = langid.Spelled(pa.array([word])).scores(net, p)
+    assert abs(halves - whole).max() > 0.1  # a cut would show
+
+
 def test_language_prediction(spark):
     words = {"aa": ["shhe", "thon", "ingly"], "bb": ["zwuk", "ßer", "kqat"]}
     draw = np.random.default_rng(2)
