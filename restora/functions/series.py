@@ -72,6 +72,39 @@ def polynomial_filter(df: DataFrame, value: str, keys: list[str], order: list[st
     return rows.withColumn(out, F.when(F.col("__n") < 3, F.col(value).cast("double")).otherwise(dot)).drop("__n", "__i", "__v", "__w", "__s")
 
 
+def smoothed_array(v: Column, window: int = 7) -> Column:
+    """Each value of an array after smoothing, as polynomial_filter does with a group's values."""
+    tables = F.array(*[F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in polynomial_rows(s)]) for s in range(3, window + 1, 2)])
+    n = F.size(v)
+    w = F.least(F.lit(window), n) - F.when(F.least(F.lit(window), n) % 2 == 0, 1).otherwise(0)
+
+    def at(i: Column) -> Column:
+        start = F.greatest(F.lit(0), F.least(i - F.floor(w / 2), n - w)).cast("int")
+        weights = F.get(F.get(tables, ((w - 3) / 2).cast("int")), i - start)
+        return F.aggregate(F.zip_with(F.slice(v, start + 1, w.cast("int")), weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+    return F.when(n < 3, v).otherwise(F.transform(v, lambda _, i: at(i)))
+
+
+def last_slope(v: Column, window: int = 7) -> Column:
+    """The slope that rolling_slope gives the last value of an array; null if it is empty."""
+    last = F.slice(v, F.greatest(F.size(v) - window + 1, F.lit(1)), F.lit(window))
+    slopes = F.flatten(F.transform(last, lambda a, i: F.transform(F.slice(last, i + 2, F.lit(window)), lambda b, k: (b - a) / (k + 1))))
+    return F.when(F.size(v) == 0, None).when(F.size(v) == 1, F.lit(0.0)).otherwise(array_median(slopes))
+
+
+def last_mean(v: Column, alpha: float = 0.5) -> Column:
+    """The exponentially weighted mean at the end of an array, as ewma gives it; null without values."""
+    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(1.0).alias("fade"))
+
+    def step(a: Column, x: Column) -> Column:
+        num, den, fade = a["num"] * a["fade"] + x, a["den"] * a["fade"] + 1, a["fade"] * (1 - alpha)
+        on = F.struct(num.alias("num"), den.alias("den"), F.lit(1 - alpha).alias("fade"))
+        return F.when(x.isNotNull(), on).otherwise(F.struct(a["num"].alias("num"), a["den"].alias("den"), fade.alias("fade")))
+
+    return F.aggregate(v, start, step, lambda a: F.when(a["den"] > 0, a["num"] / a["den"]))
+
+
 def array_median(a: Column) -> Column:
     """Median of an array by position; null if it is empty."""
     s = F.array_sort(a)

@@ -2,40 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from restora.constants import BY_PP, WEIGHTS
-from restora.functions.series import nth_row
-from restora.operators.sessions import progress, recent_adherence, usage, week_usage, with_weeks
+from restora.constants import BY_PP, EWMA_ALPHA, SLOPE_WINDOW, SMOOTH_WINDOW, WEIGHTS
+from restora.functions.series import last_mean, last_slope, smoothed_array
+from restora.operators.sessions import last_week, skipped_days_blank, with_weeks
 
 
-def features(fits: DataFrame, sessions: DataFrame, patients: DataFrame, scoring_date: Column, adherence: Callable = recent_adherence, trend: Callable = progress) -> DataFrame:
-    """All pairs of fits with their session rows (one row with nulls for pairs without sessions)."""
-    rows = adherence(sessions).join(trend(sessions).select(*BY_PP, "SESSION_DATE", "DM_INDEX", "DELTA_DM"), [*BY_PP, "SESSION_DATE"], "left")
-    out = fits.join(usage(sessions), BY_PP, "left").join(week_usage(sessions, patients, scoring_date), BY_PP, "left")
-    return out.join(rows, BY_PP, "left").join(with_weeks(patients, scoring_date), "PATIENT_ID", "left")
+def pair_metrics(sessions: DataFrame, patients: DataFrame, scoring_date: Column, alpha: float = EWMA_ALPHA, smooth: int = SMOOTH_WINDOW, window: int = SLOPE_WINDOW) -> DataFrame:
+    """One row per pair with sessions: usage, last week's usage and days, and where its series have got to.
 
+    LAST_ADHERENCE and LAST_DELTA are the metrics of the last row, SECOND_DELTA is the progress at the
+    second row of the pair's sessions joined with its difficulty values by date.  One grouping brings the
+    rows of a pair together; its series are arrays, as long as a patient's sessions of one protocol.
+    """
+    week = last_week(patients, scoring_date)
+    rows = skipped_days_blank(sessions).join(week, "PATIENT_ID", "left")
+    recent = F.expr("SESSION_DATE >= WEEK_START and SESSION_DATE < WEEK_END")
+    known = F.expr("SESSION_ID is not null and SESSION_DATE is not null and DM_VALUE is not null")
+    one = rows.groupBy(*BY_PP).agg(
+        F.count_distinct("SESSION_ID").alias("USAGE"),
+        F.count_distinct(F.when(recent, F.col("SESSION_ID"))).alias("USAGE_WEEK"),
+        F.array_sort(F.collect_set(F.when(recent, F.col("WEEKDAY_INDEX")))).alias("DAYS"),
+        F.array_sort(F.collect_list(F.struct("SESSION_DATE", "WEEKDAY_INDEX", "PRESCRIPTION_ID", "SESSION_ID", F.col("ADHERENCE").cast("double").alias("x")))).alias("__s"),
+        F.array_sort(F.collect_list(F.when(known, F.struct("SESSION_DATE", "SESSION_ID", F.col("DM_VALUE").cast("double").alias("x"))))).alias("__d"),
+    )
+    one = one.withColumn("__v", smoothed_array(F.transform("__d", lambda r: r["x"]), smooth))
+    first_day, second_day = (F.get("__s", F.lit(k))["SESSION_DATE"] for k in (0, 1))
+    on_first = F.size(F.filter("__d", lambda r: r["SESSION_DATE"] == first_day))
+    step = F.get("__v", F.lit(1)) - F.get("__v", F.lit(0))
+    at_second = F.when(F.get("__d", F.lit(0))["SESSION_DATE"] == second_day, F.lit(0.0)).when(F.get("__d", F.lit(1))["SESSION_DATE"] == second_day, step)
+    second = F.when(on_first > 1, step).when(F.size("__s") > 1, at_second)
+    return one.select(
+        *BY_PP, "USAGE", "USAGE_WEEK", "DAYS", F.size("__s").alias("SESSION_INDEX"),
+        last_mean(F.transform("__s", lambda r: r["x"]), alpha).alias("LAST_ADHERENCE"),
+        last_slope(F.col("__v"), window).alias("LAST_DELTA"), second.alias("SECOND_DELTA"),
+    )
+
+
+def features(fits: DataFrame, sessions: DataFrame, patients: DataFrame, scoring_date: Column) -> DataFrame:
+    """All pairs of fits with their metrics (nulls for pairs without sessions) and the patient's weeks."""
+    return fits.join(pair_metrics(sessions, patients, scoring_date), BY_PP, "left").join(with_weeks(patients, scoring_date), "PATIENT_ID", "left")
 
-def imputed(table: DataFrame) -> DataFrame:
-    """One row per pair: the last known value of each column, with defaults.
 
-    A missing DELTA_DM becomes the patient's median of the pairs' second rows, a missing ADHERENCE_RECENT
-    that of their last rows.
-    """
-    order = F.struct("SESSION_DATE", "SESSION_INDEX", "DM_INDEX")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    once = [c for c in ("PPF", "CONTRIB", "USAGE", "USAGE_WEEK", "DAYS", "WEEKS_SINCE_START") if c in table.columns]
-    own = table.groupBy(*BY_PP).agg(*[F.first(c, ignorenulls=True).alias(c) for c in once], *[last(c) for c in ("ADHERENCE_RECENT", "DELTA_DM", "SESSION_INDEX")])
-    zero = [c for c in ("USAGE", "USAGE_WEEK", "WEEKS_SINCE_START", "SESSION_INDEX") if c in own.columns]
-    own = own.fillna(0, subset=zero).withColumn("DAYS", F.coalesce("DAYS", F.array().cast("array<int>")))
-    for column, n in (("DELTA_DM", 1), ("ADHERENCE_RECENT", -1)):
-        nth = nth_row(table.where("SESSION_INDEX is not null"), BY_PP, ["SESSION_INDEX", "DM_INDEX"], n, column)
-        typical = nth.groupBy("PATIENT_ID").agg(F.median(column).alias("__m"))
-        own = own.join(typical, "PATIENT_ID", "left").withColumn(column, F.coalesce(column, "__m")).drop("__m")
-    return own
+def imputed(table: DataFrame) -> DataFrame:
+    """Defaults for what is missing: 0 and no days; for DELTA_DM the patient's median of the pairs' second rows, for ADHERENCE_RECENT that of their last rows."""
+    patient = Window.partitionBy("PATIENT_ID")
+    out = table.fillna(0, subset=["USAGE", "USAGE_WEEK", "WEEKS_SINCE_START", "SESSION_INDEX"]).withColumns({
+        "DAYS": F.coalesce("DAYS", F.array().cast("array<int>")),
+        "DELTA_DM": F.coalesce("LAST_DELTA", F.median("SECOND_DELTA").over(patient)),
+        "ADHERENCE_RECENT": F.coalesce("LAST_ADHERENCE", F.median("LAST_ADHERENCE").over(patient)),
+    })
+    return out.drop("LAST_DELTA", "LAST_ADHERENCE", "SECOND_DELTA")
 
 
 def scored(table: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:

@@ -29,12 +29,28 @@ def expected_sessions(sessions: DataFrame, today: Column) -> DataFrame:
 
 
 def with_missing_sessions(sessions: DataFrame, today: Column) -> DataFrame:
-    """Dated sessions, and a NOT_PERFORMED row for each expected date on which the prescription has none."""
-    dated = sessions.where("SESSION_DATE is not null")
-    lacking = expected_sessions(sessions, today).join(dated.select("PRESCRIPTION_ID", "SESSION_DATE").distinct(), ["PRESCRIPTION_ID", "SESSION_DATE"], "left_anti")
+    """Dated sessions, and a NOT_PERFORMED row for each expected date on which the prescription has none.
+
+    One pass over the sessions of each patient: a prescription's first row brings the dates that it lacks.
+    """
+    prescription = Window.partitionBy("PATIENT_ID", "PRESCRIPTION_ID")
+    no_dates = F.array().cast("array<date>")
+    rows = sessions.withColumns({
+        "__last": F.max("SESSION_DATE").over(Window.partitionBy("PATIENT_ID")),
+        "__performed": F.when(F.col("PRESCRIPTION_ID").isNotNull(), F.collect_set("SESSION_DATE").over(prescription)).otherwise(no_dates),
+        "__row": F.row_number().over(Window.partitionBy("PATIENT_ID", *[c for c in PRESCRIBED if c != "PATIENT_ID"]).orderBy("SESSION_DATE")),
+    })
+    end = F.least("PRESCRIPTION_ENDING_DATE", F.coalesce("__last", today))
+    dates = expected_dates(F.col("PRESCRIPTION_STARTING_DATE"), end, F.col("WEEKDAY_INDEX"))
+    whole = F.expr("PRESCRIPTION_STARTING_DATE is not null and PRESCRIPTION_ENDING_DATE is not null and WEEKDAY_INDEX is not null")
+    lacking = F.when((F.col("__row") == 1) & whole, F.array_except(dates, "__performed")).otherwise(no_dates)
+    own = F.when(F.col("SESSION_DATE").isNotNull(), F.array("SESSION_DATE")).otherwise(no_dates)
+    each = F.concat(F.transform(own, lambda d: F.struct(d.alias("day"), F.lit(True).alias("real"))), F.transform(lacking, lambda d: F.struct(d.alias("day"), F.lit(False).alias("real"))))
+    out = rows.withColumn("__d", F.explode(each))
     fixed = {"STATUS": F.lit(NOT_PERFORMED), "ADHERENCE": F.lit(0.0)} | {c: F.lit(0) for c in ("SESSION_DURATION", "REAL_SESSION_DURATION") if c in sessions.columns}
-    blank = {c: F.lit(None).cast(sessions.schema[c].dataType) for c in sessions.columns if c not in PRESCRIBED and c not in fixed and c != "SESSION_DATE"}
-    return dated.unionByName(lacking.withColumns(fixed | blank).select(*sessions.columns))
+    filled = lambda c: F.when(F.col("__d.real"), F.col(c)).otherwise(fixed[c]) if c in fixed else F.when(F.col("__d.real"), F.col(c))
+    columns = [F.col("__d.day").alias(c) if c == "SESSION_DATE" else F.col(c) if c in PRESCRIBED else filled(c).cast(sessions.schema[c].dataType).alias(c) for c in sessions.columns]
+    return out.select(*columns)
 
 
 def in_trial(sessions: DataFrame, patients: DataFrame, scoring_date: Column) -> DataFrame:

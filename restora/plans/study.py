@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,14 @@ from restora.operators.sessions import in_trial, with_missing_sessions
 from restora.sources.tables import Loader, cohort, completed_fits
 
 
-def score_table(fits: DataFrame, sessions: DataFrame, patients: DataFrame, scoring_date: Column, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """One row per pair of fits with its metrics and SCORE; without sessions the score is the fit alone."""
+def score_table(fits: DataFrame, sessions: DataFrame, patients: DataFrame, scoring_date: Column, weights: tuple[float, float, float] = WEIGHTS, build: Callable[..., DataFrame] = features, fill: Callable[[DataFrame], DataFrame] = imputed, score: Callable[..., DataFrame] = scored) -> DataFrame:
+    """One row per pair of fits with its metrics and SCORE; without sessions the score is the fit alone.
+
+    build, fill and score can be replaced: build(fits, sessions, patients, scoring_date) gives the feature table,
+    fill(table) completes it, and score(table, weights) adds SCORE.
+    """
     rows = in_trial(with_missing_sessions(sessions, scoring_date), patients, scoring_date)
-    return scored(imputed(features(fits, rows, patients, scoring_date)), weights)
+    return score(fill(build(fits, rows, patients, scoring_date)), weights)
 
 
 def prepared(fits: DataFrame, sessions: DataFrame, similarity: DataFrame, protocols: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
