@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restora.llm.graph import stored
+from restora.llm.graph import stored, tidy
 from restora.llm.restaurants import Level, Tree, discount_of
 from restora.llm.textkit import _LOWER, Words, field, mix, pieces, string_bytes
 
 ORDER, ROOT, STRENGTH, BLOCK_BYTES, PART_BYTES = 7, 3, 1.0, 32 << 20, 12 << 20
 #: Sweeps of the first round; of the second, whose first is left out of the average.
 SWEEPS = 1, 3
+#: Listed keys held before they are merged.
+HELD = 3 << 20
 END, BLANK = 0x0A, 0x20
 WORD_BIT = np.uint64(1 << 63)
 #: Keys under which the first round reports training tokens, distinct words, and dishes of one and two customers by level.
@@ -93,6 +95,27 @@ def listed(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], np.add.reduceat(values[order], first) if len(keys) else values
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes; the first 8 bytes tell how many there are."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw[8:], n * size, "zstd", asbytes=True), dtype=np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, "<u8"), dtype=np.uint64)
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Parts 0..parts-1 of byte strings, by the nearest context bytes; parts..2*parts-1 of words."""
     word = keys >= WORD_BIT
@@ -115,7 +138,7 @@ def lists(dealt: DataFrame, order: int, parts: int) -> DataFrame:
                 held.append(listed(keys[use]))
                 rest = listed(keys[~use])[0]
                 held.append((rest, np.zeros(len(rest), np.int64)))
-            if len(held) > 40:
+            if sum(len(k) for k, _ in held) > HELD:
                 held = [listed(*map(np.concatenate, zip(*held, strict=True)))]
         if block is None:
             return
@@ -125,7 +148,7 @@ def lists(dealt: DataFrame, order: int, parts: int) -> DataFrame:
         keys, uses, part = keys[order_], uses[order_], part[order_]
         edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            row = [int(part[a])], [block], [keys[a:b].tobytes()], [uses[a:b].astype("<i8").tobytes()]
+            row = [int(part[a])], [block], [packed_keys(keys[a:b])], [packed(uses[a:b].astype("<i8"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "keys", "uses"])
 
     return dealt.select("block", "text", "train").mapInArrow(run, "part int, block int, keys binary, uses binary")
@@ -139,15 +162,15 @@ class Part:
         rows.sort(key=lambda r: r[1])  # the same however rows arrive
         self.number = rows[0][0] if rows else -1
         self.blocks, self.asked = [r[1] for r in rows], [r[2] for r in rows]
-        keys = np.frombuffer(b"".join(self.asked), dtype=np.uint64)
-        uses = np.frombuffer(b"".join(r[3] for r in rows), dtype="<i8")
-        self.keys, self.uses = listed(keys, uses) if len(keys) else (keys, uses)
+        none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        keys, uses = ([unpacked_keys(r[2]) for r in rows], [unpacked(r[3], "<i8") for r in rows]) if rows else none
+        self.keys, self.uses = listed(np.concatenate(keys), np.concatenate(uses))
 
     def answers(self, values: np.ndarray, kind: type) -> Iterator[pa.RecordBatch]:
         """part, block, keys and values (packed) for each block that asked."""
         for block, asked in zip(self.blocks, self.asked, strict=True):
-            own = values[np.searchsorted(self.keys, np.frombuffer(asked, dtype=np.uint64))].astype(kind)
-            row = [self.number], [block], [asked], [own.tobytes()]
+            own = values[np.searchsorted(self.keys, unpacked_keys(asked))].astype(kind)
+            row = [self.number], [block], [asked], [packed(own)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "keys", "values"])
 
 
@@ -295,7 +318,8 @@ def scored(docs: DataFrame, order: int = ORDER, sweeps: tuple[int, int] = SWEEPS
     parts = max(1, -(-int(size) // part_bytes))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
     asked = stored(lists(dealt, order, parts)).repartitionById(2 * parts, F.col("part"))
-    r = first_round(asked, order, parts, sweeps[0]).toArrow()  # at most 256 ** ROOT rows and some
+    with tidy(docs.sparkSession):
+        r = first_round(asked, order, parts, sweeps[0]).toArrow()  # at most 256 ** ROOT rows and some
     key, n = r.column("key").to_numpy(), r.column("n").to_numpy()
     told = dict(zip(key[key < 0].tolist(), n[key < 0].tolist(), strict=True))
     by = np.argsort(key)
@@ -323,7 +347,8 @@ def scored(docs: DataFrame, order: int = ORDER, sweeps: tuple[int, int] = SWEEPS
                 tables = []
                 for words, kind in ((False, "<f4"), (True, "<i8")):
                     own = [(k, v) for x, k, v in told_ if (x >= parts) == words]
-                    tables.append((Lookup(np.frombuffer(b"".join(k for k, _ in own), dtype=np.uint64)), np.frombuffer(b"".join(v for _, v in own), dtype=kind)))
+                    keys = [unpacked_keys(k) for k, _ in own] or [np.zeros(0, np.uint64)]
+                    tables.append((Lookup(np.concatenate(keys)), np.concatenate([unpacked(v, kind) for _, v in own] or [np.zeros(0, kind)])))
                 told_ = []
             for piece in pieces(iter([batch.filter(pa.array(~answer))]), most=1 << 20):
                 s = Stream(field(piece, "text"), order)
