@@ -3,20 +3,23 @@
 Each table has `functions` hashes floor((a.x + b) / width) with Gaussian a; equal hashes share a bucket.
 A query visits its own bucket and then perturbed ones in order of their estimated success: the sum of
 squared distances from the query's projections to the bucket walls that the perturbation crosses.
-Candidates of all tables are merged and ranked by exact distance in double precision.
+Buckets of all vectors and visits of all queries are rows that Spark joins by bucket, split where a bucket
+is hot; the candidates of all tables are merged and go, as lists, to the blocks that hold the vectors, where
+their distances, and no others, are computed in double precision.
+
+Equal vectors are one row in all of this: of those that share a vector, the k + 1 smallest ids are kept, for no
+others can be among anyone's k nearest.
 
 Widths follow the data: there is one for each level of the distances to the k-th nearest in a bounded sample,
 `spread` times the level, and a query takes the level next above its own such distance.  That distance also bounds
 the true one from above, so a query with fewer than k hits, or with the k-th beyond it, has missed some; all
-such queries are compared with every vector.
-Every vector is indexed.  Queries are packed in blocks of `block` on the executors, and tasks take every
-pair of a group of blocks and a partition of vectors, find the probes themselves, and keep the best of their
-own vectors: neither queries nor probes reach the driver, and candidates are never shuffled.  Work therefore
-grows with vectors x queries; where few vectors are hit, only their distances are computed.
+such queries are compared with every block.
+Every vector is indexed.
 
 Results for special cases: vectors that are null, zero, not of the commonest dimension, or that hold
 null or non-finite components take no part; ties go to the smaller vec_id; only if fewer than k other
-vectors take part, there are fewer rows; no vectors give no rows.
+vectors take part, there are fewer rows; no vectors give no rows; of rows that share a vec_id each is a query and
+a candidate, and a query's own row is none for it.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from restora.llm.graph import cut
+from restora.llm.graph import keyed_join, stored
 from restora.llm.textkit import field, mix, randoms
 
 SAMPLE = 1000
 #: Up to so many functions all steps to neighbouring buckets are ranked at once.
 ENUMERATED = 8
-#: Vectors packed in one row, query blocks in one group, and the share of hits under which distances are computed one by one.
-CHUNK, GROUP, SPARSE = 4096, 16, 0.05
+#: Vectors of a block.
+BLOCK = 4096
 #: Levels differ by this factor at least.
 STEP = 1.25
 
@@ -51,6 +54,10 @@ class Tables:
         self.width = width
         self.salt = randoms(functions, 31) | np.uint64(1)
 
+    def salt_of(self, level: int, t: int) -> np.uint64:
+        """Tells the buckets of tables and levels apart."""
+        return randoms(level * len(self.a) + t + 1, 33)[-1]
+
     def projected(self, x: np.ndarray, t: int) -> np.ndarray:
         return (x @ self.a[t] + self.b[t]) / self.width
 
@@ -67,7 +74,13 @@ class Tables:
         inside = p - home
         m = p.shape[1]
         if m > ENUMERATED:
-            return self.keys((home[:, None, :] + np.array([_cheapest(x, probes) for x in inside])).reshape(-1, m)).reshape(len(q), -1)
+            walls = np.concatenate([inside**2, (1 - inside) ** 2], axis=1)
+            order = np.argsort(walls, axis=1)
+            sets = wall_sets(m, 3 * probes)  # of walls by rank
+            cost = np.take_along_axis(walls, order, axis=1) @ sets.T
+            best = np.argpartition(cost, min(probes, len(sets) - 1), axis=1)[:, : probes + 1]
+            crossed = np.take_along_axis(sets[best], np.argsort(order, axis=1)[:, None, :], axis=2)
+            return self.keys((home[:, None, :] + crossed[:, :, m:] - crossed[:, :, :m]).reshape(-1, m)).reshape(len(q), -1)
         steps = np.indices((3,) * m).reshape(m, -1).T - 1  # every step of -1, 0 or 1 along each function
         down, up, n = (steps < 0).T.astype(float), (steps > 0).T.astype(float), min(probes + 1, len(steps))
         out = np.empty((len(q), n), dtype=np.uint64)
@@ -79,67 +92,37 @@ class Tables:
         return out
 
 
-def _cheapest(inside: np.ndarray, probes: int) -> np.ndarray:
-    """The step to the query's own bucket and the `probes` cheapest others, from a heap of perturbation sets."""
-    m = len(inside)
-    out = np.zeros((probes + 1, m), dtype=np.int64)
-    walls = sorted([(inside[j] ** 2, j, -1) for j in range(m)] + [((1 - inside[j]) ** 2, j, 1) for j in range(m)])
-    heap, n = [(walls[0][0], (0,))], 0
-    while heap and n < probes:
-        cost, chosen = heappop(heap)
-        last = chosen[-1]
-        if last + 1 < 2 * m:
-            heappush(heap, (cost - walls[last][0] + walls[last + 1][0], (*chosen[:-1], last + 1)))
-            heappush(heap, (cost + walls[last + 1][0], (*chosen, last + 1)))
-        if len({walls[k][1] for k in chosen}) == len(chosen):
-            n += 1
-            for k in chosen:
-                out[n, walls[k][1]] += walls[k][2]
-    return out
-
-
-def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, hit: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, distances) of the k nearest hits."""
-    square = None
-    if hit.mean() >= SPARSE:
-        square = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
-        slack = 1e-9 * (1 + float(np.abs(square).max(initial=0)))
-    for i in range(len(q)):
-        at = np.flatnonzero(hit[i])
-        if not len(at):
-            continue
-        if len(at) > k and square is not None:
-            rough = square[i, at]
-            at = at[rough <= np.partition(rough, k - 1)[k - 1] + slack]
-        d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
-        order = np.lexsort((ids[at], d))[:k]
-        yield i, ids[at][order], d[order]
-
-
-class Best:
-    """The k nearest so far of each query of a block."""
-
-    def __init__(self, names: np.ndarray, k: int):
-        self.names, self.k, self.of = names, k, {}
-
-    def add(self, i: int, ids: np.ndarray, d: np.ndarray) -> None:
-        if i in self.of:
-            ids, d = np.r_[self.of[i][0], ids], np.r_[self.of[i][1], d]
-            order = np.lexsort((ids, d))[: self.k]
-            ids, d = ids[order], d[order]
-        self.of[i] = ids, d
-
-    def rows(self) -> pa.RecordBatch:
-        found = list(self.of.values())
-        owners = np.repeat(self.names[list(self.of)], [len(x[0]) for x in found])
-        return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["query_id", "vec_id", "score"])
+_SETS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def wall_sets(m: int, count: int) -> np.ndarray:
+    """Rows of 0 and 1 over the 2 m walls by rank: none, and the `count` sets of least expected cost, from a heap; no set has both walls of a function."""
+    if (m, count) not in _SETS:
+        j = np.arange(1, m + 1)
+        near = j * (j + 1) / (4 * (m + 1) * (m + 2))  # expected squared distance to the wall of rank j
+        far = 1 - j / (m + 1) + j * (j + 1) / (4 * (m + 1) * (m + 2))
+        walls = np.r_[near, far[::-1]]
+        out = [np.zeros(2 * m)]
+        heap = [(walls[0], (0,))]
+        while heap and len(out) <= count:
+            cost, chosen = heappop(heap)
+            last = chosen[-1]
+            if last + 1 < 2 * m:
+                heappush(heap, (cost - walls[last] + walls[last + 1], (*chosen[:-1], last + 1)))
+                heappush(heap, (cost + walls[last + 1], (*chosen, last + 1)))
+            if not any(2 * m - 1 - c in chosen for c in chosen):
+                row = np.zeros(2 * m)
+                row[list(chosen)] = 1
+                out.append(row)
+        _SETS[m, count] = np.array(out)
+    return _SETS[m, count]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (double) of the vectors that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return v.where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda c: c != 0))
+    return v.where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda c: c != 0)).withColumn("embedding", F.transform("embedding", lambda c: c + 0.0))
 
 
 def levels_of(distances: np.ndarray) -> np.ndarray:
@@ -159,80 +142,99 @@ def kth(q: np.ndarray, names: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int
     return np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0) + slack) if len(x) >= k else np.full(len(q), np.inf)
 
 
-def bounded(q: DataFrame, x: np.ndarray, ids: np.ndarray, levels: np.ndarray, k: int) -> DataFrame:
-    """q with the bound of its k-th distance, from a sample, and the number of its level."""
+def bounded(q: DataFrame, x: np.ndarray, reps: np.ndarray, levels: np.ndarray, k: int) -> DataFrame:
+    """q (rep, embedding) with the bound of its k-th distance, from a sample, and the number of its level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                names = field(batch, "vec_id").to_numpy()
-                bound = kth(field(batch, "embedding").flatten().to_numpy().reshape(len(names), x.shape[1]), names, x, ids, k)
+                names = field(batch, "rep").to_numpy()
+                bound = kth(matrix(batch, x.shape[1]), names, x, reps, k)
                 level = np.minimum(np.searchsorted(levels, bound), len(levels) - 1)
-                yield pa.RecordBatch.from_arrays([field(batch, "vec_id"), field(batch, "embedding"), pa.array(bound), pa.array(level.astype(np.int64))], names=["vec_id", "embedding", "bound", "level"])
+                yield pa.RecordBatch.from_arrays([field(batch, "rep"), field(batch, "embedding"), pa.array(bound), pa.array(level.astype(np.int32))], names=["rep", "embedding", "bound", "level"])
+
+    return q.select("rep", "embedding").mapInArrow(run, "rep long, embedding array<double>, bound double, level int")
 
-    return q.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, bound double, level long")
 
+def matrix(batch: pa.RecordBatch, dimension: int) -> np.ndarray:
+    return field(batch, "embedding").flatten().to_numpy().reshape(-1, dimension)
 
-def packed(df: DataFrame, most: int, prefix: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Ids, embeddings and extra columns (bytes of longs and doubles) of up to `most` vectors a row."""
-    names = [f"{prefix}_ids", f"{prefix}_at", *(f"{prefix}_{e}" for e in extra)]
+
+def buckets(v: DataFrame, hashes: dict[int, Tables]) -> DataFrame:
+    """key and rep: the bucket of each vector (rep, embedding) in every table of every level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, most):
-                batch = whole.slice(start, most)
-                columns = [field(batch, "vec_id"), field(batch, "embedding").flatten(), *(field(batch, e) for e in extra)]
-                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in columns], names=names)
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                for level, tables in hashes.items():
+                    x = matrix(batch, tables.a.shape[1])
+                    for t in range(len(tables.a)):
+                        keys = tables.keys(np.floor(tables.projected(x, t))) + tables.salt_of(level, t)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), field(batch, "rep")], names=["key", "rep"])
 
-    return df.select("vec_id", "embedding", *extra).mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+    return v.select("rep", "embedding").mapInArrow(run, "key long, rep long")
 
 
-def searched(v: DataFrame, q: DataFrame, many: int, dimension: int, hashes: list[Tables] | None, probes: int, k: int, block: int) -> DataFrame:
-    """query_id, vec_id, score: of each query (many in number) the k nearest hits of every partition of v; without hashes (one a level) all are hits."""
+def visits(q: DataFrame, hashes: dict[int, Tables], probes: int) -> DataFrame:
+    """key and query: the buckets that each query (rep, embedding, level) visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, at, probe = None, None, None, []
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                levels = field(batch, "level").to_numpy()
+                for level in np.unique(levels).tolist():
+                    part = batch.filter(pa.array(levels == level))
+                    tables = hashes[level]
+                    x, reps = matrix(part, tables.a.shape[1]), field(part, "rep").to_numpy()
+                    for t in range(len(tables.a)):
+                        keys = tables.probes(x, t, probes) + tables.salt_of(level, t)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(reps, keys.shape[1]))], names=["key", "query"])
+
+    return q.select("rep", "embedding", "level").mapInArrow(run, "key long, query long")
+
+
+def nearest(v: DataFrame, asked: DataFrame, dimension: int, k: int) -> DataFrame:
+    """query, rep, score: for each row of asked (block, query, embedding, wanted) the k nearest of the wanted vectors of a block, of all if wanted is null; v has (block, rep, embedding)."""
+    none = F.lit(None).cast("array<bigint>")
+    rows = v.select("block", F.lit(0).alias("kind"), "rep", "embedding", none.alias("wanted"))
+    both = rows.unionByName(asked.select("block", F.lit(1).alias("kind"), F.col("query").alias("rep"), "embedding", "wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, reps, x = None, [], None, None
         for batch in batches:
-            for q_ids, q_at, q_level, v_ids, v_at in zip(*(field(batch, n).to_pylist() for n in ("q_ids", "q_at", "q_level", "v_ids", "v_at")), strict=True):
-                if q_ids != now:  # the pairs of a block come one after the other
-                    if best is not None and best.of:
-                        yield best.rows()
-                    now, best, at = q_ids, Best(np.frombuffer(q_ids, dtype=np.int64), k), np.frombuffer(q_at).reshape(-1, dimension)
-                    probe, level = [], np.frombuffer(q_level, dtype=np.int64)
-                    for one in np.unique(level) if hashes else []:
-                        members = np.flatnonzero(level == one)
-                        for t in range(len(hashes[one].a)):
-                            keys = hashes[one].probes(at[members], t, probes)
-                            flat = keys.reshape(-1)
-                            order = np.argsort(flat, kind="stable")
-                            probe.append((hashes[one], t, flat[order], members[order // keys.shape[1]].astype(np.int32)))
-                ids, x = np.frombuffer(v_ids, dtype=np.int64), np.frombuffer(v_at).reshape(-1, dimension)
-                hit = np.full((len(at), len(ids)), hashes is None)
-                for table, t, keys, owner in probe:
-                    own = table.keys(np.floor(table.projected(x, t)))
-                    low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                    n = high - low
-                    which = np.repeat(np.arange(len(ids)), n)
-                    place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                    hit[owner[place], which] = True
-                hit &= best.names[:, None] != ids[None, :]
-                for i, near_ids, d in nearest(at, x, ids, hit, k):
-                    best.add(i, near_ids, d)
-        if best is not None and best.of:
-            yield best.rows()
-
-    blocks = packed(q.repartition(max(1, -(-many // (block * GROUP)))), block, "q", ("level",))
-    return blocks.hint("shuffle_replicate_nl").crossJoin(packed(v, CHUNK, "v")).mapInArrow(run, "query_id long, vec_id long, score double")
-
-
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 32, functions: int = 8, probes: int = 120, spread: float = 1.35, block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found of each query; a query's own vec_id is no candidate."""
+            block, kind, names = (field(batch, c).to_numpy() for c in ("block", "kind", "rep"))
+            at, wanted, out = matrix(batch, dimension), field(batch, "wanted"), []
+            edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])])
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(block)], strict=True):
+                if block[a] != now:
+                    now, parts, reps, x = block[a], [], np.zeros(0, np.int64), np.zeros((0, dimension))
+                if kind[a] == 0:  # the vectors of a block come before the queries
+                    parts.append((names[a:b], at[a:b]))
+                    continue
+                if parts:
+                    reps, x = np.concatenate([reps, *(n for n, _ in parts)]), np.concatenate([x, *(y for _, y in parts)])
+                    order = np.argsort(reps)
+                    reps, x, parts = reps[order], x[order], []
+                for i in range(a, b):
+                    own = np.searchsorted(reps, np.sort(wanted[i].values.to_numpy())) if wanted[i].is_valid else np.arange(len(reps))
+                    if not len(own):
+                        continue
+                    d = np.sqrt(((x[own] - at[i]) ** 2).sum(axis=1))
+                    if len(d) > k:
+                        keep = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])  # ties stay; their ids decide later
+                        own, d = own[keep], d[keep]
+                    out.append((np.full(len(own), names[i]), reps[own], d))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query", "rep", "score"])
+
+    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "query long, rep long, score double")
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 64, functions: int = 16, probes: int = 200, spread: float = 2.05, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found of each query; a query's own row is no candidate."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     v, q = usable(vectors), usable(queries)
@@ -241,22 +243,53 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
         return empty
     dimension = common.n
     v, q = v.where(F.size("embedding") == dimension), q.where(F.size("embedding") == dimension)
-    sample = v.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vec_id", "embedding").collect()
-    ids, x = np.array([r.vec_id for r in sample], dtype=np.int64), np.array([r.embedding for r in sample])
-    apart = kth(x, ids, x, ids, k)
+    for seed in range(8):  # a rep stands for a vector: another seed if two vectors shared one
+        rep = F.xxhash64("embedding", F.lit(seed))
+        same = Window.partitionBy("rep", "embedding").orderBy("vec_id")
+        members = v.withColumn("rep", rep).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+        members = stored(members)
+        reps = members.where("r = 1").select("rep", "embedding")
+        if reps.groupBy("rep").count().where("count > 1").isEmpty():
+            break
+    reps = stored(reps)
+    total = reps.count()
+    blocks = max(1, -(-total // block))
+    reps = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    own = Window.partitionBy("rep", "embedding", "vec_id").orderBy(F.lit(0))
+    asking = stored(q.withColumn("rep", rep).withColumn("nth", F.row_number().over(own)))
+    sample = reps.orderBy(F.xxhash64("rep", F.lit(1))).limit(SAMPLE).select("rep", "embedding").collect()
+    names, x = np.array([r.rep for r in sample], dtype=np.int64), np.array([r.embedding for r in sample])
+    apart = kth(x, names, x, names, k)
     levels = levels_of(apart[np.isfinite(apart)])
-    q = cut(bounded(q, x, ids, levels, k))
-    many = q.count()
-    if not many:
-        return empty
-    found = cut(ranked(searched(v, q, many, dimension, [Tables(dimension, tables, functions, spread * w) for w in levels], probes, k, block), k))
-    bounds = q.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("bound").alias("bound"))
-    whole = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("far")).join(bounds, "query_id").where((F.col("n") >= k) & (F.col("far") <= F.col("bound"))).select("query_id")
-    short = cut(q.join(whole, F.col("vec_id") == F.col("query_id"), "left_anti"))
-    few = short.count()
-    if not few:
-        return found
-    return found.join(whole, "query_id", "left_semi").unionByName(ranked(searched(v, short, few, dimension, None, probes, k, block), k))
+    different = stored(bounded(asking.groupBy("rep").agg(F.first("embedding").alias("embedding")), x, names, levels, k))
+    hashes = {r.level: Tables(dimension, tables, functions, spread * levels[r.level]) for r in different.select("level").distinct().collect()}  # a row for each level
+
+    pairs = keyed_join(visits(different, hashes, probes), buckets(reps, hashes), "key", "key").select("query", "rep")
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")).groupBy("query", "block").agg(F.collect_set("rep").alias("wanted"))  # vectors of a block
+    asked = keyed_join(pairs, different.select(F.col("rep").alias("of"), "embedding"), "query", "of")
+    found = stored(nearest(reps, asked.select("block", "query", "embedding", "wanted"), dimension, k + 1))
+
+    def ranked(df: DataFrame, most: int) -> DataFrame:
+        """The `most` nearest members of each query, from its nearest vectors."""
+        near = df.withColumn("__r", F.rank().over(Window.partitionBy("query").orderBy("score"))).where(F.col("__r") <= most)
+        each = keyed_join(near.select("query", F.col("rep").alias("near"), "score"), members.select("rep", "vec_id", "r"), "near", "rep")
+        by = Window.partitionBy("query").orderBy("score", "vec_id", "r")
+        return each.withColumn("__k", F.row_number().over(by)).where(F.col("__k") <= most).select("query", "near", "vec_id", "r", "score")
+
+    best = stored(ranked(found, k + 1))
+    far = best.groupBy("query").agg(F.count("*").alias("n"), F.max("score").alias("far"))
+    whole = different.join(far, F.col("rep") == F.col("query")).where((F.col("n") > k) & (F.col("far") <= F.col("bound"))).select("query")
+    short = stored(different.join(whole, F.col("rep") == F.col("query"), "left_anti").select(F.col("rep").alias("query"), "embedding"))
+    if not short.isEmpty():
+        every = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("wanted", F.lit(None).cast("array<bigint>"))
+        exact = ranked(nearest(reps, every, dimension, k + 1), k + 1)
+        best = stored(keyed_join(best, whole.select(F.col("query").alias("ok")), "query", "ok", "left_semi").unionByName(exact))
+    # a query's own row: the nth of those with its vector and id
+    best = best.withColumn("m", F.row_number().over(Window.partitionBy("query", "near", "vec_id").orderBy("r")))
+    out = keyed_join(best, asking.select(F.col("rep").alias("of"), F.col("vec_id").alias("query_id"), "nth"), "query", "of")
+    out = out.where("not (near = query and vec_id = query_id and m = nth)")
+    rank = F.row_number().over(Window.partitionBy("query", "query_id", "nth").orderBy("score", "vec_id", "near", "r"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
