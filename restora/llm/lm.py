@@ -316,8 +316,8 @@ def scored(docs: DataFrame, order: int = ORDER, sweeps: tuple[int, int] = SWEEPS
     size, many, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_if("train")).first()
     blocks = max(1, -(-int(size) // block_bytes), -(-int(many) // 100_000))
     parts = max(1, -(-int(size) // part_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
-    asked = stored(lists(dealt, order, parts)).repartitionById(2 * parts, F.col("part"))
+    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    asked = stored(lists(placed.repartitionById(blocks, F.col("block")), order, parts)).repartitionById(2 * parts, F.col("part"))
     with tidy(docs.sparkSession):
         r = first_round(asked, order, parts, sweeps[0]).toArrow()  # at most 256 ** ROOT rows and some
     key, n = r.column("key").to_numpy(), r.column("n").to_numpy()
@@ -330,7 +330,7 @@ def scored(docs: DataFrame, order: int = ORDER, sweeps: tuple[int, int] = SWEEPS
     whole = tokens + 0.5 * (kinds + 1)
     answers = second_round(asked, order, parts, discounts, short, p, sweeps[1])
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("train", "boolean"))]
-    both = answers.select("block", "part", "keys", "values", *empty).unionByName(dealt.select("block", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), "doc_id", "text", "train"))
+    both = answers.select("block", "part", "keys", "values", *empty).unionByName(placed.select("block", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), "doc_id", "text", "train"))
     both = both.repartitionById(blocks, F.col("block")).sortWithinPartitions(F.col("part").isNull())
     end_base = float(np.log10((ends + 0.5) / whole))
 
