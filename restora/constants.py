@@ -2,7 +2,6 @@
 
 PATIENT, PROTOCOL, PRESCRIPTION, SESSION = "PATIENT_ID", "PROTOCOL_ID", "PRESCRIPTION_ID", "SESSION_ID"
 BY_PP = [PATIENT, PROTOCOL]
-BY_PPS = [PATIENT, PROTOCOL, SESSION]
 NOT_PERFORMED = "NOT_PERFORMED"
 
 #: Protocols per patient, days, protocols a day, and the weights of adherence, progress and fit.

@@ -88,10 +88,19 @@ def cohort_summary(sessions: DataFrame, fits: DataFrame) -> DataFrame:
     return out.join(slopes, "PATIENT_ID", "left")
 
 
-def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Average ranks; counts of distinct values are ranked, so no task sees all rows of a large table."""
-    counts = df.groupBy(column).agg(F.count("*").alias("__c"))
-    ranked = counts.withColumn("__e", F.sum("__c").over(Window.orderBy(column)))  # distinct values
+def average_rank(df: DataFrame, column: str, out: str, parts: int = 64) -> DataFrame:
+    """Average ranks of the non-null values of a numeric column.
+
+    Counts of distinct values are dealt into ranges by approximate quantiles and summed inside each; what
+    lies before a range is one number for each of at most `parts` ranges.
+    """
+    bounds = sorted(set(df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    limits = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__part", F.size(F.filter(limits, lambda b: b < F.col(column))))
+    before = counts.groupBy(F.col("__part").alias("__p")).agg(F.sum("__c").alias("__s"))
+    before = before.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__b"))  # at most `parts` rows
+    ranked = counts.join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn("__e", F.col("__b") + F.sum("__c").over(Window.partitionBy("__part").orderBy(column)))
     return df.join(ranked.select(F.col(column).alias("__v"), (F.col("__e") - (F.col("__c") - 1) / 2).alias(out)), F.col(column) == F.col("__v")).drop("__v")
 
 
@@ -111,20 +120,38 @@ def normal_equations(df: DataFrame, y: str, xs: list[str]) -> tuple[list[list[fl
     return xx, [float(r[f"y{i}"] or 0) for i in range(len(columns))], r["n"], float(r["yy"] or 0)
 
 
+def two_sided_p(t: float, freedom: int) -> float:
+    """Probability of a larger |t| under Student's distribution, from the incomplete beta function's continued fraction."""
+    x, a, b = freedom / (freedom + t * t), freedom / 2, 0.5
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    if x <= 0:
+        return 1.0 if flip else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 0.0  # from the innermost term of the fraction outwards
+    for k in range(400, 0, -1):
+        m = k // 2
+        term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = term / (1 + value)
+    part = front / (1 + value)
+    return 1 - part if flip else part
+
+
 def linear_model(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """TERM, COEFFICIENT, STD_ERROR, T and R2 of ordinary least squares; none if the system has no solution."""
+    """TERM, COEFFICIENT, STD_ERROR, T, P (two-sided) and R2 of ordinary least squares; none if the system has no solution."""
     import numpy as np
 
     xx, xy, n, yy = normal_equations(df, y, xs)
     a, b = np.array(xx), np.array(xy)
-    spark, schema = df.sparkSession, "TERM string, COEFFICIENT double, STD_ERROR double, T double, R2 double"
+    spark, schema = df.sparkSession, "TERM string, COEFFICIENT double, STD_ERROR double, T double, P double, R2 double"
     if n <= len(b) or np.linalg.matrix_rank(a) < len(b):
         return spark.createDataFrame([], schema)
     beta, inverse = np.linalg.solve(a, b), np.linalg.inv(a)
     rest, spread = yy - float(beta @ b), yy - b[0] ** 2 / n
     error = np.sqrt(np.maximum(rest / (n - len(b)) * np.diag(inverse), 0))
     r2 = 1 - rest / spread if spread > 0 else float("nan")
-    rows = [(t, float(c), float(e), float(c / e) if e > 0 else None, float(r2)) for t, c, e in zip(["(intercept)", *xs], beta, error, strict=True)]
+    rows = [(t, float(c), float(e), float(c / e) if e > 0 else None, two_sided_p(float(c / e), n - len(b)) if e > 0 else None, float(r2)) for t, c, e in zip(["(intercept)", *xs], beta, error, strict=True)]
     return spark.createDataFrame(rows, schema)
 
 
@@ -204,6 +231,19 @@ def adherence_matrix(df: DataFrame, protocols: list[int]) -> DataFrame:
     return df.groupBy("PATIENT_ID").pivot("PROTOCOL_ID", protocols).agg(F.avg("ADHERENCE")).fillna(0.0)
 
 
+def matrix_margins(df: DataFrame) -> DataFrame:
+    """AXIS, KEY and MEAN: the means of the matrix's known cells by patient and by protocol."""
+    cells = df.groupBy(*BY_PP).agg(F.avg("ADHERENCE").alias("__a"))
+    by = lambda axis, key: cells.groupBy(F.lit(axis).alias("AXIS"), F.col(key).alias("KEY")).agg(F.avg("__a").alias("MEAN"))
+    return by("patient", "PATIENT_ID").unionByName(by("protocol", "PROTOCOL_ID"))
+
+
+def session_weeks(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """rows (PATIENT_ID, SESSION_ID, ...) with the WEEK of their session in the patient's trial; null where the session is unknown."""
+    weeks = week_bins(sessions.where("SESSION_ID is not null")).groupBy("PATIENT_ID", "SESSION_ID").agg(F.min("WEEK").alias("WEEK"))
+    return rows.join(weeks, ["PATIENT_ID", "SESSION_ID"], "left")
+
+
 def axis_order(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rank of each key by its mean; keys are few (an axis)."""
     means = df.groupBy(key).agg(F.avg(value).alias("MEAN"))
@@ -228,23 +268,75 @@ def log_growth(df: DataFrame, keys: list[str], y: str, index: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.regr_slope(y, "__x").alias("A"), F.regr_intercept(y, "__x").alias("B"), F.regr_r2(y, "__x").alias("R2"), F.count("*").alias("N"))
 
 
-def exponential_growth(df: DataFrame, keys: list[str], y: str, index: str, rates: list[float]) -> DataFrame:
-    """a e^(-r x) + c by group: for each rate of the grid the rest is linear; the rate of least error wins (ties: smaller rate)."""
-    rows = df.where(f"{y} is not null").withColumn("RATE", F.explode(F.array(*[F.lit(float(r)) for r in rates]))).withColumn("__x", F.exp(-F.col("RATE") * F.col(index)))
-    fits = rows.groupBy(*keys, "RATE").agg(F.regr_slope(y, "__x").alias("A"), F.regr_intercept(y, "__x").alias("C"), (F.regr_syy(y, "__x") - F.try_divide(F.pow(F.regr_sxy(y, "__x"), F.lit(2)), F.regr_sxx(y, "__x"))).alias("SSE"), F.count("*").alias("N"))
-    best = fits.where("SSE is not null and N > 2").groupBy(*keys).agg(F.min_by(F.struct("RATE", "A", "C", "SSE", "N"), F.struct(F.round("SSE", 9), "RATE")).alias("f"))
-    return best.select(*keys, "f.*")
+#: Grids of the growth fits: rates per length of a series, and midpoints as shares of it.
+RATES, STEEPNESS, MIDDLES = [2.0 ** (k / 2) for k in range(-6, 12)], [2.0 ** (k / 2) for k in range(-2, 14)], [k / 8 for k in range(-4, 13)]
+
+
+def _series(df: DataFrame, keys: list[str], y: str, index: str) -> DataFrame:
+    """keys, XS and YS of each series, in order of index, and its SPAN; a series is as long as a patient's sessions of one protocol."""
+    rows = df.where(f"{y} is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("__r"))
+    return rows.select(*keys, F.transform("__r", lambda r: r["x"]).alias("XS"), F.transform("__r", lambda r: r["y"]).alias("YS")).withColumn("SPAN", F.greatest(F.array_max("XS") - F.array_min("XS"), F.lit(1.0)))
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return _sum(F.zip_with(a, b, lambda u, v: u * v))
 
 
-def logistic_growth(df: DataFrame, keys: list[str], y: str, index: str, rates: list[float], middles: list[float]) -> DataFrame:
-    """L / (1 + e^(-k (x - x0))) by group over a grid of k and x0; L is in closed form."""
-    grid = F.array(*[F.struct(F.lit(float(k)).alias("K"), F.lit(float(m)).alias("X0")) for k in rates for m in middles])
-    rows = df.where(f"{y} is not null").withColumn("g", F.explode(grid)).select(*keys, y, F.col("g.K").alias("K"), F.col("g.X0").alias("X0"), index)
-    rows = rows.withColumn("__s", 1 / (1 + F.exp(-F.col("K") * (F.col(index) - F.col("X0")))))
-    fits = rows.groupBy(*keys, "K", "X0").agg(F.sum(F.col(y) * F.col("__s")).alias("__ys"), F.sum(F.col("__s") * F.col("__s")).alias("__ss"), F.sum(F.col(y) * F.col(y)).alias("__yy"), F.count("*").alias("N"))
-    fits = fits.withColumn("L", F.col("__ys") / F.col("__ss")).withColumn("SSE", F.col("__yy") - F.col("L") * F.col("__ys"))
-    best = fits.groupBy(*keys).agg(F.min_by(F.struct("K", "X0", "L", "SSE", "N"), F.struct(F.round("SSE", 9), "K", "X0")).alias("f"))
-    return best.select(*keys, "f.*")
+def _best(grid: Column, fit, names: tuple[str, ...]) -> Column:
+    """The fit of least error over a grid; ties go to the smaller parameters."""
+    order = lambda f: F.struct(F.coalesce(F.round(f["SSE"], 9), F.lit(float("inf"))).alias("e"), *[f[n].alias(n) for n in names])
+    return F.array_min(F.transform(grid, lambda g: F.struct(order(fit(g)).alias("o"), fit(g).alias("f"))))["f"]
+
+
+def exponential_growth(df: DataFrame, keys: list[str], y: str, index: str, rounds: int = 12) -> DataFrame:
+    """a e^(-b x) + c by group with R2, for groups of three or more; the rate b is searched, the rest is linear.
+
+    The grid of rates follows the length of a series; each further round looks half as far around the best.
+    """
+    rows = _series(df, keys, y, index).where(F.size("YS") > 2)
+    n, sy, syy = F.size("YS"), _sum(F.col("YS")), _dot(F.col("YS"), F.col("YS"))
+    spread = syy - sy * sy / n
+
+    def fit(rate: Column) -> Column:
+        e = F.transform("XS", lambda x: F.exp(-rate * x))
+        se, see, sey = _sum(e), _dot(e, e), _dot(e, F.col("YS"))
+        det = see - se * se / n
+        a = F.when(det > 1e-12, (sey - se * sy / n) / det).otherwise(0.0)
+        sse = F.greatest(spread - a * (sey - se * sy / n), F.lit(0.0))
+        return F.struct(rate.alias("B"), a.alias("A"), ((sy - a * se) / n).alias("C"), sse.alias("SSE"))
+
+    rows = rows.withColumn("f", _best(F.transform(F.array(*[F.lit(r) for r in RATES]), lambda r: r / F.col("SPAN")), fit, ("B",)))
+    for k in range(rounds):
+        step = 2.0 ** (0.25 / 2**k)
+        rows = rows.withColumn("f", _best(F.array(F.col("f.B") / step, F.col("f.B"), F.col("f.B") * step), fit, ("B",)))
+    return rows.select(*keys, "f.A", "f.B", "f.C", "f.SSE", F.when(spread > 0, 1 - F.col("f.SSE") / spread).alias("R2"), n.cast("bigint").alias("N"))
+
+
+def logistic_growth(df: DataFrame, keys: list[str], y: str, index: str, rounds: int = 12) -> DataFrame:
+    """L / (1 + e^(-k (x - x0))) by group with R2, for groups of three or more; k and x0 are searched, L is in closed form."""
+    rows = _series(df, keys, y, index).where(F.size("YS") > 2)
+    n, sy, syy = F.size("YS"), _sum(F.col("YS")), _dot(F.col("YS"), F.col("YS"))
+    spread = syy - sy * sy / n
+
+    def fit(g: Column) -> Column:
+        s = F.transform("XS", lambda x: 1 / (1 + F.exp(-g["K"] * (x - g["X0"]))))
+        ss, sys = _dot(s, s), _dot(s, F.col("YS"))
+        top = F.when(ss > 1e-12, sys / ss).otherwise(0.0)
+        return F.struct(g["K"].alias("K"), g["X0"].alias("X0"), top.alias("L"), F.greatest(syy - top * sys, F.lit(0.0)).alias("SSE"))
+
+    pair = lambda k, x0: F.struct(k.alias("K"), x0.alias("X0"))
+    grid = F.array(*[F.struct(F.lit(k).alias("K"), F.lit(m).alias("X0")) for k in STEEPNESS for m in MIDDLES])
+    own = F.transform(grid, lambda g: pair(g["K"] / F.col("SPAN"), F.array_min("XS") + g["X0"] * F.col("SPAN")))
+    rows = rows.withColumn("f", _best(own, fit, ("K", "X0")))
+    for r in range(rounds):
+        step, move = 2.0 ** (0.25 / 2**r), F.col("SPAN") / (16.0 * 2**r)
+        near = [pair(k, x0) for k in (F.col("f.K") / step, F.col("f.K"), F.col("f.K") * step) for x0 in (F.col("f.X0") - move, F.col("f.X0"), F.col("f.X0") + move)]
+        rows = rows.withColumn("f", _best(F.array(*near), fit, ("K", "X0")))
+    return rows.select(*keys, "f.K", "f.X0", "f.L", "f.SSE", F.when(spread > 0, 1 - F.col("f.SSE") / spread).alias("R2"), n.cast("bigint").alias("N"))
 
 
 def filled_daily(df: DataFrame, keys: list[str], day: str, value: str, order: str) -> DataFrame:
@@ -261,11 +353,6 @@ def cumulative_weeks(df: DataFrame) -> DataFrame:
     return df.join(weeks, "PATIENT_ID").where("WEEK <= UP_TO")
 
 
-def scoring_dates(patients: DataFrame, days: list[int] = (7, 14)) -> DataFrame:
-    """Each patient once for each scoring date after the start."""
-    return patients.withColumn("SCORING_DATE", F.explode(F.array(*[F.date_add("CLINICAL_TRIAL_START_DATE", d) for d in days])))
-
-
 def outcome_change(scores: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
     """Change of SCORE from one evaluation to another."""
     return scores.groupBy(*keys).agg((F.max(F.when(F.col("EVALUATION") == after, F.col("SCORE"))) - F.max(F.when(F.col("EVALUATION") == before, F.col("SCORE")))).alias("CHANGE"))
@@ -279,8 +366,8 @@ def weighted_profile(before: DataFrame, after: DataFrame, key: str) -> DataFrame
 
 
 def completed_share(done: Column, prescribed: Column) -> Column:
-    """Adherence as completed over prescribed duration, 1 at most; null where nothing is prescribed."""
-    return F.least(F.try_divide(done, prescribed), F.lit(1.0))
+    """Adherence as completed over prescribed duration, 1 at most; null where nothing is prescribed or done is unknown."""
+    return F.when((prescribed > 0) & done.isNotNull(), F.least(done / prescribed, F.lit(1.0)))
 
 
 def composite(ppf: Column, delta: Column, adherence: Column, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Column:

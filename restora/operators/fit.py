@@ -26,14 +26,11 @@ def maxima(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in SCALE_MAXIMA.items()], "SCALE string, MAXIMUM double")
 
 
-def unknown_scales(scores: DataFrame) -> DataFrame:
-    """Scales that have no maximum."""
-    return scores.select("SCALE").distinct().join(F.broadcast(maxima(scores.sparkSession)), "SCALE", "left_anti")
-
-
 def deficits(scores: DataFrame) -> DataFrame:
-    """DEFICIT = 1 - SCORE / MAXIMUM for rows with a known scale; it may be negative."""
-    return scores.join(F.broadcast(maxima(scores.sparkSession)), "SCALE").withColumn("DEFICIT", 1 - F.col("SCORE") / F.col("MAXIMUM")).drop("MAXIMUM")
+    """DEFICIT = 1 - SCORE / MAXIMUM, which may be negative; a scale without a maximum is an error."""
+    rows = scores.join(F.broadcast(maxima(scores.sparkSession)), "SCALE", "left")  # a fixed table
+    known = F.coalesce("MAXIMUM", F.raise_error(F.concat(F.lit("no maximum for scale "), F.coalesce("SCALE", F.lit("null")))).cast("double"))
+    return rows.withColumn("DEFICIT", 1 - F.col("SCORE") / known).drop("MAXIMUM")
 
 
 def scale_attributes(attributes: DataFrame, combine: Callable[[Column], Column] = F.avg, mapping: dict[str, list[str]] = SCALE_FEATURES) -> DataFrame:
@@ -50,14 +47,25 @@ def as_vector(long: DataFrame, key: str, scales: list[str], value: str) -> DataF
     return m.select(key, F.array(*[F.try_element_at("m", F.lit(s)) for s in scales]).alias("VECTOR"))
 
 
+#: Rows that a catalogue of protocols may have; it meets every patient.
+CATALOGUE = 10_000
+
+
+def catalogue(df: DataFrame) -> DataFrame:
+    """df, after a check of its size."""
+    if df.select(df.columns[0]).limit(CATALOGUE + 1).count() > CATALOGUE:
+        raise ValueError(f"a catalogue of over {CATALOGUE} protocols")
+    return df
+
+
 def fits(patients: DataFrame, protocols: DataFrame) -> DataFrame:
     """PPF (cosine) and CONTRIB (its terms) of each patient with each protocol; pairs without a PPF are left out.
 
     patients: (PATIENT_ID, VECTOR); protocols: (PROTOCOL_ID, VECTOR), a catalogue of tens of rows.
     """
     a = patients.select("PATIENT_ID", unit(F.col("VECTOR")).alias("__a"))
-    b = protocols.select("PROTOCOL_ID", unit(F.col("VECTOR")).alias("__b"))
-    pairs = a.join(b).select("PATIENT_ID", "PROTOCOL_ID", product(F.col("__a"), F.col("__b")).alias("CONTRIB"))
+    b = catalogue(protocols.select("PROTOCOL_ID", unit(F.col("VECTOR")).alias("__b")))
+    pairs = a.join(F.broadcast(b)).select("PATIENT_ID", "PROTOCOL_ID", product(F.col("__a"), F.col("__b")).alias("CONTRIB"))
     return pairs.withColumn("PPF", total(F.col("CONTRIB"))).where("PPF is not null and not isnan(PPF)").select("PATIENT_ID", "PROTOCOL_ID", "PPF", "CONTRIB")
 
 
@@ -80,6 +88,14 @@ def similarity(long: DataFrame, one_hot_prefix: str | None = None) -> DataFrame:
     return a.join(b, "FEATURE").groupBy("PROTOCOL_A", "PROTOCOL_B").agg((1 - F.sum(F.col("WEIGHT") * apart) / F.sum("WEIGHT")).alias("SIMILARITY"))
 
 
+def require_scales(scores: DataFrame, required: list[str]) -> DataFrame:
+    """scores, if every required scale has a row."""
+    lacking = sorted(r.SCALE for r in missing_scales(scores, required).collect())  # at most the required names
+    if lacking:
+        raise ValueError(f"no scores for the scales {', '.join(lacking)}")
+    return scores
+
+
 def missing_scales(scores: DataFrame, required: list[str]) -> DataFrame:
     """Required scales that no row has."""
     return scores.sparkSession.createDataFrame([(s,) for s in required], "SCALE string").join(scores.select("SCALE").distinct(), "SCALE", "left_anti")

@@ -21,10 +21,6 @@ def violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return counts.unpivot([], list(rules), "RULE", "N")
 
 
-def offending(df: DataFrame, rule: str) -> DataFrame:
-    return df.where(~F.expr(rule))
-
-
 def type_faults(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """COLUMN and N, the non-null values that can't be cast to its type; columns with nulls only pass, as does an empty table."""
     bad = [F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` as {t})").isNull()).alias(c) for c, t in types.items()]

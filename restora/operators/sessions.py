@@ -88,13 +88,14 @@ def usage(sessions: DataFrame) -> DataFrame:
 
 def with_weeks(patients: DataFrame, scoring_date: Column) -> DataFrame:
     """PATIENT_ID and WEEKS_SINCE_START, one row per patient."""
-    return patients.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("__s")).select("PATIENT_ID", weeks_since(F.col("__s"), scoring_date).alias("WEEKS_SINCE_START"))
+    own = patients.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("__s"), F.max(scoring_date).alias("__d"))
+    return own.select("PATIENT_ID", weeks_since(F.col("__s"), F.col("__d")).alias("WEEKS_SINCE_START"))
 
 
 def last_week(patients: DataFrame, scoring_date: Column) -> DataFrame:
     """PATIENT_ID, WEEK_START and WEEK_END (exclusive) of the last completed week of the trial; none before the first is over."""
-    start = F.min("CLINICAL_TRIAL_START_DATE").alias("__s")
-    weeks = patients.groupBy("PATIENT_ID").agg(start).withColumn("__w", weeks_since(F.col("__s"), scoring_date)).where("__w > 0")
+    own = patients.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("__s"), F.max(scoring_date).alias("__d"))
+    weeks = own.withColumn("__w", weeks_since(F.col("__s"), F.col("__d"))).where("__w > 0")
     return weeks.select("PATIENT_ID", F.date_add("__s", (F.col("__w") - 1) * 7).alias("WEEK_START"), F.date_add("__s", F.col("__w") * 7).alias("WEEK_END"))
 
 
@@ -104,5 +105,6 @@ def week_usage(sessions: DataFrame, patients: DataFrame, scoring_date: Column) -
     return both.groupBy(*BY_PP).agg(F.count_distinct("SESSION_ID").alias("USAGE_WEEK"), F.array_sort(F.collect_set("WEEKDAY_INDEX")).alias("DAYS"))
 
 
-def total_prescribed(sessions: DataFrame) -> DataFrame:
-    return session_index(sessions, BY_PP, IN_ORDER, "TOTAL_PRESCRIBED")
+def total_prescribed(sessions: DataFrame, order: list[str] = IN_ORDER) -> DataFrame:
+    """TOTAL_PRESCRIBED: the sessions of the pair up to each row, in the given order."""
+    return session_index(sessions, BY_PP, order, "TOTAL_PRESCRIBED")

@@ -15,14 +15,14 @@ def _sessions(name: str, protocol: str) -> str:
 
 SESSIONS = _EV + ",\n" + _sessions("s25", "200 + 5 * kind + k % 5") + ",\n" + _sessions("s5", "200 + kind")
 PATIENTS = "pat AS (SELECT PATIENT_ID, min(SESSION_DATE) AS CLINICAL_TRIAL_START_DATE, DATE '2024-03-01' AS CLINICAL_TRIAL_END_DATE FROM ev GROUP BY PATIENT_ID)"
-BASE = SESSIONS + ",\n" + PATIENTS
+BASE = SESSIONS + ",\n" + PATIENTS + ",\nstud AS (SELECT PATIENT_ID, arg_min(kind, event_id) AS STUDY_ID FROM ev GROUP BY PATIENT_ID)"
 DAY = "DATE '2024-01-29'"
 
 VECTORS = """vecs AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 units AS (SELECT vec_id, list_transform(v, lambda x: x / (CASE WHEN list_sum(list_transform(v, lambda y: y * y)) = 0 THEN 1e-10 ELSE sqrt(list_sum(list_transform(v, lambda y: y * y))) END)) AS u FROM vecs),
 fits AS (SELECT CAST(p.vec_id - 24 AS BIGINT) AS PATIENT_ID, CAST(q.vec_id + 200 AS BIGINT) AS PROTOCOL_ID, list_dot_product(p.u, q.u) AS PPF FROM units p, units q WHERE p.vec_id >= 25 AND q.vec_id < 25)"""
 
-SIMILARITY = """dims AS (SELECT CAST(vec_id + 200 AS BIGINT) AS PROTOCOL_ID, unnest(range(1, 9)) AS f, unnest(v[1:8]) AS x FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) WHERE vec_id < 25),
+SIMILARITY = """dims AS (SELECT CAST(vec_id + 200 AS BIGINT) AS PROTOCOL_ID, unnest(range(1, 65)) AS f, unnest(v) AS x FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) WHERE vec_id < 25),
 spans AS (SELECT f, max(x) - min(x) AS r FROM dims GROUP BY f),
 sim AS (SELECT a.PROTOCOL_ID AS PROTOCOL_A, b.PROTOCOL_ID AS PROTOCOL_B, 1 - sum(CASE WHEN r > 0 THEN abs(a.x - b.x) / r ELSE 0 END) / count(*) AS SIMILARITY FROM dims a JOIN dims b USING (f) JOIN spans USING (f) GROUP BY 1, 2)"""
 
@@ -88,3 +88,30 @@ md AS (SELECT PATIENT_ID, median(DELTA_DM) AS m FROM o WHERE up = 2 AND SESSION_
 ma AS (SELECT PATIENT_ID, median(ADHERENCE_RECENT) AS m FROM o WHERE down = 1 AND SESSION_INDEX IS NOT NULL AND ADHERENCE_RECENT IS NOT NULL GROUP BY 1),
 sc AS (SELECT lastv.PATIENT_ID, lastv.PROTOCOL_ID, PPF, coalesce(A, ma.m) AS ADHERENCE_RECENT, coalesce(D, md.m) AS DELTA_DM, coalesce(WEEKS_SINCE_START, 0) AS WEEKS_SINCE_START, coalesce(SI, 0) AS SESSION_INDEX, coalesce(USAGE, 0) AS USAGE, coalesce(USAGE_WEEK, 0) AS USAGE_WEEK, coalesce(DAYS, []) AS DAYS,
   coalesce(A, ma.m, 0) + coalesce(D, md.m, 0) + coalesce(PPF, 0) AS SCORE FROM lastv LEFT JOIN md USING (PATIENT_ID) LEFT JOIN ma USING (PATIENT_ID) LEFT JOIN us USING (PATIENT_ID, PROTOCOL_ID) LEFT JOIN wu USING (PATIENT_ID, PROTOCOL_ID) LEFT JOIN wk USING (PATIENT_ID))"""
+
+
+#: sw: the prescriptions to be swapped.
+SWAPS = """plan AS (SELECT *, SCORE < avg(SCORE) OVER (PARTITION BY PATIENT_ID) AS low, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY SCORE, PROTOCOL_ID) AS k FROM sc WHERE len(DAYS) > 0),
+plan2 AS (SELECT *, bool_or(low) OVER (PARTITION BY PATIENT_ID) AS anylow FROM plan), sw AS (SELECT PATIENT_ID, PROTOCOL_ID FROM plan2 WHERE low OR (NOT anylow AND k = 1))"""
+
+#: chain: the substitutions of each patient, one after another; the statement that holds it must say WITH RECURSIVE.
+CHAIN = f"""{SWAPS},
+nears AS (SELECT PROTOCOL_A AS OLD, list(PROTOCOL_B ORDER BY SIMILARITY DESC, PROTOCOL_B) AS NEAR FROM sim WHERE PROTOCOL_A <> PROTOCOL_B GROUP BY 1),
+own AS (SELECT PATIENT_ID, list(PROTOCOL_ID ORDER BY PROTOCOL_ID) AS PS, list(USAGE ORDER BY PROTOCOL_ID) AS US, coalesce(list(PROTOCOL_ID) FILTER (len(DAYS) > 0), []) AS PLANNED, bool_or(USAGE = 0) AS FREE FROM sc GROUP BY 1),
+st AS (SELECT sw.PATIENT_ID, PROTOCOL_ID AS OLD, row_number() OVER (PARTITION BY sw.PATIENT_ID ORDER BY PROTOCOL_ID) AS k, coalesce(NEAR, []) AS NEAR, PS, US, FREE FROM sw LEFT JOIN nears ON OLD = PROTOCOL_ID JOIN own ON own.PATIENT_ID = sw.PATIENT_ID),
+chain AS (SELECT PATIENT_ID, CAST(0 AS BIGINT) AS k, PLANNED AS taken, CAST(NULL AS BIGINT) AS OLD, CAST(NULL AS BIGINT) AS NEW FROM own UNION ALL
+  SELECT PATIENT_ID, k, list_append(taken, NEW), OLD, NEW FROM (
+    SELECT *, coalesce(CASE WHEN FREE THEN list_filter(opn, lambda b: list_contains(PS, b) AND US[list_position(PS, b)] = 0)[1] ELSE list_filter(close, lambda b: US[list_position(PS, b)] = least_used)[1] END, OLD) AS NEW FROM (
+      SELECT *, list_min(list_transform(close, lambda b: US[list_position(PS, b)])) AS least_used FROM (
+        SELECT *, list_filter(opn[1:5], lambda b: list_contains(PS, b)) AS close FROM (
+          SELECT r.PATIENT_ID, st.k, r.taken, st.OLD, PS, US, FREE, list_filter(NEAR, lambda b: NOT list_contains(r.taken, b)) AS opn FROM chain r JOIN st ON st.PATIENT_ID = r.PATIENT_ID AND st.k = r.k + 1)))))"""
+
+#: rec: next week's rows of all patients.
+RECOMMENDED = f"""{CHAIN},
+states AS (SELECT PATIENT_ID, bool_or(len(DAYS) > 0) AS has_plan, coalesce(bool_and(USAGE_WEEK = 0) FILTER (len(DAYS) > 0), false) AS skipped FROM sc GROUP BY 1),
+named AS (SELECT sc.*, CASE WHEN NOT has_plan THEN 'new' WHEN skipped THEN 'repeat' ELSE 'update' END AS BRANCH FROM sc JOIN states USING (PATIENT_ID)),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY SCORE DESC NULLS LAST, PROTOCOL_ID) - 1 AS rk, least(12, count(*) OVER (PARTITION BY PATIENT_ID)) AS n FROM named WHERE BRANCH = 'new'),
+rec AS (SELECT PATIENT_ID, PROTOCOL_ID, BRANCH, SCORE, list_sort(list_distinct(list_transform(range(rk, 35, n), lambda i: CAST(i % 7 AS INT)))) AS DAYS FROM fresh WHERE rk < n
+  UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, BRANCH, SCORE, DAYS FROM named WHERE BRANCH = 'repeat' AND len(DAYS) > 0
+  UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, BRANCH, SCORE, DAYS FROM named WHERE BRANCH = 'update' AND len(DAYS) > 0 AND NOT EXISTS (SELECT 1 FROM sw WHERE sw.PATIENT_ID = named.PATIENT_ID AND sw.PROTOCOL_ID = named.PROTOCOL_ID)
+  UNION ALL SELECT named.PATIENT_ID, named.PROTOCOL_ID, named.BRANCH, named.SCORE, o.DAYS FROM chain JOIN named ON named.PATIENT_ID = chain.PATIENT_ID AND named.PROTOCOL_ID = chain.NEW JOIN sc o ON o.PATIENT_ID = chain.PATIENT_ID AND o.PROTOCOL_ID = chain.OLD WHERE named.BRANCH = 'update')"""

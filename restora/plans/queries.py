@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from restora.constants import BY_PP, NOT_PERFORMED
+from restora.constants import BY_PP, NOT_PERFORMED, SCALE_ALIASES, SCALE_MAXIMA
 from restora.functions import clinical, dates, series, vectors
 from restora.operators import cohort, fit, quality, recommend, scoring, sessions
 from restora.plans import oracles as sql
@@ -65,10 +65,14 @@ def trial(spark, d, rows):
 
 def similarities(spark, d):
     _, p = study_views.vectors(spark, d)
-    long = p.select("PROTOCOL_ID", F.posexplode(F.slice("VECTOR", 1, 8)).alias("FEATURE", "VALUE")).withColumn("FEATURE", F.col("FEATURE").cast("string"))
+    long = p.select("PROTOCOL_ID", F.posexplode("VECTOR").alias("FEATURE", "VALUE")).withColumn("FEATURE", F.col("FEATURE").cast("string"))
     return fit.similarity(long)
 
 
+def of_studies(spark, d, *ids):
+    return study_views.studies(spark, d).where(F.col("STUDY_ID").isin(*ids)).select("PATIENT_ID")
+
+
 def fits(spark, d):
     return fit.fits(*study_views.vectors(spark, d))
 
@@ -80,9 +84,9 @@ def scores(spark, d):
 # --- A: scans, sources, sinks ------------------------------------------------------------------------
 
 
-@query("a01_session_scan", f"WITH {sql.BASE} SELECT PATIENT_ID, count(*) AS N, count(SESSION_ID) AS DONE FROM s25 WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM pat WHERE PATIENT_ID % 3 = 0) GROUP BY 1")
+@query("a01_session_scan", f"WITH {sql.BASE} SELECT PATIENT_ID, count(*) AS N, count(SESSION_ID) AS DONE FROM s25 WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID = 2) GROUP BY 1")
 def session_scan(spark, d):
-    wanted = study_views.patients(spark, d).where("PATIENT_ID % 3 = 0")
+    wanted = study_views.studies(spark, d).where("STUDY_ID = 2")
     return tables.of_patients(s25(spark, d), wanted).groupBy("PATIENT_ID").agg(F.count("*").alias("N"), F.count("SESSION_ID").alias("DONE"))
 
 
@@ -91,15 +95,15 @@ def subscale_scan(spark, d):
     return clinical.last_evaluation(study_views.clinical_json(spark, d), "CLINICAL_SCORES", ["PATIENT_ID"])
 
 
-@query("a05_cohort", f"WITH {sql.BASE} SELECT DISTINCT PATIENT_ID FROM (SELECT PATIENT_ID, PATIENT_ID % 4 AS STUDY_ID FROM s25) WHERE STUDY_ID IN (1, 2)")
+@query("a05_cohort", f"WITH {sql.BASE} SELECT PATIENT_ID FROM stud WHERE STUDY_ID IN (1, 2)")
 def cohort_ids(spark, d):
-    return tables.cohort(s25(spark, d).select("PATIENT_ID", (F.col("PATIENT_ID") % 4).alias("STUDY_ID")), [1, 2])
+    return tables.cohort(study_views.studies(spark, d), [1, 2])
 
 
-@query("a09_completed_fits", f"""WITH {sql.BASE}, {sql.VECTORS}, have AS (SELECT * FROM fits WHERE PATIENT_ID % 5 <> 0) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF FROM have WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM pat)
+@query("a09_completed_fits", f"""WITH {sql.BASE}, {sql.VECTORS}, have AS (SELECT * FROM fits WHERE PATIENT_ID NOT IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID = 3)) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF FROM have WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM pat)
 UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, NULL FROM (SELECT PATIENT_ID FROM pat WHERE PATIENT_ID NOT IN (SELECT PATIENT_ID FROM have)), (SELECT DISTINCT PROTOCOL_ID FROM have)""")
 def completed(spark, d):
-    have = fits(spark, d).where("PATIENT_ID % 5 <> 0")
+    have = fits(spark, d).join(of_studies(spark, d, 3), "PATIENT_ID", "left_anti")
     return rounded(tables.completed_fits(have, study_views.patients(spark, d)).select("PATIENT_ID", "PROTOCOL_ID", "PPF"), "PPF")
 
 
@@ -116,11 +120,11 @@ def read_or_empty(spark, d):
     return tables.read_or_empty(spark, lambda: s25(spark, d), schema).unionByName(lost).agg(F.count("*").alias("N"))
 
 
-@query("a15_upsert", f"""WITH {sql.BASE}, {sql.VECTORS}, new AS (SELECT PATIENT_ID, PROTOCOL_ID, PPF + 1 AS PPF FROM fits WHERE PATIENT_ID % 2 = 0) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF FROM new UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) FROM fits WHERE PATIENT_ID % 3 = 0 AND PATIENT_ID % 2 <> 0""")
+@query("a15_upsert", f"""WITH {sql.BASE}, {sql.VECTORS}, new AS (SELECT PATIENT_ID, PROTOCOL_ID, PPF + 1 AS PPF FROM fits WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID IN (0, 1))) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF FROM new UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) FROM fits WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID = 2)""")
 def upsert(spark, d):
     f = fits(spark, d).drop("CONTRIB")
-    new = f.where("PATIENT_ID % 2 = 0").withColumn("PPF", F.col("PPF") + 1)
-    return rounded(sinks.upserted(f.where("PATIENT_ID % 3 = 0"), new), "PPF")
+    new = f.join(of_studies(spark, d, 0, 1), "PATIENT_ID", "left_semi").withColumn("PPF", F.col("PPF") + 1)
+    return rounded(sinks.upserted(f.join(of_studies(spark, d, 1, 2), "PATIENT_ID", "left_semi"), new), "PPF")
 
 
 @query("a17_staging", f"""WITH {sql.BASE}, {sql.weeks("s25")}, j AS (SELECT PATIENT_ID, PROTOCOL_ID, WEEKS_SINCE_START, DAYS, st FROM us LEFT JOIN wu USING (PATIENT_ID, PROTOCOL_ID) JOIN wk USING (PATIENT_ID))
@@ -131,10 +135,12 @@ def staging(spark, d):
     return sinks.staging(rows, "run1")
 
 
-@query("a18_metrics", f"WITH {sql.BASE}, {sql.weeks('s25')}, j AS (SELECT PATIENT_ID, PROTOCOL_ID, CAST(USAGE AS DOUBLE) AS USAGE, CAST(USAGE_WEEK AS DOUBLE) AS USAGE_WEEK FROM us JOIN wu USING (PATIENT_ID, PROTOCOL_ID)) SELECT PATIENT_ID, PROTOCOL_ID, 'USAGE' AS KEY, USAGE AS VALUE, 'r' AS RUN_ID FROM j UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, 'USAGE_WEEK', USAGE_WEEK, 'r' FROM j")
+_METRICS = ("PPF", "ADHERENCE_RECENT", "DELTA_DM", "WEEKS_SINCE_START", "SESSION_INDEX", "USAGE", "USAGE_WEEK", "SCORE")
+
+
+@query("a18_metrics", f"WITH {sql.SCORES} SELECT PATIENT_ID, PROTOCOL_ID, KEY, round(VALUE, 6) AS VALUE, 'r' AS RUN_ID FROM (" + " UNION ALL ".join(f"SELECT PATIENT_ID, PROTOCOL_ID, '{m}' AS KEY, CAST({m} AS DOUBLE) AS VALUE FROM sc" for m in _METRICS) + ")")
 def metrics(spark, d):
-    s = s25(spark, d)
-    return sinks.metrics(sessions.usage(s).join(sessions.week_usage(s, study_views.patients(spark, d), day()), BY_PP), "r", ["USAGE", "USAGE_WEEK"])
+    return rounded(sinks.metrics(scores(spark, d), "r"), "VALUE")
 
 
 @query("a20_preview", f"WITH {sql.BASE} SELECT PATIENT_ID, event_id, round(ADHERENCE, 3) AS ADHERENCE, (SELECT count(*) FROM s25) AS ROW_COUNT FROM s25 ORDER BY event_id LIMIT 7")
@@ -182,9 +188,9 @@ def active(spark, d):
     return recommend.prescriptions(rows).select(*BY_PP, text("DAYS"))
 
 
-@query("b08_patient_status", f"WITH {sql.BASE}, {sql.VECTORS} SELECT PATIENT_ID, CASE WHEN PATIENT_ID IN (SELECT PATIENT_ID FROM fits WHERE PATIENT_ID % 7 <> 0) THEN 'ok' ELSE 'failed' END AS STATUS FROM pat")
+@query("b08_patient_status", f"WITH {sql.BASE}, {sql.VECTORS} SELECT PATIENT_ID, CASE WHEN PATIENT_ID IN (SELECT PATIENT_ID FROM fits) AND PATIENT_ID NOT IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID = 4) THEN 'ok' ELSE 'failed' END AS STATUS FROM pat")
 def patient_status(spark, d):
-    return recommend.patient_status(study_views.patients(spark, d), fits(spark, d).where("PATIENT_ID % 7 <> 0"))
+    return recommend.patient_status(study_views.patients(spark, d), fits(spark, d).join(of_studies(spark, d, 4), "PATIENT_ID", "left_anti"))
 
 
 @query("b10_dates", f"WITH {sql.BASE} SELECT event_id, SESSION_DATE AS D, CAST(NULL AS DATE) AS BAD FROM s25")
@@ -212,9 +218,9 @@ def expected_not_performed(spark, d):
     return sessions.with_missing_sessions(s, day()).where("event_id is null").select("PRESCRIPTION_ID", "SESSION_DATE")
 
 
-@query("c07_audited_join", f"WITH {sql.BASE}, {sql.VECTORS}, u AS (SELECT PATIENT_ID, PROTOCOL_ID, count(*) AS n FROM s25 WHERE PATIENT_ID % 2 = 0 GROUP BY 1, 2), f AS (SELECT PATIENT_ID, PROTOCOL_ID, PPF FROM fits WHERE PROTOCOL_ID < 220) SELECT CASE WHEN n IS NOT NULL AND PPF IS NOT NULL THEN 'matched' WHEN n IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS \"MATCH\", count(*) AS N FROM u FULL JOIN f USING (PATIENT_ID, PROTOCOL_ID) GROUP BY 1")
+@query("c07_audited_join", f"WITH {sql.BASE}, {sql.VECTORS}, u AS (SELECT PATIENT_ID, PROTOCOL_ID, count(*) AS n FROM s25 WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID < 2) GROUP BY 1, 2), f AS (SELECT PATIENT_ID, PROTOCOL_ID, PPF FROM fits WHERE PROTOCOL_ID < 220) SELECT CASE WHEN n IS NOT NULL AND PPF IS NOT NULL THEN 'matched' WHEN n IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS \"MATCH\", count(*) AS N FROM u FULL JOIN f USING (PATIENT_ID, PROTOCOL_ID) GROUP BY 1")
 def audited_join(spark, d):
-    used = s25(spark, d).where("PATIENT_ID % 2 = 0").groupBy(*BY_PP).count()
+    used = s25(spark, d).join(of_studies(spark, d, 0, 1), "PATIENT_ID", "left_semi").groupBy(*BY_PP).count()
     return quality.audited(used, fits(spark, d).where("PROTOCOL_ID < 220"), BY_PP).groupBy("MATCH").agg(F.count("*").alias("N"))
 
 
@@ -232,10 +238,19 @@ def outcome_change(spark, d):
     return cohort.outcome_change(rows, ["PATIENT_ID"], "T0", "T1")
 
 
-@query("c15_user_names", "SELECT c_custkey AS K, CASE WHEN starts_with(n, 'IT') THEN lower(replace(n, '_', '')) ELSE n END AS U FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'IT_A_' ELSE 'ES_B_' END || c_name AS n FROM customer)")
+@query("c14_session_weeks", f"WITH {sql.BASE}, w AS (SELECT PATIENT_ID, SESSION_ID, CAST(datediff('day', min(SESSION_DATE) OVER (PARTITION BY PATIENT_ID), SESSION_DATE) // 7 + 1 AS INT) AS WEEK FROM s25 WHERE SESSION_ID IS NOT NULL) SELECT t.event_id, w.WEEK FROM s5 t LEFT JOIN w ON w.PATIENT_ID = t.PATIENT_ID AND w.SESSION_ID = t.SESSION_ID")
+def session_weeks(spark, d):
+    return cohort.session_weeks(s5(spark, d).select("PATIENT_ID", "SESSION_ID", "event_id"), s25(spark, d)).select("event_id", "WEEK")
+
+
+@query("c15_user_names", "WITH n AS (SELECT c_custkey AS K, CASE WHEN c_nationkey < 12 THEN 'IT_A_' ELSE 'ES_B_' END || c_name AS n FROM customer), u AS (SELECT K, CASE WHEN starts_with(n, 'IT') THEN lower(replace(n, '_', '')) ELSE n END AS U FROM n), o AS (SELECT o_custkey, CASE WHEN c_nationkey < 12 THEN 'ita' || lower(replace(c_name, '_', '')) ELSE 'ES_B_' || c_name END AS U FROM orders JOIN customer ON c_custkey = o_custkey) SELECT K, count(*) AS ORDERS FROM u JOIN o USING (U) GROUP BY 1")
 def user_names(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("K"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "IT_A_").otherwise("ES_B_"), "c_name").alias("n"))
-    return c.select("K", dates.user_name(F.col("n")).alias("U"))
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    prefix = F.when(F.col("c_nationkey") < 12, "IT_A_").otherwise("ES_B_")
+    names = c.select(F.col("c_custkey").alias("K"), dates.user_name(F.concat(prefix, "c_name")).alias("U"))
+    plain = F.when(F.col("c_nationkey") < 12, F.concat(F.lit("ita"), F.lower(F.replace("c_name", F.lit("_"), F.lit(""))))).otherwise(F.concat(F.lit("ES_B_"), "c_name"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").join(c, F.col("o_custkey") == F.col("c_custkey")).select(plain.alias("U"))
+    return names.join(orders, "U").groupBy("K").agg(F.count("*").alias("ORDERS"))
 
 
 # --- D: aggregations ---------------------------------------------------------------------------------
@@ -269,9 +284,9 @@ def scale_attributes(spark, d):
     return rounded(fit.scale_attributes(wide, F.avg, {"ARAT_GRASP": ["REACHING", "GRASPING"], "ARAT_GRIP": ["OBJECT_MANIPULATION"]}), "VALUE")
 
 
-@query("d11_timepoints", f"WITH {sql.BASE} SELECT PATIENT_ID, SESSION_DATE, array_to_string(list_sort(list(DISTINCT STATUS)), ',') AS NAMES, round(avg(DM_VALUE), 6) AS MEAN, arg_min(STATUS, event_id) AS FIRST_NAME FROM s25 GROUP BY 1, 2")
+@query("d11_timepoints", f"WITH {sql.BASE} SELECT PATIENT_ID, PROTOCOL_ID, STATUS AS MODE, WEEKDAY_INDEX AS SECOND, array_to_string(list_sort(list(DISTINCT CAST(SESSION_DATE AS VARCHAR))), ',') AS NAMES, round(avg(DM_VALUE), 6) AS MEAN, CAST(arg_min(SESSION_DATE, event_id) AS VARCHAR) AS FIRST_NAME FROM s25 GROUP BY 1, 2, 3, 4")
 def timepoints(spark, d):
-    return rounded(cohort.timepoints(s25(spark, d), ["PATIENT_ID", "SESSION_DATE"], "STATUS", "DM_VALUE", "event_id").select("PATIENT_ID", "SESSION_DATE", text("NAMES"), "MEAN", "FIRST_NAME"), "MEAN")
+    return rounded(cohort.timepoints(s25(spark, d).select(*BY_PP, F.col("STATUS").alias("MODE"), F.col("WEEKDAY_INDEX").alias("SECOND"), F.col("SESSION_DATE").cast("string").alias("name"), "DM_VALUE", "event_id"), [*BY_PP, "MODE", "SECOND"], "name", "DM_VALUE", "event_id").select(*BY_PP, "MODE", "SECOND", text("NAMES"), "MEAN", "FIRST_NAME"), "MEAN")
 
 
 @query("d12_protocol_start_values", f"WITH {sql.BASE}, {sql.progress('s5')}, a AS (SELECT PROTOCOL_ID, avg(ADHERENCE) AS ADHERENCE FROM s5 GROUP BY 1), b AS (SELECT PROTOCOL_ID, avg(DELTA_DM) AS DM_DELTA FROM del GROUP BY 1) SELECT PROTOCOL_ID, round(ADHERENCE, 6) AS ADHERENCE, round(coalesce(DM_DELTA, 0), 6) AS DM_DELTA FROM a LEFT JOIN b USING (PROTOCOL_ID)")
@@ -289,10 +304,10 @@ def weekly_spread(spark, d):
     return rounded(rows.select(F.col("RELATIVE_WEEK").cast("bigint").alias("WEEK"), "MEAN", "STD", "SE", "N", "PATIENTS"), "MEAN", "STD", "SE")
 
 
-@query("d15_daily_means", f"WITH {sql.BASE}, {_BINS} SELECT CAST(DAY_INDEX AS BIGINT) AS DAY, round(avg(ADHERENCE), 6) AS MEAN, count(ADHERENCE) AS N FROM wb GROUP BY 1")
+@query("d15_daily_means", f"WITH {sql.BASE}, {_BINS} SELECT CAST(DAY_INDEX AS BIGINT) AS DAY, round(avg(ADHERENCE), 6) AS MEAN, round(stddev_samp(ADHERENCE) / sqrt(count(ADHERENCE)), 6) AS SE, count(ADHERENCE) AS N FROM wb GROUP BY 1")
 def daily_means(spark, d):
     rows = cohort.mean_and_spread(cohort.day_index(s25(spark, d)), ["DAY_INDEX"], "ADHERENCE")
-    return rounded(rows.select(F.col("DAY_INDEX").cast("bigint").alias("DAY"), "MEAN", "N"), "MEAN")
+    return rounded(rows.select(F.col("DAY_INDEX").cast("bigint").alias("DAY"), "MEAN", "SE", "N"), "MEAN", "SE")
 
 
 @query("d16_weekly_change", f"WITH {sql.BASE}, {_BINS}, t AS (SELECT PATIENT_ID, WEEK, sum(ADHERENCE) AS TOTAL FROM wb2 GROUP BY 1, 2) SELECT PATIENT_ID, round(arg_min(TOTAL, WEEK), 6) AS FIRST, round(arg_max(TOTAL, WEEK), 6) AS LAST, round(arg_max(TOTAL, WEEK) - arg_min(TOTAL, WEEK), 6) AS DELTA FROM t GROUP BY 1")
@@ -421,13 +436,15 @@ def ewma_of_differences(spark, d):
     return rounded(series.ewma(rows, "x", BY_PP, ["event_id"], "E", 0.8).select("event_id", "E"), "E")
 
 
-@query("e13_smooth_derivative", f"WITH {sql.BASE}, {sql.progress('s5')} SELECT PATIENT_ID, PROTOCOL_ID, DM_INDEX, round(list_dot_product(vs[DM_INDEX - 3 : DM_INDEX + 3], CAST([-3, -2, -1, 0, 1, 2, 3] AS DOUBLE[])) / 28, 6) AS SLOPE FROM dp WHERE n >= 7 AND DM_INDEX > 3 AND DM_INDEX <= n - 3")
+def _slopes(w):
+    return "[" + ",".join("[" + ",".join(repr(float(c)) for c in row) + "]" for row in series.polynomial_rows(w, 1)) + "]"
+
+
+@query("e13_smooth_derivative", f"WITH {sql.BASE}, {sql.progress('s5')} SELECT PATIENT_ID, PROTOCOL_ID, DM_INDEX, round(CASE WHEN n < 3 THEN DM_VALUE WHEN w = 3 THEN list_dot_product(vs[st + 1 : st + 3], CAST(({_slopes(3)})[DM_INDEX - st] AS DOUBLE[])) WHEN w = 5 THEN list_dot_product(vs[st + 1 : st + 5], CAST(({_slopes(5)})[DM_INDEX - st] AS DOUBLE[])) ELSE list_dot_product(vs[st + 1 : st + 7], CAST(({_slopes(7)})[DM_INDEX - st] AS DOUBLE[])) END, 6) AS SLOPE FROM dp")
 def smooth_derivative(spark, d):
-    rows = sessions.progress(s5(spark, d)).select(*BY_PP, "DM_INDEX")
     values = series.session_index(s5(spark, d).where("SESSION_ID is not null and DM_VALUE is not null"), BY_PP, ["SESSION_DATE", "SESSION_ID"], "DM_INDEX")
-    out = series.polynomial_filter(values, "DM_VALUE", BY_PP, ["DM_INDEX"], "SLOPE", 7, derivative=1).withColumn("n", F.count("*").over(Window.partitionBy(*BY_PP)))
-    inner = out.where("n >= 7 and DM_INDEX > 3 and DM_INDEX <= n - 3").join(rows, [*BY_PP, "DM_INDEX"], "left_semi")
-    return rounded(inner.select(*BY_PP, F.col("DM_INDEX").cast("bigint").alias("DM_INDEX"), "SLOPE"), "SLOPE")
+    out = series.polynomial_filter(values, "DM_VALUE", BY_PP, ["DM_INDEX"], "SLOPE", 7, derivative=1)
+    return rounded(out.select(*BY_PP, F.col("DM_INDEX").cast("bigint").alias("DM_INDEX"), "SLOPE"), "SLOPE")
 
 
 @query("e16_calendar_weeks", f"WITH {sql.BASE} SELECT event_id, CAST(strftime(SESSION_DATE, '%W') AS INT) AS WEEK, WEEKDAY_INDEX >= 5 AS WEEKEND FROM s25")
@@ -446,9 +463,25 @@ def weekly_replay(spark, d):
     return rounded(rows.groupBy("PATIENT_ID", "UP_TO").agg(F.count("*").alias("N"), F.avg("ADHERENCE").alias("MEAN")), "MEAN")
 
 
-@query("e20_scoring_dates", f"WITH {sql.BASE} SELECT PATIENT_ID, CLINICAL_TRIAL_START_DATE + unnest([7, 14]) AS SCORING_DATE FROM pat")
+def _scores_at(days):
+    columns = f"PATIENT_ID, PROTOCOL_ID, {r('ADHERENCE_RECENT', 'DELTA_DM', 'SCORE')}, WEEKS_SINCE_START, USAGE, USAGE_WEEK"
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {sql.SCORES.replace(sql.DAY, f'(CLINICAL_TRIAL_START_DATE + {n})')} SELECT {n} AS \"DAY\", {columns} FROM sc)" for n in days)
+
+
+def scores_at(spark, d, days):
+    s, p = s25(spark, d).drop("event_id"), study_views.patients(spark, d)
+    rows = study.scores_at(fits(spark, d), s, p, days)
+    return rounded(rows.select("DAY", *BY_PP, "ADHERENCE_RECENT", "DELTA_DM", "SCORE", "WEEKS_SINCE_START", "USAGE", "USAGE_WEEK"), "ADHERENCE_RECENT", "DELTA_DM", "SCORE")
+
+
+@query("e18_replayed_scores", _scores_at((7, 14, 21, 28)))
+def replayed_scores(spark, d):
+    return scores_at(spark, d, (7, 14, 21, 28))
+
+
+@query("e20_scoring_dates", _scores_at((7, 14)))
 def scoring_dates(spark, d):
-    return cohort.scoring_dates(study_views.patients(spark, d)).select("PATIENT_ID", "SCORING_DATE")
+    return scores_at(spark, d, (7, 14))
 
 
 @query("e21_changes", f"WITH {sql.BASE} SELECT event_id, coalesce(STATUS <> lag(STATUS) OVER (PARTITION BY PATIENT_ID ORDER BY event_id), true) AS CHANGED FROM s25")
@@ -480,14 +513,28 @@ def log_growth(spark, d):
     return rounded(cohort.log_growth(numbered(spark, d), BY_PP, "DM_VALUE", "i").where("N > 2"), "A", "B", "R2")
 
 
-@query("e25_exponential_growth", f"WITH {sql.BASE}, {_SERIES}, h AS (SELECT *, exp(-q * i) AS x FROM g, (SELECT unnest([0.05, 0.2, 0.8]) AS q)), f AS (SELECT PATIENT_ID, PROTOCOL_ID, CAST(q AS DOUBLE) AS RATE, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / nullif(regr_sxx(y, x), 0) AS SSE, count(*) AS N FROM h GROUP BY 1, 2, 3) SELECT PATIENT_ID, PROTOCOL_ID, RATE, round(SSE, 6) AS SSE, N FROM (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY round(SSE, 9), RATE) AS k FROM f WHERE SSE IS NOT NULL AND N > 2) WHERE k = 1")
+_GRID = f"{sql.BASE}, {_SERIES}, m AS (SELECT *, count(*) OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID) - 1 AS span FROM g), t AS (SELECT PATIENT_ID, PROTOCOL_ID, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy FROM g GROUP BY 1, 2 HAVING count(*) > 2)"
+_LEAST = "SELECT PATIENT_ID, PROTOCOL_ID, round(min(SSE), 6) AS SSE, round(CASE WHEN any_value(syy - sy * sy / n) > 0 THEN 1 - min(SSE) / any_value(syy - sy * sy / n) END, 6) AS R2, any_value(n) AS N FROM f GROUP BY 1, 2"
+
+
+@query("e25_exponential_grid", f"WITH {_GRID}, h AS (SELECT PATIENT_ID, PROTOCOL_ID, q, sum(e) AS se, sum(e * e) AS see, sum(e * y) AS sey FROM (SELECT *, exp(-q / span * i) AS e FROM m, (SELECT unnest({cohort.RATES}) AS q)) GROUP BY 1, 2, 3), f AS (SELECT PATIENT_ID, PROTOCOL_ID, n, sy, syy, greatest(0, syy - sy * sy / n - CASE WHEN see - se * se / n > 1e-12 THEN (sey - se * sy / n) * (sey - se * sy / n) / (see - se * se / n) ELSE 0 END) AS SSE FROM h JOIN t USING (PATIENT_ID, PROTOCOL_ID)) {_LEAST}")
+def exponential_grid(spark, d):
+    return rounded(cohort.exponential_growth(numbered(spark, d), BY_PP, "DM_VALUE", "i", 0).select(*BY_PP, "SSE", "R2", "N"), "SSE", "R2")
+
+
+@query("e25_logistic_grid", f"WITH {_GRID}, h AS (SELECT PATIENT_ID, PROTOCOL_ID, q, x0, sum(s * s) AS ss, sum(s * y) AS ys FROM (SELECT *, 1 / (1 + exp(-q / span * (i - (1 + x0 * span)))) AS s FROM m, (SELECT unnest({cohort.STEEPNESS}) AS q), (SELECT unnest({cohort.MIDDLES}) AS x0)) GROUP BY 1, 2, 3, 4), f AS (SELECT PATIENT_ID, PROTOCOL_ID, n, sy, syy, greatest(0, syy - CASE WHEN ss > 1e-12 THEN ys * ys / ss ELSE 0 END) AS SSE FROM h JOIN t USING (PATIENT_ID, PROTOCOL_ID)) {_LEAST}")
+def logistic_grid(spark, d):
+    return rounded(cohort.logistic_growth(numbered(spark, d), BY_PP, "DM_VALUE", "i", 0).select(*BY_PP, "SSE", "R2", "N"), "SSE", "R2")
+
+
+@query("e25_exponential_growth")
 def exponential_growth(spark, d):
-    return rounded(cohort.exponential_growth(numbered(spark, d), BY_PP, "DM_VALUE", "i", [0.05, 0.2, 0.8]).select(*BY_PP, "RATE", "SSE", "N"), "SSE")
+    return cohort.exponential_growth(numbered(spark, d), BY_PP, "DM_VALUE", "i")
 
 
-@query("e25_logistic_growth", f"WITH {sql.BASE}, {_SERIES}, h AS (SELECT *, 1 / (1 + exp(-k * (i - m))) AS s FROM g, (SELECT unnest([0.1, 0.5, 2.0]) AS k), (SELECT unnest([0.0, 3.0, 8.0]) AS m)), f AS (SELECT PATIENT_ID, PROTOCOL_ID, CAST(k AS DOUBLE) AS K, CAST(m AS DOUBLE) AS X0, sum(y * s) / sum(s * s) AS L, sum(y * y) - sum(y * s) / sum(s * s) * sum(y * s) AS SSE FROM h GROUP BY 1, 2, 3, 4) SELECT PATIENT_ID, PROTOCOL_ID, K, X0, round(L, 6) AS L, round(SSE, 6) AS SSE FROM (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY round(SSE, 9), K, X0) AS r FROM f) WHERE r = 1")
+@query("e25_logistic_growth")
 def logistic_growth(spark, d):
-    return rounded(cohort.logistic_growth(numbered(spark, d), BY_PP, "DM_VALUE", "i", [0.1, 0.5, 2.0], [0.0, 3.0, 8.0]).select(*BY_PP, "K", "X0", "L", "SSE"), "L", "SSE")
+    return cohort.logistic_growth(numbered(spark, d), BY_PP, "DM_VALUE", "i")
 
 
 @query("e26_cumulative", f"WITH {sql.BASE} SELECT event_id, round(sum(ADHERENCE) OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS C FROM s5")
@@ -525,6 +572,11 @@ def adherence_matrix(spark, d):
     return rounded(cohort.adherence_matrix(s5(spark, d), list(range(200, 205))), *[str(p) for p in range(200, 205)])
 
 
+@query("g06_margins", f"WITH {sql.BASE}, c AS (SELECT PATIENT_ID, PROTOCOL_ID, avg(ADHERENCE) AS a FROM s5 GROUP BY 1, 2) SELECT 'patient' AS AXIS, PATIENT_ID AS KEY, round(avg(a), 6) AS MEAN FROM c GROUP BY 2 UNION ALL SELECT 'protocol', PROTOCOL_ID, round(avg(a), 6) FROM c GROUP BY 2")
+def matrix_margins(spark, d):
+    return rounded(cohort.matrix_margins(s5(spark, d)), "MEAN")
+
+
 @query("h02_deficits", "WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS PATIENT_ID, c_custkey + 2 AS n FROM customer) SELECT PATIENT_ID, 'MOCA_ATTENTION' AS SCALE, round(1 - (n % 7) / 6.0, 6) AS DEFICIT FROM c UNION ALL SELECT PATIENT_ID, 'MOCA_NAMING', round(1 - (n % 4) / 3.0, 6) FROM c UNION ALL SELECT PATIENT_ID, 'ARAT_GRASP', round(1 - (n % 16) / 15.0, 6) FROM c")
 def deficits(spark, d):
     return rounded(fit.deficits(fit.canonical_scales(subscale_scan(spark, d))).select("PATIENT_ID", "SCALE", "DEFICIT"), "DEFICIT")
@@ -535,10 +587,10 @@ def expected_dates(spark, d):
     return sessions.expected_sessions(s25(spark, d), day()).select("PRESCRIPTION_ID", "SESSION_DATE")
 
 
-@query("h10_min_max", f"WITH {sql.BASE} SELECT event_id, round((DM_VALUE - min(DM_VALUE) OVER w) / nullif(max(DM_VALUE) OVER w - min(DM_VALUE) OVER w, 0), 6) AS X, round(CASE WHEN DM_VALUE IS NULL THEN 0 ELSE greatest(0, least(1, DM_VALUE * 2)) END, 6) AS Y FROM s5 WINDOW w AS (PARTITION BY PATIENT_ID)")
+@query("h10_min_max", f"WITH {sql.BASE} SELECT event_id, round((DM_VALUE - min(DM_VALUE) OVER w) / nullif(max(DM_VALUE) OVER w - min(DM_VALUE) OVER w, 0), 6) AS X, round(CASE WHEN DM_VALUE IS NOT NULL THEN greatest(0, least(1, DM_VALUE * 2)) END, 6) AS Y FROM s5 WINDOW w AS (PARTITION BY PATIENT_ID)")
 def min_max(spark, d):
     rows = cohort.min_max(s5(spark, d), ["PATIENT_ID"], "DM_VALUE", "X")
-    return rounded(rows.select("event_id", "X", F.when(F.col("DM_VALUE").isNull(), 0.0).otherwise(vectors.clip(F.col("DM_VALUE") * 2)).alias("Y")), "X", "Y")
+    return rounded(rows.select("event_id", "X", vectors.clip(F.col("DM_VALUE") * 2).alias("Y")), "X", "Y")
 
 
 # --- I: domain operators -----------------------------------------------------------------------------
@@ -550,9 +602,47 @@ def missing_sessions(spark, d):
     return rows.groupBy(*BY_PP, "STATUS").agg(F.count("*").alias("N"), r6(F.sum("ADHERENCE")).alias("A"))
 
 
-@query("i02_patient_fit", f"WITH {sql.VECTORS}, c AS (SELECT CAST(p.vec_id - 24 AS BIGINT) AS PATIENT_ID, CAST(q.vec_id + 200 AS BIGINT) AS PROTOCOL_ID, p.u[1] * q.u[1] AS C FROM units p, units q WHERE p.vec_id >= 25 AND q.vec_id < 25) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF, round(C, 6) AS CONTRIB FROM fits JOIN c USING (PATIENT_ID, PROTOCOL_ID)")
+@query("i02_patient_fit", f"WITH {sql.VECTORS}, c AS (SELECT CAST(p.vec_id - 24 AS BIGINT) AS PATIENT_ID, CAST(q.vec_id + 200 AS BIGINT) AS PROTOCOL_ID, list_sum(list_transform(range(1, 65), lambda i: i * p.u[i] * q.u[i])) AS C FROM units p, units q WHERE p.vec_id >= 25 AND q.vec_id < 25) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF, round(C, 6) AS PLACED FROM fits JOIN c USING (PATIENT_ID, PROTOCOL_ID)")
 def patient_fit(spark, d):
-    return rounded(fits(spark, d).withColumn("CONTRIB", F.get("CONTRIB", F.lit(0))), "PPF", "CONTRIB")
+    placed = F.aggregate(F.transform("CONTRIB", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)  # each contribution counts by its place
+    return rounded(fits(spark, d).select(*BY_PP, "PPF", placed.alias("PLACED")), "PPF", "PLACED")
+
+
+_ATTRIBUTES = ["REACHING", "GRASPING", "OBJECT_MANIPULATION", "PINCHING", "PRONATION_SUPINATION", "PROXIMAL_COORDINATION", "PROCESSING_SPEED", "ATTENTION", "OBJECT_TRACKING", "WORD_RETRIEVAL", "SPATIAL_CONTEXT", "SEMANTIC_GROUPING", "RECALL"]
+
+
+def attributes(spark, d):
+    """Wide protocol attributes in 0..1, from the protocols' vectors; one in eight is blank."""
+    value = lambda i: F.when(F.abs(F.get("VECTOR", F.lit(i + 20))) > 0.02, F.abs(F.get("VECTOR", F.lit(i))))
+    return study_views.vectors(spark, d)[1].select("PROTOCOL_ID", *[value(i).alias(a) for i, a in enumerate(_ATTRIBUTES)])
+
+
+def all_scores(spark, d):
+    """Clinical scores of every mapped scale, in long form, as they come out of JSON, from customer numbers."""
+    names = {s: a[0] for s, a in SCALE_ALIASES.items() if s in fit.SCALE_FEATURES}
+    body = lambda n: F.to_json(F.map_from_entries(F.array(*[F.struct(F.lit(v.split(".")[1]), ((F.col("c_custkey") + k + n) % (SCALE_MAXIMA[s] + 1)).cast("double")) for k, (s, v) in enumerate(names.items())])))
+    text_ = F.concat(F.lit('[{"Old":{"X":1}},{"when":"2024-01-02","Test":'), body(3), F.lit("}]"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("PATIENT_ID"), text_.alias("CLINICAL_SCORES"))
+    long = clinical.last_evaluation(rows, "CLINICAL_SCORES", ["PATIENT_ID"])
+    alias = F.create_map(*[F.lit(x) for v in names.values() for x in ("Test." + v.split(".")[1], v)])
+    return long.withColumn("SCALE", F.coalesce(F.try_element_at(alias, F.col("SCALE")), F.col("SCALE")))
+
+
+def _fit_sql():
+    names = [s for s in SCALE_ALIASES if s in fit.SCALE_FEATURES]
+    value = lambda i: f"CASE WHEN abs(v[{i + 21}]) > 0.02 THEN abs(v[{i + 1}]) END"
+    scale = lambda s: "list_avg(list_filter([" + ", ".join(value(_ATTRIBUTES.index(a)) for a in fit.SCALE_FEATURES[s] if a in _ATTRIBUTES) + "], lambda x: x IS NOT NULL))"
+    order = sorted(fit.SCALE_FEATURES)
+    deficit = lambda s: f"1 - ((c_custkey + {names.index(s) + 3}) % {SCALE_MAXIMA[s] + 1}) / CAST({SCALE_MAXIMA[s]} AS DOUBLE)"
+    unit = lambda a: f"list_transform({a}, lambda x: x / (CASE WHEN list_sum(list_transform({a}, lambda y: y * y)) = 0 THEN 1e-10 ELSE sqrt(list_sum(list_transform({a}, lambda y: y * y))) END))"
+    q = f"q AS (SELECT CAST(vec_id + 200 AS BIGINT) AS PROTOCOL_ID, [{', '.join(scale(s) for s in order)}] AS b FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) WHERE vec_id < 25)"
+    p = f"p AS (SELECT CAST(c_custkey AS BIGINT) AS PATIENT_ID, [{', '.join(deficit(s) for s in order)}] AS a FROM customer)"
+    return f"WITH {q}, {p}, q2 AS (SELECT PROTOCOL_ID, {unit('b')} AS b FROM q WHERE len(list_filter(b, lambda x: x IS NULL)) = 0), p2 AS (SELECT PATIENT_ID, {unit('a')} AS a FROM p)"
+
+
+@query("i02_fit_from_scores", _fit_sql() + " SELECT PATIENT_ID, PROTOCOL_ID, round(list_dot_product(a, b), 6) AS PPF FROM p2, q2")
+def fit_from_scores(spark, d):
+    return rounded(study.patient_fits(all_scores(spark, d), attributes(spark, d)).select(*BY_PP, "PPF"), "PPF")
 
 
 @query("i03_similarity", f"WITH {sql.SIMILARITY} SELECT PROTOCOL_A, PROTOCOL_B, round(SIMILARITY, 6) AS SIMILARITY FROM sim")
@@ -560,6 +650,18 @@ def protocol_similarity(spark, d):
     return rounded(similarities(spark, d), "SIMILARITY")
 
 
+@query("i03_one_hot", f"WITH {sql.SIMILARITY}, w AS (SELECT f, CASE WHEN f > 55 THEN CAST(1 AS DOUBLE) / 9 ELSE 1 END AS w FROM spans) SELECT a.PROTOCOL_ID AS PROTOCOL_A, b.PROTOCOL_ID AS PROTOCOL_B, round(1 - sum(w * CASE WHEN r > 0 THEN abs(a.x - b.x) / r ELSE 0 END) / sum(w), 6) AS SIMILARITY FROM dims a JOIN dims b USING (f) JOIN spans USING (f) JOIN w USING (f) GROUP BY 1, 2")
+def one_hot_similarity(spark, d):
+    long = study_views.vectors(spark, d)[1].select("PROTOCOL_ID", F.posexplode("VECTOR").alias("i", "VALUE"))
+    long = long.select("PROTOCOL_ID", F.concat(F.when(F.col("i") >= 55, "HOT_").otherwise("F_"), F.col("i").cast("string")).alias("FEATURE"), "VALUE")
+    return rounded(fit.similarity(long, "HOT_"), "SIMILARITY")
+
+
+@query("i03_similarity_of_attributes")
+def similarity_of_attributes(spark, d):
+    return study.protocol_similarity(attributes(spark, d))
+
+
 @query("i06_scores", f"WITH {sql.SCORES} SELECT PATIENT_ID, PROTOCOL_ID, {r('PPF', 'ADHERENCE_RECENT', 'DELTA_DM', 'SCORE')}, WEEKS_SINCE_START, SESSION_INDEX, USAGE, USAGE_WEEK, array_to_string(DAYS, ',') AS DAYS FROM sc")
 def score_rows(spark, d):
     rows = scores(spark, d).select(*BY_PP, "PPF", "ADHERENCE_RECENT", "DELTA_DM", "SCORE", "WEEKS_SINCE_START", F.col("SESSION_INDEX").cast("bigint").alias("SESSION_INDEX"), "USAGE", "USAGE_WEEK", text("DAYS"))
@@ -578,28 +680,19 @@ def new_schedule(spark, d):
     return recommend.new_schedule(fits(spark, d).withColumnRenamed("PPF", "SCORE")).select(*BY_PP, text("DAYS"))
 
 
-_SWAPS = """plan AS (SELECT *, SCORE < avg(SCORE) OVER (PARTITION BY PATIENT_ID) AS low, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY SCORE, PROTOCOL_ID) AS k FROM sc WHERE len(DAYS) > 0),
-plan2 AS (SELECT *, bool_or(low) OVER (PARTITION BY PATIENT_ID) AS anylow FROM plan), sw AS (SELECT PATIENT_ID, PROTOCOL_ID FROM plan2 WHERE low OR (NOT anylow AND k = 1))"""
-
-
-@query("i08_swaps", f"WITH {sql.SCORES}, {_SWAPS} SELECT PATIENT_ID, PROTOCOL_ID FROM sw")
+@query("i08_swaps", f"WITH {sql.SCORES}, {sql.SWAPS} SELECT PATIENT_ID, PROTOCOL_ID FROM sw")
 def swaps(spark, d):
     return recommend.swaps(scores(spark, d)).select(*BY_PP)
 
 
-@query("i09_first_substitutions", f"""WITH {sql.SCORES}, {sql.SIMILARITY}, {_SWAPS}, f AS (SELECT PATIENT_ID, min(PROTOCOL_ID) AS OLD FROM sw GROUP BY 1), fr AS (SELECT PATIENT_ID, bool_or(USAGE = 0) AS FREE FROM sc GROUP BY 1),
-c AS (SELECT f.PATIENT_ID, OLD, PROTOCOL_B, SIMILARITY, USAGE, FREE, row_number() OVER (PARTITION BY f.PATIENT_ID ORDER BY SIMILARITY DESC, PROTOCOL_B) AS p FROM f JOIN sim ON PROTOCOL_A = OLD AND PROTOCOL_A <> PROTOCOL_B JOIN fr ON fr.PATIENT_ID = f.PATIENT_ID LEFT JOIN sc ON sc.PATIENT_ID = f.PATIENT_ID AND sc.PROTOCOL_ID = PROTOCOL_B
-  WHERE NOT EXISTS (SELECT 1 FROM plan WHERE plan.PATIENT_ID = f.PATIENT_ID AND plan.PROTOCOL_ID = PROTOCOL_B)),
-g AS (SELECT *, min(USAGE) OVER (PARTITION BY PATIENT_ID) AS least5 FROM c WHERE FREE OR (p <= 5 AND USAGE IS NOT NULL)), h AS (SELECT PATIENT_ID, arg_min(PROTOCOL_B, p) AS NEW FROM g WHERE CASE WHEN FREE THEN USAGE = 0 ELSE USAGE = least5 END GROUP BY 1)
-SELECT f.PATIENT_ID, OLD, coalesce(NEW, OLD) AS NEW FROM f LEFT JOIN h USING (PATIENT_ID)""")
-def first_substitutions(spark, d):
-    rows = recommend.substitutions(scores(spark, d), similarities(spark, d))
-    return sessions.first_of(rows, ["PATIENT_ID"], ["OLD"])
+@query("i09_substitutions", f"WITH RECURSIVE {sql.SCORES}, {sql.SIMILARITY}, {sql.CHAIN} SELECT PATIENT_ID, OLD, NEW FROM chain WHERE k > 0")
+def substitutions(spark, d):
+    return recommend.substitutions(scores(spark, d), similarities(spark, d))
 
 
-@query("i11_recommend")
+@query("i11_recommend", f"WITH RECURSIVE {sql.SCORES}, {sql.SIMILARITY}, {sql.RECOMMENDED} SELECT PATIENT_ID, PROTOCOL_ID, BRANCH, round(SCORE, 6) AS SCORE, array_to_string(DAYS, ',') AS DAYS FROM rec")
 def recommend_all(spark, d):
-    rows = recommend.recommended(scores(spark, d).persist(), similarities(spark, d))  # read by every branch
+    rows = recommend.recommended(scores(spark, d), similarities(spark, d))
     return rounded(rows.select(*BY_PP, "BRANCH", "SCORE", text("DAYS")), "SCORE")
 
 
@@ -621,7 +714,7 @@ def weighted_profile(spark, d):
     return rounded(cohort.weighted_profile(rows.where("h = 0"), rows.where("h = 1"), "PATIENT_ID"), "RATIO")
 
 
-@query("i16_completed_share", "SELECT l_orderkey AS K, l_linenumber AS L, round(l_quantity * l_discount, 4) AS Q, round(least(l_discount / nullif(l_tax, 0), 1), 6) AS SHARE FROM lineitem")
+@query("i16_completed_share", "SELECT l_orderkey AS K, l_linenumber AS L, round(l_quantity * l_discount, 4) AS Q, round(CASE WHEN l_tax > 0 THEN least(l_discount / l_tax, 1) END, 6) AS SHARE FROM lineitem")
 def completed_share(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     return li.select(F.col("l_orderkey").alias("K"), F.col("l_linenumber").alias("L"), F.round(F.col("l_quantity") * F.col("l_discount"), 4).alias("Q"), r6(cohort.completed_share(F.col("l_discount"), F.col("l_tax"))).alias("SHARE"))
@@ -643,9 +736,10 @@ def windowed_usage(spark, d):
     return weekly_usage(e).select(*BY_PP, F.floor(F.unix_timestamp("WEEK_START") / 604800).cast("bigint").alias("WEEK"), "USAGE")
 
 
-@query("m01_rule_violations", f"WITH {sql.BASE} SELECT 'patient_positive' AS RULE, count(*) FILTER (NOT (PATIENT_ID > 0)) AS N FROM s25 UNION ALL SELECT 'late_weekday', count(*) FILTER (NOT (WEEKDAY_INDEX < 5)) FROM s25 UNION ALL SELECT 'dm_high', count(*) FILTER (NOT (DM_VALUE > 0.5)) FROM s25")
+@query("m01_rule_violations", f"WITH {sql.BASE}, x AS (SELECT *, ADHERENCE * 1.2 AS A2, CASE WHEN WEEKDAY_INDEX = 6 THEN 'LOST' ELSE STATUS END AS S2 FROM s25) SELECT 'patient_positive' AS RULE, count(*) FILTER (NOT (PATIENT_ID > 0)) AS N FROM x UNION ALL SELECT 'protocol_positive', count(*) FILTER (NOT (PROTOCOL_ID > 0)) FROM x UNION ALL SELECT 'weekday', count(*) FILTER (NOT (WEEKDAY_INDEX BETWEEN 0 AND 6)) FROM x UNION ALL SELECT 'status', count(*) FILTER (NOT (S2 IN ('CLOSED', 'NOT_PERFORMED'))) FROM x UNION ALL SELECT 'adherence_share', count(*) FILTER (NOT (A2 BETWEEN 0 AND 1)) FROM x UNION ALL SELECT 'dm_share', count(*) FILTER (NOT (DM_VALUE BETWEEN 0 AND 1)) FROM x")
 def rule_violations(spark, d):
-    return quality.violations(s25(spark, d), {"patient_positive": "PATIENT_ID > 0", "late_weekday": "WEEKDAY_INDEX < 5", "dm_high": "DM_VALUE > 0.5"})
+    rows = s25(spark, d).withColumn("ADHERENCE", F.col("ADHERENCE") * 1.2).withColumn("STATUS", F.when(F.col("WEEKDAY_INDEX") == 6, "LOST").otherwise(F.col("STATUS")))
+    return quality.violations(rows, quality.SESSION_RULES)
 
 
 @query("m02_type_faults", "SELECT 'event_type' AS \"COLUMN\", count(*) AS N FROM events WHERE event_type IS NOT NULL UNION ALL SELECT 'event_id', CAST(0 AS BIGINT) FROM (SELECT count(*) FROM events)")
@@ -690,10 +784,9 @@ def last_dates(spark, d):
     return s25(spark, d).groupBy("PATIENT_ID").agg(F.max("SESSION_DATE").alias("LAST_DATE"))
 
 
-@query("e02_total_prescribed", f"WITH {sql.BASE} SELECT PATIENT_ID, PROTOCOL_ID, max(k) AS TOTAL_PRESCRIBED, count(*) AS N FROM (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY event_id) AS k FROM s25) GROUP BY 1, 2")
+@query("e02_total_prescribed", f"WITH {sql.BASE} SELECT event_id, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY event_id) AS TOTAL_PRESCRIBED FROM s25")
 def total_prescribed(spark, d):
-    rows = sessions.total_prescribed(s25(spark, d))
-    return rows.groupBy(*BY_PP).agg(F.max("TOTAL_PRESCRIBED").cast("bigint").alias("TOTAL_PRESCRIBED"), F.count("*").alias("N"))
+    return sessions.total_prescribed(s25(spark, d), ["event_id"]).select("event_id", F.col("TOTAL_PRESCRIBED").cast("bigint").alias("TOTAL_PRESCRIBED"))
 
 
 @query("e14_composite", f"WITH {sql.BASE}, {sql.VECTORS} SELECT event_id, round(0.5 * PPF + 2.0 * coalesce(DM_VALUE, 0) + ADHERENCE, 6) AS SCORE FROM s25 JOIN fits USING (PATIENT_ID, PROTOCOL_ID)")
@@ -723,37 +816,59 @@ def difference(spark, d):
     return fits(spark, d).select("PATIENT_ID").distinct().join(study_views.patients(spark, d), "PATIENT_ID", "left_anti")
 
 
-@query("g05_long_contributions", f"WITH {sql.VECTORS} SELECT CAST(p.vec_id - 24 AS BIGINT) AS PATIENT_ID, CAST(q.vec_id + 200 AS BIGINT) AS PROTOCOL_ID, CAST(unnest(range(0, 3)) AS INT) AS PLACE, round(unnest(list_transform(range(1, 4), lambda i: p.u[i] * q.u[i])), 6) AS C FROM units p, units q WHERE p.vec_id >= 25 AND q.vec_id < 25")
+@query("g05_long_contributions", f"WITH {sql.VECTORS} SELECT CAST(p.vec_id - 24 AS BIGINT) AS PATIENT_ID, CAST(q.vec_id + 200 AS BIGINT) AS PROTOCOL_ID, CAST(unnest(range(0, 64)) AS INT) AS PLACE, round(unnest(list_transform(range(1, 65), lambda i: p.u[i] * q.u[i])), 6) AS C FROM units p, units q WHERE p.vec_id >= 25 AND q.vec_id < 25")
 def long_contributions(spark, d):
-    rows = fits(spark, d).select(*BY_PP, F.posexplode(F.slice("CONTRIB", 1, 3)).alias("PLACE", "C"))
+    rows = fits(spark, d).select(*BY_PP, F.posexplode("CONTRIB").alias("PLACE", "C"))
     return rounded(rows.na.drop(), "C")
 
 
-@query("i10_repeats", f"WITH {sql.SCORES}, st AS (SELECT PATIENT_ID, coalesce(bool_and(USAGE_WEEK = 0) FILTER (len(DAYS) > 0), false) AS skipped FROM sc GROUP BY 1) SELECT PATIENT_ID, PROTOCOL_ID FROM sc JOIN st USING (PATIENT_ID) WHERE skipped AND len(DAYS) > 0")
+#: As s25, but patients of study 1 perform nothing from 2024-01-20 on.
+_IDLE = sql.SCORES.replace("s25_0 AS (SELECT PATIENT_ID,", "s25_1 AS (SELECT PATIENT_ID,").replace("s25 AS (SELECT *,", "s25_0 AS (SELECT PATIENT_ID, PROTOCOL_ID, CASE WHEN idle THEN NULL ELSE SESSION_ID END AS SESSION_ID, SESSION_DATE, WEEKDAY_INDEX, CASE WHEN idle THEN 'NOT_PERFORMED' ELSE STATUS END AS STATUS, CASE WHEN idle THEN 0 ELSE ADHERENCE END AS ADHERENCE, CASE WHEN idle THEN NULL ELSE DM_VALUE END AS DM_VALUE, event_id FROM (SELECT *, SESSION_DATE >= DATE '2024-01-20' AND PATIENT_ID IN (SELECT PATIENT_ID FROM (SELECT PATIENT_ID, arg_min(kind, event_id) AS s FROM ev GROUP BY 1) WHERE s = 1) AS idle FROM s25_1)),\ns25 AS (SELECT *,")
+
+
+def idle_scores(spark, d):
+    s = s25(spark, d).drop("event_id")
+    idle = F.col("__idle") & (F.col("SESSION_DATE") >= F.lit("2024-01-20").cast("date"))
+    rows = s.join(of_studies(spark, d, 1).withColumn("__idle", F.lit(True)), "PATIENT_ID", "left").withColumn("__idle", F.coalesce(idle, F.lit(False)))
+    blank = {"SESSION_ID": None, "STATUS": NOT_PERFORMED, "ADHERENCE": 0.0, "DM_VALUE": None}
+    rows = rows.withColumns({c: F.when(~F.col("__idle"), F.col(c)).otherwise(F.lit(v)) for c, v in blank.items()}).select(*s.columns)
+    return study.score_table(fits(spark, d), rows, study_views.patients(spark, d), day())
+
+
+@query("i10_repeats", f"WITH {_IDLE}, st AS (SELECT PATIENT_ID, coalesce(bool_and(USAGE_WEEK = 0) FILTER (len(DAYS) > 0), false) AS skipped FROM sc GROUP BY 1) SELECT PATIENT_ID, PROTOCOL_ID, array_to_string(DAYS, ',') AS DAYS FROM sc JOIN st USING (PATIENT_ID) WHERE skipped AND len(DAYS) > 0")
 def repeats(spark, d):
-    table = scores(spark, d)
-    skipped = recommend.week_states(table).where("WEEK_SKIPPED").select("PATIENT_ID")
-    return recommend.prescriptions(table.join(skipped, "PATIENT_ID", "left_semi")).select(*BY_PP)
+    rows = recommend.recommended(idle_scores(spark, d), similarities(spark, d))
+    return rows.where("BRANCH = 'repeat'").select(*BY_PP, text("DAYS"))
 
 
-@query("i12_study_statuses", f"WITH {sql.BASE}, {sql.VECTORS} SELECT PATIENT_ID, CASE WHEN PATIENT_ID IN (SELECT PATIENT_ID FROM fits) THEN 'ok' ELSE 'failed' END AS STATUS FROM pat WHERE PATIENT_ID % 4 IN (1, 2)")
-def study_statuses(spark, d):
-    studies = study_views.patients(spark, d).select("PATIENT_ID", (F.col("PATIENT_ID") % 4).alias("STUDY_ID"))
+class Views:
+    """The study's tables as a loader gives them."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+
+    def sessions(self, patients=None):
+        return tables.of_patients(s25(self.spark, self.d).drop("event_id"), patients)
 
-    class Views:
-        def sessions(self, patients=None):
-            return tables.of_patients(s25(spark, d).drop("event_id"), patients)
+    def patients(self, patients=None):
+        return tables.of_patients(study_views.patients(self.spark, self.d), patients)
 
-        def patients(self, patients=None):
-            return tables.of_patients(study_views.patients(spark, d), patients)
+    def fits(self, patients=None):
+        return fits(self.spark, self.d)
 
-        def fits(self, patients=None):
-            return fits(spark, d)
+    def similarity(self):
+        return similarities(self.spark, self.d)
+
+
+@query("i12_study_statuses", f"WITH {sql.BASE}, {sql.VECTORS} SELECT PATIENT_ID, CASE WHEN PATIENT_ID IN (SELECT PATIENT_ID FROM fits) THEN 'ok' ELSE 'failed' END AS STATUS FROM stud WHERE STUDY_ID IN (1, 2)")
+def study_statuses(spark, d):
+    return study.study_run(Views(spark, d), study_views.studies(spark, d), [1, 2], day())["statuses"]
 
-        def similarity(self):
-            return similarities(spark, d)
 
-    return study.study_run(Views(), studies, [1, 2], day())[2]
+@query("i12_study_run")
+def study_run(spark, d):
+    """The staging rows of a run over all studies."""
+    return study.study_run(Views(spark, d), study_views.studies(spark, d), [0, 1, 2, 3, 4], day(), "run1")["staging"]
 
 
 @query("i17_early_scores", f"WITH {sql.BASE}, {sql.VECTORS}, l AS (SELECT PATIENT_ID, PROTOCOL_ID, arg_max(ADHERENCE, event_id) AS a, arg_max(DM_VALUE, event_id) FILTER (DM_VALUE IS NOT NULL) AS m FROM (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY SESSION_DATE, event_id) AS seq FROM s25) GROUP BY 1, 2) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF + coalesce(m, 0) + coalesce(a, 1), 6) AS SCORE FROM fits LEFT JOIN l USING (PATIENT_ID, PROTOCOL_ID)".replace("arg_max(ADHERENCE, event_id)", "arg_max(ADHERENCE, seq)").replace("arg_max(DM_VALUE, event_id)", "arg_max(DM_VALUE, seq)"))

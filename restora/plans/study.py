@@ -12,6 +12,7 @@ from restora.operators import fit
 from restora.operators.recommend import allowed, patient_status, recommended
 from restora.operators.scoring import features, imputed, scored
 from restora.operators.sessions import in_trial, with_missing_sessions
+from restora.sources import sinks
 from restora.sources.tables import Loader, cohort, completed_fits
 
 
@@ -25,24 +26,56 @@ def score_table(fits: DataFrame, sessions: DataFrame, patients: DataFrame, scori
     return score(fill(build(fits, rows, patients, scoring_date)), weights)
 
 
+def scores_at(fits: DataFrame, sessions: DataFrame, patients: DataFrame, days: tuple[int, ...]) -> DataFrame:
+    """Score tables of all patients at several days after their start, with DAY, in one job: a patient counts as another one on each day."""
+    wide = max(days) + 1
+    as_of = F.col("PATIENT_ID") * wide + F.col("__day")
+    each = F.explode(F.array(*[F.lit(d) for d in days]))
+    on_days = lambda df: df.withColumn("__day", each).withColumn("PATIENT_ID", as_of)
+    dated = on_days(patients).withColumn("SCORING_DATE", F.date_add("CLINICAL_TRIAL_START_DATE", F.col("__day"))).drop("__day")
+    known = on_days(sessions).drop("__day").join(dated.select("PATIENT_ID", "SCORING_DATE"), "PATIENT_ID")
+    out = score_table(on_days(fits).drop("__day"), known, dated, F.col("SCORING_DATE"))
+    return out.withColumn("DAY", (F.col("PATIENT_ID") % wide).cast("int")).withColumn("PATIENT_ID", F.floor(F.col("PATIENT_ID") / wide).cast("bigint"))
+
+
 def prepared(fits: DataFrame, sessions: DataFrame, similarity: DataFrame, protocols: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables without protocols that are not on the allow-list."""
     return allowed(fits, ["PROTOCOL_ID"], protocols), allowed(sessions, ["PROTOCOL_ID"], protocols), allowed(similarity, ["PROTOCOL_A", "PROTOCOL_B"], protocols)
 
 
-def study_run(loader: Loader, studies: DataFrame, study_ids: list[int], scoring_date: Column, n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(recommendations, scores, statuses) of the studies' patients; patients without scores have status failed."""
+def study_run(loader: Loader, studies: DataFrame, study_ids: list[int], scoring_date: Column, run_id: str = "run", n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY) -> dict[str, DataFrame]:
+    """scores, recommendations, staging, metrics, statuses and summary of the studies' patients; patients without scores have status failed."""
     wanted = cohort(studies, study_ids)
+    patients = loader.patients(wanted)
     fits, sessions, similarity = prepared(completed_fits(loader.fits(), wanted), loader.sessions(wanted), loader.similarity())
-    scores = score_table(fits, sessions, loader.patients(wanted), scoring_date).persist()  # read by every branch and by the sinks
-    return recommended(scores, similarity, n, days, per_day), scores, patient_status(wanted, scores)
+    scores = score_table(fits, sessions, patients, scoring_date)
+    chosen = recommended(scores, similarity, n, days, per_day)
+    starts = patients.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("CLINICAL_TRIAL_START_DATE"))
+    statuses = patient_status(wanted, scores)
+    return {
+        "scores": scores,
+        "recommendations": chosen,
+        "staging": sinks.staging(chosen.join(starts, "PATIENT_ID"), run_id),
+        "metrics": sinks.metrics(chosen, run_id),
+        "statuses": statuses,
+        "summary": sinks.run_summary(statuses),
+    }
+
+
+def write_run(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
+    """Writes a run: its tables by run and patient, and the summary as JSON."""
+    sinks.artifacts({k: v for k, v in tables.items() if k != "summary"}, path, run_id)
+    tables["summary"].coalesce(1).write.mode("append").json(f"{path}/summary/RUN_ID={run_id}")
 
 
 def patient_fits(subscales: DataFrame, attributes: DataFrame) -> DataFrame:
-    """PPF and CONTRIB from long subscales (PATIENT_ID, SCALE, SCORE) and wide protocol attributes, over the mapped scales."""
+    """PPF and CONTRIB from long subscales (PATIENT_ID, SCALE, SCORE) and wide protocol attributes, over the mapped scales.
+
+    Scales without a maximum, and mapped scales that no patient has, are errors.
+    """
     values = fit.scale_attributes(attributes)
     scales = sorted(fit.SCALE_FEATURES)
-    deficits = fit.deficits(fit.canonical_scales(subscales))
+    deficits = fit.deficits(fit.require_scales(fit.canonical_scales(subscales), scales))
     return fit.fits(fit.as_vector(deficits, "PATIENT_ID", scales, "DEFICIT"), fit.as_vector(values, "PROTOCOL_ID", scales, "VALUE"))
 
 

@@ -39,6 +39,13 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy((F.col("user_id") + 1).cast("bigint").alias("PATIENT_ID")).agg(F.min(F.col("ts").cast("date")).alias("CLINICAL_TRIAL_START_DATE")).withColumn("CLINICAL_TRIAL_END_DATE", F.lit("2024-03-01").cast("date"))
 
 
+def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PATIENT_ID and STUDY_ID (0..4), the kind of the patient's first event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3).otherwise(4)
+    return e.groupBy((F.col("user_id") + 1).cast("bigint").alias("PATIENT_ID")).agg(F.min_by(kind, "event_id").alias("STUDY_ID"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(PATIENT_ID, VECTOR) and (PROTOCOL_ID, VECTOR) from the embeddings."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("VECTOR"))

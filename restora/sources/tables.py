@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from restora.functions.clinical import last_evaluation
+from restora.operators.fit import catalogue
 
 _TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "array<double>": T.ArrayType(T.DoubleType())}
 
@@ -96,10 +97,22 @@ class FileLoader:
     def similarity(self):
         return self._read("protocol_similarity", SIMILARITY)
 
-    def attributes(self):
-        if self.kind == "csv":
-            return self.spark.read.csv(f"{self.folder}/protocol_attributes.csv", header=True, inferSchema=True)
-        return self.spark.read.parquet(f"{self.folder}/protocol_attributes.parquet")
+    def attributes(self, path: str | None = None, default: str | None = None):
+        """Protocol attributes: from path, else from the folder, else from default."""
+        for where in (path, f"{self.folder}/protocol_attributes.{self.kind}", default):
+            try:
+                if where is not None:
+                    return self.spark.read.csv(where, header=True, inferSchema=True) if where.endswith(".csv") else self.spark.read.parquet(where)
+            except AnalysisException:
+                if where == path:
+                    raise  # what was asked for by name must be there
+        raise ValueError("no protocol attributes")
+
+    def wide_subscales(self):
+        """Subscales as a CSV with a column for each, without the study column, in long form."""
+        wide = subscale_csv(self.spark, f"{self.folder}/subscales.csv")
+        scales = [c for c in wide.columns if c != "PATIENT_ID"]
+        return wide.select("PATIENT_ID", *[F.col(f"`{c}`").cast("double").alias(c) for c in scales]).unpivot(["PATIENT_ID"], [F.col(f"`{c}`") for c in scales], "SCALE", "SCORE").na.drop()
 
 
 def jdbc(spark: SparkSession, url: str, table: str, patients: list[int] | None = None, **options: str) -> DataFrame:
@@ -113,9 +126,9 @@ def subscale_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cohort(studies: DataFrame, study_ids: list[int] | None = None) -> DataFrame:
-    """Distinct patients of the given studies, from rows (STUDY_ID, PATIENT_ID)."""
+    """Distinct patients of the given studies, from rows (STUDY_ID, PATIENT_ID); none at all is an error."""
     rows = studies if study_ids is None else studies.where(F.col("STUDY_ID").isin(study_ids))
-    return rows.select("PATIENT_ID").distinct()
+    return require_rows(rows.select("PATIENT_ID"), f"no patients in the studies {study_ids}").distinct()
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
@@ -125,12 +138,12 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 
 def completed_fits(fits: DataFrame, patients: DataFrame) -> DataFrame:
-    """Fits of the wanted patients; those without any get a row with nulls for each known protocol."""
+    """Fits of the wanted patients; those without any get a row with nulls for each known protocol.  If none has any it is an error."""
     wanted = patients.select("PATIENT_ID").distinct()
-    own = fits.join(wanted, "PATIENT_ID", "left_semi")
+    own = require_rows(fits.join(wanted, "PATIENT_ID", "left_semi"), "none of the patients has a fit")
     missing = wanted.join(fits, "PATIENT_ID", "left_anti")
-    protocols = fits.select("PROTOCOL_ID").distinct()  # a catalogue: tens of rows
-    blank = missing.join(protocols).withColumns({c: F.lit(None).cast(fits.schema[c].dataType) for c in fits.columns if c not in ("PATIENT_ID", "PROTOCOL_ID")})
+    protocols = catalogue(fits.select("PROTOCOL_ID").distinct())
+    blank = missing.join(F.broadcast(protocols)).withColumns({c: F.lit(None).cast(fits.schema[c].dataType) for c in fits.columns if c not in ("PATIENT_ID", "PROTOCOL_ID")})
     return own.unionByName(blank.select(*own.columns))
 
 
