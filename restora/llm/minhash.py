@@ -13,8 +13,10 @@ components afterwards are compared by an exact prefix-filtered join over their s
 make no pairs within what is linked already and no link between components is lost.
 
 Results for special cases: null text or text without words is the empty set and linked with nothing;
-with fewer than k words the whole sequence is one shingle; rows repeated with the same id count once
-for each row; a row without doc_id stays by itself; an empty table gives an empty result.
+with fewer than k words the whole sequence is one shingle; rows are told apart by doc_id and text, so rows
+that share an id are each linked by their own text, and rows without one like others; a component's id is
+the smallest doc_id in it, whose rows stay; if it has none one row (and its equals) stays, with a null
+component_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from restora.llm.graph import components, cut, keyed_join
@@ -95,8 +97,13 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(total)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A number for each different row (doc_id, text), null ids included."""
+    return F.xxhash64(doc_id, text, doc_id.isNull())
+
+
 def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits of the set), bands (empty for the empty set)."""
+    """doc_id, own, n_shingles, set_a and set_b (128 bits of the set), bands (empty for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -111,9 +118,9 @@ def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     total[full] = np.add.reduceat(mix(values.view(np.uint64) ^ seed), edge[:-1][full])
                 sums.append(total)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full * bands)].astype(np.int32)), signed(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([field(batch, "doc_id"), pa.array(size), signed(sums[0]), signed(sums[1]), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([field(batch, "doc_id"), field(batch, "own"), pa.array(size), signed(sums[0]), signed(sums[1]), lists], names=["doc_id", "own", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select("doc_id", "own", "text").mapInArrow(run, "doc_id long, own long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -160,16 +167,17 @@ def prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text; other columns are ignored)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, n_shingles, component_id, kept and row_key of every row of docs (doc_id, text; other columns are ignored)."""
+    own, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    docs = docs.select(row_key(own, text).alias("doc_id"), own.alias("own"), text.alias("text"))  # from here on rows go by their keys
     sketch = cut(sketched(docs, k, bands, rows))
     classes = sketch.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = cut(classes.select("rep", "n_shingles", F.xxhash64("set_a", "set_b", "n_shingles").alias("set_key"), "set_a", "set_b"))
 
     one = sketch.join(classes.select("rep"), sketch.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     keys = one.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = cut(keys.join(shared, "band").select("band", "doc_id", "n_shingles", "pivot"))
+    shared = keys.groupBy(F.col("band").alias("of")).agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = cut(keyed_join(keys, shared, "band", "of").select("band", "doc_id", "n_shingles", "pivot"))
     wanted = members.select(F.col("doc_id").alias("want")).distinct()
     sets = cut(full_sets(docs.join(wanted, docs.doc_id == F.col("want"), "left_semi").dropDuplicates(["doc_id"]), k))
 
@@ -181,7 +189,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     for exhaustive in (False, True):
         named = keyed_join(members, labels, "doc_id", "node", "left").select("band", "doc_id", "n_shingles", "pivot", F.coalesce("component", "doc_id").alias("component"))
         mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("band").alias("of"))
-        apart = cut(named.join(mixed, named.band == F.col("of"), "left_semi"))
+        apart = cut(keyed_join(named, mixed, "band", "of", "left_semi"))
         if apart.isEmpty():
             break
         if exhaustive:
@@ -201,13 +209,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             labels = components(links)
 
     named = keyed_join(classes, labels, "rep", "node", "left").select("set_key", "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    of = sketch.select("doc_id", "n_shingles", F.xxhash64("set_a", "set_b", "n_shingles").alias("set_key"))
+    of = sketch.select("doc_id", "own", "n_shingles", F.xxhash64("set_a", "set_b", "n_shingles").alias("set_key"))
     named = named.where("n_shingles > 0").select(F.col("set_key").alias("key"), "component")
-    out = keyed_join(of, named, "set_key", "key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = cut(keyed_join(of, named, "set_key", "key", "left").select("doc_id", "own", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component")))
+    first = out.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("own").alias("first"), F.min("doc_id").alias("first_key"))
+    out = keyed_join(out, first, "component", "c", "left")
+    kept = F.when(F.col("c").isNull(), True).when(F.col("first").isNull(), F.col("doc_id") == F.col("first_key")).otherwise(F.coalesce(F.col("own") == F.col("first"), F.lit(False)))
+    return out.select(F.col("own").alias("doc_id"), "n_shingles", F.when(F.col("c").isNull(), F.col("own")).otherwise(F.col("first")).alias("component_id"), kept.alias("kept"), F.col("doc_id").alias("row_key"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 80 % of their 4-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=4).drop("row_key")

@@ -160,6 +160,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(df.where("false")).isEmpty()
 
 
+def test_near_duplicates_of_shared_and_missing_ids_and_long_texts(spark):
+    a, b, c, long = prose(301, 60), prose(302, 60), prose(303, 60), prose(304, 30_000)
+    rows = [(5, a), (5, b), (2, edited(b, [3])), (9, a), (None, edited(a, [7])), (None, c), (None, c + " end"), (7, long), (8, edited(long, [100])), (None, None), (4, "")]
+    for _ in range(2):  # the same in every run
+        got = sorted(map(str, minhash.near_duplicates(frame(spark, rows).repartition(3), k=5).select("doc_id", "component_id", "kept").collect()))
+        first = [r for r in got if "doc_id=None, component_id=None, kept=True" in r]
+        assert len(first) == 2 and sum("doc_id=None, component_id=None, kept=False" in r for r in got) == 1  # one of the two texts c, and the null text
+        known = [(5, 5, True), (5, 2, False), (2, 2, True), (9, 5, False), (None, 5, False), (7, 7, True), (8, 7, False), (4, 4, True)]
+        assert sorted(r for r in got if r not in first and "component_id=None" not in r) == sorted(f"Row(doc_id={i}, component_id={k}, kept={x})" for i, k, x in known)
+
+
 def test_repeated_and_unnamed_rows(spark):
     df = frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")])
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(df).collect())
@@ -344,7 +355,7 @@ def word_library():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text(alphabet="aÀÉzZ9.,'s<|>!\u0301\u0338\u0130 -=ßñ_\u212a\u00b2\u2160d't", max_size=40)))
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="aÀÉzZ9.,'s<|>!\u0301\u0338\u0130 -=ßñ_×÷\u212a\u00b2\u2160d't", max_size=40)))
 def test_word_parts_give_the_ids_of_whole_texts(word_library, text):
     library, encoder = word_library
     assert np.frombuffer(encoder.encode([text])[0], dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
@@ -717,4 +728,13 @@ def test_pipeline_stages(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     kept = docs.first()
     assert docs.columns == ["doc_id", "text", "lang", "coverage", "score", "kept_id"] and (kept.coverage, kept.score, kept.kept_id) == ("own", "mine", 7)
+    twice = prose(950, 60)
+    odd = frame(spark, [(None, twice, "en", "s", 0), (None, prose(951, 60), "en", "s", 0), (6, twice, "en", "s", 0), (6, prose(952, 60), "en", "s", 0), (6, prose(952, 60), "en", "s", 0), (9, prose(953, 20_000), "en", "s", 0)], ", lang string, source string, n_chars bigint")
+    for _, stage in pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, str(tmp_path))
+    assert sorted((str(r.doc_id), r.text[:9]) for r in odd.collect()) == sorted((str(i), prose(k, 60)[:9]) for i, k in ((None, 951), (6, 950), (6, 952), (6, 952), (9, 953)))
+    none = frame(spark, [], ", lang string, source string, n_chars bigint")
+    for _, stage in pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+    assert none.isEmpty()
     assert len(pipeline.STAGES) == 5 and json.dumps([n for n, _ in pipeline.STAGES])
