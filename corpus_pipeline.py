@@ -1,9 +1,9 @@
 """A training-corpus pipeline: each stage works on what its predecessor kept.
 
 Stages take (spark, docs, sf_dir); all but the last return the columns of docs, whatever they are called.
-A stage's result is written as Parquet and read again before the next one.  Rows that share a doc_id stay or
-go together; rows without a doc_id are dropped by the near-duplicate stage; null texts have no language and
-are dropped by the first.
+A stage's result is written as Parquet and read again before the next one.  Rows are told apart by doc_id and
+text, so rows that share a doc_id, or have none, are each judged; equal rows stay or go together; null texts
+have no language and are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates (five words, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).where("kept").select(F.col("row_key").alias("kept_key")).distinct()
     own, back = _shielded(docs, ("doc_id", "text"))
-    return back(keyed_join(own, kept, "doc_id", "kept_id", "left_semi"))
+    own = own.withColumn("__key", minhash.row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return back(keyed_join(own, kept, "__key", "kept_key", "left_semi"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
