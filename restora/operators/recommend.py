@@ -61,58 +61,70 @@ def swaps(scores: DataFrame) -> DataFrame:
     return own.where(F.col("__low") | (~F.col("__any") & (F.col("__r") == 1))).drop("__low", "__any", "__r")
 
 
-def substitutions(scores: DataFrame, similarity: DataFrame, top_similar: int = 5) -> DataFrame:
-    """PATIENT_ID, OLD and NEW of every swap, chosen one after another in order of PROTOCOL_ID.
-
-    Left out are the patient's prescriptions and substitutes chosen before.  If the patient has protocols
-    without use, the most similar of them is taken, and none if all those are left out; otherwise the most
-    similar of the least used among the top_similar.  Without a choice the protocol stays.
-    """
+def _decided(scores: DataFrame, similarity: DataFrame, top_similar: int) -> DataFrame:
+    """One row per patient: ROWS (the patient's scores, by protocol), PLAN (those with days), BRANCH, and SWAPS (OLD, NEW), chosen one after another."""
     near = similarity.where("PROTOCOL_A <> PROTOCOL_B").groupBy(F.col("PROTOCOL_A").alias("OLD")).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("SIMILARITY")).alias("s"), F.col("PROTOCOL_B").alias("b")))).alias("NEAR")
-    )  # a catalogue: tens of rows of tens of protocols
-    own = scores.groupBy("PATIENT_ID").agg(
-        F.map_from_entries(F.collect_list(F.struct("PROTOCOL_ID", F.coalesce("USAGE", F.lit(0)).cast("bigint").alias("u")))).alias("USES"),
-        F.collect_list(F.when(F.coalesce(F.size("DAYS") > 0, F.lit(False)), F.col("PROTOCOL_ID"))).alias("PLANNED"),
     )
-    steps = swaps(scores).select("PATIENT_ID", F.col("PROTOCOL_ID").alias("OLD")).join(near, "OLD", "left")
-    steps = steps.groupBy("PATIENT_ID").agg(F.array_sort(F.collect_list(F.struct("OLD", F.transform(F.coalesce("NEAR", F.array().cast("array<struct<s:double,b:bigint>>")), lambda x: x["b"]).alias("NEAR")))).alias("STEPS"))
-    rows = steps.join(own, "PATIENT_ID").withColumn("FREE", F.exists(F.map_values("USES"), lambda u: u == 0))
+    near = near.agg(F.map_from_entries(F.collect_list(F.struct("OLD", F.transform("NEAR", lambda x: x["b"])))).alias("NEAR"))  # one row: a catalogue
+    rest = [c for c in scores.columns if c not in BY_PP]
+    rows = scores.groupBy("PATIENT_ID").agg(F.array_sort(F.collect_list(F.struct("PROTOCOL_ID", *rest))).alias("ROWS"))  # as many as protocols
+    rows = rows.withColumn("PLAN", F.filter("ROWS", lambda r: F.coalesce(F.size(r["DAYS"]) > 0, F.lit(False)))).join(F.broadcast(near))
+    mean = F.aggregate("PLAN", F.lit(0.0), lambda a, r: a + r["SCORE"]) / F.size("PLAN")
+    low = F.transform(F.filter("PLAN", lambda r: r["SCORE"] < mean), lambda r: r["PROTOCOL_ID"])
+    least_ = F.array_min(F.transform("PLAN", lambda r: F.struct(r["SCORE"].alias("s"), r["PROTOCOL_ID"].alias("p"))))["p"]
+    none = F.array().cast("array<bigint>")
+    idle = F.forall("PLAN", lambda r: F.coalesce(r["USAGE_WEEK"] == 0, F.lit(True))) & F.exists("PLAN", lambda r: r["USAGE_WEEK"].isNotNull())
+    use_of = F.map_from_entries(F.transform("ROWS", lambda r: F.struct(r["PROTOCOL_ID"].alias("p"), F.coalesce(r["USAGE"], F.lit(0)).cast("bigint").alias("u"))))
+    rows = rows.withColumns({
+        "LOW": F.when(F.size("PLAN") == 0, none).when(F.size(low) > 0, low).otherwise(F.array(least_)),
+        "BRANCH": F.when(F.size("PLAN") == 0, "new").when(idle, "repeat").otherwise("update"),
+        "USES": use_of, "FREE": F.exists("ROWS", lambda r: F.coalesce(r["USAGE"], F.lit(0)) == 0),
+    })
 
     def use(b):
         return F.try_element_at("USES", b)
 
-    def step(acc, s):
-        open_ = F.filter(s["NEAR"], lambda b: ~F.array_contains(acc["taken"], b))
+    def step(acc, old):
+        open_ = F.filter(F.coalesce(F.try_element_at("NEAR", old), none), lambda b: ~F.array_contains(acc["taken"], b))
         unused = F.get(F.filter(open_, lambda b: F.coalesce(use(b) == 0, F.lit(False))), F.lit(0))
         close = F.filter(F.slice(open_, 1, top_similar), lambda b: use(b).isNotNull())
         least = F.array_min(F.transform(close, use))
         rare = F.get(F.filter(close, lambda b: use(b) == least), F.lit(0))
-        new = F.coalesce(F.when(F.col("FREE"), unused).otherwise(rare), s["OLD"])
-        return F.struct(F.array_append(acc["taken"], new).alias("taken"), F.array_append(acc["out"], F.struct(s["OLD"].alias("OLD"), new.alias("NEW"))).alias("out"))
+        new = F.coalesce(F.when(F.col("FREE"), unused).otherwise(rare), old)
+        return F.struct(F.array_append(acc["taken"], new).alias("taken"), F.array_append(acc["out"], F.struct(old.alias("OLD"), new.alias("NEW"))).alias("out"))
 
-    start = F.struct(F.col("PLANNED").alias("taken"), F.array().cast("array<struct<OLD:bigint,NEW:bigint>>").alias("out"))
-    return rows.select("PATIENT_ID", F.aggregate("STEPS", start, step)["out"].alias("out")).select("PATIENT_ID", F.inline("out"))
+    start = F.struct(F.transform("PLAN", lambda r: r["PROTOCOL_ID"]).alias("taken"), F.array().cast("array<struct<OLD:bigint,NEW:bigint>>").alias("out"))
+    return rows.withColumn("SWAPS", F.aggregate("LOW", start, step)["out"])
 
 
-def updated(scores: DataFrame, similarity: DataFrame) -> DataFrame:
-    """Prescriptions with their swaps carried out; a substitute takes over the days."""
-    plan = prescriptions(scores)
-    changes = substitutions(scores, similarity)
-    stay = plan.join(changes.select("PATIENT_ID", F.col("OLD").alias("PROTOCOL_ID")), BY_PP, "left_anti")
-    days = plan.select("PATIENT_ID", F.col("PROTOCOL_ID").alias("OLD"), F.col("DAYS").alias("__d"))
-    chosen = changes.join(days, ["PATIENT_ID", "OLD"]).select("PATIENT_ID", F.col("NEW").alias("PROTOCOL_ID"), "__d")
-    taken = scores.join(chosen, BY_PP).withColumn("DAYS", F.col("__d")).drop("__d")
-    return stay.unionByName(taken.select(*stay.columns))
-
-
-def recommended(scores: DataFrame, similarity: DataFrame, n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY) -> DataFrame:
-    """Next week's rows of all patients, with BRANCH new, repeat or update."""
-    states = week_states(scores)
-    branch = F.when(~F.coalesce("HAS_PLAN", F.lit(False)), "new").when(F.col("WEEK_SKIPPED"), "repeat").otherwise("update")
-    named = scores.join(states.select("PATIENT_ID", branch.alias("BRANCH")), "PATIENT_ID")
-    of = lambda b: named.where(F.col("BRANCH") == b)
-    return new_schedule(of("new"), n, days, per_day).unionByName(prescriptions(of("repeat"))).unionByName(updated(of("update"), similarity))
+def substitutions(scores: DataFrame, similarity: DataFrame, top_similar: int = 5) -> DataFrame:
+    """PATIENT_ID, OLD and NEW of every swap, chosen one after another in order of PROTOCOL_ID.
+
+    Left out are the patient's prescriptions and substitutes chosen before.  If the patient has protocols
+    without use, the most similar of them is taken, and none if all those are left out; otherwise the most
+    similar of the least used among the top_similar.  Without a choice the protocol stays.
+    """
+    return _decided(scores, similarity, top_similar).select("PATIENT_ID", F.inline("SWAPS"))
+
+
+def recommended(scores: DataFrame, similarity: DataFrame, n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY, top_similar: int = 5) -> DataFrame:
+    """Next week's rows of all patients, with BRANCH new, repeat or update; a substitute takes over the days.
+
+    Scores are grouped by patient once, and everything is decided inside the group.
+    """
+    rows = _decided(scores, similarity, top_similar)
+    row_of = lambda p: F.get(F.filter("ROWS", lambda r: r["PROTOCOL_ID"] == p), F.lit(0))
+    given = lambda r, d: F.struct(r.alias("r"), d.cast("array<int>").alias("d"))
+    best = F.slice(F.array_sort(F.transform("ROWS", lambda r: F.struct(F.coalesce(-r["SCORE"], F.lit(float("inf"))).alias("s"), r["PROTOCOL_ID"].alias("p"), r.alias("r")))), 1, min(n, days * per_day))
+    many = F.least(F.size("ROWS"), F.lit(n))
+    new = F.transform(best, lambda x, i: given(x["r"], schedule_days(i, many, days, per_day)))
+    kept = F.transform("PLAN", lambda r: given(r, r["DAYS"]))
+    stay = F.filter(kept, lambda x: ~F.array_contains("LOW", x["r"]["PROTOCOL_ID"]))
+    changed = F.transform("SWAPS", lambda x: given(row_of(x["NEW"]), row_of(x["OLD"])["DAYS"]))
+    chosen = F.when(F.col("BRANCH") == "new", new).when(F.col("BRANCH") == "repeat", kept).otherwise(F.concat(stay, changed))
+    out = rows.select("PATIENT_ID", "BRANCH", F.explode(chosen).alias("x"))
+    return out.select(*[F.col("x.d").alias(c) if c == "DAYS" else F.col(c) if c == "PATIENT_ID" else F.col(f"x.r.{c}").alias(c) for c in scores.columns], "BRANCH")
 
 
 def patient_status(requested: DataFrame, scores: DataFrame) -> DataFrame:
