@@ -12,6 +12,7 @@ from restora.llm.decontaminate import op2_decontaminate
 from restora.llm.langid import op9_langid
 from restora.llm.lm import op7_lm
 from restora.llm.minhash import op6_minhash
+from restora.llm.oracles import ORACLES as ORACLES
 from restora.llm.quality import op4_quality
 from restora.llm.repeats import op1_repeats
 from restora.llm.secrets import op3_secrets
@@ -29,6 +30,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_token_files": op10_token_files,
 }
-
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from restora.llm import ann, bpe, decontaminate, langid, lm, minhash, quality, repeats, restaurants, secrets, suffixes, token_files
+from restora.llm import ann, bpe, decontaminate, langid, lm, minhash, quality, queries, repeats, restaurants, secrets, suffixes, token_files
 from restora.llm.graph import components
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -709,6 +709,22 @@ def test_language_prediction(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+# --- queries with SQL --------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = c.execute(queries.ORACLES[name])
+    names = [x[0] for x in want.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
+
+
 # --- pipeline ----------------------------------------------------------------------------------------
 
 
