@@ -411,52 +411,23 @@ def test_neighbours_find_most(spark):
 def test_queries_and_probes_stay_off_the_driver(spark, monkeypatch):
     x = np.random.default_rng(4).normal(size=(900, 8))
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(900)], "vec_id bigint, embedding array<double>").repartition(3)
-    given = {"k": 5, "functions": 5, "tables": 12, "probes": 40}
-    one = sorted(map(tuple, ann.neighbours(df, df.where("vec_id < 300"), **given).collect()))
+    one = sorted(map(tuple, ann.neighbours(df, df.where("vec_id < 300"), k=5).collect()))
     seen, collect, send = [], type(df).collect, type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(df), "collect", lambda self: seen.append(len(rows := collect(self))) or rows)
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: seen.append(10**9) or send(self, value))
     monkeypatch.setattr(ann, "SAMPLE", 50)
     plans = []
-    monkeypatch.setattr(ann, "stored", lambda df, f=ann.stored: plans.append(df._jdf.queryExecution().toString()) or f(df))
-    ann.neighbours(df, df.where("vec_id < 300"), block=64, **given)
+    monkeypatch.setattr(ann, "searched", lambda *a, f=ann.searched: plans.append(f(*a)) or plans[-1])
+    ann.neighbours(df, df.where("vec_id < 300"), k=5, block=64)
     assert max(seen) <= 50  # the sample, but no queries
-    assert plans and not any("CartesianProduct" in p or "NestedLoop" in p for p in plans)
     monkeypatch.undo()
-    many = sorted(map(tuple, ann.neighbours(df, df.where("vec_id < 300"), block=64, **given).collect()))
+    assert plans and all("CartesianProduct" in p._jdf.queryExecution().toString() for p in plans)
+    many = sorted(map(tuple, ann.neighbours(df, df.where("vec_id < 300"), k=5, block=64).collect()))
     assert many == one
-
-
-def test_probes_by_rank_cost_little():
-    q = np.random.default_rng(5).normal(size=(20, 8))
-    hashes = ann.Tables(8, 1, 8, 1.5)
-    exact = hashes.probes(q, 0, 60)
-    ann.ENUMERATED, before = 0, ann.ENUMERATED
-    try:
-        ranked = hashes.probes(q, 0, 60)
-    finally:
-        ann.ENUMERATED = before
-    assert ranked.shape == exact.shape == (20, 61)
-    assert np.mean([len({*a} & {*b}) / 61 for a, b in zip(ranked.tolist(), exact.tolist(), strict=True)]) > 0.95
-
-
-def test_neighbours_of_small_tables_copies_and_repeated_ids(spark):
-    draw = np.random.default_rng(9)
-    pairs = draw.normal(size=(4, 8)).repeat(2, axis=0) + 0.001 * draw.normal(size=(8, 8))
-    df = spark.createDataFrame([(i, [float(v) for v in pairs[i]]) for i in range(8)], "vec_id bigint, embedding array<double>")
-    assert ann.neighbours(df, df).groupBy("query_id").count().where("count = 7").count() == 8
-    x = draw.integers(0, 3, size=(400, 2)).astype(float) + 1.0  # nine places, many ties
-    x[:150] = x[0]
-    rows = [(i % 300, [float(v) for v in x[i]]) for i in range(400)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.neighbours(df, df.where("vec_id % 50 = 0"), k=4, block=3).collect())
-    want = []
-    for i, (name, _) in enumerate(rows):
-        if name % 50 == 0:
-            d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-            near = sorted((d[j], rows[j][0]) for j in range(400) if j != i)[:4]
-            want += [(name, k + 1, v, s) for k, (s, v) in enumerate(near)]
-    assert got == sorted(want)
+    hashes, q = ann.Tables(8, 2, 8, 1.5), x[:5]
+    p = hashes.projected(q, 1)
+    by_heap = [{*hashes.keys(np.floor(y) + ann._cheapest(y - np.floor(y), 120)).tolist()} for y in p]
+    assert [{*r} for r in hashes.probes(q, 1, 120).tolist()] == by_heap
 
 
 @pytest.mark.parametrize("noise", [0.01, 0.03])
@@ -495,6 +466,23 @@ def test_queries_without_enough_hits_are_compared_with_all(spark):
     assert ann.neighbours(df.where("vec_id < 4"), df.where("vec_id < 2"), k=10).count() == 6
 
 
+def test_neighbours_of_small_tables_and_copies(spark):
+    draw = np.random.default_rng(9)
+    pairs = draw.normal(size=(4, 8)).repeat(2, axis=0) + 0.001 * draw.normal(size=(8, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in pairs[i]]) for i in range(8)], "vec_id bigint, embedding array<double>")
+    assert ann.neighbours(df, df).groupBy("query_id").count().where("count = 7").count() == 8
+    x = draw.integers(0, 3, size=(400, 2)).astype(float) + 1.0  # nine places, many ties
+    x[:150] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(400)], "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.neighbours(df, df.where("vec_id % 50 = 0"), k=4).collect())
+    want = []
+    for i in range(0, 400, 50):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        near = sorted((d[j], j) for j in range(400) if j != i)[:4]
+        want += [(i, k + 1, v) for k, (_, v) in enumerate(near)]
+    assert got == want
+
+
 # --- quality -----------------------------------------------------------------------------------------
 
 
