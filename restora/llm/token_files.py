@@ -24,6 +24,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,18 @@ from restora.llm.textkit import field, pieces
 LIMIT, BLOCK_IDS, CHECKPOINT, PARTITION_BYTES, REMEMBERED = 16, 65_536, 64, 24 << 20, 400_000
 
 
-#: Where the tokenizer's pattern always parts a text: between a letter or digit that normalising keeps, and a mark; around digits.
-_PART = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[!-&(-;=?-@\[-`{}~])|(?<=[!-&(-;=?-@\[-`{}~])(?=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])|(?<=[0-9])(?=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])|(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[0-9])")
-_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Runs of letters, single digits and runs of marks: between these the tokenizer's pattern always parts a text.  Letters are those up to
+#: U+00FF (0xC3 and the byte after it, but for two signs); apostrophes, with which endings begin, and what special ids are written with
+#: belong to none.
+_RUNS = re.compile(rb"[a-zA-Z\xc3\x80-\xbf]+|[0-9]|[!-&(-;=?-@\[-`{}~]+")
+_PLAIN = re.compile(rb"[a-z\xc3\x80-\xbf]+")
+_SIGNS = b"\xc3\x97", b"\xc3\xb7"
+
+
+def parted(word: bytes) -> list[bytes]:
+    """The runs of a word that has nothing else, or the word."""
+    runs = _RUNS.findall(word)
+    return runs if len(b"".join(runs)) == len(word) and not (_SIGNS[0] in word or _SIGNS[1] in word) else [word]
 
 
 class WordEncoder:
@@ -55,18 +65,16 @@ class WordEncoder:
         self.ends = np.zeros(1 << 16, dtype=bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.end = np.uint16(end_id).tobytes()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.words, self.parts = Memory(), Memory()
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encodes words by a few calls: one call for many words is much cheaper than a call for each."""
-        names = [w.decode("utf-8") for w in words]
-        plain = [bool(_PLAIN.fullmatch(x)) for x in names]
+        """Encodes parts of words by a few calls: one call for many is much cheaper than a call for each."""
+        plain = [_PLAIN.fullmatch(w) is not None and not (_SIGNS[0] in w or _SIGNS[1] in w) for w in words]
         for kind in (True, False):
             of_kind = [i for i, p in enumerate(plain) if p is kind]
             for k in range(0, len(of_kind), 8192):
                 pick = of_kind[k : k + 8192]
-                part = [names[i] for i in pick]
+                part = [words[i].decode("utf-8") for i in pick]
                 joined = "\n".join(part)
                 if kind:  # each is one match of the pattern, so its last id ends a word and no other does
                     ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u2")
@@ -80,33 +88,57 @@ class WordEncoder:
                     raise ValueError("ids do not fall into words")
                 raw = ids.tobytes()
                 for i, x, y in zip(pick, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    self.young[words[i]] = raw[2 * x : 2 * y]
+                    self.parts.young[words[i]] = raw[2 * x : 2 * y]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for t in texts:
-            if t and "<|" in t:  # the names of special ids count as they are written
-                split.append(t.encode("utf-8").split())
-            else:
-                split.append(_PART.sub(" ", t or "").encode("utf-8").lower().split())
-        young, old = self.young, self.old
-        found = [list(map(young.get, words)) for words in split]
-        missing: set[bytes] = set()
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                missing.update(w for w, x in zip(words, ids, strict=True) if x is None)
-        new = []
-        for w in missing:
-            if w in old:
-                young[w] = old[w]
+            raw = (t or "").encode("utf-8")
+            # the names of special ids count as they are written
+            split.append(raw.split() if b"<|" in raw else raw.lower().split())
+        known = self.words.young
+        flat = list(chain.from_iterable(split))
+        ids = list(map(known.get, flat))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        missing = {flat[i] for i in holes}
+        new = self.words.unknown(missing)
+        pieces_ = list(map(parted, new))
+        self._learn(self.parts.unknown(set(chain.from_iterable(pieces_))))
+        part = self.parts.young.__getitem__
+        for w, p in zip(new, pieces_, strict=True):
+            known[w] = b"".join(map(part, p))
+        for i in holes:
+            ids[i] = known[flat[i]]
+        ends = list(accumulate(map(len, split)))
+        out = [b"".join([*ids[b - len(words) : b], self.end]) for words, b in zip(split, ends, strict=True)]
+        self.words.age()
+        self.parts.age()
+        return out
+
+
+class Memory:
+    """What has been seen of late: up to twice REMEMBERED entries and those of one batch."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def unknown(self, keys: set[bytes]) -> list[bytes]:
+        """Keys that are not remembered; the others are young from now on."""
+        out = []
+        for k in keys:
+            if k in self.young:
+                continue
+            if k in self.old:
+                self.young[k] = self.old[k]
             else:
-                new.append(w)
-        self._learn(new)
-        out = [b"".join([*(map(young.__getitem__, words) if None in ids else ids), self.end]) for words, ids in zip(split, found, strict=True)]
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
+                out.append(k)
         return out
 
+    def age(self) -> None:
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
