@@ -13,10 +13,13 @@ from restora.llm.langid import op9_langid
 from restora.llm.lm import op7_lm
 from restora.llm.minhash import op6_minhash
 from restora.llm.oracles import ORACLES as ORACLES
+from restora.llm.negatives import op13_hard_negatives
 from restora.llm.quality import op4_quality
 from restora.llm.repeats import op1_repeats
 from restora.llm.secrets import op3_secrets
 from restora.llm.token_files import op10_token_files
+from restora.llm.topk import op12_topk
+from restora.llm.variants import op11_spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
@@ -29,4 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_token_files": op10_token_files,
+    "op11_spelling": op11_spelling,
+    "op12_topk": op12_topk,
+    "op13_hard_negatives": op13_hard_negatives,
 }
