@@ -115,3 +115,19 @@ rec AS (SELECT PATIENT_ID, PROTOCOL_ID, BRANCH, SCORE, list_sort(list_distinct(l
   UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, BRANCH, SCORE, DAYS FROM named WHERE BRANCH = 'repeat' AND len(DAYS) > 0
   UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, BRANCH, SCORE, DAYS FROM named WHERE BRANCH = 'update' AND len(DAYS) > 0 AND NOT EXISTS (SELECT 1 FROM sw WHERE sw.PATIENT_ID = named.PATIENT_ID AND sw.PROTOCOL_ID = named.PROTOCOL_ID)
   UNION ALL SELECT named.PATIENT_ID, named.PROTOCOL_ID, named.BRANCH, named.SCORE, o.DAYS FROM chain JOIN named ON named.PATIENT_ID = chain.PATIENT_ID AND named.PROTOCOL_ID = chain.NEW JOIN sc o ON o.PATIENT_ID = chain.PATIENT_ID AND o.PROTOCOL_ID = chain.OLD WHERE named.BRANCH = 'update')"""
+
+
+def allowed_only(statement: str, protocols: list[int]) -> str:
+    """The statement, where sessions, fits and similarities are those of the allowed protocols."""
+    names = "(" + ", ".join(map(str, protocols)) + ")"
+    statement = statement.replace("FROM s25_0)", f"FROM s25_0 WHERE PROTOCOL_ID IN {names})").replace("sim AS (", "sim_all AS (")
+    statement = statement.replace("fits AS (", "fits_all AS (").replace(f",\n{expanded('s25')}", f",\nfits AS (SELECT * FROM fits_all WHERE PROTOCOL_ID IN {names}),\n{expanded('s25')}")
+    return statement.replace(f",\n{SWAPS}", f",\nsim AS (SELECT * FROM sim_all WHERE PROTOCOL_A IN {names} AND PROTOCOL_B IN {names}),\n{SWAPS}")
+
+
+#: staged and measured: what a run writes of rec.
+STAGED = """staged AS (SELECT PATIENT_ID, PROTOCOL_ID, st + 7 * WEEKS_SINCE_START AS STARTING_DATE, st + 7 * WEEKS_SINCE_START + 7 AS ENDING_DATE, CAST(WEEKDAY AS INT) AS WEEKDAY FROM (SELECT PATIENT_ID, PROTOCOL_ID, unnest(CASE WHEN len(DAYS) = 0 THEN [NULL] ELSE DAYS END) AS WEEKDAY FROM rec) JOIN wk USING (PATIENT_ID))"""
+
+
+def measured(names: tuple[str, ...]) -> str:
+    return "measured AS (" + " UNION ALL ".join(f"SELECT PATIENT_ID, PROTOCOL_ID, '{m}' AS KEY, CAST(sc.{m} AS DOUBLE) AS VALUE FROM rec JOIN sc USING (PATIENT_ID, PROTOCOL_ID)" for m in names) + ")"

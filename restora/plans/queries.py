@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from restora.constants import BY_PP, NOT_PERFORMED, SCALE_ALIASES, SCALE_MAXIMA
+from restora.constants import ALLOWED_PROTOCOLS, BY_PP, NOT_PERFORMED, SCALE_ALIASES, SCALE_MAXIMA
 from restora.functions import clinical, dates, series, vectors
-from restora.operators import cohort, fit, quality, recommend, scoring, sessions
+from restora.operators import cohort, faults, fit, quality, recommend, scoring, sessions
 from restora.plans import oracles as sql
 from restora.plans import study
 from restora.sources import sinks, study_views, tables
@@ -862,15 +862,63 @@ class Views:
 
 @query("i12_study_statuses", f"WITH {sql.BASE}, {sql.VECTORS} SELECT PATIENT_ID, CASE WHEN PATIENT_ID IN (SELECT PATIENT_ID FROM fits) THEN 'ok' ELSE 'failed' END AS STATUS FROM stud WHERE STUDY_ID IN (1, 2)")
 def study_statuses(spark, d):
-    return study.study_run(Views(spark, d), study_views.studies(spark, d), [1, 2], day())["statuses"]
+    return study.study_run(Views(spark, d), study_views.studies(spark, d), [1, 2], day())["statuses"].select("PATIENT_ID", "STATUS")
 
 
-@query("i12_study_run")
+_RUN = sql.allowed_only(f"WITH RECURSIVE {sql.SCORES}, {sql.SIMILARITY},\n{sql.RECOMMENDED}", ALLOWED_PROTOCOLS)
+
+
+@query("i12_study_run", f"{_RUN}, {sql.STAGED} SELECT 'run1' AS RUN_ID, * FROM staged")
 def study_run(spark, d):
     """The staging rows of a run over all studies."""
     return study.study_run(Views(spark, d), study_views.studies(spark, d), [0, 1, 2, 3, 4], day(), "run1")["staging"]
 
 
+class ClinicalViews(Views):
+    """Patients with clinical documents, and a log of sessions; both have faults."""
+
+    def sessions(self, patients=None):
+        return tables.of_patients(faults.typed(study_views.logged_sessions(self.spark, self.d), {"SESSION_DATE": "date"}), patients)
+
+    def patients(self, patients=None):
+        return tables.of_patients(study_views.clinical_patients(self.spark, self.d), patients)
+
+
+_FAULTS = f"""nat AS (SELECT CAST(c_custkey AS BIGINT) AS PATIENT_ID, c_nationkey AS n FROM customer),
+own_reasons AS (SELECT PATIENT_ID, CASE WHEN n <= 2 THEN 'unreadable clinical scores' WHEN n <= 5 THEN 'no maximum for scale ARAT.Dance' WHEN n <= 8 THEN 'no start date' WHEN n BETWEEN 9 AND 11 THEN 'no number for scale ARAT_GRIP' WHEN n <= 13 AND PATIENT_ID IN (SELECT PATIENT_ID FROM ev WHERE k % 10 = 0) THEN 'bad SESSION_DATE' END AS REASON FROM pat JOIN nat USING (PATIENT_ID))"""
+
+
+def _faulty_run_sql():
+    own = f"{_fit_sql()[5:]}, {_FAULTS},\nfits AS (SELECT PATIENT_ID, PROTOCOL_ID, list_dot_product(a, b) AS PPF FROM p2, q2 WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM own_reasons WHERE REASON IS NULL))"
+    return sql.allowed_only(f"WITH RECURSIVE {sql.SCORES.replace(sql.VECTORS, own)}, {sql.SIMILARITY},\n{sql.RECOMMENDED}", ALLOWED_PROTOCOLS)
+
+
+def faulty_run(spark, d):
+    """A run over all patients, some of whom have faults of every kind."""
+    loader = ClinicalViews(spark, d)
+    return study.patients_run(loader, study_views.patients(spark, d), day(), "run1", fits_of=lambda people: faults.checked_fits(people, attributes(spark, d)))
+
+
+@query("i12_faulty_statuses", f"{_faulty_run_sql()} SELECT PATIENT_ID, CASE WHEN REASON IS NULL THEN 'ok' ELSE 'failed' END AS STATUS, REASON, (SELECT count(*) FROM rec WHERE rec.PATIENT_ID = r.PATIENT_ID) AS RECOMMENDATIONS FROM own_reasons r")
+def faulty_statuses(spark, d):
+    return faulty_run(spark, d)["statuses"]
+
+
+@query("i12_faulty_staging", f"{_faulty_run_sql()}, {sql.STAGED} SELECT 'run1' AS RUN_ID, * FROM staged")
+def faulty_staging(spark, d):
+    return faulty_run(spark, d)["staging"]
+
+
+@query("i12_faulty_metrics", f"{_faulty_run_sql()}, {sql.measured(_METRICS)} SELECT PATIENT_ID, PROTOCOL_ID, KEY, round(VALUE, 6) AS VALUE, 'run1' AS RUN_ID FROM measured")
+def faulty_metrics(spark, d):
+    return rounded(faulty_run(spark, d)["metrics"], "VALUE")
+
+
+@query("i12_faulty_summary", f"WITH {sql.BASE}, {_FAULTS} SELECT count(*) AS PATIENTS, count(*) FILTER (REASON IS NULL) AS SUCCEEDED, count(REASON) AS FAILED, CASE WHEN count(*) = count(REASON) THEN 'failure' WHEN count(REASON) = 0 THEN 'success' ELSE 'partial_success' END AS OVERALL FROM own_reasons")
+def faulty_summary(spark, d):
+    return faulty_run(spark, d)["summary"].drop("RECOMMENDATIONS")
+
+
 @query("i17_early_scores", f"WITH {sql.BASE}, {sql.VECTORS}, l AS (SELECT PATIENT_ID, PROTOCOL_ID, arg_max(ADHERENCE, event_id) AS a, arg_max(DM_VALUE, event_id) FILTER (DM_VALUE IS NOT NULL) AS m FROM (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY SESSION_DATE, event_id) AS seq FROM s25) GROUP BY 1, 2) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF + coalesce(m, 0) + coalesce(a, 1), 6) AS SCORE FROM fits LEFT JOIN l USING (PATIENT_ID, PROTOCOL_ID)".replace("arg_max(ADHERENCE, event_id)", "arg_max(ADHERENCE, seq)").replace("arg_max(DM_VALUE, event_id)", "arg_max(DM_VALUE, seq)"))
 def early_scores(spark, d):
     return rounded(cohort.early_scores(fits(spark, d), s25(spark, d)).select(*BY_PP, "SCORE"), "SCORE")

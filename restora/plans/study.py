@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from restora.constants import DAYS, PER_DAY, TOP_N, WEIGHTS
-from restora.operators import fit
-from restora.operators.recommend import allowed, patient_status, recommended
+from restora.operators import faults, fit
+from restora.operators.recommend import allowed, recommended
 from restora.operators.scoring import features, imputed, scored
 from restora.operators.sessions import in_trial, with_missing_sessions
 from restora.sources import sinks
@@ -43,29 +43,68 @@ def prepared(fits: DataFrame, sessions: DataFrame, similarity: DataFrame, protoc
     return allowed(fits, ["PROTOCOL_ID"], protocols), allowed(sessions, ["PROTOCOL_ID"], protocols), allowed(similarity, ["PROTOCOL_A", "PROTOCOL_B"], protocols)
 
 
-def study_run(loader: Loader, studies: DataFrame, study_ids: list[int], scoring_date: Column, run_id: str = "run", n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY) -> dict[str, DataFrame]:
-    """scores, recommendations, staging, metrics, statuses and summary of the studies' patients; patients without scores have status failed."""
-    wanted = cohort(studies, study_ids)
-    patients = loader.patients(wanted)
-    fits, sessions, similarity = prepared(completed_fits(loader.fits(), wanted), loader.sessions(wanted), loader.similarity())
-    scores = score_table(fits, sessions, patients, scoring_date)
-    chosen = recommended(scores, similarity, n, days, per_day)
-    starts = patients.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("CLINICAL_TRIAL_START_DATE"))
-    statuses = patient_status(wanted, scores)
-    return {
+def patients_run(
+    loader: Loader, wanted: DataFrame, scoring_date: Column, run_id: str = "run", n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY,
+    fits_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+) -> dict[str, DataFrame]:
+    """faults, scores, recommendations, staging, metrics, statuses and summary of the wanted patients.
+
+    What is wrong with a patient's own data doesn't stop the run: the patient has status failed and the reason, and no
+    rows in the other tables.  fits_of(patients) gives (fits, reasons); by default stored fits are completed.
+    keep(name, table) may write a table and give back what was written, which all later ones are then made of.
+    """
+    people = loader.patients(wanted)
+    fits, bad = (_stored_fits(loader, wanted), None) if fits_of is None else fits_of(people)
+    logged = loader.sessions(wanted)
+    fits, sessions, similarity = prepared(fits, logged, loader.similarity())
+    checks = [faults.unknown(wanted, people), faults.of_dates(people), *([] if bad is None else [bad])]
+    checks += [faults.of_rows(t) for t in (people, logged) if "ERROR" in t.columns]
+    faulty = keep("faults", faults.reasons(*checks))
+    good = lambda df: faults.without(df.drop("ERROR"), faulty)
+    scores = keep("scores", score_table(good(fits), good(sessions), good(people), scoring_date))
+    chosen = keep("recommendations", recommended(scores, similarity, n, days, per_day))
+    starts = people.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("CLINICAL_TRIAL_START_DATE"))
+    out = {
+        "faults": faulty,
         "scores": scores,
         "recommendations": chosen,
-        "staging": sinks.staging(chosen.join(starts, "PATIENT_ID"), run_id),
-        "metrics": sinks.metrics(chosen, run_id),
-        "statuses": statuses,
-        "summary": sinks.run_summary(statuses),
+        "staging": keep("staging", sinks.staging(chosen.join(starts, "PATIENT_ID"), run_id)),
+        "metrics": keep("metrics", sinks.metrics(chosen, run_id)),
+        "statuses": keep("statuses", faults.statuses(wanted, faulty, chosen)),
     }
+    return out | {"summary": sinks.run_summary(out["statuses"])}
+
+
+def _stored_fits(loader: Loader, wanted: DataFrame) -> DataFrame:
+    return completed_fits(loader.fits(), wanted, required=False)
+
+
+def study_run(loader: Loader, studies: DataFrame, study_ids: list[int], scoring_date: Column, run_id: str = "run", **options) -> dict[str, DataFrame]:
+    """patients_run for the patients of the studies; none at all is an error."""
+    return patients_run(loader, cohort(studies, study_ids), scoring_date, run_id, **options)
+
+
+def kept_in(path: str, run_id: str) -> Callable[[str, DataFrame], DataFrame]:
+    """Writes each table of a run once, in the place of what the same run wrote before, and goes on with what was written."""
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        sinks.replace_run(df, f"{path}/{name}", run_id)
+        return sinks.read_run(df.sparkSession, f"{path}/{name}", df.schema, run_id).select(*[c for c in df.columns if c != "RUN_ID"], *(["RUN_ID"] if "RUN_ID" in df.columns else []))
+
+    return keep
+
+
+def write_study(path: str, loader: Loader, wanted: DataFrame, scoring_date: Column, run_id: str, **options) -> dict[str, DataFrame]:
+    """Runs and writes: tables by run as Parquet, and the summary as JSON.  The same run written again leaves the same rows."""
+    out = patients_run(loader, wanted, scoring_date, run_id, keep=kept_in(path, run_id), **options)
+    out["summary"].coalesce(1).write.mode("overwrite").json(f"{path}/summary/RUN_ID={run_id}")
+    return out
 
 
 def write_run(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """Writes a run: its tables by run and patient, and the summary as JSON."""
+    """Writes tables of a run that are there already, by run, and the summary as JSON."""
     sinks.artifacts({k: v for k, v in tables.items() if k != "summary"}, path, run_id)
-    tables["summary"].coalesce(1).write.mode("append").json(f"{path}/summary/RUN_ID={run_id}")
+    tables["summary"].coalesce(1).write.mode("overwrite").json(f"{path}/summary/RUN_ID={run_id}")
 
 
 def patient_fits(subscales: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -137,10 +137,11 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
-def completed_fits(fits: DataFrame, patients: DataFrame) -> DataFrame:
-    """Fits of the wanted patients; those without any get a row with nulls for each known protocol.  If none has any it is an error."""
+def completed_fits(fits: DataFrame, patients: DataFrame, required: bool = True) -> DataFrame:
+    """Fits of the wanted patients; those without any get a row with nulls for each known protocol.  If none has any it is an error where they are required."""
     wanted = patients.select("PATIENT_ID").distinct()
-    own = require_rows(fits.join(wanted, "PATIENT_ID", "left_semi"), "none of the patients has a fit")
+    own = fits.join(wanted, "PATIENT_ID", "left_semi")
+    own = require_rows(own, "none of the patients has a fit") if required else own
     missing = wanted.join(fits, "PATIENT_ID", "left_anti")
     protocols = catalogue(fits.select("PROTOCOL_ID").distinct())
     blank = missing.join(F.broadcast(protocols)).withColumns({c: F.lit(None).cast(fits.schema[c].dataType) for c in fits.columns if c not in ("PATIENT_ID", "PROTOCOL_ID")})
