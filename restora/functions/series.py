@@ -72,8 +72,8 @@ def polynomial_filter(df: DataFrame, value: str, keys: list[str], order: list[st
     return rows.withColumn(out, F.when(F.col("__n") < 3, F.col(value).cast("double")).otherwise(dot)).drop("__n", "__i", "__v", "__w", "__s")
 
 
-def smoothed_array(v: Column, window: int = 7) -> Column:
-    """Each value of an array after smoothing, as polynomial_filter does with a group's values."""
+def _smoother(v: Column, window: int):
+    """(the number of values, the smoothed value at a place) of an array of at least 3 values."""
     tables = F.array(*[F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in polynomial_rows(s)]) for s in range(3, window + 1, 2)])
     n = F.size(v)
     w = F.least(F.lit(window), n) - F.when(F.least(F.lit(window), n) % 2 == 0, 1).otherwise(0)
@@ -83,9 +83,28 @@ def smoothed_array(v: Column, window: int = 7) -> Column:
         weights = F.get(F.get(tables, ((w - 3) / 2).cast("int")), i - start)
         return F.aggregate(F.zip_with(F.slice(v, start + 1, w.cast("int")), weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
+    return n, at
+
+
+def smoothed_array(v: Column, window: int = 7) -> Column:
+    """Each value of an array after smoothing, as polynomial_filter does with a group's values."""
+    n, at = _smoother(v, window)
     return F.when(n < 3, v).otherwise(F.transform(v, lambda _, i: at(i)))
 
 
+def smoothed_head(v: Column, window: int = 7, places: int = 2) -> Column:
+    """The first values of smoothed_array, without the others."""
+    n, at = _smoother(v, window)
+    return F.when(n < 3, v).otherwise(F.transform(F.slice(v, 1, places), lambda _, i: at(i)))
+
+
+def smoothed_tail(v: Column, window: int = 7, places: int = 7) -> Column:
+    """The last values of smoothed_array, without the others."""
+    n, at = _smoother(v, window)
+    first = F.greatest(n - places, F.lit(0))
+    return F.when(n < 3, v).otherwise(F.transform(F.slice(v, first + 1, F.lit(places)), lambda _, i: at(first + i)))
+
+
 def last_slope(v: Column, window: int = 7) -> Column:
     """The slope that rolling_slope gives the last value of an array; null if it is empty."""
     last = F.slice(v, F.greatest(F.size(v) - window + 1, F.lit(1)), F.lit(window))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from restora.constants import BY_PP, EWMA_ALPHA, SLOPE_WINDOW, SMOOTH_WINDOW, WEIGHTS
-from restora.functions.series import last_mean, last_slope, smoothed_array
+from restora.functions.series import last_mean, last_slope, smoothed_head, smoothed_tail
 from restora.operators.sessions import last_week, skipped_days_blank, with_weeks
 
 
@@ -28,27 +28,76 @@ def pair_metrics(sessions: DataFrame, patients: DataFrame, scoring_date: Column,
         F.array_sort(F.collect_list(F.struct("SESSION_DATE", "WEEKDAY_INDEX", "PRESCRIPTION_ID", "SESSION_ID", F.col("ADHERENCE").cast("double").alias("x")))).alias("__s"),
         F.array_sort(F.collect_list(F.when(known, F.struct("SESSION_DATE", "SESSION_ID", F.col("DM_VALUE").cast("double").alias("x"))))).alias("__d"),
     )
-    one = one.withColumn("__v", smoothed_array(F.transform("__d", lambda r: r["x"]), smooth))
-    first_day, second_day = (F.get("__s", F.lit(k))["SESSION_DATE"] for k in (0, 1))
-    on_first = F.size(F.filter("__d", lambda r: r["SESSION_DATE"] == first_day))
-    step = F.get("__v", F.lit(1)) - F.get("__v", F.lit(0))
-    at_second = F.when(F.get("__d", F.lit(0))["SESSION_DATE"] == second_day, F.lit(0.0)).when(F.get("__d", F.lit(1))["SESSION_DATE"] == second_day, step)
-    second = F.when(on_first > 1, step).when(F.size("__s") > 1, at_second)
+    values = F.transform("__d", lambda r: r["x"])
+    one = one.withColumns({"__head": smoothed_head(values, smooth), "__tail": smoothed_tail(values, smooth, window)})
+    second = _second(F.col("__s"), F.col("__d"), F.col("__head"))
     return one.select(
         *BY_PP, "USAGE", "USAGE_WEEK", "DAYS", F.size("__s").alias("SESSION_INDEX"),
         last_mean(F.transform("__s", lambda r: r["x"]), alpha).alias("LAST_ADHERENCE"),
-        last_slope(F.col("__v"), window).alias("LAST_DELTA"), second.alias("SECOND_DELTA"),
+        last_slope(F.col("__tail"), window).alias("LAST_DELTA"), second.alias("SECOND_DELTA"),
     )
 
 
+def _second(s: Column, d: Column, head: Column) -> Column:
+    """Progress at the second row of sessions s joined by date with difficulty values d, whose first smoothed values are in head."""
+    first_day, second_day = (F.get(s, F.lit(k))["SESSION_DATE"] for k in (0, 1))
+    dated = lambda k, day: F.get(d, F.lit(k))["SESSION_DATE"] == day
+    step = F.get(head, F.lit(1)) - F.get(head, F.lit(0))
+    at_second = F.when(dated(0, second_day), F.lit(0.0)).when(dated(1, second_day), step)
+    return F.when(dated(0, first_day) & dated(1, first_day), step).when(F.size(s) > 1, at_second)
+
+
+def replayed_metrics(sessions: DataFrame, patients: DataFrame, days: tuple[int, ...], alpha: float = EWMA_ALPHA, smooth: int = SMOOTH_WINDOW, window: int = SLOPE_WINDOW) -> DataFrame:
+    """BY_PP and STATES: what pair_metrics would give on each of the ascending days after the start, without a copy of the history for each.
+
+    A pair's rows come together once, in order; one fold goes over them, carries the weighted mean along and sets
+    down, on each of the days, how far it has come.  Usage, the last week and the slope are read off the rows up
+    to there.
+    """
+    start = patients.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("__start"))
+    rows = skipped_days_blank(sessions).join(start, "PATIENT_ID").withColumn("o", F.datediff("SESSION_DATE", "__start"))
+    known = F.expr("SESSION_ID is not null and SESSION_DATE is not null and DM_VALUE is not null")
+    one = rows.groupBy(*BY_PP).agg(
+        F.array_sort(F.collect_list(F.struct("SESSION_DATE", "WEEKDAY_INDEX", "PRESCRIPTION_ID", "SESSION_ID", F.col("ADHERENCE").cast("double").alias("x"), "o"))).alias("__s"),
+        F.array_sort(F.collect_list(F.when(known, F.struct("SESSION_DATE", "SESSION_ID", F.col("DM_VALUE").cast("double").alias("x"), "o")))).alias("__d"),
+    )
+    marks = F.array(*[F.struct(F.lit(d).alias("o"), F.lit(True).alias("mark"), F.lit(0).alias("i"), F.lit(None).cast("double").alias("x")) for d in days])
+    events = F.array_sort(F.concat(F.transform("__s", lambda r, i: F.struct(r["o"].alias("o"), F.lit(False).alias("mark"), i.alias("i"), r["x"].alias("x"))), marks))
+    begin = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(1.0).alias("fade"), F.lit(0).alias("n"), F.array().cast("array<struct<DAY:int,N:int,MEAN:double>>").alias("out"))
+
+    def step(a: Column, e: Column) -> Column:
+        seen = F.struct(e["o"].alias("DAY"), a["n"].alias("N"), F.when(a["den"] > 0, a["num"] / a["den"]).alias("MEAN"))
+        hit = ~e["mark"] & e["x"].isNotNull()
+        fade = F.when(hit, F.lit(1 - alpha)).when(e["mark"], a["fade"]).otherwise(a["fade"] * (1 - alpha))
+        return F.struct(
+            F.when(hit, a["num"] * a["fade"] + e["x"]).otherwise(a["num"]).alias("num"), F.when(hit, a["den"] * a["fade"] + 1).otherwise(a["den"]).alias("den"), fade.alias("fade"),
+            (a["n"] + F.when(e["mark"], 0).otherwise(1)).alias("n"), F.when(e["mark"], F.array_append(a["out"], seen)).otherwise(a["out"]).alias("out"),
+        )
+
+    def state(m: Column) -> Column:
+        s = F.slice("__s", F.lit(1), m["N"])
+        d = F.filter("__d", lambda r: r["o"] <= m["DAY"])
+        week = F.filter(s, lambda r: (r["o"] >= 7 * (F.floor(m["DAY"] / 7) - 1)) & (r["o"] < 7 * F.floor(m["DAY"] / 7)))
+        ids = lambda rows_: F.size(F.array_distinct(F.transform(F.filter(rows_, lambda r: r["SESSION_ID"].isNotNull()), lambda r: r["SESSION_ID"]))).cast("bigint")
+        values = F.transform(d, lambda r: r["x"])
+        return F.struct(
+            m["DAY"].alias("DAY"), ids(s).alias("USAGE"), ids(week).alias("USAGE_WEEK"),
+            F.array_sort(F.array_distinct(F.filter(F.transform(week, lambda r: r["WEEKDAY_INDEX"]), lambda w: w.isNotNull()))).alias("DAYS"),
+            m["N"].alias("SESSION_INDEX"), m["MEAN"].alias("LAST_ADHERENCE"), last_slope(smoothed_tail(values, smooth, window), window).alias("LAST_DELTA"), _second(s, d, smoothed_head(values, smooth)).alias("SECOND_DELTA"),
+        )
+
+    reached = F.filter(F.aggregate(events, begin, step)["out"], lambda m: m["N"] > 0)
+    return one.select(*BY_PP, F.transform(reached, state).alias("STATES"))
+
+
 def features(fits: DataFrame, sessions: DataFrame, patients: DataFrame, scoring_date: Column) -> DataFrame:
     """All pairs of fits with their metrics (nulls for pairs without sessions) and the patient's weeks."""
     return fits.join(pair_metrics(sessions, patients, scoring_date), BY_PP, "left").join(with_weeks(patients, scoring_date), "PATIENT_ID", "left")
 
 
-def imputed(table: DataFrame) -> DataFrame:
+def imputed(table: DataFrame, keys: tuple[str, ...] = ("PATIENT_ID",)) -> DataFrame:
     """Defaults for what is missing: 0 and no days; for DELTA_DM the patient's median of the pairs' second rows, for ADHERENCE_RECENT that of their last rows."""
-    patient = Window.partitionBy("PATIENT_ID")
+    patient = Window.partitionBy(*keys)
     out = table.fillna(0, subset=["USAGE", "USAGE_WEEK", "WEEKS_SINCE_START", "SESSION_INDEX"]).withColumns({
         "DAYS": F.coalesce("DAYS", F.array().cast("array<int>")),
         "DELTA_DM": F.coalesce("LAST_DELTA", F.median("SECOND_DELTA").over(patient)),
@@ -57,6 +106,23 @@ def imputed(table: DataFrame) -> DataFrame:
     return out.drop("LAST_DELTA", "LAST_ADHERENCE", "SECOND_DELTA")
 
 
+def replayed_features(fits: DataFrame, sessions: DataFrame, patients: DataFrame, days: tuple[int, ...]) -> DataFrame:
+    """The feature table of all pairs on each of the ascending days after the patient's start (DAY).
+
+    Fits, states and start come together by patient; days are only dealt out after that, so nothing is shuffled once a day.
+    """
+    pairs = replayed_metrics(sessions, patients, days).groupBy("PATIENT_ID").agg(F.map_from_entries(F.collect_list(F.struct("PROTOCOL_ID", "STATES"))).alias("__of"))
+    own = [c for c in fits.columns if c not in BY_PP]
+    wanted = fits.groupBy("PATIENT_ID").agg(F.collect_list(F.struct("PROTOCOL_ID", *own)).alias("__fits"))  # as many as protocols
+    known = patients.select("PATIENT_ID").distinct().withColumn("__known", F.lit(True))
+    rows = wanted.join(known, "PATIENT_ID", "left").join(pairs, "PATIENT_ID", "left").select("PATIENT_ID", "__of", "__known", F.inline("__fits"))
+    rows = rows.withColumn("__states", F.try_element_at("__of", F.col("PROTOCOL_ID"))).select(*BY_PP, *own, "__states", "__known", F.explode(F.array(*[F.lit(d) for d in days])).alias("DAY"))
+    state = F.get(F.filter("__states", lambda s: s["DAY"] == F.col("DAY")), F.lit(0))
+    names = ["USAGE", "USAGE_WEEK", "DAYS", "SESSION_INDEX", "LAST_ADHERENCE", "LAST_DELTA", "SECOND_DELTA"]
+    weeks = F.when(F.col("__known"), F.floor(F.col("DAY") / 7).cast("int")).alias("WEEKS_SINCE_START")
+    return rows.withColumn("__one", state).select(*BY_PP, *own, "DAY", *[F.col(f"__one.{c}").alias(c) for c in names], weeks)
+
+
 def scored(table: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """SCORE, the weighted sum of adherence, progress and fit; missing parts count as 0."""
     parts = [F.coalesce(F.col(c), F.lit(0.0)) * F.lit(float(w)) for c, w in zip(("ADHERENCE_RECENT", "DELTA_DM", "PPF"), weights, strict=True)]

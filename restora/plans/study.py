@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from restora.constants import DAYS, PER_DAY, TOP_N, WEIGHTS
 from restora.operators import faults, fit
 from restora.operators.recommend import allowed, recommended
-from restora.operators.scoring import features, imputed, scored
+from restora.operators.scoring import features, imputed, replayed_features, scored
 from restora.operators.sessions import in_trial, with_missing_sessions
 from restora.sources import sinks
 from restora.sources.tables import Loader, cohort, completed_fits
@@ -26,16 +26,13 @@ def score_table(fits: DataFrame, sessions: DataFrame, patients: DataFrame, scori
     return score(fill(build(fits, rows, patients, scoring_date)), weights)
 
 
-def scores_at(fits: DataFrame, sessions: DataFrame, patients: DataFrame, days: tuple[int, ...]) -> DataFrame:
-    """Score tables of all patients at several days after their start, with DAY, in one job: a patient counts as another one on each day."""
-    wide = max(days) + 1
-    as_of = F.col("PATIENT_ID") * wide + F.col("__day")
-    each = F.explode(F.array(*[F.lit(d) for d in days]))
-    on_days = lambda df: df.withColumn("__day", each).withColumn("PATIENT_ID", as_of)
-    dated = on_days(patients).withColumn("SCORING_DATE", F.date_add("CLINICAL_TRIAL_START_DATE", F.col("__day"))).drop("__day")
-    known = on_days(sessions).drop("__day").join(dated.select("PATIENT_ID", "SCORING_DATE"), "PATIENT_ID")
-    out = score_table(on_days(fits).drop("__day"), known, dated, F.col("SCORING_DATE"))
-    return out.withColumn("DAY", (F.col("PATIENT_ID") % wide).cast("int")).withColumn("PATIENT_ID", F.floor(F.col("PATIENT_ID") / wide).cast("bigint"))
+def scores_at(fits: DataFrame, sessions: DataFrame, patients: DataFrame, days: tuple[int, ...], weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """Score tables of all patients at several days after their start, with DAY.  Sessions are read and expanded once, up to the last of the days."""
+    days = tuple(sorted(days))
+    start = patients.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("__start"))
+    dated = sessions.join(start, "PATIENT_ID").withColumn("__until", F.date_add("__start", days[-1]))
+    rows = in_trial(with_missing_sessions(dated, F.col("__until")).drop("__start", "__until"), patients, F.date_add("CLINICAL_TRIAL_START_DATE", days[-1]))
+    return scored(imputed(replayed_features(fits, rows, patients, days), ("PATIENT_ID", "DAY")), weights)
 
 
 def prepared(fits: DataFrame, sessions: DataFrame, similarity: DataFrame, protocols: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
