@@ -20,17 +20,17 @@ def session_index(df: DataFrame, keys: list[str], order: list[str], out: str = "
 def ewma(df: DataFrame, value: str, keys: list[str], order: list[str], out: str, alpha: float = 0.5) -> DataFrame:
     """Exponentially weighted mean with normalised weights; a null keeps its place but adds nothing, and takes the mean so far.
 
-    Weights below 1e-18 are left out, so a row costs a bounded number of terms.
+    Weighted sums over 2, 4, 8 ... rows come from two sums over half as many, so a row costs a few steps whatever
+    the number of terms; all steps share one order.  Weights below 1e-18 are left out.
     """
-    frame = math.ceil(math.log(1e-18) / math.log(1 - alpha))
     w = ordered(keys, order)
-    recent = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(value).cast("double").alias("x")))).over(w.rowsBetween(-frame, 0))
-    step = lambda s: F.pow(F.lit(1 - alpha), F.col("__i") - s["i"])
-    total = F.aggregate("__r", F.lit(0.0), lambda a, s: a + s["x"] * step(s))
-    weight = F.aggregate("__r", F.lit(0.0), lambda a, s: a + step(s))
-    out_df = df.withColumn("__i", F.row_number().over(w)).withColumn("__r", recent)
-    out_df = out_df.withColumn("__e", F.when(F.size("__r") > 0, total / weight))
-    return out_df.withColumn(out, F.last("__e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__i", "__r", "__e")
+    terms = max(2, math.ceil(math.log(1e-18) / math.log(1 - alpha)) + 1)
+    rows = df.withColumns({"__n": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "__d": F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0)})
+    for k in range((terms - 1).bit_length()):
+        far = F.lit((1 - alpha) ** (1 << k))
+        rows = rows.withColumns({c: F.col(c) + far * F.lag(c, 1 << k, 0.0).over(w) for c in ("__n", "__d")})
+    rows = rows.withColumn("__e", F.when(F.col("__d") > 0, F.col("__n") / F.col("__d")))
+    return rows.withColumn(out, F.last("__e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__n", "__d", "__e")
 
 
 def polynomial_rows(window: int, derivative: int = 0) -> list[list[float]]:
@@ -48,28 +48,46 @@ def polynomial_rows(window: int, derivative: int = 0) -> list[list[float]]:
     return rows
 
 
-def polynomial_filter(df: DataFrame, value: str, keys: list[str], order: list[str], out: str, window: int = 7, derivative: int = 0) -> DataFrame:
+def polynomial_weight(window: Column, at: Column, place: Column, derivative: int = 0) -> Column:
+    """The weight of the value at `place` for the parabola (or its slope) fitted to a window at `at`; both count from the middle of the window."""
+    w, a, v = (c.cast("double") for c in (window, at, place))
+    squares, mean = w * (w * w - 1) / 12, (w * w - 1) / 12
+    spread = w * (w * w - 1) * (w * w - 4) / 180
+    if derivative:
+        return v / squares + 2 * a * (v * v - mean) / spread
+    return 1 / w + v * a / squares + (v * v - mean) * (a * a - mean) / spread
+
+
+def alpha_window(alpha: Column, scale: float = 2.0, low: int = 5, high: int = 21) -> Column:
+    """The odd window that goes with an EWMA's alpha: scale / alpha between low and high, the next odd number up."""
+    w = F.floor(F.least(F.greatest(scale / alpha, F.lit(float(low))), F.lit(float(high)))).cast("int")
+    return w + F.when(w % 2 == 0, 1).otherwise(0)
+
+
+def polynomial_filter(df: DataFrame, value: str, keys: list[str], order: list[str], out: str, window: int | Column = 7, derivative: int = 0, most: int = 21, short: str = "shrink") -> DataFrame:
     """Savitzky-Golay smoothing (or slope) of order 2; the first and last half windows use the fit of the outermost window.
 
-    Groups of n < window use the largest odd window up to n; groups of fewer than 3 stay as they are.
+    window is an odd number, or a column with one for each group (`most` at most); weights follow from it by formula.
+    Groups of n < window use the largest odd window up to n ("shrink"), or stay as they are ("value"); groups of
+    fewer than 3 stay in any case.
     """
     w = ordered(keys, order)
-    reach = window - 1
-    sizes = list(range(3, window + 1, 2))
-    tables = F.array(*[F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in polynomial_rows(s, derivative)]) for s in sizes])
-    own = F.least(F.lit(window), F.col("__n"))
+    wanted, reach = (F.lit(window), window - 1) if isinstance(window, int) else (window, most - 1)
+    own = F.least(wanted, F.col("__n")) if short == "shrink" else wanted
     own = own - F.when(own % 2 == 0, 1).otherwise(0)
     rows = (
         df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"))
         .withColumn("__i", (F.row_number().over(w) - 1).cast("int"))
-        .withColumn("__v", F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-reach, reach)))
+        .withColumn("__v", F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).over(w.rowsBetween(-reach, reach)))
         .withColumn("__w", own.cast("int"))
         .withColumn("__s", F.greatest(F.lit(0), F.least(F.col("__i") - F.floor(F.col("__w") / 2), F.col("__n") - F.col("__w"))).cast("int"))
     )
+    half = F.floor(F.col("__w") / 2)
     part = F.slice("__v", F.col("__s") - F.greatest(F.lit(0), F.col("__i") - reach) + 1, F.col("__w"))
-    weights = F.get(F.get(tables, ((F.col("__w") - 3) / 2).cast("int")), F.col("__i") - F.col("__s"))
-    dot = F.aggregate(F.zip_with(part, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return rows.withColumn(out, F.when(F.col("__n") < 3, F.col(value).cast("double")).otherwise(dot)).drop("__n", "__i", "__v", "__w", "__s")
+    weighed = F.transform(part, lambda y, j: y * polynomial_weight(F.col("__w"), F.col("__i") - F.col("__s") - half, j - half, derivative))
+    dot = F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b)
+    fits = (F.col("__n") >= 3) & (F.col("__n") >= F.col("__w"))
+    return rows.withColumn(out, F.when(~fits, F.col(value).cast("double")).otherwise(F.nanvl(dot, F.lit(None).cast("double")))).drop("__n", "__i", "__v", "__w", "__s")
 
 
 def _smoother(v: Column, window: int):

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from restora.constants import BY_PP
+from restora.functions.hashing import FACTORS
 from restora.functions.series import ewma, first_difference
 from restora.operators.sessions import first_of
 
+
 def by_patient():
     return Window.partitionBy("PATIENT_ID")
 
@@ -182,14 +187,12 @@ def partial_residuals(df: DataFrame, y: str, x: str, others: list[str]) -> DataF
     return diagnostics(first, x, others).select(*df.columns, "Y_RESIDUAL", F.col("RESIDUAL").alias("X_RESIDUAL"))
 
 
-def mediation_terms(df: DataFrame, keys: list[str], x: str, m: str, y: str, weight: Column | None = None) -> DataFrame:
-    """A (x on m), B (m on y beside x), DIRECT and INDIRECT effects by group, from weighted moments."""
-    w = F.lit(1.0) if weight is None else weight
-    rows = df.na.drop(subset=[x, m, y]).withColumn("__w", w.cast("double"))
-    s = lambda *c: F.sum(F.expr(" * ".join(["__w", *c])))
-    names = {"x": x, "m": m, "y": y}
-    sums = {f"s{k}": s(v) for k, v in names.items()} | {f"s{a}{b}": s(names[a], names[b]) for a, b in ("xx", "xm", "xy", "mm", "my")}
-    t = rows.groupBy(*keys).agg(F.sum("__w").alias("n"), *[v.alias(k) for k, v in sums.items()])
+#: Names of the moments that mediation needs: the weight, and weighted sums and products of x, m and y.
+MOMENTS = ("n", "sx", "sm", "sy", "sxx", "sxm", "sxy", "smm", "smy")
+
+
+def _effects(t: DataFrame, keys: list[str]) -> DataFrame:
+    """A, B, DIRECT and INDIRECT from rows (keys, MOMENTS)."""
     cov = lambda a, b: F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("n")
     det = cov("x", "x") * cov("m", "m") - cov("x", "m") * cov("x", "m")
     out = t.where(F.col("n") > 2).withColumns({
@@ -200,19 +203,57 @@ def mediation_terms(df: DataFrame, keys: list[str], x: str, m: str, y: str, weig
     return out.withColumn("INDIRECT", F.col("A") * F.col("B")).select(*keys, "A", "B", "DIRECT", "INDIRECT")
 
 
-def mediation_interval(df: DataFrame, x: str, m: str, y: str, key: str, draws: int = 200, level: float = 0.95) -> DataFrame:
-    """Bootstrap interval of the indirect effect: every draw weighs rows by Poisson(1) numbers hashed from (key, draw)."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("DRAW")), F.lit(1 << 30)) / float(1 << 30)
-    bounds, p, total = [], math.exp(-1), 0.0
-    for k in range(8):
-        total += p
-        bounds.append(total)
-        p /= k + 1
-    weight = F.lit(0)
-    for b in bounds:
-        weight = weight + F.when(u >= b, 1).otherwise(0)
-    rows = df.na.drop(subset=[x, m, y]).withColumn("DRAW", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    each = mediation_terms(rows, ["DRAW"], x, m, y, weight)
+def mediation_terms(df: DataFrame, keys: list[str], x: str, m: str, y: str, weight: Column | None = None) -> DataFrame:
+    """A (x on m), B (m on y beside x), DIRECT and INDIRECT effects by group, from weighted moments."""
+    w = F.lit(1.0) if weight is None else weight
+    rows = df.na.drop(subset=[x, m, y]).select(*keys, w.cast("double").alias("__w"), *[F.col(c).cast("double").alias(f"__{n}") for n, c in zip("xmy", (x, m, y), strict=True)])
+    sums = [F.sum(F.expr(" * ".join(["__w", *(f"__{c}" for c in name[1:])] if name != "n" else ["__w"]))).alias(name) for name in MOMENTS]
+    return _effects(rows.groupBy(*keys).agg(*sums), keys)
+
+
+def draw_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Poisson(1) numbers (keys x draws) from functions.hashing.mixed of each key and draw."""
+    h = (keys % (1 << 31)).astype(np.uint32)[:, None] * np.uint32(FACTORS[0]) + draws.astype(np.uint32)[None, :] * np.uint32(FACTORS[1])
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(FACTORS[2])
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(FACTORS[3])
+    h ^= h >> np.uint32(16)
+    out = np.zeros(h.shape, dtype=np.float64)
+    for bound in POISSON:
+        out += h >= np.uint32(bound)
+    return out
+
+
+#: Where the 32-bit hash of a draw passes from k to k + 1: 2^32 times the share of Poisson(1) numbers up to k.
+POISSON = tuple(int((1 << 32) * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8))
+
+
+def draw_moments(df: DataFrame, x: str, m: str, y: str, key: str, draws: int) -> DataFrame:
+    """DRAW and the MOMENTS of every bootstrap draw.
+
+    A task holds the moments of all draws as one array, to which it adds blocks of rows (as a product of weights and
+    values), and gives them out at its end: what is shuffled is tasks x draws x 9 numbers, whatever the number of rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total = np.arange(1, draws + 1), np.zeros((draws, len(MOMENTS)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                k, a, b, c = (batch.column(i).slice(start, 512).to_numpy() for i in range(4))
+                values = np.column_stack([np.ones(len(k)), a, b, c, a * a, a * b, a * c, b * b, b * c])
+                total += draw_weights(k, number).T @ values
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *(pa.array(c) for c in total.T.copy())], names=["DRAW", *MOMENTS])
+
+    rows = df.na.drop(subset=[x, m, y, key]).select(F.col(key).cast("long").alias("k"), *[F.col(c).cast("double").alias(c2) for c, c2 in ((x, "a"), (m, "b"), (y, "c"))])
+    each = rows.mapInArrow(run, "DRAW int, " + ", ".join(f"{n} double" for n in MOMENTS))
+    return each.groupBy("DRAW").agg(*[F.sum(n).alias(n) for n in MOMENTS])
+
+
+def mediation_interval(df: DataFrame, x: str, m: str, y: str, key: str, draws: int = 5000, level: float = 0.95) -> DataFrame:
+    """LOW and HIGH of the bootstrap interval of the indirect effect, and the number of DRAWS that gave one; rows without a key take no part."""
+    each = _effects(draw_moments(df, x, m, y, key, draws), ["DRAW"])
     tail = (1 - level) / 2
     return each.agg(F.percentile("INDIRECT", F.lit(tail)).alias("LOW"), F.percentile("INDIRECT", F.lit(1 - tail)).alias("HIGH"), F.count("INDIRECT").alias("DRAWS"))
 

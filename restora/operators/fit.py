@@ -47,15 +47,13 @@ def as_vector(long: DataFrame, key: str, scales: list[str], value: str) -> DataF
     return m.select(key, F.array(*[F.try_element_at("m", F.lit(s)) for s in scales]).alias("VECTOR"))
 
 
-#: Rows that a catalogue of protocols may have; it meets every patient.
+#: Rows up to which a catalogue of protocols is sent to every task.
 CATALOGUE = 10_000
 
 
 def catalogue(df: DataFrame) -> DataFrame:
-    """df, after a check of its size."""
-    if df.select(df.columns[0]).limit(CATALOGUE + 1).count() > CATALOGUE:
-        raise ValueError(f"a catalogue of over {CATALOGUE} protocols")
-    return df
+    """df, to be broadcast if it is small; a larger one is joined by Spark's other ways."""
+    return F.broadcast(df) if df.select(df.columns[0]).limit(CATALOGUE + 1).count() <= CATALOGUE else df
 
 
 def fits(patients: DataFrame, protocols: DataFrame) -> DataFrame:
@@ -65,7 +63,7 @@ def fits(patients: DataFrame, protocols: DataFrame) -> DataFrame:
     """
     a = patients.select("PATIENT_ID", unit(F.col("VECTOR")).alias("__a"))
     b = catalogue(protocols.select("PROTOCOL_ID", unit(F.col("VECTOR")).alias("__b")))
-    pairs = a.join(F.broadcast(b)).select("PATIENT_ID", "PROTOCOL_ID", product(F.col("__a"), F.col("__b")).alias("CONTRIB"))
+    pairs = a.crossJoin(b).select("PATIENT_ID", "PROTOCOL_ID", product(F.col("__a"), F.col("__b")).alias("CONTRIB"))
     return pairs.withColumn("PPF", total(F.col("CONTRIB"))).where("PPF is not null and not isnan(PPF)").select("PATIENT_ID", "PROTOCOL_ID", "PPF", "CONTRIB")
 
 
@@ -81,7 +79,7 @@ def similarity(long: DataFrame, one_hot_prefix: str | None = None) -> DataFrame:
         ranges = ranges.join(many).withColumn("WEIGHT", F.when(hot, 1 / F.col("HOT")).otherwise(F.lit(1.0))).drop("HOT")
     else:
         ranges = ranges.withColumn("WEIGHT", F.lit(1.0))
-    rows = long.join(F.broadcast(ranges), "FEATURE")  # a row for each attribute of a protocol
+    rows = long.join(ranges, "FEATURE")
     a = rows.select(F.col("PROTOCOL_ID").alias("PROTOCOL_A"), "FEATURE", F.col("VALUE").alias("A"), "RANGE", "WEIGHT")
     b = long.select(F.col("PROTOCOL_ID").alias("PROTOCOL_B"), "FEATURE", F.col("VALUE").alias("B"))
     apart = F.when(F.col("RANGE") > 0, F.abs(F.col("A") - F.col("B")) / F.col("RANGE")).otherwise(F.lit(0.0))

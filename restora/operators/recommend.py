@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from restora.constants import ALLOWED_PROTOCOLS, BY_PP, DAYS, PER_DAY, TOP_N
+from restora.functions.hashing import mixed
 from restora.operators.sessions import first_of
 
+
 def by_patient():
     return Window.partitionBy("PATIENT_ID")
 
@@ -61,15 +63,18 @@ def swaps(scores: DataFrame) -> DataFrame:
     return own.where(F.col("__low") | (~F.col("__any") & (F.col("__r") == 1))).drop("__low", "__any", "__r")
 
 
+#: Pairs of protocols up to which all similarities go to every task; beyond, each patient gets those of the protocols to be swapped.
+PAIRS = 40_000
+
+
 def _decided(scores: DataFrame, similarity: DataFrame, top_similar: int) -> DataFrame:
     """One row per patient: ROWS (the patient's scores, by protocol), PLAN (those with days), BRANCH, and SWAPS (OLD, NEW), chosen one after another."""
     near = similarity.where("PROTOCOL_A <> PROTOCOL_B").groupBy(F.col("PROTOCOL_A").alias("OLD")).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("SIMILARITY")).alias("s"), F.col("PROTOCOL_B").alias("b")))).alias("NEAR")
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("SIMILARITY")).alias("s"), F.col("PROTOCOL_B").alias("b")))), lambda x: x["b"]).alias("NEAR")
     )
-    near = near.agg(F.map_from_entries(F.collect_list(F.struct("OLD", F.transform("NEAR", lambda x: x["b"])))).alias("NEAR"))  # one row: a catalogue
     rest = [c for c in scores.columns if c not in BY_PP]
     rows = scores.groupBy("PATIENT_ID").agg(F.array_sort(F.collect_list(F.struct("PROTOCOL_ID", *rest))).alias("ROWS"))  # as many as protocols
-    rows = rows.withColumn("PLAN", F.filter("ROWS", lambda r: F.coalesce(F.size(r["DAYS"]) > 0, F.lit(False)))).join(F.broadcast(near))
+    rows = rows.withColumn("PLAN", F.filter("ROWS", lambda r: F.coalesce(F.size(r["DAYS"]) > 0, F.lit(False))))
     mean = F.aggregate("PLAN", F.lit(0.0), lambda a, r: a + r["SCORE"]) / F.size("PLAN")
     low = F.transform(F.filter("PLAN", lambda r: r["SCORE"] < mean), lambda r: r["PROTOCOL_ID"])
     least_ = F.array_min(F.transform("PLAN", lambda r: F.struct(r["SCORE"].alias("s"), r["PROTOCOL_ID"].alias("p"))))["p"]
@@ -81,6 +86,12 @@ def _decided(scores: DataFrame, similarity: DataFrame, top_similar: int) -> Data
         "BRANCH": F.when(F.size("PLAN") == 0, "new").when(idle, "repeat").otherwise("update"),
         "USES": use_of, "FREE": F.exists("ROWS", lambda r: F.coalesce(r["USAGE"], F.lit(0)) == 0),
     })
+    as_map = F.map_from_entries(F.collect_list(F.struct("OLD", "NEAR"))).alias("NEAR")
+    if similarity.limit(PAIRS + 1).count() <= PAIRS:
+        rows = rows.join(F.broadcast(near.agg(as_map)))  # one row of PAIRS numbers at most
+    else:
+        wanted = rows.select("PATIENT_ID", F.explode("LOW").alias("OLD")).join(near, "OLD").groupBy("PATIENT_ID").agg(as_map)
+        rows = rows.join(wanted, "PATIENT_ID", "left").withColumn("NEAR", F.coalesce("NEAR", F.create_map().cast("map<bigint,array<bigint>>")))
 
     def use(b):
         return F.try_element_at("USES", b)
@@ -136,9 +147,25 @@ def patient_status(requested: DataFrame, scores: DataFrame) -> DataFrame:
 def shuffled_schedule(scores: DataFrame, seed: int, n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY) -> DataFrame:
     """As new_schedule, with the top n in an order that depends on the seed."""
     best = top(scores, n, ["PATIENT_ID"], "SCORE", "PROTOCOL_ID")
-    mixed = best.withColumn("__r", F.row_number().over(by_patient().orderBy(F.xxhash64("PATIENT_ID", "PROTOCOL_ID", F.lit(seed)))) - 1)
-    mixed = mixed.withColumn("__n", F.count(F.lit(1)).over(by_patient()).cast("int")).where(F.col("__r") < days * per_day)
-    return mixed.withColumn("DAYS", schedule_days(F.col("__r"), F.col("__n"), days, per_day)).drop("__r", "__n")
+    dealt = best.withColumn("__r", F.row_number().over(by_patient().orderBy(mixed(F.col("PATIENT_ID"), F.col("PROTOCOL_ID"), seed), "PROTOCOL_ID")) - 1)
+    dealt = dealt.withColumn("__n", F.count(F.lit(1)).over(by_patient()).cast("int")).where(F.col("__r") < days * per_day)
+    return dealt.withColumn("DAYS", schedule_days(F.col("__r"), F.col("__n"), days, per_day)).drop("__r", "__n")
+
+
+def slot_schedule(scores: DataFrame, seed: int, n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY) -> DataFrame:
+    """The top n protocols of each patient with DAYS, from slots in an order that depends on the seed.
+
+    The days x per_day slots are filled with the protocols in turn, shuffled, and dealt to the days one after another; a
+    protocol that comes to a day a second time is dropped there, so days may hold fewer than per_day.
+    """
+    best = top(scores, n, ["PATIENT_ID"], "SCORE", "PROTOCOL_ID", "__r")
+    best = best.withColumn("__n", F.count(F.lit(1)).over(by_patient()).cast("int"))
+    turns = F.when(F.col("__r") <= days * per_day, F.sequence(F.col("__r") - 1, F.lit(days * per_day - 1), F.col("__n")))
+    slots = best.select("PATIENT_ID", "PROTOCOL_ID", F.explode(turns).alias("SLOT"))  # as many as slots in a week
+    order = Window.partitionBy("PATIENT_ID").orderBy(mixed(F.col("PATIENT_ID"), F.col("SLOT"), seed), "SLOT")
+    dealt = slots.withColumn("DAY", ((F.row_number().over(order) - 1) % days).cast("int"))
+    plan = dealt.groupBy(*BY_PP).agg(F.array_sort(F.collect_set("DAY")).alias("DAYS"))
+    return best.drop("__r", "__n", "DAYS").join(plan, BY_PP)
 
 
 def upper_quantile(scores: DataFrame, q: float = 0.85) -> DataFrame:

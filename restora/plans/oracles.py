@@ -1,5 +1,16 @@
 """Parts of the DuckDB SQL that the registered queries are compared with."""
 
+from restora.functions.hashing import FACTORS, MASK
+
+
+def mixed(a: str, b: str = "0", seed: int = 0) -> str:
+    """functions.hashing.mixed, for a and b from 0."""
+    h = f"((({a}) % {1 << 31} * {FACTORS[0]} + CAST({b} AS BIGINT) * {FACTORS[1]} + {seed}) & {MASK})"
+    h = f"(xor({h}, {h} >> 15) * {FACTORS[2]} & {MASK})"
+    h = f"(xor({h}, {h} >> 13) * {FACTORS[3]} & {MASK})"
+    return f"xor({h}, {h} >> 16)"
+
+
 _EV = """ev AS (SELECT event_id, ts, CAST(ts AS DATE) AS SESSION_DATE, CAST(user_id + 1 AS BIGINT) AS PATIENT_ID, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k,
   CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS kind,
   CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) % 7 AS INT) AS WEEKDAY_INDEX FROM events)"""

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from restora.constants import ALLOWED_PROTOCOLS, BY_PP, NOT_PERFORMED, SCALE_ALIASES, SCALE_MAXIMA
+from restora.constants import ALLOWED_PROTOCOLS, BY_PP, NOT_PERFORMED, SCALE_ALIASES, SCALE_FEATURES, SCALE_MAXIMA
 from restora.functions import clinical, dates, series, vectors
-from restora.operators import cohort, faults, fit, quality, recommend, scoring, sessions
+from restora.operators import cohort, faults, fit, profile, quality, recommend, scoring, sessions
 from restora.plans import oracles as sql
 from restora.plans import study
 from restora.sources import sinks, study_views, tables
+from restora.sources.scratch import scratch_folder
 from restora.streaming.usage import weekly_usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,10 +357,17 @@ def mediation(spark, d):
     return rounded(cohort.mediation_terms(rows, ["PROTOCOL_ID"], "W", "ADHERENCE", "DM_VALUE"), "A", "B", "DIRECT", "INDIRECT")
 
 
-@query("d23_mediation_interval")
+_DRAWN = " + ".join(f"CASE WHEN h >= {b} THEN 1 ELSE 0 END" for b in cohort.POISSON)
+
+
+@query("d23_mediation_interval", f"""WITH {sql.BASE}, x AS (SELECT event_id, CAST(WEEKDAY_INDEX AS DOUBLE) AS x, ADHERENCE AS m, DM_VALUE AS y FROM s25 WHERE DM_VALUE IS NOT NULL),
+d AS (SELECT DRAW, {sql.mixed("event_id", "DRAW")} AS h, x, m, y FROM x, (SELECT unnest(range(1, 5001)) AS DRAW)), w AS (SELECT DRAW, {_DRAWN} AS w, x, m, y FROM d),
+t AS (SELECT DRAW, sum(w) AS n, sum(w * x) AS sx, sum(w * m) AS sm, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * m) AS sxm, sum(w * x * y) AS sxy, sum(w * m * m) AS smm, sum(w * m * y) AS smy FROM w GROUP BY 1),
+c AS (SELECT DRAW, sxx - sx * sx / n AS xx, sxm - sx * sm / n AS xm, sxy - sx * sy / n AS xy, smm - sm * sm / n AS mm, smy - sm * sy / n AS my FROM t WHERE n > 2),
+e AS (SELECT xm / xx * (my * xx - xm * xy) / (xx * mm - xm * xm) AS i FROM c) SELECT round(quantile_cont(i, 0.025), 6) AS LOW, round(quantile_cont(i, 0.975), 6) AS HIGH, count(i) AS DRAWS FROM e""")
 def mediation_interval(spark, d):
     rows = s25(spark, d).withColumn("W", F.col("WEEKDAY_INDEX").cast("double"))
-    return cohort.mediation_interval(rows, "W", "ADHERENCE", "DM_VALUE", "event_id", 5000)
+    return rounded(cohort.mediation_interval(rows, "W", "ADHERENCE", "DM_VALUE", "event_id", 5000), "LOW", "HIGH")
 
 
 @query("d24_partial_residuals", f"WITH {sql.BASE}, x AS (SELECT event_id, DM_VALUE AS y, ADHERENCE AS x, CAST(WEEKDAY_INDEX AS DOUBLE) AS z FROM s25 WHERE DM_VALUE IS NOT NULL), c AS (SELECT regr_slope(y, z) AS b1, regr_intercept(y, z) AS a1, regr_slope(x, z) AS b2, regr_intercept(x, z) AS a2 FROM x) SELECT event_id, round(y - a1 - b1 * z, 6) AS Y_RESIDUAL, round(x - a2 - b2 * z, 6) AS X_RESIDUAL FROM x, c")
@@ -608,7 +617,8 @@ def patient_fit(spark, d):
     return rounded(fits(spark, d).select(*BY_PP, "PPF", placed.alias("PLACED")), "PPF", "PLACED")
 
 
-_ATTRIBUTES = ["REACHING", "GRASPING", "OBJECT_MANIPULATION", "PINCHING", "PRONATION_SUPINATION", "PROXIMAL_COORDINATION", "PROCESSING_SPEED", "ATTENTION", "OBJECT_TRACKING", "WORD_RETRIEVAL", "SPATIAL_CONTEXT", "SEMANTIC_GROUPING", "RECALL"]
+#: Some of the attributes that the scales are made of: at least one for each scale.
+_ATTRIBUTES = sorted({f for each in SCALE_FEATURES.values() for f in each[:2]})[:20]
 
 
 def attributes(spark, d):
@@ -657,9 +667,10 @@ def one_hot_similarity(spark, d):
     return rounded(fit.similarity(long, "HOT_"), "SIMILARITY")
 
 
-@query("i03_similarity_of_attributes")
+@query("i03_similarity_of_attributes", _fit_sql() + """, long AS (SELECT PROTOCOL_ID, unnest(range(len(b))) AS f, unnest(b) AS x FROM q), spans AS (SELECT f, max(x) - min(x) AS r FROM long GROUP BY 1)
+SELECT a.PROTOCOL_ID AS PROTOCOL_A, c.PROTOCOL_ID AS PROTOCOL_B, round(1 - sum(CASE WHEN r > 0 THEN abs(a.x - c.x) / r ELSE 0 END) / count(*), 6) AS SIMILARITY FROM long a JOIN long c USING (f) JOIN spans USING (f) GROUP BY 1, 2""")
 def similarity_of_attributes(spark, d):
-    return study.protocol_similarity(attributes(spark, d))
+    return rounded(study.protocol_similarity(attributes(spark, d)), "SIMILARITY")
 
 
 @query("i06_scores", f"WITH {sql.SCORES} SELECT PATIENT_ID, PROTOCOL_ID, {r('PPF', 'ADHERENCE_RECENT', 'DELTA_DM', 'SCORE')}, WEEKS_SINCE_START, SESSION_INDEX, USAGE, USAGE_WEEK, array_to_string(DAYS, ',') AS DAYS FROM sc")
@@ -696,7 +707,8 @@ def recommend_all(spark, d):
     return rounded(rows.select(*BY_PP, "BRANCH", "SCORE", text("DAYS")), "SCORE")
 
 
-@query("i13_shuffled_schedule")
+@query("i13_shuffled_schedule", f"""WITH {sql.VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY PPF DESC, PROTOCOL_ID) AS k FROM fits), m AS (SELECT PATIENT_ID, PROTOCOL_ID, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY {sql.mixed("PATIENT_ID", "PROTOCOL_ID", 7)}, PROTOCOL_ID) - 1 AS r FROM t WHERE k <= 12)
+SELECT PATIENT_ID, PROTOCOL_ID, array_to_string(list_sort(list_distinct(list_transform(range(r, 35, 12), lambda i: CAST(i % 7 AS INT)))), ',') AS DAYS FROM m""")
 def shuffled(spark, d):
     return recommend.shuffled_schedule(fits(spark, d).withColumnRenamed("PPF", "SCORE"), 7).select(*BY_PP, text("DAYS"))
 
@@ -927,3 +939,138 @@ def early_scores(spark, d):
 @query("i19_session_metrics", f"WITH {sql.BASE}, q AS (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY SESSION_DATE, SESSION_ID) AS i FROM s5 WHERE DM_VALUE IS NOT NULL), w AS (SELECT t.PATIENT_ID, t.PROTOCOL_ID, t.SESSION_ID, t.i, any_value(t.DM_VALUE) AS x, sum(pow(0.5, t.i - u.i) * u.DM_VALUE) / sum(pow(0.5, t.i - u.i)) AS m FROM q t JOIN q u ON t.PATIENT_ID = u.PATIENT_ID AND t.PROTOCOL_ID = u.PROTOCOL_ID AND u.i <= t.i GROUP BY 1, 2, 3, 4) SELECT SESSION_ID, round(m, 6) AS DM_EWMA, round(coalesce(x - lag(x) OVER p, 0), 6) AS DM_DELTA, round(coalesce(m - lag(m) OVER p, 0), 6) AS EWMA_DELTA FROM w WINDOW p AS (PARTITION BY PATIENT_ID, PROTOCOL_ID ORDER BY i)")
 def session_metrics(spark, d):
     return rounded(cohort.session_metrics(s5(spark, d)).select("SESSION_ID", "DM_EWMA", "DM_DELTA", "EWMA_DELTA"), "DM_EWMA", "DM_DELTA", "EWMA_DELTA")
+
+
+# --- tables that are written and read again, and later additions --------------------------------------
+
+
+@query("a15_versions", f"""WITH {sql.BASE}, {sql.VECTORS}, new AS (SELECT PATIENT_ID, PROTOCOL_ID, PPF + 1 AS PPF FROM fits WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID IN (0, 1)))
+SELECT 1 AS VERSION, PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF FROM fits UNION ALL SELECT 2, PATIENT_ID, PROTOCOL_ID, round(PPF, 6) FROM new UNION ALL SELECT 2, PATIENT_ID, PROTOCOL_ID, round(PPF, 6) FROM fits WHERE (PATIENT_ID, PROTOCOL_ID) NOT IN (SELECT PATIENT_ID, PROTOCOL_ID FROM new)""")
+def versions(spark, d):
+    """A table read before and after an upsert; the first reader keeps its version."""
+    table, f = sinks.Versions(spark, scratch_folder(spark, "versions")), fits(spark, d).drop("CONTRIB")
+    table.upsert(f)
+    before = table.read()
+    table.upsert(f.join(of_studies(spark, d, 0, 1), "PATIENT_ID", "left_semi").withColumn("PPF", F.col("PPF") + 1))
+    return rounded(before.withColumn("VERSION", F.lit(1)).unionByName(table.read().withColumn("VERSION", F.lit(2))), "PPF")
+
+
+@query("a17_repeated_runs", f"WITH {sql.BASE}, {sql.weeks('s25')}, j AS (SELECT PATIENT_ID, PROTOCOL_ID, st + 7 * WEEKS_SINCE_START AS STARTING_DATE, unnest(CASE WHEN DAYS IS NULL THEN [NULL] ELSE DAYS END) AS WEEKDAY FROM us LEFT JOIN wu USING (PATIENT_ID, PROTOCOL_ID) JOIN wk USING (PATIENT_ID)) SELECT RUN_ID, PATIENT_ID, PROTOCOL_ID, STARTING_DATE, STARTING_DATE + 7 AS ENDING_DATE, WEEKDAY FROM j, (SELECT unnest(['run1', 'run2']) AS RUN_ID)")
+def repeated_runs(spark, d):
+    """Two runs written to one table, the first of them twice."""
+    path, rows = scratch_folder(spark, "staging"), staging(spark, d)
+    for run in ("run1", "run2", "run1"):
+        sinks.replace_run(rows, path, run)
+    return sinks.read_run(spark, path, rows.schema, "run1").unionByName(sinks.read_run(spark, path, rows.schema, "run2"))
+
+
+@query("c07_audit_exports", f"WITH {sql.BASE} SELECT 'joined' AS OUTPUT, a.event_id AS L, b.event_id AS R FROM s25 a JOIN s5 b USING (PATIENT_ID, SESSION_ID) UNION ALL SELECT 'left_only', event_id, NULL FROM s25 WHERE SESSION_ID IS NULL UNION ALL SELECT 'right_only', NULL, event_id FROM s5 WHERE SESSION_ID IS NULL")
+def audit_exports(spark, d):
+    """Sessions and their series, joined once; matched rows and those of one side alone are read from its partitions."""
+    keys = ["PATIENT_ID", "SESSION_ID"]
+    left, right = (rows.select(*keys, F.col("event_id").alias(name)) for rows, name in ((s25(spark, d), "L"), (s5(spark, d), "R")))
+    outputs = zip(("joined", "left_only", "right_only"), quality.export_audit(left, right, keys, scratch_folder(spark, "audit")), strict=True)
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("OUTPUT"), "L", "R") for name, rows in outputs])
+
+
+def _two_predictors():
+    terms = "count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb, covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(y) AS yy"
+    rows = "SELECT '(intercept)' AS TERM, my - p * ma - q * mb AS C, sqrt(s2 * (1 / CAST(n AS DOUBLE) + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / (n * det))) AS E, r2 FROM g UNION ALL SELECT 'ADHERENCE', p, sqrt(s2 * bb / (n * det)), r2 FROM g UNION ALL SELECT 'W', q, sqrt(s2 * aa / (n * det)), r2 FROM g"
+    return f"""WITH {sql.BASE}, x AS (SELECT DM_VALUE AS y, ADHERENCE AS a, CAST(WEEKDAY_INDEX AS DOUBLE) AS b FROM s25 WHERE DM_VALUE IS NOT NULL), c AS (SELECT {terms} FROM x), e AS (SELECT *, aa * bb - ab * ab AS det FROM c), f AS (SELECT *, (ya * bb - yb * ab) / det AS p, (yb * aa - ya * ab) / det AS q FROM e),
+g AS (SELECT *, (p * ya + q * yb) / yy AS r2, n * (yy - p * ya - q * yb) / (n - 3) AS s2 FROM f), o AS ({rows}) SELECT TERM, round(C, 6) AS COEFFICIENT, round(E, 6) AS STD_ERROR, round(C / E, 6) AS T, round(r2, 6) AS R2 FROM o"""
+
+
+@query("d22_two_predictors", _two_predictors())
+def two_predictors(spark, d):
+    rows = s25(spark, d).withColumn("W", F.col("WEEKDAY_INDEX").cast("double"))
+    out = cohort.linear_model(rows, "DM_VALUE", ["ADHERENCE", "W"])
+    return rounded(out.select("TERM", "COEFFICIENT", "STD_ERROR", "T", "R2"), "COEFFICIENT", "STD_ERROR", "T", "R2")
+
+
+_ALPHAS = (0.1, 0.25, 0.5)
+
+
+@query("e13_alpha_windows", f"""WITH {sql.BASE}, x AS (SELECT PATIENT_ID, DM_VALUE AS y, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY SESSION_DATE, SESSION_ID) - 1 AS i, count(*) OVER (PARTITION BY PATIENT_ID) AS n FROM s25 WHERE DM_VALUE IS NOT NULL),
+a AS (SELECT unnest({list(_ALPHAS)}) AS ALPHA, unnest([21, 9, 5]) AS w), t AS (SELECT *, w // 2 AS h, greatest(0, least(i - w // 2, n - w)) AS st FROM x, a),
+c AS (SELECT t.PATIENT_ID, ALPHA, w, t.i, t.n, t.y, u.y AS uy, CAST(u.i - st - h AS DOUBLE) AS v, CAST(t.i - st - h AS DOUBLE) AS p, (w * w - 1) / CAST(12 AS DOUBLE) AS mean FROM t JOIN x u ON u.PATIENT_ID = t.PATIENT_ID AND u.i >= st AND u.i < st + w)
+SELECT PATIENT_ID, CAST(ALPHA AS DOUBLE) AS ALPHA, CAST(w AS INT) AS WIDTH, i AS PLACE, round(CASE WHEN n < w THEN y ELSE s END, 6) AS SLOPE FROM (SELECT PATIENT_ID, ALPHA, w, i, any_value(n) AS n, any_value(y) AS y, sum(uy * (v / (w * mean) + 2 * p * (v * v - mean) / (w * mean * (w * w - 4) / 15))) AS s FROM c GROUP BY ALL)""")
+def alpha_windows(spark, d):
+    """Slopes of each patient's difficulty values, once for each alpha; windows of 21, 9 and 5."""
+    rows = s25(spark, d).where("DM_VALUE is not null").select("PATIENT_ID", "SESSION_DATE", "SESSION_ID", "DM_VALUE", F.explode(F.array(*[F.lit(a) for a in _ALPHAS])).alias("ALPHA"))
+    rows = series.session_index(rows.withColumn("WIDTH", series.alpha_window(F.col("ALPHA"))), ["PATIENT_ID", "ALPHA"], ["SESSION_DATE", "SESSION_ID"], "PLACE")
+    out = series.polynomial_filter(rows, "DM_VALUE", ["PATIENT_ID", "ALPHA"], ["PLACE"], "SLOPE", F.col("WIDTH"), derivative=1, short="value")
+    return rounded(out.select("PATIENT_ID", "ALPHA", "WIDTH", (F.col("PLACE") - 1).cast("bigint").alias("PLACE"), "SLOPE"), "SLOPE")
+
+
+@query("f07_ordered_output", f"WITH {sql.BASE} SELECT count(*) AS N, CAST(0 AS BIGINT) AS OUT_OF_ORDER FROM s25")
+def ordered_output(spark, d):
+    """Rows of an ordered output, and how many come before a smaller key in their file or in a file before."""
+    path = scratch_folder(spark, "ordered")
+    sinks.write_ordered(s25(spark, d), path, ["PATIENT_ID", "PROTOCOL_ID", "event_id"], files=7)
+    rows = spark.read.parquet(path).withColumns({"f": F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "at": F.monotonically_increasing_id(), "key": F.struct("PATIENT_ID", "PROTOCOL_ID", "event_id")})
+    inside = rows.withColumn("bad", F.coalesce(F.col("key") < F.lag("key").over(Window.partitionBy("f").orderBy("at")), F.lit(False)))
+    each = inside.groupBy("f").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.min("key").alias("low"), F.max("key").alias("high"))
+    files = each.withColumn("early", F.coalesce(F.col("low") < F.lag("high").over(Window.orderBy("f")), F.lit(False)))  # a row for each file
+    return files.agg(F.sum("n").alias("N"), (F.sum("bad") + F.count_if("early")).alias("OUT_OF_ORDER"))
+
+
+@query("i13_slot_schedule", f"""WITH {sql.VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY PPF DESC, PROTOCOL_ID) - 1 AS r FROM fits), s AS (SELECT PATIENT_ID, PROTOCOL_ID, unnest(range(r, 35, 12)) AS slot FROM t WHERE r < 12),
+o AS (SELECT *, (row_number() OVER (PARTITION BY PATIENT_ID ORDER BY {sql.mixed("PATIENT_ID", "slot", 5)}, slot) - 1) % 7 AS dd FROM s) SELECT PATIENT_ID, PROTOCOL_ID, array_to_string(list_sort(list(DISTINCT CAST(dd AS INT))), ',') AS DAYS FROM o GROUP BY 1, 2""")
+def slot_schedule(spark, d):
+    return recommend.slot_schedule(fits(spark, d).withColumnRenamed("PPF", "SCORE"), 5).select(*BY_PP, text("DAYS"))
+
+
+_MOCA = [s for s in SCALE_MAXIMA if s.startswith("MOCA_") and s != "MOCA_TOTAL"]
+
+
+@query("i15_profile_update", f"""WITH {sql.BASE}, p AS (SELECT CAST(c_custkey AS BIGINT) AS PATIENT_ID, [{", ".join(f"CAST((c_custkey + {k}) % {SCALE_MAXIMA[s] + 1} AS DOUBLE)" for k, s in enumerate(_MOCA))}] AS s0, CAST({[SCALE_MAXIMA[s] for s in _MOCA]} AS DOUBLE[]) AS mx FROM customer),
+q AS (SELECT CAST(vec_id + 200 AS BIGINT) AS PROTOCOL_ID, list_transform(embedding[1:7], lambda x: abs(CAST(x AS DOUBLE))) AS r FROM embeddings WHERE vec_id < 25), a AS (SELECT PATIENT_ID, PROTOCOL_ID, least(datediff('day', CLINICAL_TRIAL_START_DATE, SESSION_DATE) // 10, 2) AS t, avg(ADHERENCE) AS rate FROM s25 JOIN pat USING (PATIENT_ID) GROUP BY ALL),
+e AS (SELECT PATIENT_ID, sum(rate * list_sum(list_transform(r, lambda x: x / list_sum(r)))) FILTER (t = 0) AS e0, sum(rate) FILTER (t = 1) AS e1, sum(rate) FILTER (t = 2) AS e2 FROM a JOIN q USING (PROTOCOL_ID) GROUP BY 1),
+r AS (SELECT p.*, CASE WHEN e0 <> 0 THEN e1 / e0 END AS r1, CASE WHEN e1 <> 0 THEN e2 / e1 END AS r2 FROM p LEFT JOIN e USING (PATIENT_ID)), s1 AS (SELECT *, list_transform(range(1, 8), lambda i: CASE WHEN r1 IS NULL THEN s0[i] ELSE least(s0[i] * r1, mx[i]) END) AS s1 FROM r), s2 AS (SELECT *, list_transform(range(1, 8), lambda i: CASE WHEN r2 IS NULL THEN s1[i] ELSE least(s1[i] * r2, mx[i]) END) AS s2 FROM s1),
+u AS (SELECT PATIENT_ID, 0 AS t, CAST(NULL AS DOUBLE) AS r, s0 AS s, mx FROM s2 UNION ALL SELECT PATIENT_ID, 1, r1, s1, mx FROM s2 UNION ALL SELECT PATIENT_ID, 2, r2, s2, mx FROM s2), d AS (SELECT *, list_transform(range(1, 8), lambda i: greatest(mx[i] - s[i], 0)) AS d FROM u)
+SELECT PATIENT_ID, CAST(t AS INT) AS "TIME", round(r, 6) AS RATIO, CAST(unnest(range(7)) AS INT) AS PLACE, round(unnest(s), 6) AS SCORE, round(unnest(list_transform(d, lambda x: CASE WHEN list_sum(d) = 0 THEN 0 ELSE x / list_sum(d) END)), 6) AS SHARE FROM d""")
+def profile_update(spark, d):
+    """MoCA profiles of all customers, moved on twice by the success with the diagnostic protocols in the ten days before."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    maxima = [SCALE_MAXIMA[s] for s in _MOCA]
+    assessed = c.select(F.col("c_custkey").cast("bigint").alias("PATIENT_ID"), F.array(*[((F.col("c_custkey") + k) % (m + 1)).cast("double") for k, m in enumerate(maxima)]).alias("SCORES"))
+    ratings = study_views.vectors(spark, d)[1].select("PROTOCOL_ID", F.transform(F.slice("VECTOR", 1, 7), F.abs).alias("RATINGS"))
+    s = s25(spark, d).join(study_views.patients(spark, d), "PATIENT_ID")
+    when = F.least(F.floor(F.datediff("SESSION_DATE", "CLINICAL_TRIAL_START_DATE") / 10), F.lit(2)).cast("int")
+    rates = s.groupBy(*BY_PP, when.alias("TIME")).agg(F.avg("ADHERENCE").alias("RATE"))
+    out = profile.updated_profiles(assessed, rates, ratings, maxima, [0, 1, 2])
+    long = out.select("PATIENT_ID", "TIME", "RATIO", F.posexplode(F.arrays_zip("SCORES", "EMBEDDING")).alias("PLACE", "x"))
+    return rounded(long.select("PATIENT_ID", "TIME", "RATIO", "PLACE", F.col("x.SCORES").alias("SCORE"), F.col("x.EMBEDDING").alias("SHARE")), "RATIO", "SCORE", "SHARE")
+
+
+def _odd_sessions(spark, d):
+    rows = s25(spark, d).withColumn("ADHERENCE", F.col("ADHERENCE") * 1.2).withColumn("STATUS", F.when(F.col("WEEKDAY_INDEX") == 6, "LOST").otherwise(F.col("STATUS")))
+    return rows.withColumn("PRESCRIPTION_ID", F.when(F.col("WEEKDAY_INDEX") != 5, F.col("PRESCRIPTION_ID")))
+
+
+_BROKEN = f"WITH {sql.BASE}, b AS (SELECT event_id, list_filter([CASE WHEN NOT (ADHERENCE * 1.2 BETWEEN 0 AND 1) THEN 'adherence_share' END, CASE WHEN NOT (DM_VALUE BETWEEN 0 AND 1) THEN 'dm_share' END, CASE WHEN WEEKDAY_INDEX = 5 THEN 'prescription_present' END, CASE WHEN WEEKDAY_INDEX = 6 THEN 'status' END], lambda x: x IS NOT NULL) AS r FROM s25)"
+
+
+@query("m01_broken_rows", f"{_BROKEN} SELECT event_id, array_to_string(r, ',') AS BROKEN FROM b WHERE len(r) > 0")
+def broken_rows(spark, d):
+    rules = quality.UNITS["sessions"]
+    _, bad, _ = quality.quarantine(_odd_sessions(spark, d), rules, scratch_folder(spark, "checked"))
+    return bad.select("event_id", text("BROKEN"))
+
+
+@query("m01_quarantine_counts", f"{_BROKEN} SELECT RULE, (SELECT count(*) FROM b WHERE list_contains(r, RULE)) AS N, (SELECT count(*) FROM b WHERE len(r) = 0) AS GOOD FROM (SELECT unnest({sorted(quality.UNITS['sessions'])}) AS RULE)")
+def quarantine_counts(spark, d):
+    good, _, counts = quality.quarantine(_odd_sessions(spark, d), quality.UNITS["sessions"], scratch_folder(spark, "checked"))
+    return counts.join(good.agg(F.count("*").alias("GOOD")))
+
+
+@query("m01_unit_rules", f"""WITH {sql.SCORES}, {sql.SIMILARITY}, ts AS (SELECT PATIENT_ID, SESSION_ID, PROTOCOL_ID - 200 AS PROTOCOL_ID, k - 10 AS SECONDS_FROM_START FROM s5),
+n AS (SELECT 'timeseries' AS UNIT, 'patient_positive' AS RULE, count(*) FILTER (PATIENT_ID <= 0) AS N FROM ts UNION ALL SELECT 'timeseries', 'session_positive', count(*) FILTER (SESSION_ID <= 0) FROM ts UNION ALL SELECT 'timeseries', 'protocol_positive', count(*) FILTER (PROTOCOL_ID <= 0) FROM ts UNION ALL SELECT 'timeseries', 'seconds_not_negative', count(*) FILTER (SECONDS_FROM_START < 0) FROM ts
+UNION ALL SELECT 'ppf', unnest(['patient_present', 'protocol_present', 'ppf_present', 'contributions_present', 'contributions_add_up']), 0 UNION ALL SELECT 'protocol_similarity', unnest(['a_present', 'b_present', 'similarity_present']), 0 UNION ALL SELECT 'protocol_similarity', 'similarity_share', count(*) FILTER (NOT (SIMILARITY * 1.5 BETWEEN 0 AND 1)) FROM sim
+UNION ALL SELECT 'scores', unnest(['patient_positive', 'protocol_positive', 'usage_not_negative', 'days_in_week']), 0 UNION ALL SELECT 'scores', 'adherence_share', count(*) FILTER (NOT (ADHERENCE_RECENT BETWEEN 0 AND 1)) FROM sc UNION ALL SELECT 'scores', 'ppf_share', count(*) FILTER (NOT (PPF BETWEEN 0 AND 1)) FROM sc UNION ALL SELECT 'scores', 'score_not_negative', count(*) FILTER (SCORE < 0) FROM sc) SELECT UNIT, RULE, N FROM n""".replace("CASE WHEN k % 10 = 0 THEN NULL ELSE value / CAST(600 AS DOUBLE) END AS DM_VALUE, event_id FROM ev", "CASE WHEN k % 10 = 0 THEN NULL ELSE value / CAST(600 AS DOUBLE) END AS DM_VALUE, event_id, k FROM ev"))
+def unit_rules(spark, d):
+    """The rules of the other tables: series whose times and protocols are moved, similarities that are stretched, fits and scores as they are."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("e"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    ts = s5(spark, d).join(e, F.col("event_id") == F.col("e")).select("PATIENT_ID", "SESSION_ID", (F.col("PROTOCOL_ID") - 200).alias("PROTOCOL_ID"), (F.col("k") - 10).alias("SECONDS_FROM_START"))
+    units = {"timeseries": ts, "ppf": fits(spark, d), "protocol_similarity": similarities(spark, d).withColumn("SIMILARITY", F.col("SIMILARITY") * 1.5), "scores": scores(spark, d)}
+    return reduce(DataFrame.unionByName, [quality.rule_counts(quality.checked(df, quality.UNITS[u]), quality.UNITS[u]).withColumn("UNIT", F.lit(u)) for u, df in units.items()])

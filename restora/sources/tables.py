@@ -115,9 +115,31 @@ class FileLoader:
         return wide.select("PATIENT_ID", *[F.col(f"`{c}`").cast("double").alias(c) for c in scales]).unpivot(["PATIENT_ID"], [F.col(f"`{c}`") for c in scales], "SCALE", "SCORE").na.drop()
 
 
-def jdbc(spark: SparkSession, url: str, table: str, patients: list[int] | None = None, **options: str) -> DataFrame:
-    """A database table; filters and columns are pushed down by the source."""
-    return of_patients(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), patients)
+def id_ranges(key: str, low: int | None, high: int | None, parts: int) -> list[str]:
+    """Predicates that split ids from low to high in equal ranges; the first and last are open, and null ids have one of their own."""
+    if low is None or high is None or parts < 2:
+        return [f"{key} is not null", f"{key} is null"]
+    step = max(1, -(-(high - low + 1) // parts))
+    cuts = list(range(low + step, high + 1, step))
+    edges = [None, *cuts, None]
+    inside = [" and ".join([*([f"{key} >= {a}"] if a is not None else []), *([f"{key} < {b}"] if b is not None else [])]) or f"{key} is not null" for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [*inside, f"{key} is null"]
+
+
+def jdbc(spark: SparkSession, url: str, table: str, patients: DataFrame | list[int] | None = None, key: str = "PATIENT_ID", parts: int = 16, chunk: int = 500, **options: str) -> DataFrame:
+    """A database table, read over as many connections as it has partitions; filters and columns are pushed down by the source.
+
+    A list of patients is asked for in chunks of ids, each a partition.  Otherwise the table is split in ranges of ids
+    between the smallest and the largest, which the database is asked for first; a table of patients is then joined.
+    A row's id must be a whole number or null.
+    """
+    if isinstance(patients, list):
+        ids = sorted({int(p) for p in patients})
+        wanted = [f"{key} in ({', '.join(map(str, ids[k : k + chunk]))})" for k in range(0, len(ids), chunk)] or ["1 = 0"]
+        return spark.read.jdbc(url, table, predicates=wanted, properties=options)
+    ends = spark.read.format("jdbc").options(url=url, query=f"select min({key}) as LOW, max({key}) as HIGH from {table}", **options).load().first()
+    rows = spark.read.jdbc(url, table, predicates=id_ranges(key, *(None if e is None else int(e) for e in ends), parts), properties=options)
+    return of_patients(rows, patients, key)
 
 
 def subscale_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +166,7 @@ def completed_fits(fits: DataFrame, patients: DataFrame, required: bool = True)
     own = require_rows(own, "none of the patients has a fit") if required else own
     missing = wanted.join(fits, "PATIENT_ID", "left_anti")
     protocols = catalogue(fits.select("PROTOCOL_ID").distinct())
-    blank = missing.join(F.broadcast(protocols)).withColumns({c: F.lit(None).cast(fits.schema[c].dataType) for c in fits.columns if c not in ("PATIENT_ID", "PROTOCOL_ID")})
+    blank = missing.crossJoin(protocols).withColumns({c: F.lit(None).cast(fits.schema[c].dataType) for c in fits.columns if c not in ("PATIENT_ID", "PROTOCOL_ID")})
     return own.unionByName(blank.select(*own.columns))
 
 
