@@ -21,7 +21,7 @@ def ewma(df: DataFrame, value: str, keys: list[str], order: list[str], out: str,
     """Exponentially weighted mean with normalised weights; a null keeps its place but adds nothing, and takes the mean so far.
 
     Weighted sums over 2, 4, 8 ... rows come from two sums over half as many, so a row costs a few steps whatever
-    the number of terms; all steps share one order.  Weights below 1e-18 are left out.
+    the number of terms; all steps share one order.  Weights below 1e-18 of a row's own are left out.
     """
     w = ordered(keys, order)
     terms = max(2, math.ceil(math.log(1e-18) / math.log(1 - alpha)) + 1)
@@ -29,7 +29,7 @@ def ewma(df: DataFrame, value: str, keys: list[str], order: list[str], out: str,
     for k in range((terms - 1).bit_length()):
         far = F.lit((1 - alpha) ** (1 << k))
         rows = rows.withColumns({c: F.col(c) + far * F.lag(c, 1 << k, 0.0).over(w) for c in ("__n", "__d")})
-    rows = rows.withColumn("__e", F.when(F.col("__d") > 0, F.col("__n") / F.col("__d")))
+    rows = rows.withColumn("__e", F.when(F.col(value).isNotNull(), F.col("__n") / F.col("__d")))
     return rows.withColumn(out, F.last("__e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__n", "__d", "__e")
 
 

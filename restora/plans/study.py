@@ -54,7 +54,8 @@ def patients_run(
     fits, bad = (_stored_fits(loader, wanted), None) if fits_of is None else fits_of(people)
     logged = loader.sessions(wanted)
     fits, sessions, similarity = prepared(fits, logged, loader.similarity())
-    checks = [faults.unknown(wanted, people), faults.of_dates(people), *([] if bad is None else [bad])]
+    # stored fits are enough for a patient that the table of patients doesn't have
+    checks = [faults.of_dates(people), *([] if bad is None else [bad, faults.unknown(wanted, people)])]
     checks += [faults.of_rows(t) for t in (people, logged) if "ERROR" in t.columns]
     faulty = keep("faults", faults.reasons(*checks))
     good = lambda df: faults.without(df.drop("ERROR"), faulty)

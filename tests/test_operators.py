@@ -313,8 +313,9 @@ def test_completed_fits_and_errors(spark):
     with pytest.raises(ValueError, match="no patients"):
         tables.cohort(studies, [3])
     many = spark.range(fit.CATALOGUE + 1).select(F.col("id").alias("PROTOCOL_ID"), F.array(F.lit(1.0)).alias("VECTOR"))
-    with pytest.raises(ValueError, match="catalogue"):
-        fit.fits(wanted.withColumn("VECTOR", F.array(F.lit(1.0))), many)
+    pairs = fit.fits(wanted.withColumn("VECTOR", F.array(F.lit(1.0))), many)  # a large catalogue is not broadcast, and gives its rows all the same
+    assert pairs.count() == wanted.count() * (fit.CATALOGUE + 1) and pairs.where("PPF <> 1").isEmpty()
+    assert "ResolvedHint (strategy=broadcast)" not in pairs._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("kind", ["parquet", "csv"])
