@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from restora.constants import ALLOWED_PROTOCOLS, BY_PP, DAYS, PER_DAY, TOP_N
 from restora.functions.hashing import mixed
-from restora.operators.sessions import first_of
 
 
 def by_patient():
@@ -67,14 +66,27 @@ def swaps(scores: DataFrame) -> DataFrame:
 PAIRS = 40_000
 
 
-def _decided(scores: DataFrame, similarity: DataFrame, top_similar: int) -> DataFrame:
-    """One row per patient: ROWS (the patient's scores, by protocol), PLAN (those with days), BRANCH, and SWAPS (OLD, NEW), chosen one after another."""
-    near = similarity.where("PROTOCOL_A <> PROTOCOL_B").groupBy(F.col("PROTOCOL_A").alias("OLD")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("SIMILARITY")).alias("s"), F.col("PROTOCOL_B").alias("b")))), lambda x: x["b"]).alias("NEAR")
-    )
+def _by_patient(scores: DataFrame) -> DataFrame:
+    """One row per patient: ROWS (the patient's scores, by protocol) and PLAN (those with days)."""
     rest = [c for c in scores.columns if c not in BY_PP]
     rows = scores.groupBy("PATIENT_ID").agg(F.array_sort(F.collect_list(F.struct("PROTOCOL_ID", *rest))).alias("ROWS"))  # as many as protocols
-    rows = rows.withColumn("PLAN", F.filter("ROWS", lambda r: F.coalesce(F.size(r["DAYS"]) > 0, F.lit(False))))
+    return rows.withColumn("PLAN", F.filter("ROWS", lambda r: F.coalesce(F.size(r["DAYS"]) > 0, F.lit(False))))
+
+
+def _with_near(rows: DataFrame, similarity: DataFrame, most: int | None = None) -> DataFrame:
+    """rows (PATIENT_ID, LOW) with NEAR, the protocols most similar to each of LOW (`most` of them)."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("SIMILARITY")).alias("s"), F.col("PROTOCOL_B").alias("b")))), lambda x: x["b"])
+    near = similarity.where("PROTOCOL_A <> PROTOCOL_B").groupBy(F.col("PROTOCOL_A").alias("OLD")).agg((each if most is None else F.slice(each, 1, most)).alias("NEAR"))
+    as_map = F.map_from_entries(F.collect_list(F.struct("OLD", "NEAR"))).alias("NEAR")
+    if similarity.limit(PAIRS + 1).count() <= PAIRS:
+        return rows.join(F.broadcast(near.agg(as_map)))  # one row of PAIRS numbers at most
+    wanted = rows.select("PATIENT_ID", F.explode("LOW").alias("OLD")).join(near, "OLD").groupBy("PATIENT_ID").agg(as_map)
+    return rows.join(wanted, "PATIENT_ID", "left").withColumn("NEAR", F.coalesce("NEAR", F.create_map().cast("map<bigint,array<bigint>>")))
+
+
+def _decided(scores: DataFrame, similarity: DataFrame, top_similar: int) -> DataFrame:
+    """One row per patient: ROWS, PLAN, BRANCH, and SWAPS (OLD, NEW), chosen one after another."""
+    rows = _by_patient(scores)
     mean = F.aggregate("PLAN", F.lit(0.0), lambda a, r: a + r["SCORE"]) / F.size("PLAN")
     low = F.transform(F.filter("PLAN", lambda r: r["SCORE"] < mean), lambda r: r["PROTOCOL_ID"])
     least_ = F.array_min(F.transform("PLAN", lambda r: F.struct(r["SCORE"].alias("s"), r["PROTOCOL_ID"].alias("p"))))["p"]
@@ -86,12 +98,7 @@ def _decided(scores: DataFrame, similarity: DataFrame, top_similar: int) -> Data
         "BRANCH": F.when(F.size("PLAN") == 0, "new").when(idle, "repeat").otherwise("update"),
         "USES": use_of, "FREE": F.exists("ROWS", lambda r: F.coalesce(r["USAGE"], F.lit(0)) == 0),
     })
-    as_map = F.map_from_entries(F.collect_list(F.struct("OLD", "NEAR"))).alias("NEAR")
-    if similarity.limit(PAIRS + 1).count() <= PAIRS:
-        rows = rows.join(F.broadcast(near.agg(as_map)))  # one row of PAIRS numbers at most
-    else:
-        wanted = rows.select("PATIENT_ID", F.explode("LOW").alias("OLD")).join(near, "OLD").groupBy("PATIENT_ID").agg(as_map)
-        rows = rows.join(wanted, "PATIENT_ID", "left").withColumn("NEAR", F.coalesce("NEAR", F.create_map().cast("map<bigint,array<bigint>>")))
+    rows = _with_near(rows, similarity)
 
     def use(b):
         return F.try_element_at("USES", b)
@@ -174,13 +181,22 @@ def upper_quantile(scores: DataFrame, q: float = 0.85) -> DataFrame:
 
 
 def swapped_below_quantile(scores: DataFrame, similarity: DataFrame, q: float = 0.85, top_similar: int = 5) -> DataFrame:
-    """PATIENT_ID, OLD, NEW: prescriptions outside the upper quantile, with the least used of the most similar that is not prescribed."""
-    plan = prescriptions(scores)
-    low = plan.join(upper_quantile(scores, q).select(*BY_PP), BY_PP, "left_anti").select("PATIENT_ID", F.col("PROTOCOL_ID").alias("OLD"))
-    near = top(similarity.where("PROTOCOL_A <> PROTOCOL_B"), top_similar, ["PROTOCOL_A"], "SIMILARITY", "PROTOCOL_B")
-    pairs = low.join(near, low.OLD == near.PROTOCOL_A).select("PATIENT_ID", "OLD", F.col("PROTOCOL_B").alias("PROTOCOL_ID"))
-    free = pairs.join(plan.select(*BY_PP), BY_PP, "left_anti").join(scores.select(*BY_PP, "USAGE"), BY_PP)
-    return first_of(free, ["PATIENT_ID", "OLD"], ["USAGE", "PROTOCOL_ID"]).select("PATIENT_ID", "OLD", F.col("PROTOCOL_ID").alias("NEW"))
+    """PATIENT_ID, OLD, NEW: prescriptions outside the upper quantile, with the least used of the most similar that is not prescribed.
+
+    Decided inside one grouping of the scores; a patient's rows are as many as protocols.
+    """
+    rows = _by_patient(scores.select(*BY_PP, "SCORE", "USAGE", "DAYS"))
+    known = F.array_sort(F.filter(F.transform("ROWS", lambda r: r["SCORE"]), lambda x: x.isNotNull()))
+    rows = rows.withColumn("__k", known).withColumn("__at", (F.size("__k") - 1) * F.lit(q))
+    low, high = (F.get("__k", f("__at").cast("int")) for f in (F.floor, F.ceil))
+    rows = rows.withColumn("__q", low + (F.col("__at") - F.floor("__at")) * (high - low))
+    old = F.transform(F.filter("PLAN", lambda r: ~F.coalesce(r["SCORE"] > F.col("__q"), F.lit(False))), lambda r: r["PROTOCOL_ID"])
+    free = F.map_from_entries(F.transform(F.filter("ROWS", lambda r: ~F.coalesce(F.size(r["DAYS"]) > 0, F.lit(False))), lambda r: F.struct(r["PROTOCOL_ID"].alias("p"), F.struct(r["USAGE"].alias("u")))))
+    rows = _with_near(rows.withColumns({"LOW": old, "FREE": free}).select("PATIENT_ID", "LOW", "FREE"), similarity, top_similar)
+    swap = rows.select("PATIENT_ID", "FREE", "NEAR", F.explode("LOW").alias("OLD"))
+    open_ = F.filter(F.try_element_at("NEAR", F.col("OLD")), lambda b: F.try_element_at("FREE", b).isNotNull())
+    best = F.array_min(F.transform(open_, lambda b: F.struct(F.try_element_at("FREE", b)["u"].alias("u"), b.alias("b"))))["b"]
+    return swap.select("PATIENT_ID", "OLD", best.alias("NEW")).where("NEW is not null")
 
 
 def day_counts(recommendations: DataFrame) -> DataFrame:

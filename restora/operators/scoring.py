@@ -48,7 +48,7 @@ def _second(s: Column, d: Column, head: Column) -> Column:
 
 
 def replayed_metrics(sessions: DataFrame, patients: DataFrame, days: tuple[int, ...], alpha: float = EWMA_ALPHA, smooth: int = SMOOTH_WINDOW, window: int = SLOPE_WINDOW) -> DataFrame:
-    """BY_PP and STATES: what pair_metrics would give on each of the ascending days after the start, without a copy of the history for each.
+    """pair_metrics on each of the ascending days after the start (DAY), without a copy of the history for each.
 
     A pair's rows come together once, in order; one fold goes over them, carries the weighted mean along and sets
     down, on each of the days, how far it has come.  Usage, the last week and the slope are read off the rows up
@@ -74,20 +74,17 @@ def replayed_metrics(sessions: DataFrame, patients: DataFrame, days: tuple[int,
             (a["n"] + F.when(e["mark"], 0).otherwise(1)).alias("n"), F.when(e["mark"], F.array_append(a["out"], seen)).otherwise(a["out"]).alias("out"),
         )
 
-    def state(m: Column) -> Column:
-        s = F.slice("__s", F.lit(1), m["N"])
-        d = F.filter("__d", lambda r: r["o"] <= m["DAY"])
-        week = F.filter(s, lambda r: (r["o"] >= 7 * (F.floor(m["DAY"] / 7) - 1)) & (r["o"] < 7 * F.floor(m["DAY"] / 7)))
-        ids = lambda rows_: F.size(F.array_distinct(F.transform(F.filter(rows_, lambda r: r["SESSION_ID"].isNotNull()), lambda r: r["SESSION_ID"]))).cast("bigint")
-        values = F.transform(d, lambda r: r["x"])
-        return F.struct(
-            m["DAY"].alias("DAY"), ids(s).alias("USAGE"), ids(week).alias("USAGE_WEEK"),
-            F.array_sort(F.array_distinct(F.filter(F.transform(week, lambda r: r["WEEKDAY_INDEX"]), lambda w: w.isNotNull()))).alias("DAYS"),
-            m["N"].alias("SESSION_INDEX"), m["MEAN"].alias("LAST_ADHERENCE"), last_slope(smoothed_tail(values, smooth, window), window).alias("LAST_DELTA"), _second(s, d, smoothed_head(values, smooth)).alias("SECOND_DELTA"),
-        )
-
     reached = F.filter(F.aggregate(events, begin, step)["out"], lambda m: m["N"] > 0)
-    return one.select(*BY_PP, F.transform(reached, state).alias("STATES"))
+    # one row for each day from here on, still in the task that has the pair; each step is a column of its own, so that nothing is computed twice
+    on = one.withColumn("__out", reached).select(*BY_PP, "__s", "__d", F.inline("__out"))
+    on = on.withColumns({"__s": F.slice("__s", F.lit(1), F.col("N")), "__v": F.filter("__d", lambda r: r["o"] <= F.col("DAY")), "__to": 7 * F.floor(F.col("DAY") / 7)})
+    on = on.withColumns({"__w": F.filter("__s", lambda r: (r["o"] >= F.col("__to") - 7) & (r["o"] < F.col("__to"))), "__x": F.transform("__v", lambda r: r["x"])})
+    on = on.withColumns({"__head": smoothed_head(F.col("__x"), smooth), "__tail": smoothed_tail(F.col("__x"), smooth, window)})
+    ids = lambda c: F.size(F.array_compact(F.array_distinct(F.col(f"{c}.SESSION_ID")))).cast("bigint")
+    return on.select(
+        *BY_PP, "DAY", ids("__s").alias("USAGE"), ids("__w").alias("USAGE_WEEK"), F.array_sort(F.array_compact(F.array_distinct(F.col("__w.WEEKDAY_INDEX")))).alias("DAYS"),
+        F.col("N").alias("SESSION_INDEX"), F.col("MEAN").alias("LAST_ADHERENCE"), last_slope(F.col("__tail"), window).alias("LAST_DELTA"), _second(F.col("__s"), F.col("__v"), F.col("__head")).alias("SECOND_DELTA"),
+    )
 
 
 def features(fits: DataFrame, sessions: DataFrame, patients: DataFrame, scoring_date: Column) -> DataFrame:
@@ -111,16 +108,16 @@ def replayed_features(fits: DataFrame, sessions: DataFrame, patients: DataFrame,
 
     Fits, states and start come together by patient; days are only dealt out after that, so nothing is shuffled once a day.
     """
-    pairs = replayed_metrics(sessions, patients, days).groupBy("PATIENT_ID").agg(F.map_from_entries(F.collect_list(F.struct("PROTOCOL_ID", "STATES"))).alias("__of"))
+    names = ["USAGE", "USAGE_WEEK", "DAYS", "SESSION_INDEX", "LAST_ADHERENCE", "LAST_DELTA", "SECOND_DELTA"]
+    state = F.struct(F.struct("PROTOCOL_ID", "DAY").alias("k"), F.struct(*names).alias("v"))
+    pairs = replayed_metrics(sessions, patients, days).groupBy("PATIENT_ID").agg(F.map_from_entries(F.collect_list(state)).alias("__of"))
     own = [c for c in fits.columns if c not in BY_PP]
     wanted = fits.groupBy("PATIENT_ID").agg(F.collect_list(F.struct("PROTOCOL_ID", *own)).alias("__fits"))  # as many as protocols
     known = patients.select("PATIENT_ID").distinct().withColumn("__known", F.lit(True))
     rows = wanted.join(known, "PATIENT_ID", "left").join(pairs, "PATIENT_ID", "left").select("PATIENT_ID", "__of", "__known", F.inline("__fits"))
-    rows = rows.withColumn("__states", F.try_element_at("__of", F.col("PROTOCOL_ID"))).select(*BY_PP, *own, "__states", "__known", F.explode(F.array(*[F.lit(d) for d in days])).alias("DAY"))
-    state = F.get(F.filter("__states", lambda s: s["DAY"] == F.col("DAY")), F.lit(0))
-    names = ["USAGE", "USAGE_WEEK", "DAYS", "SESSION_INDEX", "LAST_ADHERENCE", "LAST_DELTA", "SECOND_DELTA"]
+    rows = rows.withColumn("DAY", F.explode(F.array(*[F.lit(d) for d in days]))).withColumn("__one", F.try_element_at("__of", F.struct("PROTOCOL_ID", "DAY")))
     weeks = F.when(F.col("__known"), F.floor(F.col("DAY") / 7).cast("int")).alias("WEEKS_SINCE_START")
-    return rows.withColumn("__one", state).select(*BY_PP, *own, "DAY", *[F.col(f"__one.{c}").alias(c) for c in names], weeks)
+    return rows.select(*BY_PP, *own, "DAY", *[F.col(f"__one.{c}").alias(c) for c in names], weeks)
 
 
 def scored(table: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
