@@ -17,7 +17,8 @@ grows with vectors x queries; where few vectors are hit, only their distances ar
 Results for special cases: vectors that are null, zero, not of the commonest dimension, or that hold
 null or non-finite components take no part; ties go to the smaller vec_id; only if fewer than k other
 vectors take part, there are fewer rows; no vectors give no rows; rows that share a vec_id are each indexed, and
-none of them is a candidate for a query of that id, whose result is that of the row with the nearest vectors.
+none of them is a candidate for a query of that id, whose result is that of one row: the one with the smallest
+distances, compared in order.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ class Best:
     def rows(self) -> pa.RecordBatch:
         found = list(self.of.values())
         owners = np.repeat(self.names[list(self.of)], [len(x[0]) for x in found])
-        return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["row", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -190,16 +191,17 @@ def packed(df: DataFrame, most: int, prefix: str, extra: tuple[str, ...] = ()) -
 
 
 def searched(v: DataFrame, q: DataFrame, many: int, dimension: int, hashes: list[Tables] | None, probes: int, k: int, block: int) -> DataFrame:
-    """query_id, vec_id, score: of each query (many in number) the k nearest hits of every partition of v; without hashes (one a level) all are hits."""
+    """row, vec_id, score: of each query row (many in number) the k nearest hits of every partition of v; without hashes (one a level) all are hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best, at, probe = None, None, None, []
         for batch in batches:
-            for q_ids, q_at, q_level, v_ids, v_at in zip(*(field(batch, n).to_pylist() for n in ("q_ids", "q_at", "q_level", "v_ids", "v_at")), strict=True):
-                if q_ids != now:  # the pairs of a block come one after the other
+            for q_row, q_ids, q_at, q_level, v_ids, v_at in zip(*(field(batch, n).to_pylist() for n in ("q_row", "q_ids", "q_at", "q_level", "v_ids", "v_at")), strict=True):
+                if q_row != now:  # the pairs of a block come one after the other
                     if best is not None and best.of:
                         yield best.rows()
-                    now, best, at = q_ids, Best(np.frombuffer(q_ids, dtype=np.int64), k), np.frombuffer(q_at).reshape(-1, dimension)
+                    now, best, at = q_row, Best(np.frombuffer(q_row, dtype=np.int64), k), np.frombuffer(q_at).reshape(-1, dimension)
+                    names = np.frombuffer(q_ids, dtype=np.int64)
                     probe, level = [], np.frombuffer(q_level, dtype=np.int64)
                     for one in np.unique(level) if hashes else []:
                         members = np.flatnonzero(level == one)
@@ -217,19 +219,28 @@ def searched(v: DataFrame, q: DataFrame, many: int, dimension: int, hashes: list
                     which = np.repeat(np.arange(len(ids)), n)
                     place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
                     hit[owner[place], which] = True
-                hit &= best.names[:, None] != ids[None, :]
+                hit &= names[:, None] != ids[None, :]
                 for i, near_ids, d in nearest(at, x, ids, hit, k):
                     best.add(i, near_ids, d)
         if best is not None and best.of:
             yield best.rows()
 
-    blocks = packed(q.repartition(max(1, -(-many // (block * GROUP)))), block, "q", ("level",))
-    return blocks.hint("shuffle_replicate_nl").crossJoin(packed(v, CHUNK, "v")).mapInArrow(run, "query_id long, vec_id long, score double")
+    blocks = packed(q.repartition(max(1, -(-many // (block * GROUP)))), block, "q", ("level", "row"))
+    return blocks.hint("shuffle_replicate_nl").crossJoin(packed(v, CHUNK, "v")).mapInArrow(run, "row long, vec_id long, score double")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("row", "rank", "vec_id", "score")
+
+
+def one_an_id(found: DataFrame, q: DataFrame) -> DataFrame:
+    """query_id, rank, vec_id, score: of the rows that share an id, the one whose distances are smallest, compared in order."""
+    lists = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("l"))  # k at most
+    lists = lists.join(q.select("row", F.col("vec_id").alias("query_id")), "row")
+    best = F.min(F.struct(F.col("l.score").alias("score"), F.col("l.vec_id").alias("vec_id"))).alias("b")
+    each = lists.groupBy("query_id").agg(best).select("query_id", F.posexplode(F.arrays_zip("b.score", "b.vec_id")).alias("place", "x"))
+    return each.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 32, functions: int = 8, probes: int = 120, spread: float = 1.35, block: int = 1024) -> DataFrame:
@@ -246,18 +257,18 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
     ids, x = np.array([r.vec_id for r in sample], dtype=np.int64), np.array([r.embedding for r in sample])
     apart = kth(x, ids, x, ids, k)
     levels = levels_of(apart[np.isfinite(apart)])
-    q = cut(bounded(q, x, ids, levels, k))
+    q = cut(bounded(q, x, ids, levels, k).withColumn("row", F.monotonically_increasing_id()))  # numbers that the written table keeps
     many = q.count()
     if not many:
         return empty
     found = cut(ranked(searched(v, q, many, dimension, [Tables(dimension, tables, functions, spread * w) for w in levels], probes, k, block), k))
-    bounds = q.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("bound").alias("bound"))
-    whole = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("far")).join(bounds, "query_id").where((F.col("n") >= k) & (F.col("far") <= F.col("bound"))).select("query_id")
-    short = cut(q.join(whole, F.col("vec_id") == F.col("query_id"), "left_anti"))
+    reached = found.groupBy("row").agg(F.count("*").alias("n"), F.max("score").alias("far")).join(q.select("row", "bound"), "row")
+    whole = reached.where((F.col("n") >= k) & (F.col("far") <= F.col("bound"))).select("row")
+    short = cut(q.join(whole, "row", "left_anti"))
     few = short.count()
-    if not few:
-        return found
-    return found.join(whole, "query_id", "left_semi").unionByName(ranked(searched(v, short, few, dimension, None, probes, k, block), k))
+    if few:
+        found = found.join(whole, "row", "left_semi").unionByName(ranked(searched(v, short, few, dimension, None, probes, k, block), k))
+    return one_an_id(found, q)
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
