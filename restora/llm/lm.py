@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from restora.llm.graph import stored, tidy
 from restora.llm.restaurants import Level, Tree, discount_of
-from restora.llm.textkit import _LOWER, Words, field, mix, pieces, string_bytes
+from restora.llm.textkit import LOWER, Words, field, mix, pieces, string_bytes
 
 ORDER, ROOT, STRENGTH, BLOCK_BYTES, PART_BYTES = 7, 3, 1.0, 32 << 20, 12 << 20
 #: Sweeps of the first round; of the second, whose first is left out of the average.
@@ -71,7 +71,7 @@ class Stream:
             inner = place - before[which]
             blank = inner == size[which] - 1
             source = np.minimum(words.start[which] + inner, len(data) - 1)
-            symbols[at[which] + inner] = np.where(blank, BLANK, _LOWER[data[source]])
+            symbols[at[which] + inner] = np.where(blank, BLANK, LOWER[data[source]])
         wide, grams = symbols.astype(np.uint64), np.zeros(total, dtype=np.uint64)
         for k in range(order):
             grams[k:] |= wide[: total - k] << np.uint64(8 * k)

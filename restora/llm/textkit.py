@@ -17,8 +17,9 @@ CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Each byte, with A to Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,7 +117,7 @@ class Words:
             use = inside[first:last]
             place[~use] = 0
             part = data[first:last]
-            value = _BYTE[_LOWER[part] if lower else part]
+            value = _BYTE[LOWER[part] if lower else part]
             value *= places(int((self.end - self.start).max()))[place]
             value[~use] = 0
             self.hash = mix(np.add.reduceat(value, self.start - first) + (self.end - self.start).astype(np.uint64))

@@ -24,31 +24,38 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from restora.llm.graph import cut, shared_folder
-from restora.llm.textkit import field, pieces
+from restora.llm.textkit import LOWER, field, pieces, string_bytes
 
 LIMIT, BLOCK_IDS, CHECKPOINT, PARTITION_BYTES, REMEMBERED = 16, 65_536, 64, 24 << 20, 400_000
+#: Bytes of text encoded at once.
+ENCODED = 8 << 20
 
 
 #: Runs of letters, single digits and runs of marks: between these the tokenizer's pattern always parts a text.  Letters are those up to
 #: U+00FF (0xC3 and the byte after it, but for two signs); apostrophes, with which endings begin, and what special ids are written with
 #: belong to none.
 _RUNS = re.compile(rb"[a-zA-Z\xc3\x80-\xbf]+|[0-9]|[!-&(-;=?-@\[-`{}~]+")
-_PLAIN = re.compile(rb"[a-z\xc3\x80-\xbf]+")
+#: The same with the ends of words that are parted together.
+_RUNS_AND_ENDS = re.compile(rb"[a-zA-Z\xc3\x80-\xbf]+|[0-9]|[!-&(-;=?-@\[-`{}~]+|\n")
+#: All bytes of such runs: a word that has nothing else can be parted.
+_PARTABLE = bytes(i for i in range(256) if _RUNS.fullmatch(bytes([i])))
+_LETTERS = bytes([*range(97, 123), 0xC3, *range(0x80, 0xC0)])
 _SIGNS = b"\xc3\x97", b"\xc3\xb7"
 
 
-def parted(word: bytes) -> list[bytes]:
-    """The runs of a word that has nothing else, or the word."""
-    runs = _RUNS.findall(word)
-    return runs if len(b"".join(runs)) == len(word) and not (_SIGNS[0] in word or _SIGNS[1] in word) else [word]
+def partable(word: bytes) -> bool:
+    """Whether a word is made of nothing but runs."""
+    return not word.translate(None, _PARTABLE) and not (b"\xc3" in word and (_SIGNS[0] in word or _SIGNS[1] in word))
 
 
 class WordEncoder:
@@ -69,13 +76,12 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encodes parts of words by a few calls: one call for many is much cheaper than a call for each."""
-        plain = [_PLAIN.fullmatch(w) is not None and not (_SIGNS[0] in w or _SIGNS[1] in w) for w in words]
+        plain = [not w.translate(None, _LETTERS) and not (_SIGNS[0] in w or _SIGNS[1] in w) for w in words]
         for kind in (True, False):
-            of_kind = [i for i, p in enumerate(plain) if p is kind]
+            of_kind = list(compress(words, plain) if kind else compress(words, map(not_, plain)))
             for k in range(0, len(of_kind), 8192):
-                pick = of_kind[k : k + 8192]
-                part = [words[i].decode("utf-8") for i in pick]
-                joined = "\n".join(part)
+                part = of_kind[k : k + 8192]
+                joined = b"\n".join(part).decode("utf-8")
                 if kind:  # each is one match of the pattern, so its last id ends a word and no other does
                     ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u2")
                     edge = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
@@ -83,37 +89,65 @@ class WordEncoder:
                     found = self.library.encode(joined, add_special_tokens=False)
                     ids = np.array(found.ids, dtype="<u2")
                     place = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(ids))
-                    edge = np.searchsorted(place, np.cumsum([0, *(len(x) + 1 for x in part)]))
+                    edge = np.searchsorted(place, np.cumsum([0, *(len(x.decode("utf-8")) + 1 for x in part)]))
                 if len(edge) != len(part) + 1 or edge[-1] != len(ids):
                     raise ValueError("ids do not fall into words")
-                raw = ids.tobytes()
-                for i, x, y in zip(pick, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    self.parts.young[words[i]] = raw[2 * x : 2 * y]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            raw = (t or "").encode("utf-8")
-            # the names of special ids count as they are written
-            split.append(raw.split() if b"<|" in raw else raw.lower().split())
+                self.parts.young.update(zip(part, cut_up(ids.tobytes(), 2 * edge), strict=True))
+
+    def _learn_words(self, new: list[bytes]) -> None:
+        """ids of new words from those of their parts."""
+        simple = list(map(partable, new))
+        known = self.words.young
+        for k in range(0, len(new), 65_536):
+            some, ok = new[k : k + 65_536], simple[k : k + 65_536]
+            parted_, whole = list(compress(some, ok)), list(compress(some, map(not_, ok)))
+            tokens = _RUNS_AND_ENDS.findall(b"\n".join([*parted_, b""]))
+            wanted = {*tokens, *whole}
+            wanted.discard(b"\n")
+            self._learn(self.parts.unknown(wanted))
+            of = self.parts.young
+            of[b"\n"] = b""
+            ids = list(map(of.__getitem__, tokens))
+            del of[b"\n"]
+            size = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            ends = np.fromiter((t == b"\n" for t in tokens), dtype=bool, count=len(tokens))
+            known.update(zip(parted_, cut_up(b"".join(ids), np.r_[0, size[ends]]), strict=True))
+            known.update(zip(whole, map(of.__getitem__, whole), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """ids of each text (null: empty), with the end id."""
+        data, offsets = string_bytes(texts)
+        lower = LOWER[data]
+        marked = pc.match_substring(texts, "<|")
+        if pc.any(marked).as_py():  # the names of special ids count as they are written
+            kept = np.repeat(pc.fill_null(marked, False).to_numpy(zero_copy_only=False), np.diff(offsets))
+            lower[kept] = data[kept]
+        own = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(lower))
+        split = pc.ascii_split_whitespace(own)
+        coded = split.flatten().dictionary_encode()
+        spelled, place = string_bytes(coded.dictionary)
+        words = cut_up(spelled.tobytes(), place)
+        self._learn_words(self.words.unknown(set(words) - {b""}))
         known = self.words.young
-        flat = list(chain.from_iterable(split))
-        ids = list(map(known.get, flat))
-        holes = [i for i, x in enumerate(ids) if x is None]
-        missing = {flat[i] for i in holes}
-        new = self.words.unknown(missing)
-        pieces_ = list(map(parted, new))
-        self._learn(self.parts.unknown(set(chain.from_iterable(pieces_))))
-        part = self.parts.young.__getitem__
-        for w, p in zip(new, pieces_, strict=True):
-            known[w] = b"".join(map(part, p))
-        for i in holes:
-            ids[i] = known[flat[i]]
-        ends = list(accumulate(map(len, split)))
-        out = [b"".join([*ids[b - len(words) : b], self.end]) for words, b in zip(split, ends, strict=True)]
+        raw = [known[w] if w else b"" for w in words]
+        table = np.frombuffer(b"".join(raw), dtype="<u2")
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 2
+        begin = np.cumsum(size) - size
+        code = coded.indices.to_numpy()
+        n = size[code]
+        end = np.cumsum(n)
+        at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin[code] - (end - n), n)
+        stream = table[at].tobytes()
+        edge = np.r_[0, end][split.offsets.to_numpy() - split.offsets[0].as_py()]
         self.words.age()
         self.parts.age()
-        return out
+        return [x + self.end for x in cut_up(stream, 2 * edge)]
+
+
+def cut_up(raw: bytes, edges: np.ndarray) -> list[bytes]:
+    """raw between each edge and the next."""
+    at = edges.tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
 
 
 class Memory:
@@ -125,15 +159,12 @@ class Memory:
 
     def unknown(self, keys: set[bytes]) -> list[bytes]:
         """Keys that are not remembered; the others are young from now on."""
-        out = []
-        for k in keys:
-            if k in self.young:
-                continue
-            if k in self.old:
-                self.young[k] = self.old[k]
-            else:
-                out.append(k)
-        return out
+        out = keys - self.young.keys()
+        if self.old:
+            back = out & self.old.keys()
+            self.young.update((k, self.old[k]) for k in back)
+            out -= back
+        return list(out)
 
     def age(self) -> None:
         if len(self.young) > REMEMBERED:
@@ -144,17 +175,16 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 def token_ids(docs: DataFrame, end_id: int = 2, vocabulary_path: str | None = None) -> DataFrame:
-    """doc_id, text_hash and ids (16 bits each) of every row."""
+    """part, doc_id and ids (16 bits each) of every row of docs (part, doc_id, text), in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (vocabulary_path, end_id)
         if key not in _ENCODERS:
             _ENCODERS[key] = WordEncoder(vocabulary_path, end_id)
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([field(batch, "doc_id"), field(batch, "text_hash"), pa.array(_ENCODERS[key].encode(field(batch, "text").to_pylist()), pa.binary())], names=["doc_id", "text_hash", "ids"])
+        for batch in pieces(batches, most=ENCODED):
+            yield pa.RecordBatch.from_arrays([field(batch, "part"), field(batch, "doc_id"), pa.array(_ENCODERS[key].encode(field(batch, "text")), pa.binary())], names=["part", "doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, ids binary")
+    return docs.select("part", "doc_id", "text").mapInArrow(run, "part int, doc_id long, ids binary")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -241,12 +271,11 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary_path: str | No
     spark = docs.sparkSession
     whole = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     parts = max(1, -(-whole // partition_bytes))
-    bounds = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = sorted({int(b) for b in bounds})  # one for each partition
-    limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    ids = token_ids(docs, end_id, vocabulary_path)
-    dealt = ids.withColumn("part", F.coalesce(F.size(F.filter(limits, lambda b: b <= F.col("doc_id"))), F.lit(0)))
-    dealt = cut(dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # ranges of ids, and of texts and rows of one id, so that no id's rows need fit in one task
+    rows = rows.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(parts, "doc_id", "text_hash", "row").sortWithinPartitions("doc_id", "text_hash", "row")
+    dealt = cut(token_ids(dealt.withColumn("part", F.spark_partition_id()), end_id, vocabulary_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}

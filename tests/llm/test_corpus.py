@@ -358,7 +358,7 @@ def word_library():
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="aÀÉzZ9.,'s<|>!\u0301\u0338\u0130 -=ßñ_×÷\u212a\u00b2\u2160d't", max_size=40)))
 def test_word_parts_give_the_ids_of_whole_texts(word_library, text):
     library, encoder = word_library
-    assert np.frombuffer(encoder.encode([text])[0], dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+    assert np.frombuffer(encoder.encode(pa.array([text]))[0], dtype="<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
 
 
 @settings(max_examples=60, deadline=None)
