@@ -17,7 +17,8 @@ contexts are grouped anew by the bytes that all its strings share; contexts alon
 With one offset left, the shared bytes are the whole string, and counting settles it.
 
 Anchors and fingerprints of contexts (61 bits modulo a prime and 64 bits of another hash) are compared as
-numbers across tasks; all that is sorted is verified byte by byte.
+numbers across tasks; all that is sorted, and the shared bytes of every group that is divided, are verified byte
+by byte, and hashed anew with another base after a collision.
 
 Results for special cases: null text is empty; texts shorter than `length` keep all bytes; repeats inside
 one document count, overlapping ones too; rows are told apart by doc_id and text, null ids included, so
@@ -44,7 +45,7 @@ MOST, TOGETHER = 4096, 16_384
 _VALUE = randoms(256, 21)
 _BASE = int(randoms(1, 22)[0]) | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_PRIME_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PRIME_POWERS: dict[int, list[np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,14 +57,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """As powers, modulo 2**61 - 1."""
-    p = int(PRIME)
-    for k, b in enumerate((BASES[0], pow(BASES[0], -1, p))):
-        while len(_PRIME_POWERS[k]) <= n:
-            step = np.uint64(pow(b, len(_PRIME_POWERS[k]), p))
-            _PRIME_POWERS[k] = np.concatenate([_PRIME_POWERS[k], times(_PRIME_POWERS[k], step)])
-    return _PRIME_POWERS[0], _PRIME_POWERS[1]
+def prime_powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """As powers, modulo 2**61 - 1 and for any base."""
+    p, known = int(PRIME), _PRIME_POWERS.setdefault(base, [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    for k, b in enumerate((base, pow(base, -1, p))):
+        while len(known[k]) <= n:
+            step = np.uint64(pow(b, len(known[k]), p))
+            known[k] = np.concatenate([known[k], times(known[k], step)])
+    return known[0], known[1]
 
 
 class Prefixes:
@@ -87,8 +88,8 @@ class Prefixes:
 class PrimePrefixes:
     """The same modulo 2**61 - 1."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = prime_powers(len(data))
+    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+        up, self.down = prime_powers(len(data), base)
         terms = times(up[: len(data)], data.astype(np.uint64) + np.uint64(1))
         low, high = np.cumsum(terms & np.uint64(0xFFFFFFFF)), np.cumsum(terms >> np.uint64(32))
         high = fold(high)
@@ -178,10 +179,16 @@ def contexts(wanted: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     half = length // 2
     fields = ["inner", "n", "o1", "o2", "weight"]
     lists = wanted.groupBy(F.col("kid").alias("k1"), F.col("kth").alias("k2")).agg(F.collect_list(F.struct("place", *fields)).alias("wants"))  # anchors of one text
-    both = rows.join(lists, (F.col("kid") == F.col("k1")) & (F.col("kth") == F.col("k2"))).select("text", "wants")
+    both = rows.join(lists, (F.col("kid") == F.col("k1")) & (F.col("kth") == F.col("k2"))).select("kid", "kth", "text", "wants")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # equal rows have equal contexts: a task gives those of one of them
         for batch in pieces(batches):
+            keys = list(zip(field(batch, "kid").to_pylist(), field(batch, "kth").to_pylist(), strict=True))
+            new = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if not new:
+                continue
+            batch = batch.take(pa.array(new)) if len(new) < len(keys) else batch
             data, offsets = string_bytes(field(batch, "text"))
             wants = field(batch, "wants")
             flat = wants.flatten()
@@ -208,8 +215,8 @@ def _around(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), ends[:-1] + left, ends[1:] - ends[:-1] - left
 
 
-def halved(items: DataFrame, length: int) -> DataFrame:
-    """items (low, high, o1, o2, weight, around, left) with both halves of their offsets, and key, the hash of the bytes that the strings of a half share."""
+def halved(items: DataFrame, length: int, base: int) -> DataFrame:
+    """items (low, high, o1, o2, weight, around, left) with both halves of their offsets, and key, the hash of the bytes that the strings of a half share; these begin at `begin` in around and are `size`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "around"):
@@ -217,7 +224,7 @@ def halved(items: DataFrame, length: int) -> DataFrame:
             left = field(batch, "left").to_numpy().astype(np.int64)
             low, high = field(batch, "low").to_numpy().astype(np.int64), field(batch, "high").to_numpy().astype(np.int64)
             middle = (low + high) // 2
-            prefixes = PrimePrefixes(data)
+            prefixes = PrimePrefixes(data, base)
             for a, b in ((low, middle), (middle + 1, high)):
                 use = (a <= b) & (np.maximum(a, length - right) <= np.minimum(b, left))  # some of the strings exist
                 which = np.flatnonzero(use)
@@ -225,9 +232,22 @@ def halved(items: DataFrame, length: int) -> DataFrame:
                 at = anchor[which]
                 key = mix(prefixes.of(at - a, at + length - b) + (a * (length + 1) + b).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
                 part = batch.take(pa.array(which))
-                yield pa.RecordBatch.from_arrays([signed(key), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(field(part, f) for f in ("o1", "o2", "weight", "around", "left"))], names=["key", "low", "high", "o1", "o2", "weight", "around", "left"])
+                yield pa.RecordBatch.from_arrays([signed(key), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(field(part, f) for f in ("o1", "o2", "weight", "around", "left")), pa.array((left[which] - a).astype(np.int32)), pa.array((a + length - b).astype(np.int32))], names=["key", "low", "high", "o1", "o2", "weight", "around", "left", "begin", "size"])
+
+    return items.mapInArrow(run, "key long, low int, high int, o1 long, o2 long, weight long, around binary, left int, begin int, size int")
+
 
-    return items.mapInArrow(run, "key long, low int, high int, o1 long, o2 long, weight long, around binary, left int")
+def grouped(large: DataFrame, length: int, bases: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(halved items, k and n of their keys with several), where rows of a key share their bytes: compared byte by byte, and keyed anew with another base after a collision."""
+    shared = F.substring("around", F.col("begin") + 1, F.col("size"))
+    for base in bases:
+        parts = stored(halved(large, length, base))
+        counts = parts.withColumn("s", shared).groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), F.min("s").alias("least"), F.max("s").alias("most")).where("n > 1")
+        counts = stored(counts.select("k", "n", (F.col("least") == F.col("most")).alias("alike")))
+        if counts.where("not alike").isEmpty():
+            return parts, counts.select("k", "n")
+        forget(parts, counts)
+    raise ArithmeticError("hash collisions with every base")
 
 
 def repeated_offsets(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +317,7 @@ def sorted_out(items: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "o1 long, o2 long, first int, last int")
 
 
-def repeated_ranges(found: DataFrame, length: int, most: int) -> DataFrame:
+def repeated_ranges(found: DataFrame, length: int, most: int, bases: list[int] = BASES) -> DataFrame:
     """o1, o2, first, last: smallest and largest repeated offset of the contexts that have one."""
     columns = ["key", "low", "high", "o1", "o2", "weight", "around", "left"]
     items = found.select(F.col("inner").alias("key"), "n", F.lit(0).alias("low"), F.lit(length // 2).alias("high"), *columns[3:])
@@ -308,10 +328,9 @@ def repeated_ranges(found: DataFrame, length: int, most: int) -> DataFrame:
         # equal texts under one id bring a context twice, which is no repetition of its own
         whole = large.where("low = high").select("o1", "o2", F.col("low").alias("first"), F.col("high").alias("last"))
         out.append(stored(whole.distinct()))
-        parts = stored(halved(large.where("low < high").dropDuplicates(["key", "o1", "o2"]).select(columns[1:]), length))
+        parts, counts = grouped(large.where("low < high").dropDuplicates(["key", "o1", "o2"]).select(columns[1:]), length, bases)
         forget(*scratch)
         scratch = [parts]
-        counts = parts.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
         if counts.isEmpty():
             forget(parts)
             break
@@ -341,6 +360,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     settled = stored(settled)
     forget(found, kinds)
     spans = alive.join(settled, (F.col("o1") == F.col("c1")) & (F.col("o2") == F.col("c2")))
+    spans = spans.dropDuplicates(["kid", "kth", "o1", "o2"])  # equal rows have equal spans
     spans = spans.groupBy(F.col("kid").alias("k1"), F.col("kth").alias("k2")).agg(F.collect_list(F.struct("places", "first", "last")).alias("spans"))  # of one text
     both = rows.join(spans, (F.col("kid") == F.col("k1")) & (F.col("kth") == F.col("k2")), "left").select("doc_id", "text", "spans")
 

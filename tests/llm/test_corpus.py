@@ -84,6 +84,32 @@ def test_repeats_in_groups_too_large_for_a_task(spark, most):
         assert repeats_rows(frame(spark, list(enumerate(texts))), length=length, most=most) == sorted(((i, *w) for i, w in enumerate(want)), key=str)
 
 
+def test_collisions_in_large_groups_are_caught(spark, monkeypatch):
+    texts = [prose(40 + i % 7, 4)[i % 12 :] + prose(31, 12) + prose(60 + i % 5, 4)[: i % 20] for i in range(60)]
+    want = sorted(((i, *w) for i, w in enumerate(removed_by_hand(texts, 20))), key=str)
+    monkeypatch.setattr(repeats.repeated_ranges, "__defaults__", ([1, suffixes.BASES[1]],))  # with base 1 a hash is the sum of its bytes
+    assert repeats_rows(frame(spark, list(enumerate(texts))), length=20, most=3) == want
+    monkeypatch.setattr(repeats.repeated_ranges, "__defaults__", ([1],))
+    with pytest.raises(ArithmeticError):
+        repeats_rows(frame(spark, list(enumerate(texts))), length=20, most=3)
+
+
+def test_many_equal_rows_take_no_longer_than_others(spark):
+    passage = prose(77, 60)
+    rows = lambda n, one: frame(spark, [(1 if one else i, passage if one else prose(1000 + i, 60)) for i in range(n)])
+
+    def seconds(df):
+        began = time.perf_counter()
+        got = repeats_rows(df.repartition(4))
+        return time.perf_counter() - began, got
+
+    seconds(rows(50, True))
+    equal, got = seconds(rows(3000, True))
+    assert {r[1:4] for r in got} == {(len(passage), len(passage), 1)} and len(got) == 3000
+    apart, other = seconds(rows(3000, False))
+    assert {r[2] for r in other} == {0} and equal < 2 * apart + 5
+
+
 def test_repeats_in_a_very_long_text(spark):
     piece = "".join(np.random.default_rng(9).choice(list("abcdefghij "), size=5_000_000))
     rows = repeats_rows(frame(spark, [(1, piece), (2, "x" + piece[1_000_000:1_000_300] + "y")]))
