@@ -1,13 +1,15 @@
 """Secret scanning: fixed patterns, and a token-efficiency test for random strings.
 
 A tokenizer trained on ordinary text spells words with few tokens and random strings with many, so a
-low number of characters per token exposes keys and passwords.  Candidates are runs of 20 or more key
-characters that mix letters and digits; known digests (hexadecimal of a digest's length, UUIDs) and
-identifiers (parts that are each words or numbers) are left out.
+low number of characters per token exposes keys and passwords.  Candidates are runs of 16 or more key
+characters.  Known digests are left out: strings that are given as known, UUIDs, and hexadecimal of a digest's
+length behind a word that announces one (`sha256:`, `commit`).  So are identifiers: runs whose parts are each
+words or numbers.  The ratio judges all the rest, letters alone and short runs more strictly (LIMITS); a single long
+word of one case, which an identifier may be, counts as random only below the strictest of them.
 
 Results for special cases: null or empty text has no spans; spans are in code points, end exclusive;
-equal spans of different kinds are all listed.  A random span that a fixed pattern's span contains is
-not listed again.
+equal spans of different kinds are all listed, at one start in the order of KINDS.  A random span that a fixed pattern's
+span contains is not listed again.  Equal rows each have their spans; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,10 +32,15 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Each text that has a span matches one of these; RE2 runs them over whole Arrow columns.
-_SIEVE = (r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}", r"[A-Za-z0-9+/_=-]{20}")
+_SIEVE = (r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}", r"[A-Za-z0-9+/_=-]{16}")
 _DIGEST = re.compile(r"([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
+#: Words that announce a digest, and what may stand between; looked for in the ANNOUNCED characters before a run, or inside it ("sha256-...").
+_ANNOUNCED = re.compile(r"(?:sha-?\d{1,3}|md5|commit|revision|checksum|digest|fingerprint|etag)[\"']?[\s:=(]{1,4}[\"']?$", re.IGNORECASE)
+ANNOUNCED = 24
+#: Characters per token below which a run is random: letters and digits, the same in under SHORT characters, letters alone, and one word of one case.
+LIMITS, SHORT = {"mixed": 2.5, "short": 2.0, "letters": 2.0, "word": 1.4}, 20
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Every part is matched in one way only and never given back, so that the time is linear in the run's length.
 _PART = r"(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+\d{0,4}+|[A-Z]++\d{0,4}+|\d++)"
@@ -61,19 +69,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]], ratio: float, path: str | None = None) -> list[tuple[int, int, int]]:
-    """Spans of runs with fewer than `ratio` characters per token."""
+def kind_of_run(run: str) -> str | None:
+    """The key in LIMITS that judges a run; None for what is never random: numbers, and identifiers of several parts or of under SHORT characters."""
+    if not any(map(str.isalpha, run)):
+        return None
+    if _IDENTIFIER.fullmatch(run):
+        one = run.isalpha() and (run.islower() or run.isupper())
+        return "word" if one and len(run) >= SHORT else None
+    if not any(map(str.isdigit, run)):
+        return "letters"
+    return "mixed" if len(run) >= SHORT else "short"
+
+
+def known_digest(text: str, start: int, run: str, known: frozenset[str]) -> bool:
+    """Whether a run is a digest that somebody announces or knows."""
+    return run in known or _UUID.fullmatch(run) is not None or (_DIGEST.fullmatch(run) is not None and _ANNOUNCED.search(text[max(0, start - ANNOUNCED) : start]) is not None)
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]], limits: dict[str, float], path: str | None = None, known: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
+    """Spans of runs with fewer characters per token than their limit."""
     out = []
+    of = [[(s, e) for s, k, e in base if k == kind] for kind in range(3)]  # those of one kind don't overlap
     for m in _RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not (any(c.isalpha() for c in run) and any(c.isdigit() for c in run)):
-            continue
-        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or len(set(run)) < 8 or _IDENTIFIER.fullmatch(run):
+        run, start, end = m[0], m.start(), m.end()
+        kind = kind_of_run(run)
+        if kind is None or known_digest(text, start, run, known):
             continue
-        if any(s <= m.start() and m.end() <= e for s, _, e in base):
+        before = [spans[i - 1] for spans in of if (i := bisect_right(spans, (start, len(text) + 1)))]
+        if any(end <= e for _, e in before):
             continue
-        if len(run) < ratio * len(encoder(path).encode_ordinary(run)):
-            out.append((m.start(), 3, m.end()))
+        if len(run) < limits[kind] * len(encoder(path).encode_ordinary(run)):
+            out.append((start, 3, end))
     return out
 
 
@@ -95,8 +121,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def scanned(docs: DataFrame, ratio: float = 2.5, mark: str = "[SECRET]", vocabulary_path: str | None = None, redact: bool = False) -> DataFrame:
-    """The columns of docs plus n_assign, n_access, n_hex, n_random, base_sha256 and spans; with redact, text has marks for secrets."""
+def scanned(docs: DataFrame, limits: dict[str, float] = LIMITS, mark: str = "[SECRET]", vocabulary_path: str | None = None, redact: bool = False, known: frozenset[str] = frozenset()) -> DataFrame:
+    """The columns of docs plus n_assign, n_access, n_hex, n_random, base_sha256 and spans; with redact, text has marks for secrets.
+
+    known: digests and keys that are no secrets, a list of bounded size that goes to every task.
+    """
     added = {"n_assign": "long", "n_access": "long", "n_hex": "long", "n_random": "long", "base_sha256": "string", "spans": "string"}
     docs = docs.drop(*added)
     names, none = docs.columns, hashlib.sha256(b"").hexdigest()
@@ -111,7 +140,7 @@ def scanned(docs: DataFrame, ratio: float = 2.5, mark: str = "[SECRET]", vocabul
             for i, may in enumerate(maybe):
                 if may and (t := text[i].as_py()):
                     base = base_spans(t)
-                    more = random_spans(t, base, ratio, vocabulary_path)
+                    more = random_spans(t, base, limits, vocabulary_path, known)
                     n = [sum(k == j for _, k, _ in base) for j in range(3)]
                     rows[i] = (*n, len(more), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more)))
                     if redact and (base or more):
