@@ -122,11 +122,11 @@ def read_or_empty(spark, d):
     return tables.read_or_empty(spark, lambda: s25(spark, d), schema).unionByName(lost).agg(F.count("*").alias("N"))
 
 
-@query("a15_upsert", f"""WITH {sql.BASE}, {sql.VECTORS}, new AS (SELECT PATIENT_ID, PROTOCOL_ID, PPF + 1 AS PPF FROM fits WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID IN (0, 1))) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF FROM new UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) FROM fits WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID = 2)""")
+@query("a15_upsert", f"""WITH {sql.BASE}, {sql.VECTORS}, new AS (SELECT PATIENT_ID, PROTOCOL_ID, PPF + 1 AS PPF FROM fits WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID IN (0, 1))) SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF FROM new UNION ALL SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) FROM fits WHERE PATIENT_ID NOT IN (SELECT PATIENT_ID FROM new)""")
 def upsert(spark, d):
     f = fits(spark, d).drop("CONTRIB")
     new = f.join(of_studies(spark, d, 0, 1), "PATIENT_ID", "left_semi").withColumn("PPF", F.col("PPF") + 1)
-    return rounded(sinks.upserted(f.join(of_studies(spark, d, 1, 2), "PATIENT_ID", "left_semi"), new), "PPF")
+    return rounded(sinks.upserted(f, new), "PPF")
 
 
 @query("a17_staging", f"""WITH {sql.BASE}, {sql.weeks("s25")}, j AS (SELECT PATIENT_ID, PROTOCOL_ID, WEEKS_SINCE_START, DAYS, st FROM us LEFT JOIN wu USING (PATIENT_ID, PROTOCOL_ID) JOIN wk USING (PATIENT_ID))
@@ -201,9 +201,13 @@ def as_dates(spark, d):
     return e.select("event_id", dates.as_date(F.col("ts")).alias("D"), dates.as_date(F.concat(F.lit("x"), F.col("event_type"), F.lit("xxxxxxxxx"))).alias("BAD"))
 
 
-@query("b11_missing_scales", "SELECT 'MoCA.Recall' AS SCALE FROM customer GROUP BY 1")
+@query("b11_missing_scales", "WITH c AS (SELECT 'Nation.' || c_nationkey AS SCALE FROM customer WHERE c_custkey % 7 >= 3 UNION ALL SELECT 'MoCA.Attention' FROM customer) SELECT SCALE FROM (SELECT unnest(list_transform(range(30), lambda i: 'Nation.' || i)) AS SCALE UNION ALL SELECT unnest(['MoCA.Attention', 'MoCA.Recall'])) WHERE SCALE NOT IN (SELECT SCALE FROM c)")
 def missing_scales(spark, d):
-    return fit.missing_scales(subscale_scan(spark, d), ["MoCA.Attention", "MoCA.Naming", "MoCA.Recall"])
+    """Required scales that no document has; a patient with a high score for attention has one named after the nation as well."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("PATIENT_ID"), "c_nationkey", (F.col("c_custkey") % 7).alias("k"))
+    nation = F.when(F.col("k") >= 3, F.concat(F.lit(',"Nation":{"'), "c_nationkey", F.lit('":1}'))).otherwise("")
+    documents = c.select("PATIENT_ID", F.concat(F.lit('[{"MoCA":{"Attention":'), "k", F.lit("}"), nation, F.lit("}]")).alias("CLINICAL_SCORES"))
+    return fit.missing_scales(clinical.last_evaluation(documents, "CLINICAL_SCORES", ["PATIENT_ID"]), [*(f"Nation.{i}" for i in range(30)), "MoCA.Attention", "MoCA.Recall"])
 
 
 @query("b12_aliases", "WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS PATIENT_ID, c_custkey + 2 AS n FROM customer) SELECT PATIENT_ID, 'MOCA_ATTENTION' AS SCALE, CAST(n % 7 AS DOUBLE) AS SCORE FROM c UNION ALL SELECT PATIENT_ID, 'MOCA_NAMING', CAST(n % 4 AS DOUBLE) FROM c UNION ALL SELECT PATIENT_ID, 'ARAT_GRASP', CAST(n % 16 AS DOUBLE) FROM c")
@@ -220,10 +224,10 @@ def expected_not_performed(spark, d):
     return sessions.with_missing_sessions(s, day()).where("event_id is null").select("PRESCRIPTION_ID", "SESSION_DATE")
 
 
-@query("c07_audited_join", f"WITH {sql.BASE}, {sql.VECTORS}, u AS (SELECT PATIENT_ID, PROTOCOL_ID, count(*) AS n FROM s25 WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID < 2) GROUP BY 1, 2), f AS (SELECT PATIENT_ID, PROTOCOL_ID, PPF FROM fits WHERE PROTOCOL_ID < 220) SELECT CASE WHEN n IS NOT NULL AND PPF IS NOT NULL THEN 'matched' WHEN n IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS \"MATCH\", count(*) AS N FROM u FULL JOIN f USING (PATIENT_ID, PROTOCOL_ID) GROUP BY 1")
+@query("c07_audited_join", f"WITH {sql.BASE}, {sql.VECTORS}, u AS (SELECT PATIENT_ID, PROTOCOL_ID, count(*) AS n FROM s25 WHERE SESSION_ID IS NOT NULL GROUP BY 1, 2) SELECT CASE WHEN n IS NOT NULL AND PPF IS NOT NULL THEN 'matched' WHEN n IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS \"MATCH\", count(*) AS N FROM u FULL JOIN fits USING (PATIENT_ID, PROTOCOL_ID) GROUP BY 1")
 def audited_join(spark, d):
-    used = s25(spark, d).join(of_studies(spark, d, 0, 1), "PATIENT_ID", "left_semi").groupBy(*BY_PP).count()
-    return quality.audited(used, fits(spark, d).where("PROTOCOL_ID < 220"), BY_PP).groupBy("MATCH").agg(F.count("*").alias("N"))
+    used = s25(spark, d).where("SESSION_ID is not null").groupBy(*BY_PP).count()
+    return quality.audited(used, fits(spark, d), BY_PP).groupBy("MATCH").agg(F.count("*").alias("N"))
 
 
 @query("c12_sessions_timeseries", f"WITH {sql.BASE} SELECT a.PATIENT_ID, count(*) AS N, round(sum(a.ADHERENCE * b.DM_VALUE), 6) AS S FROM s25 a JOIN s5 b ON a.PATIENT_ID = b.PATIENT_ID AND a.SESSION_ID = b.SESSION_ID GROUP BY 1")
@@ -1074,3 +1078,110 @@ def unit_rules(spark, d):
     ts = s5(spark, d).join(e, F.col("event_id") == F.col("e")).select("PATIENT_ID", "SESSION_ID", (F.col("PROTOCOL_ID") - 200).alias("PROTOCOL_ID"), (F.col("k") - 10).alias("SECONDS_FROM_START"))
     units = {"timeseries": ts, "ppf": fits(spark, d), "protocol_similarity": similarities(spark, d).withColumn("SIMILARITY", F.col("SIMILARITY") * 1.5), "scores": scores(spark, d)}
     return reduce(DataFrame.unionByName, [quality.rule_counts(quality.checked(df, quality.UNITS[u]), quality.UNITS[u]).withColumn("UNIT", F.lit(u)) for u, df in units.items()])
+
+
+# --- scans of stored tables ---------------------------------------------------------------------------
+
+
+def stored_tables(spark, d, kind, *names):
+    """A loader over a folder that holds the study's tables of these names, as Parquet or CSV."""
+    path = scratch_folder(spark, "study")
+    make = {
+        "sessions": lambda: s25(spark, d).select(*[F.col(f.name).cast(f.dataType) if f.name in study_columns else F.lit(None).cast(f.dataType).alias(f.name) for f in tables.SESSIONS.fields]),
+        "timeseries": lambda: s5(spark, d).select("PATIENT_ID", "SESSION_ID", "PROTOCOL_ID", F.lit("app").alias("GAME_MODE"), (F.col("WEEKDAY_INDEX") * 10).alias("SECONDS_FROM_START"), F.lit("speed").alias("DM_KEY"), "DM_VALUE", F.lit("hits").alias("PE_KEY"), F.col("ADHERENCE").alias("PE_VALUE")),
+        "patient": lambda: study_views.patients(spark, d).join(study_views.clinical_json(spark, d), "PATIENT_ID", "left"),
+        "ppf": lambda: fits(spark, d),
+        "protocol_similarity": lambda: similarities(spark, d),
+        "protocol_attributes": lambda: attributes(spark, d),
+    }
+    study_columns = set(s25(spark, d).columns)
+    for name in names:
+        df = make[name]()
+        (sinks.flat(df) if kind == "csv" else df).write.format(kind).option("header", "true").save(f"{path}/{name}.{kind}")
+    return tables.FileLoader(spark, path, kind)
+
+
+_OF_STUDY_2 = "PATIENT_ID IN (SELECT PATIENT_ID FROM stud WHERE STUDY_ID = 2)"
+
+
+@query("a02_timeseries_scan", f"WITH {sql.BASE} SELECT PATIENT_ID, SESSION_ID, PROTOCOL_ID, CAST(WEEKDAY_INDEX * 10 AS INT) AS SECONDS_FROM_START, round(DM_VALUE, 6) AS DM_VALUE, round(ADHERENCE, 6) AS PE_VALUE FROM s5 WHERE {_OF_STUDY_2}")
+def timeseries_scan(spark, d):
+    rows = stored_tables(spark, d, "parquet", "timeseries").timeseries(of_studies(spark, d, 2))
+    return rounded(rows.select("PATIENT_ID", "SESSION_ID", "PROTOCOL_ID", "SECONDS_FROM_START", "DM_VALUE", "PE_VALUE"), "DM_VALUE", "PE_VALUE")
+
+
+@query("a03_patient_scan", f"WITH {sql.BASE} SELECT PATIENT_ID, CLINICAL_TRIAL_START_DATE, CLINICAL_TRIAL_END_DATE, CAST(c_custkey IS NOT NULL AS INT) AS DOCUMENTS FROM pat LEFT JOIN customer ON c_custkey = PATIENT_ID WHERE {_OF_STUDY_2}")
+def patient_scan(spark, d):
+    rows = stored_tables(spark, d, "parquet", "patient").patients(of_studies(spark, d, 2))
+    return rows.select("PATIENT_ID", "CLINICAL_TRIAL_START_DATE", "CLINICAL_TRIAL_END_DATE", F.col("CLINICAL_SCORES").isNotNull().cast("int").alias("DOCUMENTS"))
+
+
+@query("a06_csv_sessions", f"WITH {sql.BASE} SELECT PATIENT_ID, PROTOCOL_ID, PRESCRIPTION_ID, SESSION_ID, SESSION_DATE, WEEKDAY_INDEX, STATUS, round(ADHERENCE, 6) AS ADHERENCE, round(DM_VALUE, 6) AS DM_VALUE FROM s25 WHERE {_OF_STUDY_2}")
+def csv_sessions(spark, d):
+    rows = stored_tables(spark, d, "csv", "sessions").sessions(of_studies(spark, d, 2))
+    return rounded(rows.select(*BY_PP, "PRESCRIPTION_ID", "SESSION_ID", "SESSION_DATE", "WEEKDAY_INDEX", "STATUS", "ADHERENCE", "DM_VALUE"), "ADHERENCE", "DM_VALUE")
+
+
+@query("a07_csv_fits", f"WITH {sql.BASE}, {sql.VECTORS} SELECT PATIENT_ID, PROTOCOL_ID, round(PPF, 6) AS PPF, 64 AS PARTS FROM fits WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM pat)")
+def csv_fits(spark, d):
+    rows = stored_tables(spark, d, "csv", "ppf").fits(study_views.patients(spark, d))
+    return rounded(rows.select(*BY_PP, "PPF", F.size("CONTRIB").alias("PARTS")), "PPF")
+
+
+@query("a08_csv_similarity", f"WITH {sql.SIMILARITY} SELECT PROTOCOL_A, PROTOCOL_B, round(SIMILARITY, 6) AS SIMILARITY FROM sim")
+def csv_similarity(spark, d):
+    return rounded(stored_tables(spark, d, "csv", "protocol_similarity").similarity(), "SIMILARITY")
+
+
+@query("a10_stored_similarity", f"WITH {sql.SIMILARITY} SELECT PROTOCOL_A, PROTOCOL_B, round(SIMILARITY, 6) AS SIMILARITY FROM sim")
+def stored_similarity(spark, d):
+    return rounded(stored_tables(spark, d, "parquet", "protocol_similarity").similarity(), "SIMILARITY")
+
+
+@query("a11_attribute_scan", "WITH v AS (SELECT CAST(vec_id + 200 AS BIGINT) AS PROTOCOL_ID, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 25) " + " UNION ALL ".join(f"SELECT PROTOCOL_ID, '{a}' AS FEATURE, round(abs(v[{i + 1}]), 6) AS VALUE FROM v WHERE abs(v[{i + 21}]) > 0.02" for i, a in enumerate(_ATTRIBUTES)))
+def attribute_scan(spark, d):
+    """Attributes of the folder, as no path is given; there is a default that isn't read."""
+    wide = stored_tables(spark, d, "csv", "protocol_attributes").attributes(default=f"{d}/no_such_table.parquet")
+    names = [c for c in wide.columns if c != "PROTOCOL_ID"]
+    long = wide.select(F.col("PROTOCOL_ID").cast("bigint").alias("PROTOCOL_ID"), *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["PROTOCOL_ID"], names, "FEATURE", "VALUE").na.drop()
+    return rounded(long, "VALUE")
+
+
+@query("a12_wide_subscales", "SELECT CAST(c_custkey AS BIGINT) AS PATIENT_ID, 'FM_A' AS SCALE, CAST(c_custkey % 37 AS DOUBLE) AS SCORE FROM customer UNION ALL SELECT CAST(c_custkey AS BIGINT), 'MoCA.Naming', CAST(c_nationkey % 4 AS DOUBLE) FROM customer WHERE c_nationkey % 5 <> 0")
+def wide_subscales(spark, d):
+    path = scratch_folder(spark, "subscales")
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    rows = c.select((F.col("c_nationkey") % 3).alias("STUDY_ID"), F.col("c_custkey").cast("bigint").alias("PATIENT_ID"), (F.col("c_custkey") % 37).alias("FM_A"), F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey") % 4).alias("MoCA.Naming"))
+    sinks.write_csv(rows, f"{path}/subscales.csv")
+    return tables.FileLoader(spark, path, "csv").wide_subscales().withColumn("PATIENT_ID", F.col("PATIENT_ID").cast("bigint"))
+
+
+@query("a16_similarity_csv", f"WITH {sql.SIMILARITY} SELECT CAST(count(*) AS BIGINT) AS N, 'PROTOCOL_A,PROTOCOL_B,SIMILARITY' AS HEADER, round(sum(SIMILARITY), 6) AS TOTAL FROM sim")
+def similarity_csv(spark, d):
+    """The similarity table as CSV: its rows, header and sum, read as text and as numbers."""
+    path = scratch_folder(spark, "similarity")
+    sinks.write_csv(similarities(spark, d), path)
+    head = spark.read.text(path).where("value like 'PROTOCOL_A%'").agg(F.max("value").alias("HEADER"))
+    rows = spark.read.schema(tables.SIMILARITY).csv(path, header=True)
+    return rounded(rows.agg(F.count("*").alias("N"), F.sum("SIMILARITY").alias("TOTAL")).join(head), "TOTAL")
+
+
+@query("b13_casts", f"WITH {sql.BASE} SELECT event_id, SESSION_DATE, round(ADHERENCE, 6) AS ADHERENCE, WEEKDAY_INDEX FROM s25")
+def casts(spark, d):
+    """Columns read as text and cast with errors."""
+    text_ = s25(spark, d).select(*[F.col(c).cast("string").alias(c) for c in ("event_id", "SESSION_DATE", "ADHERENCE", "WEEKDAY_INDEX")])
+    return rounded(text_.select(*tables.parsed({"event_id": "bigint", "SESSION_DATE": "date", "ADHERENCE": "double", "WEEKDAY_INDEX": "int"})), "ADHERENCE")
+
+
+@query("l01_own_parts", f"WITH {sql.SCORES} SELECT PATIENT_ID, PROTOCOL_ID, round(coalesce(PPF, 0) * 2 + CASE WHEN USAGE > 0 THEN 1 ELSE 0 END, 6) AS SCORE FROM sc")
+def own_parts(spark, d):
+    """A score table with a scorer of one's own."""
+    own = lambda table, weights: table.withColumn("SCORE", F.coalesce("PPF", F.lit(0.0)) * 2 + F.when(F.col("USAGE") > 0, 1).otherwise(0))
+    rows = study.score_table(fits(spark, d), s25(spark, d).drop("event_id"), study_views.patients(spark, d), day(), score=own)
+    return rounded(rows.select(*BY_PP, "SCORE"), "SCORE")
+
+
+@query("l02_weights", f"WITH {sql.SCORES} SELECT PATIENT_ID, PROTOCOL_ID, round(0.5 * coalesce(ADHERENCE_RECENT, 0) + 2 * coalesce(DELTA_DM, 0) + 0.25 * coalesce(PPF, 0), 6) AS SCORE FROM sc")
+def other_weights(spark, d):
+    rows = study.score_table(fits(spark, d), s25(spark, d).drop("event_id"), study_views.patients(spark, d), day(), weights=(0.5, 2.0, 0.25))
+    return rounded(rows.select(*BY_PP, "SCORE"), "SCORE")
