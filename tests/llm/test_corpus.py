@@ -871,3 +871,54 @@ def test_pipeline_stages(spark, tmp_path):
         none = stage(spark, none, str(tmp_path))
     assert none.isEmpty()
     assert len(pipeline.STAGES) == 5 and json.dumps([n for n, _ in pipeline.STAGES])
+
+
+def coverage_by_hand(item, text, seed=5):
+    a, b = (re.findall(r"[^\W_]+", t.lower()) for t in (item, text))
+    least = min(seed, len(a))
+    return tiles_by_hand(a, b, least) / len(a) if a and least else 0.0
+
+
+def redacted_by_hand(text):
+    base = base_by_hand(text)
+    spans = [(s, e) for s, k, e in base if not (k == 2 and e - s in (32, 40, 56, 64, 96, 128))]
+    spans += [(s, e) for s, _, e in secrets.random_spans(text, base, secrets.LIMITS)]
+    gone = [any(s <= i < e for s, e in spans) for i in range(len(text))]
+    return "".join("[SECRET]" if g and not (i and gone[i - 1] and not any(s == i for s, _ in spans)) else "" if g else c for i, (c, g) in enumerate(zip(text, gone, strict=True)))
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, tiktoken_encoding):
+    """Each stage's decisions on documents of every kind, from what its predecessor kept, against plain Python."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 3 = 0 and length(text) < 6000").collect()
+    items = [prose(1700 + i, 20) for i in range(6)]
+    draw = np.random.default_rng(12)
+    rows = [tuple(r) for r in source]
+    base = prose(1500, 140)
+    rows += [(9000 + i, edited(base, [7 * i + 3, 31 * i + 50][: i % 3]), "en", "x", 0) for i in range(6)]
+    for i in range(12):  # shares of an item from none to all, halves turned round
+        words = items[i % 6].split()
+        part = words[: int(draw.integers(0, len(words) + 1))]
+        part = part[len(part) // 2 :] + ["und"] + part[: len(part) // 2] if i % 2 else part
+        rows.append((9100 + i, f"{prose(1600 + i, 30)} {' '.join(part)} {prose(1650 + i, 30)}", "en", "x", 0))
+    rows += [(9200 + i, f"{prose(1800 + i, 30)} {t} {prose(1850 + i, 10)}", "en", "x", 0) for i, t in enumerate(['password: "hunter22secret"', "AKIA" + "Q7" * 9, "key " + "0a1b" * 8, "id " + "0a1b" * 7, "k9Xv2QpL7mZr4TnB8wYc1HdF", "nothing"])]
+    rows += [(9300, "1234 5678", "en", "x", 0), (9301, None, "en", "x", 0)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    own, kept = {r[0]: r[1] for r in rows}, []
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), schema)
+        kept.append({r.doc_id: r.text for r in docs.collect()})
+    language, near, clean, redacted = kept
+    assert not {i for i in language if not re.search(r"[^\W\d_]", own[i] or "")} and len(language) > 0.9 * len(rows)
+    groups = classes_by_hand([(i, language[i]) for i in language], 5, 80)
+    assert set(near) == {i for i, (_, _, first) in groups.items() if first}
+    assert set(clean) == {i for i, t in near.items() if all(coverage_by_hand(item, t) < 0.5 for item in items)}
+    assert {9100 + i for i in range(12)} & set(near) - set(clean)
+    assert redacted == {i: redacted_by_hand(t) for i, t in clean.items()} and sum(redacted[i] != clean[i] for i in clean) >= 4
+    for r in pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect():
+        ids = tiktoken_encoding.encode_ordinary(redacted[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(redacted[r.doc_id].encode()).hexdigest()
