@@ -8,8 +8,9 @@ share of the item's words that is marked is its coverage; order does not matter,
 are caught.  A document is contaminated if an item's coverage reaches the threshold.
 
 The benchmark is read in blocks of at most `block_bytes` of text; each block is broadcast and all
-documents are compared with it, so a benchmark of any size is compared whole.  With several blocks, what
-one has found is written before the next is loaded.
+documents are compared with it, so a benchmark of any size is compared whole.  With several blocks, only the
+texts that a block covers in part are written, by digest, before the next block is loaded; the best of all blocks
+are joined to the documents once.
 
 Results for special cases: null or empty text has coverage 0; an item without words never matches; an
 item of fewer than `seed` words matches as a whole only; an empty benchmark leaves all clean; ties
@@ -20,6 +21,7 @@ lower-cased.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 from itertools import groupby
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restora.llm.graph import forget, stored
+from restora.llm.graph import keyed_join, stored
 from restora.llm.textkit import Words, field, pieces, string_bytes
 
 _PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E687 % ((1 << 61) - 1)
@@ -145,47 +147,70 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[int | None, str]]]]:
-    """The benchmark's rows in hashed blocks of about block_bytes of text at most, and whether there is one block only."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[DataFrame]:
+    """The benchmark's rows in hashed blocks of about block_bytes of text at most."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes))
     for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield blocks == 1, [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]  # one block
+        yield rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+
+
+def _rows_of(block: DataFrame) -> list[tuple[int | None, str]]:
+    return [(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()]  # one block
 
 
 def covered(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
     """The columns of docs plus coverage (largest of any item), item_id (its item) and contaminated; clashing names are replaced."""
     docs = docs.drop("coverage", "item_id", "contaminated")
-    names = docs.columns
-    out = docs.withColumns({"coverage": F.lit(0.0), "item_id": F.lit(None).cast("long")})
-    before = None
-    for only, rows in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most a block
+    names, blocks = docs.columns, list(_blocks(benchmark, block_bytes))
+    schema = T.StructType([*docs.schema.fields, T.StructField("coverage", T.DoubleType()), T.StructField("item_id", T.LongType())])
+    if len(blocks) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(_rows_of(blocks[0]))  # at most a block
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, seed)
             for batch in pieces(batches):
-                best, item = field(batch, "coverage").to_pylist(), field(batch, "item_id").to_pylist()
+                best = [(0.0, None)] * batch.num_rows
                 for row, found in items.coverages(field(batch, "text")).items():
-                    for c, i in found:
-                        if (-c, i is None, i or 0) < (-best[row], item[row] is None, item[row] or 0):
-                            best[row], item[row] = c, i
+                    best[row] = min([*found, best[row]], key=_order)
                 columns = [field(batch, n) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.float64()), pa.array(item, pa.int64())], names=[*names, "coverage", "item_id"])
-
-        schema = T.StructType([*docs.schema.fields, T.StructField("coverage", T.DoubleType()), T.StructField("item_id", T.LongType())])
-        out = out.mapInArrow(run, schema)
-        if not only:  # one block at a time is in memory
-            out = stored(out)
-            shared.unpersist()
-            if before is not None:
-                forget(before)
-            before = out
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([c for c, _ in best], pa.float64()), pa.array([i for _, i in best], pa.int64())], names=[*names, "coverage", "item_id"])
+
+        out = docs.mapInArrow(run, schema)
+    else:
+        text, key = F.col("text").cast("string"), "__text_" + "_" * max(map(len, names))  # a name that docs doesn't have
+        hits = reduce(DataFrame.unionByName, [_hits(docs.select(text.alias("text")), block, seed) for block in blocks])
+        order = F.struct((-F.col("coverage")).alias("less"), F.col("item_id").isNull().alias("unnamed"), F.col("item_id"))
+        best = hits.groupBy("text_key").agg(F.min(order).alias("best")).select(F.col("text_key").alias(key + "_"), (-F.col("best.less")).alias("coverage"), F.col("best.item_id").alias("item_id"))
+        out = keyed_join(docs.withColumn(key, F.sha2(text, 256)), best, key, key + "_", "left")
+        out = out.select(*[F.col(f"`{n}`") for n in names], F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "item_id")
     return out.withColumn("contaminated", F.col("coverage") >= threshold)
 
 
+def _order(found: tuple[float, int | None]) -> tuple:
+    """The largest coverage first, then the smallest item_id, null last."""
+    return -found[0], found[1] is None, found[1] or 0
+
+
+def _hits(texts: DataFrame, block: DataFrame, seed: int) -> DataFrame:
+    """text_key (a digest), coverage and item_id of the texts that one block covers in part; written, so that one block at a time is in memory."""
+    shared = texts.sparkSession.sparkContext.broadcast(_rows_of(block))  # at most a block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shared.value, seed)
+        for batch in pieces(batches):
+            found = [(row, *min(hits, key=_order)) for row, hits in items.coverages(field(batch, "text")).items()]
+            if found:
+                row, coverage, item = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([field(batch, "text").take(pa.array(row)), pa.array(coverage, pa.float64()), pa.array(item, pa.int64())], names=["text", "coverage", "item_id"])
+
+    hits = texts.mapInArrow(run, "text string, coverage double, item_id long")
+    out = stored(hits.select(F.sha2("text", 256).alias("text_key"), "coverage", "item_id"))
+    shared.unpersist()
+    return out
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, coverage and item_id of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -271,8 +271,11 @@ def test_contamination_in_long_and_repeated_rows_and_with_repeated_items(spark):
     leak, other = prose(801, 40), prose(802, 40)
     bench = spark.createDataFrame([(7, leak), (7, prose(803, 40)), (3, leak), (None, other), (9, None), (10, "")], "item_id bigint, text string")
     docs = frame(spark, [(1, prose(1, 30_000) + " " + leak), (1, prose(1, 30_000) + " " + leak), (None, "x " + other), (4, prose(4, 50)), (5, None)])
+    docs = docs.withColumns({"text_key": F.lit("own"), "a b": F.lit(1), "item_id": F.lit("mine")})
     for block in (4 << 20, 300):
-        got = sorted(((r.doc_id, r.contaminated, r.item_id) for r in decontaminate.covered(docs, bench, block_bytes=block).collect()), key=str)
+        out = decontaminate.covered(docs, bench, block_bytes=block)
+        assert out.columns == ["doc_id", "text", "text_key", "a b", "coverage", "item_id", "contaminated"]
+        got = sorted(((r.doc_id, r.contaminated, r.item_id) for r in out.collect()), key=str)
         assert got == sorted([(1, True, 3), (1, True, 3), (None, True, None), (4, False, None), (5, False, None)], key=str)
 
 
