@@ -118,6 +118,11 @@ class Versions:
             self.files.delete(f"{self.top}/{n}")
 
 
+def write_upsert(existing: DataFrame | None, new: DataFrame, path: str, keys: list[str] = BY_PP) -> None:
+    """Writes the merged table to a new path; Versions does this and points readers at it as well."""
+    upserted(existing, new, keys).write.parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
