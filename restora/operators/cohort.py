@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from restora.constants import BY_PP
 from restora.functions.hashing import FACTORS
@@ -314,23 +315,123 @@ RATES, STEEPNESS, MIDDLES = [2.0 ** (k / 2) for k in range(-6, 12)], [2.0 ** (k
 
 
 def _series(df: DataFrame, keys: list[str], y: str, index: str) -> DataFrame:
-    """keys, XS and YS of each series, in order of index, and its SPAN; a series is as long as a patient's sessions of one protocol."""
+    """keys, XS and YS of each series of three or more, in order of index; a series is as long as a patient's sessions of one protocol."""
     rows = df.where(f"{y} is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("__r"))
-    return rows.select(*keys, F.transform("__r", lambda r: r["x"]).alias("XS"), F.transform("__r", lambda r: r["y"]).alias("YS")).withColumn("SPAN", F.greatest(F.array_max("XS") - F.array_min("XS"), F.lit(1.0)))
+    return rows.select(*keys, F.transform("__r", lambda r: r["x"]).alias("XS"), F.transform("__r", lambda r: r["y"]).alias("YS")).where(F.size("YS") > 2)
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+#: Values of whole series that are fitted at a time, so that the arrays of one step stay in a core's cache.
+BLOCK = 1 << 15
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda u, v: u * v))
+class _Block:
+    """Whole series one behind another: their values, and sums by series."""
 
+    def __init__(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.y, self.starts, self.sizes, self.n = y, starts, sizes, sizes.astype(np.float64)
+        self.low = np.minimum.reduceat(x, starts)
+        self.span = np.maximum(np.maximum.reduceat(x, starts) - self.low, 1.0)
+        self.x, self.sy, self.syy = x, self.sum(y), self.sum(y * y)
+        self.spread = self.syy - self.sy * self.sy / self.n
 
-def _best(grid: Column, fit, names: tuple[str, ...]) -> Column:
-    """The fit of least error over a grid; ties go to the smaller parameters."""
-    order = lambda f: F.struct(F.coalesce(F.round(f["SSE"], 9), F.lit(float("inf"))).alias("e"), *[f[n].alias(n) for n in names])
-    return F.array_min(F.transform(grid, lambda g: F.struct(order(fit(g)).alias("o"), fit(g).alias("f"))))["f"]
+    def each(self, v: np.ndarray) -> np.ndarray:
+        """A value of each series beside all values of the series."""
+        return np.repeat(v, self.sizes)
+
+    def sum(self, v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v, self.starts)
+
+
+class _Least:
+    """The fit of least error (to nine digits) of each series among those offered; ties go to the smaller parameters."""
+
+    def __init__(self, many: int, parameters: int, others: int):
+        self.error, self.values = np.full(many, np.inf), [np.full(many, np.inf) for _ in range(parameters)] + [np.zeros(many) for _ in range(others)]
+        self.sse, self.parameters = np.full(many, np.nan), parameters
+
+    def offer(self, sse: np.ndarray, *values: np.ndarray) -> None:
+        error = np.round(sse, 9)
+        error[np.isnan(error)] = np.inf
+        better, even = error < self.error, error == self.error
+        for new, old in zip(values[: self.parameters], self.values, strict=False):
+            better, even = better | (even & (new < old)), even & (new == old)
+        for old, new in zip([self.error, self.sse, *self.values], [error, sse, *values], strict=True):
+            np.copyto(old, new, where=better)
+
+
+def _exponential(b: _Block, rounds: int) -> list[np.ndarray]:
+    """A, B, C and SSE of the series of a block."""
+
+    def search(rates: list[np.ndarray]) -> _Least:
+        best = _Least(len(b.n), 1, 2)
+        for rate in rates:
+            e = np.exp(-b.each(rate) * b.x)
+            se, see, sey = b.sum(e), b.sum(e * e), b.sum(e * b.y)
+            det, slope = see - se * se / b.n, sey - se * b.sy / b.n
+            a = np.divide(slope, det, out=np.zeros_like(det), where=det > 1e-12)
+            best.offer(np.maximum(b.spread - a * slope, 0.0), rate, a, (b.sy - a * se) / b.n)
+        return best
+
+    best = search([r / b.span for r in RATES])
+    for k in range(rounds):
+        step, rate = 2.0 ** (0.25 / 2**k), best.values[0]
+        best = search([rate / step, rate, rate * step])
+    rate, a, c = best.values
+    return [a, rate, c, best.sse]
+
+
+def _logistic(b: _Block, rounds: int) -> list[np.ndarray]:
+    """K, X0, L and SSE of the series of a block."""
+
+    def offer(best: _Least, e: np.ndarray, k: np.ndarray, x0: np.ndarray) -> None:
+        s = 1 / (1 + e)
+        ss, sys = b.sum(s * s), b.sum(s * b.y)
+        top = np.divide(sys, ss, out=np.zeros_like(ss), where=ss > 1e-12)
+        best.offer(np.maximum(b.syy - top * sys, 0.0), k, x0, top)
+
+    best, x = _Least(len(b.n), 2, 1), b.x - b.each(b.low)
+    for q in STEEPNESS:
+        k = q / b.span
+        fall = np.exp(-b.each(k) * x)  # for all midpoints
+        for m in MIDDLES:  # k (x0 - first x) is q m for every series
+            offer(best, fall * math.exp(q * m), k, b.low + m * b.span)
+    for r in range(rounds):
+        step, move, (k0, x0, _) = 2.0 ** (0.25 / 2**r), b.span / (16.0 * 2**r), best.values
+        best = _Least(len(b.n), 2, 1)
+        for k in (k0 / step, k0, k0 * step):
+            fall = np.exp(-b.each(k) * x)
+            for at in (x0 - move, x0, x0 + move):
+                offer(best, fall * b.each(np.exp(k * (at - b.low))), k, at)
+    return [*best.values, best.sse]
+
+
+def _fitted(rows: DataFrame, keys: list[str], fit: Callable[[_Block, int], list[np.ndarray]], rounds: int, names: tuple[str, ...]) -> DataFrame:
+    """keys, what fit finds for each series under names, R2 and N.  Tasks fit blocks of whole series at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            xs, ys = batch.column(len(keys)), batch.column(len(keys) + 1)
+            offsets = ys.offsets.to_numpy()
+            offsets, x, y = offsets - offsets[0], xs.flatten().to_numpy(zero_copy_only=False), ys.flatten().to_numpy(zero_copy_only=False)
+            cuts, parts = [0], []
+            while cuts[-1] < batch.num_rows:
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + BLOCK, "right")) - 1))
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                low, high = offsets[i], offsets[j]
+                b = _Block(x[low:high], y[low:high], offsets[i:j] - low, np.diff(offsets[i : j + 1]))
+                with np.errstate(all="ignore"):
+                    found = fit(b, rounds)
+                    r2 = np.where(b.spread > 0, 1 - found[-1] / b.spread, np.nan)
+                parts.append([*found, r2])
+            values = [np.concatenate(v) for v in zip(*parts, strict=True)]
+            r2 = pa.array(values[-1], mask=np.isnan(values[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(v) for v in values[:-1]), r2, pa.array(np.diff(offsets).astype(np.int64))], names=[*keys, *names, "R2", "N"])
+
+    fields = [T.StructField(n, T.DoubleType()) for n in (*names, "R2")]
+    schema = T.StructType([*[rows.schema[k] for k in keys], *fields, T.StructField("N", T.LongType())])
+    return rows.select(*keys, "XS", "YS").mapInArrow(run, schema)
 
 
 def exponential_growth(df: DataFrame, keys: list[str], y: str, index: str, rounds: int = 12) -> DataFrame:
@@ -338,46 +439,12 @@ def exponential_growth(df: DataFrame, keys: list[str], y: str, index: str, round
 
     The grid of rates follows the length of a series; each further round looks half as far around the best.
     """
-    rows = _series(df, keys, y, index).where(F.size("YS") > 2)
-    n, sy, syy = F.size("YS"), _sum(F.col("YS")), _dot(F.col("YS"), F.col("YS"))
-    spread = syy - sy * sy / n
-
-    def fit(rate: Column) -> Column:
-        e = F.transform("XS", lambda x: F.exp(-rate * x))
-        se, see, sey = _sum(e), _dot(e, e), _dot(e, F.col("YS"))
-        det = see - se * se / n
-        a = F.when(det > 1e-12, (sey - se * sy / n) / det).otherwise(0.0)
-        sse = F.greatest(spread - a * (sey - se * sy / n), F.lit(0.0))
-        return F.struct(rate.alias("B"), a.alias("A"), ((sy - a * se) / n).alias("C"), sse.alias("SSE"))
-
-    rows = rows.withColumn("f", _best(F.transform(F.array(*[F.lit(r) for r in RATES]), lambda r: r / F.col("SPAN")), fit, ("B",)))
-    for k in range(rounds):
-        step = 2.0 ** (0.25 / 2**k)
-        rows = rows.withColumn("f", _best(F.array(F.col("f.B") / step, F.col("f.B"), F.col("f.B") * step), fit, ("B",)))
-    return rows.select(*keys, "f.A", "f.B", "f.C", "f.SSE", F.when(spread > 0, 1 - F.col("f.SSE") / spread).alias("R2"), n.cast("bigint").alias("N"))
+    return _fitted(_series(df, keys, y, index), keys, _exponential, rounds, ("A", "B", "C", "SSE"))
 
 
 def logistic_growth(df: DataFrame, keys: list[str], y: str, index: str, rounds: int = 12) -> DataFrame:
     """L / (1 + e^(-k (x - x0))) by group with R2, for groups of three or more; k and x0 are searched, L is in closed form."""
-    rows = _series(df, keys, y, index).where(F.size("YS") > 2)
-    n, sy, syy = F.size("YS"), _sum(F.col("YS")), _dot(F.col("YS"), F.col("YS"))
-    spread = syy - sy * sy / n
-
-    def fit(g: Column) -> Column:
-        s = F.transform("XS", lambda x: 1 / (1 + F.exp(-g["K"] * (x - g["X0"]))))
-        ss, sys = _dot(s, s), _dot(s, F.col("YS"))
-        top = F.when(ss > 1e-12, sys / ss).otherwise(0.0)
-        return F.struct(g["K"].alias("K"), g["X0"].alias("X0"), top.alias("L"), F.greatest(syy - top * sys, F.lit(0.0)).alias("SSE"))
-
-    pair = lambda k, x0: F.struct(k.alias("K"), x0.alias("X0"))
-    grid = F.array(*[F.struct(F.lit(k).alias("K"), F.lit(m).alias("X0")) for k in STEEPNESS for m in MIDDLES])
-    own = F.transform(grid, lambda g: pair(g["K"] / F.col("SPAN"), F.array_min("XS") + g["X0"] * F.col("SPAN")))
-    rows = rows.withColumn("f", _best(own, fit, ("K", "X0")))
-    for r in range(rounds):
-        step, move = 2.0 ** (0.25 / 2**r), F.col("SPAN") / (16.0 * 2**r)
-        near = [pair(k, x0) for k in (F.col("f.K") / step, F.col("f.K"), F.col("f.K") * step) for x0 in (F.col("f.X0") - move, F.col("f.X0"), F.col("f.X0") + move)]
-        rows = rows.withColumn("f", _best(F.array(*near), fit, ("K", "X0")))
-    return rows.select(*keys, "f.K", "f.X0", "f.L", "f.SSE", F.when(spread > 0, 1 - F.col("f.SSE") / spread).alias("R2"), n.cast("bigint").alias("N"))
+    return _fitted(_series(df, keys, y, index), keys, _logistic, rounds, ("K", "X0", "L", "SSE"))
 
 
 def filled_daily(df: DataFrame, keys: list[str], day: str, value: str, order: str) -> DataFrame:

@@ -3,6 +3,7 @@ import itertools
 import json
 import math
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -435,6 +436,25 @@ def test_growth_fits_reach_a_dense_search(spark):
         assert log[g].SSE <= best * 1.05 + 1e-3
 
 
+def test_growth_fits_of_many_series(spark, monkeypatch):
+    """Series are fitted together: thousands take seconds, and where a block ends makes no difference."""
+    draw = np.random.default_rng(8)
+    made = [(g, float(i), float(v)) for g in range(40) for i, v in enumerate(draw.random(3 + g % 20), 1)]
+    df = spark.createDataFrame(made, "g int, i double, y double")
+    many = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(150)))).repartition(8, "g", "k")
+    begun = time.monotonic()
+    for fit_of, names in ((cohort.exponential_growth, "ABC"), (cohort.logistic_growth, ("K", "X0", "L"))):
+        with monkeypatch.context() as small:
+            small.setattr(cohort, "BLOCK", 7)  # shorter than a series
+            one = {r.g: r for r in fit_of(df, ["g"], "y", "i").collect()}
+        rows = fit_of(many, ["g", "k"], "y", "i").collect()
+        assert len(one) == 40 and len(rows) == 6000
+        for r in rows:
+            assert (r.N, r.SSE, r.R2) == pytest.approx((one[r.g].N, one[r.g].SSE, one[r.g].R2))
+            assert [r[c] for c in names] == pytest.approx([one[r.g][c] for c in names])
+    assert time.monotonic() - begun < 60
+
+
 def test_ranks_shares_and_clips(spark):
     draw = np.random.default_rng(2)
     v = [float(x) for x in draw.integers(0, 40, size=500)]
