@@ -746,7 +746,7 @@ def adherence_dataset(spark, d):
 # --- K, M: streaming form and checks -----------------------------------------------------------------
 
 
-@query("k01_windowed_usage", "SELECT CAST(user_id + 1 AS BIGINT) AS PATIENT_ID, event_type AS PROTOCOL_ID, CAST(epoch(ts) AS BIGINT) // 604800 AS WEEK, count(*) AS USAGE FROM events GROUP BY 1, 2, 3")
+@query("k01_windowed_usage", "WITH once AS (SELECT CAST(user_id + 1 AS BIGINT) AS PATIENT_ID, event_type AS PROTOCOL_ID, min(ts) AS ts FROM events WHERE event_id IS NOT NULL GROUP BY 1, 2, event_id) SELECT PATIENT_ID, PROTOCOL_ID, CAST(floor(epoch(ts)) AS BIGINT) // 604800 AS WEEK, count(*) AS USAGE FROM once WHERE ts IS NOT NULL GROUP BY 1, 2, 3")
 def windowed_usage(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") + 1).cast("bigint").alias("PATIENT_ID"), F.col("event_type").alias("PROTOCOL_ID"), F.col("event_id").alias("SESSION_ID"), "ts")
     return weekly_usage(e).select(*BY_PP, F.floor(F.unix_timestamp("WEEK_START") / 604800).cast("bigint").alias("WEEK"), "USAGE")

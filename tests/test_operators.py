@@ -436,6 +436,15 @@ def test_growth_fits_reach_a_dense_search(spark):
         assert log[g].SSE <= best * 1.05 + 1e-3
 
 
+def test_repeated_sessions_in_weeks(spark):
+    """Sessions of different pairs that share an id all count; a repeated session of a pair counts once, in the week of its earliest time."""
+    at = lambda d: dt.datetime(2031, 10, d)
+    rows = [(p, q, 7, at(d)) for p in (41, 57, 86) for q in (203, 219) for d in (23, 12, 30)] + [(41, 203, 8, at(13)), (41, 203, None, at(13))]
+    df = spark.createDataFrame(rows, "PATIENT_ID bigint, PROTOCOL_ID bigint, SESSION_ID bigint, ts timestamp").repartition(5)
+    got = {(r.PATIENT_ID, r.PROTOCOL_ID, r.WEEK_START, r.USAGE) for r in weekly_usage(df).collect()}
+    assert got == {(p, q, at(9), 2 if (p, q) == (41, 203) else 1) for p in (41, 57, 86) for q in (203, 219)}
+
+
 def test_growth_fits_of_many_series(spark, monkeypatch):
     """Series are fitted together: thousands take seconds, and where a block ends makes no difference."""
     draw = np.random.default_rng(8)

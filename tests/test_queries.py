@@ -48,3 +48,15 @@ def test_mediation_interval_has_all_draws(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_weekly_usage_of_odd_events(spark, tmp_path):
+    """Times in the last half second of a week, ids that users share, repeated events, and events without id or time."""
+    c, name = duckdb.connect(), "k01_windowed_usage"
+    c.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar)")
+    late, early = "2024-01-10 23:59:59.7", "2024-01-11 00:00:00"
+    rows = [(1, late, 5, "view"), (2, early, 5, "view"), (1, late, 6, "view"), (1, early, 6, "view"), (None, late, 6, "view"), (3, None, 6, "view"), (1, late, 6, "click")]
+    c.executemany("insert into events values (?, ?, ?, ?)", rows)
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select("PATIENT_ID", "PROTOCOL_ID", "WEEK", "USAGE").collect()]
+    assert sorted(got) == sorted(c.execute(queries.ORACLES[name]).fetchall()) == [(6, "view", 2818, 1), (6, "view", 2819, 1), (7, "click", 2818, 1), (7, "view", 2818, 1)]
