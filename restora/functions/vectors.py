@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 def norm(v: Column) -> Column:
     """Euclidean norm; 1e-10 for the zero vector."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(n == 0, F.lit(1e-10)).otherwise(n)
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x, lambda s: F.when(s == 0, F.lit(1e-10)).otherwise(F.sqrt(s)))
 
 
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: x / n)
+    # as the variable of an outer lambda the norm is taken once, not at every component
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n)), F.lit(0))
 
 
 def product(a: Column, b: Column) -> Column:

@@ -436,6 +436,19 @@ def test_growth_fits_reach_a_dense_search(spark):
         assert log[g].SSE <= best * 1.05 + 1e-3
 
 
+def test_fits_of_long_vectors(spark):
+    """The work of a fit grows with a vector's length, not with its square; null, NaN and zero vectors stay as they were."""
+    draw = np.random.default_rng(4)
+    p, q = draw.random((24, 4000)), draw.random((2, 4000))
+    odd = [(30, None), (31, [None] + [1.0] * 3999), (32, [float("nan")] * 4000), (33, [0.0] * 4000)]
+    people = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(p)], *odd], "PATIENT_ID bigint, VECTOR array<double>")
+    begun = time.monotonic()
+    rows = fit.fits(people, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "PROTOCOL_ID bigint, VECTOR array<double>")).select(*constants.BY_PP, "PPF").collect()
+    assert time.monotonic() - begun < 10
+    got, cosine = {(r.PATIENT_ID, r.PROTOCOL_ID): r.PPF for r in rows}, (p @ q.T) / np.outer(np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1))
+    assert got == pytest.approx({(i, j): cosine[i, j] for i in range(24) for j in range(2)} | {(33, j): 0.0 for j in range(2)})
+
+
 def test_repeated_sessions_in_weeks(spark):
     """Sessions of different pairs that share an id all count; a repeated session of a pair counts once, in the week of its earliest time."""
     at = lambda d: dt.datetime(2031, 10, d)
