@@ -22,17 +22,17 @@ def pair_metrics(sessions: DataFrame, patients: DataFrame, scoring_date: Column,
     recent = F.expr("SESSION_DATE >= WEEK_START and SESSION_DATE < WEEK_END")
     known = F.expr("SESSION_ID is not null and SESSION_DATE is not null and DM_VALUE is not null")
     one = rows.groupBy(*BY_PP).agg(
-        F.count_distinct("SESSION_ID").alias("USAGE"),
-        F.count_distinct(F.when(recent, F.col("SESSION_ID"))).alias("USAGE_WEEK"),
         F.array_sort(F.collect_set(F.when(recent, F.col("WEEKDAY_INDEX")))).alias("DAYS"),
-        F.array_sort(F.collect_list(F.struct("SESSION_DATE", "WEEKDAY_INDEX", "PRESCRIPTION_ID", "SESSION_ID", F.col("ADHERENCE").cast("double").alias("x")))).alias("__s"),
+        F.array_sort(F.collect_list(F.struct("SESSION_DATE", "WEEKDAY_INDEX", "PRESCRIPTION_ID", "SESSION_ID", F.col("ADHERENCE").cast("double").alias("x"), F.coalesce(recent, F.lit(False)).alias("w")))).alias("__s"),
         F.array_sort(F.collect_list(F.when(known, F.struct("SESSION_DATE", "SESSION_ID", F.col("DM_VALUE").cast("double").alias("x"))))).alias("__d"),
     )
     values = F.transform("__d", lambda r: r["x"])
     one = one.withColumns({"__head": smoothed_head(values, smooth), "__tail": smoothed_tail(values, smooth, window)})
     second = _second(F.col("__s"), F.col("__d"), F.col("__head"))
+    # distinct counts as aggregates would copy every row for each of them, and shuffle the copies
+    ids = lambda s: F.size(F.array_compact(F.array_distinct(F.transform(s, lambda r: r["SESSION_ID"])))).cast("bigint")
     return one.select(
-        *BY_PP, "USAGE", "USAGE_WEEK", "DAYS", F.size("__s").alias("SESSION_INDEX"),
+        *BY_PP, ids(F.col("__s")).alias("USAGE"), ids(F.filter("__s", lambda r: r["w"])).alias("USAGE_WEEK"), "DAYS", F.size("__s").alias("SESSION_INDEX"),
         last_mean(F.transform("__s", lambda r: r["x"]), alpha).alias("LAST_ADHERENCE"),
         last_slope(F.col("__tail"), window).alias("LAST_DELTA"), second.alias("SECOND_DELTA"),
     )

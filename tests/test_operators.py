@@ -449,6 +449,17 @@ def test_fits_of_long_vectors(spark):
     assert got == pytest.approx({(i, j): cosine[i, j] for i in range(24) for j in range(2)} | {(33, j): 0.0 for j in range(2)})
 
 
+def test_pair_metrics_copy_no_rows(spark):
+    """Distinct sessions are counted where a pair's rows are; ids that are missing or come twice count as before."""
+    kinds = "PATIENT_ID bigint, PROTOCOL_ID bigint, PRESCRIPTION_ID bigint, SESSION_ID bigint, SESSION_DATE date, WEEKDAY_INDEX int, STATUS string, ADHERENCE double, DM_VALUE double"
+    rows = [(41, 203, 9, i, D(2031, 10, d), 2, "CLOSED", 0.5, 0.1) for i, d in ((7, 1), (7, 2), (None, 9), (8, 9), (8, 10), (9, 22))]
+    people = spark.createDataFrame([(41, START, END)], "PATIENT_ID bigint, CLINICAL_TRIAL_START_DATE date, CLINICAL_TRIAL_END_DATE date")
+    out = scoring.pair_metrics(spark.createDataFrame(rows, kinds), people, day(D(2031, 10, 16)))
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    one = out.first()
+    assert (one.USAGE, one.USAGE_WEEK, one.DAYS, one.SESSION_INDEX) == (3, 1, [2], 6)
+
+
 def test_repeated_sessions_in_weeks(spark):
     """Sessions of different pairs that share an id all count; a repeated session of a pair counts once, in the week of its earliest time."""
     at = lambda d: dt.datetime(2031, 10, d)
