@@ -10,7 +10,9 @@ confirmed on the full sets.
 Documents with equal sets form one class and go on as its smallest id, so groups of exact copies cost
 one row.  In a bucket, members are first compared with the smallest one.  Members still in different
 components afterwards are compared by an exact prefix-filtered join over their shingles, so hot buckets
-make no pairs within what is linked already and no link between components is lost.
+make no pairs within what is linked already and no link between components is lost.  Before that each is
+compared with the member of a shared prefix shingle that has the fewest shingles of its own: one row for
+each place, which links most of what is left of a large group of near copies.
 
 Results for special cases: null text or text without words is the empty set and linked with nothing;
 with fewer than k words the whole sequence is one shingle; rows are told apart by doc_id and text, so rows
@@ -144,26 +146,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.col("same") * 100 >= (F.col("total") - F.col("same")) * percent).select("a", "b")
 
 
-def prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of docs (doc_id, n, component) in different components that may be linked.
+def prefix_places(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, sig, df and place of the prefixes of docs (doc_id, n): what prefix_pairs joins.
 
     With a document's shingles in order of frequency, rarest first, linked documents share one of their
-    first (100 - percent) % (prefix filter), early enough in both that what follows can reach the
-    overlap that a link needs (position filter).  Shingles found in the same documents count once.
+    first (100 - percent) % (prefix filter).  Shingles found in the same documents count once.
     """
     own = keyed_join(docs, sets.select(F.col("doc_id").alias("of"), "shingles"), "doc_id", "of")
-    rows = own.select("doc_id", "n", "component", F.explode("shingles").alias("s"))
+    rows = own.select("doc_id", "n", F.explode("shingles").alias("s"))
     found = rows.groupBy("s").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id")).alias("sig")).where("df > 1").select(F.col("s").alias("t"), "df", "sig")
-    shared = keyed_join(rows, found, "s", "t").select("doc_id", "n", "component", "s", "df", "sig")
+    shared = keyed_join(rows, found, "s", "t").select("doc_id", "n", "s", "df", "sig")
     of_doc = Window.partitionBy("doc_id")  # a document's own shingles
     place = F.col("n") - F.count("*").over(of_doc) + F.row_number().over(of_doc.orderBy("df", "sig", "s")) - 1
     first = shared.withColumn("place", place).where(f"100 * (n - place) >= {percent} * n")
-    first = cut(first.groupBy("doc_id", "n", "component", "sig", "df").agg(F.min("place").alias("place")))
-    mixed = first.groupBy("sig", "df").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("sig").alias("g"), F.col("df").alias("h"))
-    left = keyed_join(first, mixed, "sig", "g", "left_semi")
-    right = left.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), F.col("sig").alias("g"), F.col("df").alias("h"), F.col("place").alias("pb"))
-    fits = f"doc_id < b and component <> cb and 100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - place, m - pb) >= {percent} * (n + m)"
-    return left.join(right, (F.col("sig") == F.col("g")) & (F.col("df") == F.col("h")) & F.expr(fits)).select(F.col("doc_id").alias("a"), "b").distinct()
+    return cut(first.groupBy("doc_id", "n", "sig", "df").agg(F.min("place").alias("place")))
+
+
+def prefix_pairs(first: DataFrame, percent: int, delegates: bool = False) -> DataFrame:
+    """All pairs (a, b) of documents in different components (first: prefix_places with component) that may be linked.
+
+    They share a shingle of their prefixes, early enough in both that what follows can reach the overlap that
+    a link needs (position filter).  With delegates a document is paired only with one of those in which the shared
+    shingle comes earliest, which have the least of their own: no more pairs than places.
+    """
+    mixed = first.groupBy("sig", "df").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("place", F.xxhash64("doc_id", "sig").alias("k"), "doc_id", "n", "component")).alias("best")).where("low <> high").select(F.col("sig").alias("g"), F.col("df").alias("h"), "best")
+    left = keyed_join(first, mixed.drop("best"), "sig", "g", "left_semi")
+    right = mixed.select("best.*", F.col("g").alias("sig"), F.col("h").alias("df")) if delegates else left
+    right = right.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), F.col("sig").alias("g"), F.col("df").alias("h"), F.col("place").alias("pb"))
+    fits = f"component <> cb and 100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - place, m - pb) >= {percent} * (n + m)"
+    on = (F.col("sig") == F.col("g")) & (F.col("df") == F.col("h")) & F.expr(fits if delegates else f"doc_id < b and {fits}")
+    return left.join(right, on).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
@@ -186,14 +198,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = cut(confirmed(tested, sets, percent))
     labels = components(links)
     sizes_fit = "100 * least(n, m) >= {p} * greatest(n, m)".format(p=percent)
-    for exhaustive in (False, True):
+    first = None
+    for step in ("pivots", "delegates", "all"):
         named = keyed_join(members, labels, "doc_id", "node", "left").select("band", "doc_id", "n_shingles", "pivot", F.coalesce("component", "doc_id").alias("component"))
         mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("band").alias("of"))
         apart = cut(keyed_join(named, mixed, "band", "of", "left_semi"))
         if apart.isEmpty():
             break
-        if exhaustive:
-            pairs = prefix_pairs(apart.select("doc_id", F.col("n_shingles").alias("n"), "component").distinct(), sets, percent)
+        if step != "pivots":
+            open_ = apart.select("doc_id", F.col("n_shingles").alias("n"), "component").distinct()
+            first = prefix_places(open_.drop("component"), sets, percent) if first is None else first
+            of = open_.select(F.col("doc_id").alias("of"), "component")
+            pairs = prefix_pairs(keyed_join(first, of, "doc_id", "of").drop("of"), percent, step == "delegates")
         else:
             left = apart.where("doc_id <> pivot").select("band", F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.col("component").alias("cx"), "pivot")
             right = apart.select(F.col("band").alias("of"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("m"), F.col("component").alias("cy"))

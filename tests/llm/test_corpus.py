@@ -186,6 +186,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(df.where("false")).isEmpty()
 
 
+def test_near_duplicates_of_a_large_group_make_few_pairs(spark, monkeypatch):
+    """Copies of one text with changes of their own, near it and far from each other: pairs grow with the copies, not with their square, and links are those of all pairs."""
+    draw, words, rows = np.random.default_rng(5), prose(3, 150).split(), []
+    for i in range(300):
+        own = list(words)
+        for at in draw.choice(np.arange(5, 145, 5), size=4 if i != 150 else 0, replace=False):
+            own[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(own)))
+    seen, real = [], minhash.prefix_pairs
+
+    def counted(*args):
+        seen.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(minhash, "prefix_pairs", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()}
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (text.split() for _, text in rows)]
+    low = list(range(300))
+    for a, b in itertools.combinations(range(300), 2):
+        if low[a] != low[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low = [min(low[a], low[b]) if c in (low[a], low[b]) else c for c in low]
+    assert got == dict(enumerate(low))
+    assert seen and max(seen) <= 900
+
+
 def test_near_duplicates_of_shared_and_missing_ids_and_long_texts(spark):
     a, b, c, long = prose(301, 60), prose(302, 60), prose(303, 60), prose(304, 30_000)
     rows = [(5, a), (5, b), (2, edited(b, [3])), (9, a), (None, edited(a, [7])), (None, c), (None, c + " end"), (7, long), (8, edited(long, [100])), (None, None), (4, "")]
