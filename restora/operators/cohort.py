@@ -215,14 +215,15 @@ def mediation_terms(df: DataFrame, keys: list[str], x: str, m: str, y: str, weig
 def draw_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Poisson(1) numbers (keys x draws) from functions.hashing.mixed of each key and draw."""
     h = (keys % (1 << 31)).astype(np.uint32)[:, None] * np.uint32(FACTORS[0]) + draws.astype(np.uint32)[None, :] * np.uint32(FACTORS[1])
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(FACTORS[2])
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(FACTORS[3])
-    h ^= h >> np.uint32(16)
-    out = np.zeros(h.shape, dtype=np.float64)
+    spare = np.empty_like(h)
+    for shift, factor in ((15, FACTORS[2]), (13, FACTORS[3]), (16, 1)):
+        np.right_shift(h, np.uint32(shift), out=spare)
+        h ^= spare
+        h *= np.uint32(factor)
+    out, hit = np.zeros(h.shape, dtype=np.uint8), np.empty(h.shape, dtype=bool)
     for bound in POISSON:
-        out += h >= np.uint32(bound)
+        np.greater_equal(h, np.uint32(bound), out=hit)
+        out += hit.view(np.uint8)
     return out
 
 
@@ -230,6 +231,10 @@ def draw_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
 POISSON = tuple(int((1 << 32) * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8))
 
 
+#: Rows of a block of draws: its arrays stay in a core's cache.
+DRAWN = 64
+
+
 def draw_moments(df: DataFrame, x: str, m: str, y: str, key: str, draws: int) -> DataFrame:
     """DRAW and the MOMENTS of every bootstrap draw.
 
@@ -240,10 +245,10 @@ def draw_moments(df: DataFrame, x: str, m: str, y: str, key: str, draws: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, total = np.arange(1, draws + 1), np.zeros((draws, len(MOMENTS)))
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                k, a, b, c = (batch.column(i).slice(start, 512).to_numpy() for i in range(4))
+            for start in range(0, batch.num_rows, DRAWN):
+                k, a, b, c = (batch.column(i).slice(start, DRAWN).to_numpy() for i in range(4))
                 values = np.column_stack([np.ones(len(k)), a, b, c, a * a, a * b, a * c, b * b, b * c])
-                total += draw_weights(k, number).T @ values
+                total += draw_weights(k, number).T.astype(np.float64) @ values
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *(pa.array(c) for c in total.T.copy())], names=["DRAW", *MOMENTS])
 

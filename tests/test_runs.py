@@ -230,6 +230,12 @@ def test_draws_are_those_of_the_spark_hash(spark):
     assert abs(many.mean() - 1) < 0.01 and abs(many.var() - 1) < 0.03 and abs(np.corrcoef(many[:, 3], many[:, 4])[0, 1]) < 0.06
 
 
+def test_draws_take_a_byte_each():
+    """A block of draws and its hashes stay in a core's cache."""
+    weights = cohort.draw_weights(np.arange(cohort.DRAWN), np.arange(1, 5001))
+    assert weights.nbytes == cohort.DRAWN * 5000 and 5 * weights.nbytes <= 2 << 20
+
+
 def test_bootstrap_moments_are_weighted_sums(spark):
     draw = np.random.default_rng(8)
     x, m, y = draw.normal(size=(3, 1500))
