@@ -61,6 +61,11 @@ def s5(spark, d):
     return study_views.sessions(spark, d, by_five=False)
 
 
+def parts25(spark, d):
+    """As s25 without event_id, in parts by patient that don't grow with the table, for what goes through many sorts."""
+    return study_views.sessions(spark, d, deal=True).drop("event_id")
+
+
 def trial(spark, d, rows):
     return sessions.in_trial(sessions.with_missing_sessions(rows.drop("event_id"), day()), study_views.patients(spark, d), day())
 
@@ -80,7 +85,7 @@ def fits(spark, d):
 
 
 def scores(spark, d):
-    return study.score_table(fits(spark, d), s25(spark, d).drop("event_id"), study_views.patients(spark, d), day())
+    return study.score_table(fits(spark, d), parts25(spark, d), study_views.patients(spark, d), day())
 
 
 # --- A: scans, sources, sinks ------------------------------------------------------------------------
@@ -482,7 +487,7 @@ def _scores_at(days):
 
 
 def scores_at(spark, d, days):
-    s, p = s25(spark, d).drop("event_id"), study_views.patients(spark, d)
+    s, p = parts25(spark, d), study_views.patients(spark, d)
     rows = study.scores_at(fits(spark, d), s, p, days)
     return rounded(rows.select("DAY", *BY_PP, "ADHERENCE_RECENT", "DELTA_DM", "SCORE", "WEEKS_SINCE_START", "USAGE", "USAGE_WEEK"), "ADHERENCE_RECENT", "DELTA_DM", "SCORE")
 
@@ -611,7 +616,7 @@ def min_max(spark, d):
 
 @query("i01_missing_sessions", f"WITH {sql.BASE}, {sql.expanded('s25')} SELECT PATIENT_ID, PROTOCOL_ID, STATUS, count(*) AS N, round(sum(ADHERENCE), 6) AS A FROM ex GROUP BY 1, 2, 3")
 def missing_sessions(spark, d):
-    rows = sessions.with_missing_sessions(s25(spark, d).drop("event_id"), day())
+    rows = sessions.with_missing_sessions(parts25(spark, d), day())
     return rows.groupBy(*BY_PP, "STATUS").agg(F.count("*").alias("N"), r6(F.sum("ADHERENCE")).alias("A"))
 
 
@@ -738,7 +743,7 @@ def completed_share(spark, d):
 
 @query("i18_adherence_dataset", f"WITH {sql.BASE}, {sql.expanded('s25')}, x AS (SELECT *, datediff('day', min(SESSION_DATE) OVER (PARTITION BY PATIENT_ID), SESSION_DATE) AS di FROM ex), y AS (SELECT *, row_number() OVER (PARTITION BY PATIENT_ID, PROTOCOL_ID, PRESCRIPTION_ID, SESSION_DATE ORDER BY SESSION_ID NULLS FIRST) AS k FROM x WHERE di < 43) SELECT PATIENT_ID, count(*) AS N, round(sum(ADHERENCE), 6) AS A, CAST(max(di) AS BIGINT) AS LAST_DAY FROM y WHERE k = 1 GROUP BY 1")
 def adherence_dataset(spark, d):
-    rows = cohort.study_range(sessions.with_missing_sessions(s25(spark, d).drop("event_id"), day()))
+    rows = cohort.study_range(sessions.with_missing_sessions(parts25(spark, d), day()))
     once = sessions.first_of(rows, [*BY_PP, "PRESCRIPTION_ID", "SESSION_DATE"], ["SESSION_ID"])
     return once.groupBy("PATIENT_ID").agg(F.count("*").alias("N"), r6(F.sum("ADHERENCE")).alias("A"), F.max("DAY_INDEX").cast("bigint").alias("LAST_DAY"))
 
@@ -843,7 +848,7 @@ _IDLE = sql.SCORES.replace("s25_0 AS (SELECT PATIENT_ID,", "s25_1 AS (SELECT PAT
 
 
 def idle_scores(spark, d):
-    s = s25(spark, d).drop("event_id")
+    s = parts25(spark, d)
     idle = F.col("__idle") & (F.col("SESSION_DATE") >= F.lit("2024-01-20").cast("date"))
     rows = s.join(of_studies(spark, d, 1).withColumn("__idle", F.lit(True)), "PATIENT_ID", "left").withColumn("__idle", F.coalesce(idle, F.lit(False)))
     blank = {"SESSION_ID": None, "STATUS": NOT_PERFORMED, "ADHERENCE": 0.0, "DM_VALUE": None}
@@ -864,7 +869,7 @@ class Views:
         self.spark, self.d = spark, d
 
     def sessions(self, patients=None):
-        return tables.of_patients(s25(self.spark, self.d).drop("event_id"), patients)
+        return tables.of_patients(parts25(self.spark, self.d), patients)
 
     def patients(self, patients=None):
         return tables.of_patients(study_views.patients(self.spark, self.d), patients)
@@ -912,7 +917,8 @@ def _faulty_run_sql():
 def faulty_run(spark, d):
     """A run over all patients, some of whom have faults of every kind."""
     loader = ClinicalViews(spark, d)
-    return study.patients_run(loader, study_views.patients(spark, d), day(), "run1", fits_of=lambda people: faults.checked_fits(people, attributes(spark, d)))
+    deal = lambda rows: study_views.parted(rows, spark.read.parquet(f"{d}/events.parquet"))
+    return study.patients_run(loader, study_views.patients(spark, d), day(), "run1", fits_of=lambda people: faults.checked_fits(deal(people), attributes(spark, d)), deal=deal)
 
 
 @query("i12_faulty_statuses", f"{_faulty_run_sql()} SELECT PATIENT_ID, CASE WHEN REASON IS NULL THEN 'ok' ELSE 'failed' END AS STATUS, REASON, (SELECT count(*) FROM rec WHERE rec.PATIENT_ID = r.PATIENT_ID) AS RECOMMENDATIONS FROM own_reasons r")
@@ -1177,11 +1183,11 @@ def casts(spark, d):
 def own_parts(spark, d):
     """A score table with a scorer of one's own."""
     own = lambda table, weights: table.withColumn("SCORE", F.coalesce("PPF", F.lit(0.0)) * 2 + F.when(F.col("USAGE") > 0, 1).otherwise(0))
-    rows = study.score_table(fits(spark, d), s25(spark, d).drop("event_id"), study_views.patients(spark, d), day(), score=own)
+    rows = study.score_table(fits(spark, d), parts25(spark, d), study_views.patients(spark, d), day(), score=own)
     return rounded(rows.select(*BY_PP, "SCORE"), "SCORE")
 
 
 @query("l02_weights", f"WITH {sql.SCORES} SELECT PATIENT_ID, PROTOCOL_ID, round(0.5 * coalesce(ADHERENCE_RECENT, 0) + 2 * coalesce(DELTA_DM, 0) + 0.25 * coalesce(PPF, 0), 6) AS SCORE FROM sc")
 def other_weights(spark, d):
-    rows = study.score_table(fits(spark, d), s25(spark, d).drop("event_id"), study_views.patients(spark, d), day(), weights=(0.5, 2.0, 0.25))
+    rows = study.score_table(fits(spark, d), parts25(spark, d), study_views.patients(spark, d), day(), weights=(0.5, 2.0, 0.25))
     return rounded(rows.select(*BY_PP, "SCORE"), "SCORE")

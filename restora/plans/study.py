@@ -43,12 +43,14 @@ def prepared(fits: DataFrame, sessions: DataFrame, similarity: DataFrame, protoc
 def patients_run(
     loader: Loader, wanted: DataFrame, scoring_date: Column, run_id: str = "run", n: int = TOP_N, days: int = DAYS, per_day: int = PER_DAY,
     fits_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+    deal: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> dict[str, DataFrame]:
     """faults, scores, recommendations, staging, metrics, statuses and summary of the wanted patients.
 
     What is wrong with a patient's own data doesn't stop the run: the patient has status failed and the reason, and no
     rows in the other tables.  fits_of(patients) gives (fits, reasons); by default stored fits are completed.
     keep(name, table) may write a table and give back what was written, which all later ones are then made of.
+    deal(sessions) may part the sessions by patient before they are scored, so that a task's share doesn't grow with the table.
     """
     people = loader.patients(wanted)
     fits, bad = (_stored_fits(loader, wanted), None) if fits_of is None else fits_of(people)
@@ -59,7 +61,7 @@ def patients_run(
     checks += [faults.of_rows(t) for t in (people, logged) if "ERROR" in t.columns]
     faulty = keep("faults", faults.reasons(*checks))
     good = lambda df: faults.without(df.drop("ERROR"), faulty)
-    scores = keep("scores", score_table(good(fits), good(sessions), good(people), scoring_date))
+    scores = keep("scores", score_table(good(fits), deal(good(sessions)), good(people), scoring_date))
     chosen = keep("recommendations", recommended(scores, similarity, n, days, per_day))
     starts = people.groupBy("PATIENT_ID").agg(F.min("CLINICAL_TRIAL_START_DATE").alias("CLINICAL_TRIAL_START_DATE"))
     out = {

@@ -10,9 +10,23 @@ from restora.constants import SCALE_ALIASES, SCALE_FEATURES, SCALE_MAXIMA
 SCORING_DATE = "2024-01-29"
 
 
-def sessions(spark: SparkSession, sf_dir: str, by_five: bool = True) -> DataFrame:
-    """A session row for every event; with by_five there are 25 protocols, else 5 with longer series."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("date").alias("SESSION_DATE"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+#: Rows of a part of parted().
+PART = 100_000
+
+
+def parted(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows of the events' patients dealt by patient into parts of PART events or so, at least one for each core.
+
+    Scored sessions and clinical scores go through many sorts by patient in one task.  Left to itself Spark merges parts by their
+    compressed bytes, up to one for each core, so a task's memory would grow with the table.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-events.count() // PART)), "PATIENT_ID")
+
+
+def sessions(spark: SparkSession, sf_dir: str, by_five: bool = True, deal: bool = False) -> DataFrame:
+    """A session row for every event; with by_five there are 25 protocols, else 5 with longer series.  With deal they come parted() by patient."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = events.select("event_id", F.col("ts").cast("date").alias("SESSION_DATE"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     kind = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3).otherwise(4)
     protocol = 200 + 5 * kind + F.col("k") % 5 if by_five else 200 + kind
     skipped = F.col("k") % 10 == 0
@@ -27,6 +41,7 @@ def sessions(spark: SparkSession, sf_dir: str, by_five: bool = True) -> DataFram
         F.when(~skipped, F.col("value") / F.lit(600.0)).alias("DM_VALUE"),
         "event_id",
     )
+    out = parted(out, events) if deal else out
     own = Window.partitionBy("PATIENT_ID", "PROTOCOL_ID", "WEEKDAY_INDEX")
     return out.withColumns({
         "PRESCRIPTION_ID": F.col("PATIENT_ID") * 1000 + (F.col("PROTOCOL_ID") - 200) * 10 + F.col("WEEKDAY_INDEX"),

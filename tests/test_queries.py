@@ -45,6 +45,14 @@ def test_mediation_interval_has_all_draws(spark):
     assert row.DRAWS == 5000 and row.LOW < row.HIGH
 
 
+def test_scored_sessions_come_in_parts(spark, monkeypatch):
+    """Where sessions are scored their parts follow from the number of rows, and are not merged by bytes."""
+    monkeypatch.setattr(queries.study_views, "PART", 100)
+    parts = -(-spark.read.parquet(f"{SF}/events.parquet").count() // 100)
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count(f", {parts}), REPARTITION_BY_NUM")
+    assert dealt(queries.scores(spark, SF)) == 1 and dealt(queries.idle_scores(spark, SF)) == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

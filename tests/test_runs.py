@@ -297,3 +297,17 @@ def test_replays_equal_score_tables_of_each_day(spark, loader):
     replay = study.scores_at(fits, sessions, people, (3, 7, 9, 21)).cache()
     for day in (3, 7, 9, 21):
         assert plain(replay.where(F.col("DAY") == day)) == plain(study.score_table(fits, sessions, people, F.lit(START + dt.timedelta(days=day))))
+
+
+def test_runs_deal_sessions_after_the_faulty_are_out(spark, loader):
+    """What is dealt are the good patients' sessions, once, and the rows of a run stay what they were."""
+    seen = []
+
+    def deal(rows):
+        seen.append({r.PATIENT_ID for r in rows.select("PATIENT_ID").distinct().collect()})
+        return rows.repartition(13, "PATIENT_ID")
+
+    dealt, before = run(spark, loader, [7, 8, 14], deal=deal), run(spark, loader, [7, 8, 14])
+    assert seen == [{7}]
+    assert dealt["scores"]._jdf.queryExecution().executedPlan().toString().count(", 13), REPARTITION_BY_NUM") == 1
+    assert sorted(map(repr, dealt["metrics"].collect())) == sorted(map(repr, before["metrics"].collect()))
