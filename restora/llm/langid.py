@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from restora.llm.textkit import Words, field, pieces, string_bytes
 
-#: Longest word, in bytes, whose forward values are all kept; what probabilities are multiplied by for each byte; words and bytes of text at once; places of a long word at once.
-LONG, SCALE, BLOCK, BATCH_BYTES, PLACES = 40, 32.0, 32_768, 4 << 20, 4096
+#: Longest word, in bytes, whose forward values are all kept; what probabilities are multiplied by for each byte; forward values and bytes of text at once; bytes cut into words at once; places of a long word at once.
+LONG, SCALE, VALUES, BATCH_BYTES, CUT_BYTES, PLACES = 40, 32.0, 1 << 20, 4 << 20, 512 << 10, 4096
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -94,14 +96,13 @@ class Lattice:
         edges = self.edges(rows, lengths)
         alpha = np.zeros((rows.shape[1] + 1, len(rows), p.shape[1]))
         alpha[0] = 1
-        scaled = [p * SCALE**k for k in range(rows.shape[1] + 1)]
         for i, j, word, piece in edges:  # by start: all that ends at i is in
-            alpha[j, word] += alpha[i, word] * scaled[j - i][piece]
-        return edges, scaled, alpha, np.maximum(alpha[lengths, np.arange(len(rows))], 1e-300)
+            alpha[j, word] += alpha[i, word] * (p[piece] * SCALE ** (j - i))
+        return edges, alpha, np.maximum(alpha[lengths, np.arange(len(rows))], 1e-300)
 
     def forward(self, rows: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
         """log of the summed probability of each word in each language."""
-        total = self._forward(rows, lengths, p)[3]
+        total = self._forward(rows, lengths, p)[-1]
         return np.log(total) - lengths[:, None] * np.log(SCALE)
 
     def _fits(self, word: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -166,14 +167,18 @@ class Lattice:
 
     def expected(self, rows: np.ndarray, lengths: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, by language, in `counts` (words x languages) uses of the words."""
-        edges, scaled, alpha, total = self._forward(rows, lengths, p)
+        edges, alpha, total = self._forward(rows, lengths, p)
         beta = np.zeros_like(alpha)
         beta[lengths, np.arange(len(rows))] = counts / total
         out = np.zeros((self.size, p.shape[1]))
-        for i, j, word, piece in reversed(edges):
-            flow = scaled[j - i][piece] * beta[j, word]
-            beta[i, word] += flow
-            flow *= alpha[i, word]
+        for i, from_i in groupby(reversed(edges), itemgetter(0)):
+            flows = []
+            for _, j, word, piece in from_i:
+                flow = p[piece] * SCALE ** (j - i) * beta[j, word]
+                beta[i, word] += flow
+                flow *= alpha[i, word]
+                flows.append((piece, flow))
+            piece, flow = (np.concatenate(x) for x in zip(*flows, strict=True))
             for k in range(p.shape[1]):
                 out[:, k] += np.bincount(piece, weights=flow[:, k], minlength=self.size)
         return out
@@ -183,15 +188,22 @@ _MARK = np.frombuffer("▁".encode(), dtype=np.uint8)
 
 
 class Spelled:
-    """The different words of a batch, each with the mark of a word's begin."""
+    """The different words of a batch, each with the mark of a word's begin; rows of about `CUT_BYTES` are cut into words at once."""
 
     def __init__(self, column: pa.Array):
         self.data, offsets = string_bytes(pc.utf8_lower(column))
-        words = Words(self.data, offsets, lower=False)
-        self.doc = words.doc
-        _, first, self.which = np.unique(words.hash, return_index=True, return_inverse=True)
-        self.begin, self.n = words.start[first], len(first)
-        self.lengths = words.end[first] - self.begin + len(_MARK)
+        found, row = [], 0
+        while row < len(column) or not found:
+            end = max(int(np.searchsorted(offsets, offsets[row] + CUT_BYTES, side="right")) - 1, min(row + 1, len(column)))
+            at = offsets[row]
+            words = Words(self.data[at : offsets[end]], offsets[row : end + 1] - at, lower=False)
+            found.append((words.hash, *(x.astype(np.int32) for x in (words.start + at, words.end - words.start, words.doc + row))))
+            row = end
+        value, start, lengths, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found, words
+        _, first, self.which = np.unique(value, return_index=True, return_inverse=True)
+        self.begin, self.n = start[first].astype(np.int64), len(first)
+        self.lengths = lengths[first].astype(np.int64) + len(_MARK)
 
     def rows(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Zero-padded bytes and lengths of some words."""
@@ -202,16 +214,21 @@ class Spelled:
         rows[:, : len(_MARK)] = _MARK
         return rows, lengths
 
-    def blocks(self, long: int = LONG) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-        """(word numbers, bytes, lengths, whether they are long); padding at most doubles the bytes of long words."""
+    def blocks(self, kinds: int, long: int = LONG) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """(word numbers, bytes, lengths, whether they are long); at most `VALUES` forward values of `kinds` languages unless one word has more; padding at most doubles the bytes of long words."""
         order = np.argsort(self.lengths, kind="stable")
-        edge = int(np.searchsorted(self.lengths[order], long, side="right"))
-        for k in range(0, edge, BLOCK):
-            part = order[k : min(k + BLOCK, edge)]
+        lengths = self.lengths[order]
+        edge, k = int(np.searchsorted(lengths, long, side="right")), 0
+        while k < edge:
+            near = lengths[k : min(edge, k + max(1, VALUES // kinds))]
+            values = (near + 1) * np.arange(1, len(near) + 1) * kinds  # of a block that ends there
+            end = k + max(1, int(np.searchsorted(values, VALUES, side="right")))
+            part = order[k:end]
             yield part, *self.rows(part), False
+            k = end
         while edge < len(order):
-            most = 2 * self.lengths[order[edge]]
-            end = min(int(np.searchsorted(self.lengths[order], most, side="right")), edge + max(1, (1 << 18) // int(most)))
+            most = 2 * lengths[edge]
+            end = min(int(np.searchsorted(lengths, most, side="right")), edge + max(1, (1 << 18) // int(most)))
             part = order[edge:end]
             yield part, *self.rows(part), True
             edge = end
@@ -219,7 +236,7 @@ class Spelled:
     def scores(self, net: Lattice, p: np.ndarray, long: int = LONG) -> np.ndarray:
         """log probabilities (words x languages) of the different words."""
         out = np.zeros((self.n, p.shape[1]))
-        for part, rows, lengths, is_long in self.blocks(long):
+        for part, rows, lengths, is_long in self.blocks(p.shape[1], long):
             out[part] = (net.forward_long if is_long else net.forward)(rows, lengths, p)
         return out
 
@@ -249,7 +266,7 @@ def expected_counts(batches: Iterator[pa.RecordBatch], languages: list[str], p:
         lang = np.array([number[x] for x in field(batch, "lang").to_pylist()], dtype=np.int64)
         uses = np.zeros((s.n, len(languages)))
         np.add.at(uses, (s.which, lang[s.doc]), 1.0)
-        for part, rows, lengths, is_long in s.blocks():
+        for part, rows, lengths, is_long in s.blocks(len(languages)):
             total += (net.expected_long if is_long else net.expected)(rows, lengths, uses[part], p)
     piece, lang = np.nonzero(total > 1e-9)
     yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, lang])], names=["lang_no", "piece", "n"])

@@ -6,6 +6,7 @@ import math
 import os
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -840,6 +841,50 @@ def test_long_words_are_scored_whole(monkeypatch):
     assert abs(halves - whole).max() > 0.1  # a cut would show
 
 
+def labelled_words(seed, size, rows):
+    """A batch (text, lang) of about `size` bytes of different words of 2 to 36 letters."""
+    draw = np.random.default_rng(seed)
+    letters = draw.choice(np.frombuffer(b"etaoinshrdlu", np.uint8), size=size)
+    at = np.cumsum(np.r_[0, draw.geometric(0.18, size=size // 3).clip(2, 36) + 1])
+    letters[at[at < size]] = 32
+    text = letters.tobytes().decode()
+    cut = [size * k // rows for k in range(rows + 1)]
+    return pa.RecordBatch.from_arrays([pa.array([text[a:b] for a, b in itertools.pairwise(cut)]), pa.array(["aa", "bb"] * (rows // 2))], names=["text", "lang"])
+
+
+def test_language_id_memory_stays_small():
+    batch, net, p = labelled_words(3, langid.BATCH_BYTES, 400), langid.lattice(None), langid.start_probabilities(None, 2)
+    peaks = []
+    for work in (lambda: langid.Spelled(batch.column(0)).scores(net, p), lambda: list(langid.expected_counts(iter([batch]), ["aa", "bb"], p, None))):
+        tracemalloc.start()
+        work()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(peaks) < 100, peaks  # MB; 4 MB of text
+
+
+def test_language_id_does_not_depend_on_its_blocks(monkeypatch):
+    batch, net, p = labelled_words(4, 20_000, 40), langid.lattice(None), langid.start_probabilities(None, 2)
+    p[:, 1] = p[::-1, 1]
+    texts = pa.array(["", None, *batch.column(0).to_pylist(), "", "q" * 3000 + " x", " ", None])
+
+    def found():
+        s = langid.Spelled(texts)
+        (counts,) = langid.expected_counts(iter([batch]), ["aa", "bb"], p, None)
+        return s.doc.tolist(), s.scores(net, p)[s.which], counts.to_pydict()
+
+    doc, score, counts = found()
+    assert {0, 1, 42, 44, 45}.isdisjoint(doc) and doc[-2:] == [43, 43]
+    for cut, values in ((1, 1), (700, 90), (1 << 30, 1 << 30)):
+        monkeypatch.setattr(langid, "CUT_BYTES", cut)
+        monkeypatch.setattr(langid, "VALUES", values)
+        doc_, score_, counts_ = found()
+        assert doc_ == doc and (score_ == score).all()
+        assert counts_ == {k: v if k != "n" else pytest.approx(v) for k, v in counts.items()}
+    empty = langid.Spelled(pa.array([], pa.string()))
+    assert empty.n == 0 and not len(empty.doc)
+
+
 def test_language_prediction(spark):
     words = {"aa": ["shhe", "thon", "ingly"], "bb": ["zwuk", "ßer", "kqat"]}
     draw = np.random.default_rng(2)
