@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from restora.llm import bpe, decontaminate, langid, minhash
 from restora.llm import secrets as secret_scan
-from restora.llm.graph import keyed_join, shared_folder
+from restora.llm.graph import keyed_join, shared_folder, tidy
 
 
 def _shielded(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -74,6 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = shared_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        kept = stage(spark, docs, sf_dir)
+        with tidy(spark):
+            kept.write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)

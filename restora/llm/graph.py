@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession, name: str = "table") -> str:
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside leave no shuffle files behind."""
+    """Queries that run inside leave no shuffle files behind; for a DataFrame's own actions it must be made inside, too."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     shared_top(spark)
     with tidy(spark):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # a plan made in here: one made before keeps its shuffle files
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -90,6 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
         up = low.select(F.col("node").alias("over"), F.col("component").alias("top"))
         new = cut(keyed_join(low, up, "component", "over").select("node", F.col("top").alias("component")))
         old = labels.select("node", F.col("component").alias("was"))
-        if new.join(old, "node").where("component <> was").isEmpty():
-            return new
+        with tidy(edges.sparkSession):
+            if new.join(old, "node").where("component <> was").isEmpty():
+                return new
         labels = new

@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from restora.llm import ann, bpe, decontaminate, langid, lm, minhash, quality, queries, repeats, restaurants, secrets, suffixes, token_files
-from restora.llm.graph import components
+from restora.llm.graph import components, cut
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -236,6 +236,21 @@ def test_sketch_fills_every_coordinate():
     assert (sketch[0] != top).all() and (sketch[1] == top).all() and (sketch[2] != top).all()
 
 
+def test_cut_and_components_leave_no_shuffle_files(spark):
+    """Files of a shuffle go when its table is kept, not when the driver happens to collect its garbage."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    left = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, edges = left(), spark.range(200).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+    counts = edges.groupBy("a").count()
+    kept, found = cut(counts), components(edges)
+    for _ in range(50):  # they are deleted beside what goes on
+        if not left() - before:
+            break
+        time.sleep(0.2)
+    assert not left() - before
+    assert kept.count() == counts.count() == 7 and found.count() == 200
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(edges).collect()}
